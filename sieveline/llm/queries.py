@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat_format, embedding_dedup, mixing, quality_rules, simhash_dedup
+from . import bpe, chat_format, embedding_dedup, mixing, quality_rules, simhash_dedup
 
-MODULES = [quality_rules, embedding_dedup, simhash_dedup, mixing, chat_format]
+MODULES = [quality_rules, embedding_dedup, simhash_dedup, mixing, chat_format, bpe]
 
 
 def queries() -> dict:
