@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, simhash_dedup, token_codes
+from . import bpe, chat_format, embedding_dedup, hmm_score, language_id, mixing, quality_rules, simhash_dedup, token_codes
 
-MODULES = [quality_rules, embedding_dedup, simhash_dedup, mixing, language_id, chat_format, token_codes, bpe]
+MODULES = [quality_rules, embedding_dedup, simhash_dedup, hmm_score, mixing, language_id, chat_format, token_codes, bpe]
 
 
 def queries() -> dict:
