@@ -78,8 +78,8 @@ def tile_pairs(df: DataFrame, cls: str, salt: Column, layout: dict[int, tuple[in
     return d.withColumn("i", F.least("tile", "__p")).withColumn("j", F.greatest("tile", "__p")).drop("__c", "__first", "__n", "__lo", "__hi", "__p")
 
 
-def per_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_000) -> DataFrame:
-    """Apply fn(left, right) to the two sides of every tile pair; left is right on the diagonal.
+def per_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_000, within: tuple[str, ...] = ()) -> DataFrame:
+    """Apply fn(left, right, same) to the two sides of every tile pair (of the same `within`); left is right on the diagonal.
 
     Pairs are packed by hash into groups of about group_rows rows, so a group is bounded by tile sizes."""
     import pandas as pd
@@ -89,7 +89,7 @@ def per_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_00
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (i, j), part in pdf.groupby(["i", "j"], sort=True):
+        for (*_, i, j), part in pdf.groupby([*within, "i", "j"], sort=True):
             tile = part["tile"].to_numpy()
             left = part[tile == i].reset_index(drop=True)
             right = left if i == j else part[tile == j].reset_index(drop=True)
@@ -99,7 +99,7 @@ def per_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_00
                     out.append(got)
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    keyed = df.withColumn("__g", F.pmod(F.xxhash64("i", "j"), F.lit(groups)))
+    keyed = df.withColumn("__g", F.pmod(F.xxhash64(*within, "i", "j"), F.lit(groups)))
     return keyed.groupBy("__g").applyInPandas(run, schema)
 
 
