@@ -63,6 +63,8 @@ class Trees:
 
     def __init__(self, langs: list[str], grams: pd.DataFrame):
         self.langs = langs
+        if not langs:
+            return
         g = grams["gram"].to_numpy().astype(np.int64)
         raw = np.stack([(g >> s) & 255 for s in (24, 16, 8, 0)])
         seen = np.unique(raw)

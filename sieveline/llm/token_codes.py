@@ -33,6 +33,7 @@ NAME = "op9_token_codes"
 WIDTH, RANK_BITS, MAGIC = 8, 512, b"DAC1"
 END_ID = 2
 SEGMENT = 1 << 20  # ids after which a segment is closed
+SMALL = 1_000_000  # segments whose places are broadcast
 CACHE = 1_000_000  # pieces of at most 64 characters whose ids a worker remembers
 SCHEMA = "part long, seq long, doc_ids array<long>, first array<long>, n_ids long, payload binary"
 
@@ -208,7 +209,10 @@ def write_codes(docs: DataFrame, path: str, folder: str) -> None:
 def read_codes(coded: DataFrame) -> DataFrame:
     """doc_id, start, ids (binary, little-endian unsigned 32-bit) of every document of read segments."""
     starts = prefix_offsets(coded.select("part", "seq", "n_ids", F.lit(1).alias("one")), ["one"], ["seq"], F.col("part"), "n_ids", "start")
-    located = coded.join(starts.select("part", "seq", "start"), ["part", "seq"])
+    starts = materialise(starts.select("part", "seq", "start"), "starts")
+    if starts.count() <= SMALL:
+        starts = F.broadcast(starts)  # 24 MB at most; beyond that the join shuffles the segments
+    located = coded.join(starts, ["part", "seq"])
 
     def run(frames):
         for pdf in frames:
