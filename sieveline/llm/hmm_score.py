@@ -31,7 +31,8 @@ NAME = "op5_hmm_score"
 STATES, ITERATIONS = 8, 5
 CLASSES, SHORT, TAIL = 8192, 4, 4
 END = CLASSES
-BLOCK, BATCH, SEGMENT = 2_000_000, 400_000, 512  # words
+BLOCK, BATCH, SEGMENT = 2_000_000, 700_000, 1024  # words
+SCALE = 8  # steps between scalings of matrix products
 STAY = 0.95  # first probability that a state stays
 FOLDS, HELD_OUT = 5, 1
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes binary, words binary, vocab binary, classes binary, train binary"
@@ -51,6 +52,15 @@ def word_classes(w: Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (np.where(size <= SHORT, hashes[at], tail) % np.uint64(CLASSES)).astype(np.uint16)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as four runs of bytes, lowest first: small numbers leave runs of zeros that compress."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_texts(docs: DataFrame) -> DataFrame:
     """Blocks (BLOCKS) of docs (doc_id, text, held)."""
 
@@ -63,15 +73,19 @@ def pack_texts(docs: DataFrame) -> DataFrame:
         def close():
             hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             classes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint16)
-            vocab, first, words = np.unique(hashes, return_index=True, return_inverse=True)
+            vocab, first, words, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            vocab, first, words = vocab[order], first[order], place[words]
             n = np.concatenate(sizes)
             learn = np.repeat(~np.array(held, dtype=bool), n)
             train = np.bincount(words[learn], minlength=len(vocab)).astype("<u4")
-            row = [number, ids, held, n.astype("<i4").tobytes(), words.astype("<u4").tobytes(), vocab.astype("<u8").tobytes(), classes[first].astype("<u2").tobytes(), train.tobytes()]
+            row = [number, ids, held, n.astype("<i4").tobytes(), planes(words), vocab.astype("<u8").tobytes(), classes[first].astype("<u2").tobytes(), train.tobytes()]
             return pd.DataFrame({c.split()[0]: [v] for c, v in zip(BLOCKS.split(", "), row)})
 
         for pdf in frames:
-            for a, b, texts in byte_chunks(pdf, "text"):
+            for a, b, texts in byte_chunks(pdf, "text", 1 << 21):
                 w = Words([t.lower() for t in texts])
                 h = w.hashes()
                 some = pdf.iloc[a:b]
@@ -91,14 +105,15 @@ def pack_texts(docs: DataFrame) -> DataFrame:
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
-    """(hash, block, class, c): the distinct words of each block with their training counts in it."""
+    """(hash, block, at, class, c): the distinct words of each block with their number and training count in it."""
 
     def run(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                yield pd.DataFrame({"hash": np.frombuffer(r.vocab, "<i8"), "block": r.block, "class": np.frombuffer(r.classes, "<u2").astype(np.int32), "c": np.frombuffer(r.train, "<u4").astype(np.int64)})
+                vocab = np.frombuffer(r.vocab, "<i8")
+                yield pd.DataFrame({"hash": vocab, "block": r.block, "at": np.arange(len(vocab)), "class": np.frombuffer(r.classes, "<u2").astype(np.int32), "c": np.frombuffer(r.train, "<u4").astype(np.int64)})
 
-    return blocks.select("block", "vocab", "classes", "train").mapInPandas(run, "hash long, block long, class int, c long")
+    return blocks.select("block", "vocab", "classes", "train").mapInPandas(run, "hash long, block long, at long, class int, c long")
 
 
 # --- the model ---------------------------------------------------------------
@@ -123,22 +138,23 @@ def next_model(start: np.ndarray, move: np.ndarray, emit: np.ndarray):
 def _lockstep(classes, begin, size, vector, move, emit, keep):
     """Scaled forward recursion over segments at once: the last vectors, log scale and, if keep, all vectors.
 
-    Segments are sorted by size, longest first. vector: state weights before each segment's first word."""
-    n, k = vector.shape
+    Segments are sorted by size, longest first. vector (state, segment): weights before each segment's first
+    word; emit (state, class). States come first, so that every step works along long rows."""
     alpha = vector.astype(emit.dtype)
-    log = np.zeros(n)
-    steps = int(size[0]) if n else 0
+    log = np.zeros(alpha.shape[1])
+    steps = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(steps), side="left")  # segments longer than t
-    store, scales = [], []
+    store, scales, forward = [], [], np.ascontiguousarray(move.T)
     for t in range(steps):
         m = active[t]
-        a = (alpha[:m] @ move) * emit[classes[begin[:m] + t]]
-        c = a.sum(1)
-        a /= c[:, None]
-        alpha[:m] = a
+        a = forward @ alpha[:, :m]
+        a *= emit.take(classes[begin[:m] + t], axis=1)
+        c = a.sum(0)
+        a /= c
+        alpha[:, :m] = a
         log[:m] += np.log(c)
         if keep:
-            store.append(a.copy())
+            store.append(a)
             scales.append(c)
     return alpha, log, store, scales, active
 
@@ -164,22 +180,35 @@ class Batch:
         self.cut = at[np.lexsort((self.piece[at], self.doc[at]))]  # segments of long texts, in reading order
 
     def matrices(self, move, emit):
-        """For each segment of a long text the product of its step matrices, rows scaled, with log scales."""
+        """For each segment of a long text the product of its step matrices, rows scaled, with log scales.
+
+        All unit vectors of all segments step at once, as columns (segment, state); they are scaled at times."""
         k = len(move)
-        out = np.empty((len(self.cut), k, k))
-        logs = np.empty((len(self.cut), k))
         order = np.argsort(-self.size[self.cut], kind="stable")
         at = self.cut[order]
-        for s in range(k):
-            unit = np.zeros((len(at), k))
-            unit[:, s] = 1
-            out[order, s], logs[order, s], *_ = _lockstep(self.classes, self.begin[at], self.size[at], unit, move, emit, False)
+        begin, size = self.begin[at], self.size[at]
+        n = len(at)
+        alpha = np.tile(np.eye(k), (1, n)).reshape(k, n, k)
+        log, forward = np.zeros((n, k)), np.ascontiguousarray(move.T)
+        active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+        for t, m in enumerate(active):
+            a = (forward @ alpha[:, :m].reshape(k, m * k)).reshape(k, m, k)
+            a *= emit.take(self.classes[begin[:m] + t], axis=1)[:, :, None]
+            if t % SCALE == SCALE - 1:
+                c = a.sum(0)
+                a /= c
+                log[:m] += np.log(c)
+            alpha[:, :m] = a
+        c = alpha.sum(0)
+        log += np.log(c)
+        out, logs = np.empty((n, k, k)), np.empty((n, k))
+        out[order], logs[order] = (alpha / c).transpose(1, 2, 0), log
         return out, logs
 
     def chain(self, start, move, emit):
         """Per segment: state weights before it (scaled) and after it (scaled), and per text log likelihood so far."""
         k = len(move)
-        before, after = np.tile(start, (len(self.doc), 1)), np.ones((len(self.doc), k))
+        before, after = np.repeat(start[:, None], len(self.doc), 1), np.ones((k, len(self.doc)))
         log = np.zeros(self.n_docs)
         if len(self.cut):
             product, logs = self.matrices(move, emit)
@@ -188,7 +217,7 @@ class Batch:
             for run in np.split(np.arange(len(self.cut)), edges):
                 v, total = start.copy(), 0.0
                 for i in run:
-                    before[self.cut[i]] = v
+                    before[:, self.cut[i]] = v
                     top = logs[i].max()
                     v = (v * np.exp(logs[i] - top)) @ product[i]
                     total += top + np.log(v.sum())
@@ -196,7 +225,7 @@ class Batch:
                 log[docs[run[0]]] = total
                 b = np.ones(k)
                 for i in run[::-1]:
-                    after[self.cut[i]] = b
+                    after[:, self.cut[i]] = b
                     b = np.exp(logs[i] - logs[i].max()) * (product[i] @ b)
                     b /= b.max()
         return before, after, log
@@ -204,49 +233,54 @@ class Batch:
     def log_likelihood(self, model) -> np.ndarray:
         """Natural log of the likelihood of each text's classes, exact in double precision."""
         start, move, emit = model
+        emit = np.ascontiguousarray(emit.T)
         before, _, log = self.chain(start, move, emit)
         single = np.ones(len(self.doc), bool)
         single[self.cut] = False
         at = np.flatnonzero(single)
-        _, got, *_ = _lockstep(self.classes, self.begin[at], self.size[at], before[at], move, emit, False)
+        _, got, *_ = _lockstep(self.classes, self.begin[at], self.size[at], before[:, at], move, emit, False)
         log[self.doc[at]] = got
         return log
 
     def expected(self, model, out) -> None:
         """Add the expected counts of starts, transitions and emissions to out = [start, move, emit]."""
         start, move, emit = model
+        emit = np.ascontiguousarray(emit.T)
         before, after, _ = self.chain(start, move, emit)
         e32, m32 = emit.astype(np.float32), move.astype(np.float32)
         _, _, store, scales, active = _lockstep(self.classes, self.begin, self.size, before, m32, e32, True)
         beta = after.astype(np.float32)
-        gammas, labels = [], []
+        labels = []
         for t in range(len(store) - 1, -1, -1):
             m = active[t]
-            a, b, label = store[t], beta[:m], self.classes[self.begin[:m] + t]
-            gamma = a * b
-            total = gamma.sum(1, keepdims=True)
+            b, label = beta[:, :m], self.classes[self.begin[:m] + t]
+            gamma = store[t] * b
+            total = gamma.sum(0)
             gamma /= total
-            gammas.append(gamma)
             labels.append(label)
-            right = (e32[label] * b) / (total * scales[t][:, None])
-            left = store[t - 1][:m] if t else before[:m].astype(np.float32)
-            out[1] += (left.T @ right) * move
-            back = right @ m32.T
+            right = e32.take(label, axis=1)
+            right *= b
+            right /= total * scales[t]
+            left = store[t - 1][:, :m] if t else before[:, :m].astype(np.float32)
+            out[1] += (left @ right.T) * move
+            back = m32 @ right
             if t:
-                beta[:m] = back * total
+                beta[:, :m] = back * total
             else:
                 begun = left * back
-                out[0] += begun[self.piece[:m] == 0].sum(0)
+                out[0] += begun[:, self.piece[:m] == 0].sum(1)
+            store[t] = None
+            scales[t] = gamma
         if labels:
-            label, gamma = np.concatenate(labels), np.concatenate(gammas)
-            for s in range(gamma.shape[1]):
-                out[2][:, s] += np.bincount(label, gamma[:, s], CLASSES + 1)
+            label, gamma = np.concatenate(labels), np.concatenate(scales[::-1], axis=1)
+            for s in range(len(gamma)):
+                out[2][:, s] += np.bincount(label, gamma[s], CLASSES + 1)
 
 
 def _batches(r, learn_only: bool):
     """The block's texts (only those to learn from) as Batches of about BATCH words, in order."""
     sizes = np.frombuffer(r.sizes, "<i4").astype(np.int64)
-    words, classes = np.frombuffer(r.words, "<u4"), np.frombuffer(r.classes, "<u2")
+    words, classes = unplaned(r.words), np.frombuffer(r.classes, "<u2")
     stops = np.concatenate(([0], np.cumsum(sizes)))
     use = ~np.array(r.held, dtype=bool) if learn_only else np.ones(len(sizes), bool)
     cuts = np.flatnonzero(np.diff(stops[:-1] // BATCH)) + 1
@@ -289,7 +323,7 @@ def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of docs (doc_id, text, held)."""
     spark = docs.sparkSession
     blocks = materialise(pack_texts(docs), "blocks")
-    asked = materialise(block_words(blocks), "asked")
+    asked = block_words(blocks)
     counts = materialise(asked.groupBy("hash").agg(F.sum("c").alias("c"), F.first("class").alias("class")).where("c > 0"), "counts")
     per_class = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()  # CLASSES rows at most
     texts = blocks.select(F.explode("held").alias("held")).where("not held").count()
@@ -300,18 +334,16 @@ def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     n, v = float(class_n.sum()), float(class_v.sum())
     model = baum_welch(blocks, class_n, iterations)
     shared = spark.sparkContext.broadcast((model, class_n, class_v))  # bounded by CLASSES
-    answers = asked.select("hash", "block").join(counts.select("hash", "c"), "hash").select("block", "hash", "c")
+    answers = asked.select("hash", "block", "at").join(counts.select("hash", "c"), "hash").select("block", "at", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(key, mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         model, class_n, class_v = shared.value
         out = []
         for r in mine.itertuples(index=False):
-            vocab = np.frombuffer(r.vocab, "<i8")
-            c = np.zeros(len(vocab))
-            order = np.argsort(vocab)
-            c[order[np.searchsorted(vocab, known["hash"].to_numpy(), sorter=order)]] = known["c"].to_numpy()
-            words, classes = np.frombuffer(r.words, "<u4"), np.frombuffer(r.classes, "<u2")
+            words, classes = unplaned(r.words), np.frombuffer(r.classes, "<u2")
+            c = np.zeros(len(classes))
+            c[known["at"].to_numpy()] = known["c"].to_numpy()
             sizes = np.frombuffer(r.sizes, "<i4").astype(np.int64)
             text = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda x: np.bincount(text, x[words], len(sizes))
@@ -324,7 +356,7 @@ def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
             out.append(pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), dtype="Int64"), "held_out": list(r.held), "n_tokens": sizes + 1, "n_known": np.rint(seen).astype(np.int64), "train_tokens": int(n), "base_score": base, "score": score}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    return blocks.drop("train").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    return blocks.drop("train", "vocab").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
