@@ -78,8 +78,8 @@ def tile_pairs(df: DataFrame, cls: str, salt: Column, layout: dict[int, tuple[in
     return d.withColumn("i", F.least("tile", "__p")).withColumn("j", F.greatest("tile", "__p")).drop("__c", "__first", "__n", "__lo", "__hi", "__p")
 
 
-def per_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_000, within: tuple[str, ...] = ()) -> DataFrame:
-    """Apply fn(left, right, same) to the two sides of every tile pair (of the same `within`); left is right on the diagonal.
+def per_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_000) -> DataFrame:
+    """Apply fn(left, right, same) to the two sides of every tile pair; left is right on the diagonal.
 
     Pairs are packed by hash into groups of about group_rows rows, so a group is bounded by tile sizes."""
     import pandas as pd
@@ -89,7 +89,7 @@ def per_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_00
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (*_, i, j), part in pdf.groupby([*within, "i", "j"], sort=True):
+        for (i, j), part in pdf.groupby(["i", "j"], sort=True):
             tile = part["tile"].to_numpy()
             left = part[tile == i].reset_index(drop=True)
             right = left if i == j else part[tile == j].reset_index(drop=True)
@@ -99,10 +99,51 @@ def per_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_00
                     out.append(got)
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    keyed = df.withColumn("__g", F.pmod(F.xxhash64(*within, "i", "j"), F.lit(groups)))
+    keyed = df.withColumn("__g", F.pmod(F.xxhash64("i", "j"), F.lit(groups)))
     return keyed.groupBy("__g").applyInPandas(run, schema)
 
 
+def slim_pairs(df: DataFrame) -> DataFrame:
+    """tile, i and j of tile_pairs as one long `pair`: i, j and the row's side; for rows that are many and small."""
+    side = (F.col("tile") != F.col("i")).cast("long")
+    return df.withColumn("pair", F.shiftleft("i", 33) + F.shiftleft("j", 1) + side).drop("tile", "i", "j")
+
+
+def per_slim_pair(df: DataFrame, fn, schema: str, rows: int, group_rows: int = 200_000, within: str | None = None) -> DataFrame:
+    """per_pair for slim_pairs (of the same `within`): fn(i, left, right, same) gets dicts of arrays and returns arrays or None.
+
+    For many small pairs: a group is sorted once and cut into slices, without a frame for each pair."""
+    import pandas as pd
+
+    spark = df.sparkSession
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // group_rows))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pair = pdf["pair"].to_numpy()
+        first = pdf[within].to_numpy() if within else np.zeros(len(pair), np.int64)
+        order = np.lexsort((pair, first))
+        pair, first = pair[order], first[order]
+        columns = {c: pdf[c].to_numpy()[order] for c in pdf.columns if c not in ("pair", "__g")}
+        key = pair >> 1
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(first) != 0)) + 1
+        out = []
+        for a, b in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(pair)])).tolist()):
+            i, j = int(pair[a]) >> 33, int(pair[a]) >> 1 & 0xFFFFFFFF
+            middle = b if i == j else a + int(np.searchsorted(pair[a:b] & 1, 1))
+            if a == middle or i != j and middle == b or i == j and b - a < 2:
+                continue
+            left = {c: v[a:middle] for c, v in columns.items()}
+            got = fn(i, left, left if i == j else {c: v[middle:b] for c, v in columns.items()}, i == j)
+            if got is not None:
+                out.append(got)
+        parts = zip(*out) if out else [[] for _ in names]
+        return pd.DataFrame({n: np.concatenate(p) if len(p) else np.zeros(0, np.int64) for n, p in zip(names, parts)})
+
+    group = F.pmod(F.xxhash64(*([within] if within else []), F.shiftright("pair", 1)), F.lit(groups))
+    return df.withColumn("__g", group).groupBy("__g").applyInPandas(run, schema)
+
+
 # --- components --------------------------------------------------------------
 
 
@@ -138,7 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         floor = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -161,7 +202,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, base in (("up", _M), ("down", _INVERSE)):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1

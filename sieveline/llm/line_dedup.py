@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, materialise, per_pair, star_edges, tile_pairs
+from .common import Words, components, materialise, per_slim_pair, slim_pairs, star_edges, tile_pairs
 
 NAME = "op2_line_dedup"
 MIN_WORDS, RADIUS, SIMILARITY = 5, 5, 0.8
@@ -30,11 +30,18 @@ BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # (lowest
 TILE, TEXT_TILE = 65_536, 512
 PAIRS = 1 << 21  # candidate pairs held at once
 
-_TABLE = bytes(48 if 48 <= b <= 57 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+SMALL = 1_000_000  # rows of keys or line numbers (16 to 64 MB) up to which they are broadcast instead of shuffling texts
+
+_TABLE = bytes(48 if 48 <= b <= 57 else b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def normal_lines(text: str) -> list[list[bytes]]:
+    """Words of the normal form of each line of a text."""
+    return [line.split() for line in text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split(b"\n")]
 
 
 def normalised(line: str) -> bytes:
-    return b" ".join(line.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split())
+    return b" ".join(normal_lines(line)[0])
 
 
 def simhashes(lines: list[bytes]) -> np.ndarray:
@@ -58,14 +65,13 @@ def line_table(docs: DataFrame) -> DataFrame:
                 return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "h": own["h"].to_numpy(), "line": at, "a": digests[:, 0], "b": digests[:, 1], "fp": simhashes(held).view(np.int64)})
 
             for k, text in enumerate(pdf["text"]):
-                for number, line in enumerate(text.split("\n") if isinstance(text, str) else ()):
-                    norm = normalised(line)
-                    if norm.count(b" ") + 1 >= MIN_WORDS:
-                        held.append(norm)
+                for number, parts in enumerate(normal_lines(text) if isinstance(text, str) else ()):
+                    if len(parts) >= MIN_WORDS:
+                        held.append(b" ".join(parts))
                         ids.append(k)
                         at.append(number)
-                        size += len(norm)
-                if size > 1 << 22:
+                        size += len(held[-1])
+                if size > 1 << 21:
                     yield close()
                     held, ids, at, size = [], [], [], 0
             if held:
@@ -145,85 +151,103 @@ def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return score <= limit
 
 
-def verified(nodes: np.ndarray, texts: list[str], a: np.ndarray, b: np.ndarray):
-    """Links among candidate pairs that connect their groups: a spanning forest of the verified graph."""
-    parent = list(range(len(nodes)))
-
-    def find(k):
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    out = []
-    for i, j in zip(a.tolist(), b.tolist()):
-        p, q = find(i), find(j)
-        if p != q and edit_similar(texts[i], texts[j]):
-            parent[max(p, q)] = min(p, q)
-            out.append((nodes[i], nodes[j]))
-    return pd.DataFrame(out, columns=["a", "b"]) if out else None
-
-
-def fuzzy_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) for the distinct lines (node, fp, first) that are linked to another."""
-    values = [F.struct(F.lit(k).alias("k"), (F.lit(k << 11) + F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << n) - 1))).cast("long").alias("bucket")) for k, (low, n) in enumerate(BLOCKS)]
-    rows = distinct.select("node", "fp", F.explode(F.array(*values)).alias("v")).select("node", "fp", "v.k", "v.bucket")
+def verified(texts, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links among candidate pairs that connect their groups: a spanning forest of the verified graph.
+
+    In each round every group still apart checks one candidate; pairs that a link has connected are never checked."""
+    label, out_a, out_b = np.arange(len(texts)), [], []
+    while True:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            break
+        _, pick = np.unique(np.minimum(label[a], label[b]), return_index=True)
+        for k in pick.tolist():
+            i, j = int(a[k]), int(b[k])
+            if label[i] != label[j] and edit_similar(texts[i], texts[j]):
+                low, high = min(label[i], label[j]), max(label[i], label[j])
+                label[label == high] = low
+                out_a.append(i)
+                out_b.append(j)
+        rest = np.ones(len(a), bool)
+        rest[pick] = False
+        a, b = a[rest], b[rest]
+    return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
+
+
+def near_clusters(fps: DataFrame) -> DataFrame:
+    """(node, root): fingerprints (column fp, distinct) that chains of pairs within RADIUS bits connect."""
+    values = [(F.lit(k << 11) + F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << n) - 1))).cast("long") for k, (low, n) in enumerate(BLOCKS)]
+    rows = fps.select("fp", F.explode(F.array(*values)).alias("bucket"))
     sizes = dict(rows.groupBy("bucket").count().collect())  # 12,288 buckets at most
-    layout, first = {}, 0
+    layout, block_of, first = {}, [], 0
     for bucket, n in sizes.items():
         tiles = -(-n // TILE)
         layout[bucket] = (first, tiles, first, first + tiles - 1)
+        block_of += [bucket >> 11] * tiles
         first += tiles
 
-    def near(left: pd.DataFrame, right: pd.DataFrame, same: bool):
-        k = int(left["k"].iloc[0])
-        x = left["fp"].to_numpy().view(np.uint64)
-        y = x if same else right["fp"].to_numpy().view(np.uint64)
-        a, b = candidate_pairs(x, y, same, [r for i, r in enumerate(BLOCKS) if i != k])
-        node = left["node"].to_numpy() if same else np.concatenate((left["node"], right["node"]))
+    def near(i: int, left: dict, right: dict, same: bool):
+        x, y = left["fp"].view(np.uint64), right["fp"].view(np.uint64)
+        a, b = candidate_pairs(x, y, same, [r for k, r in enumerate(BLOCKS) if k != block_of[i]])
+        node = left["fp"] if same else np.concatenate((left["fp"], right["fp"]))
         u, v = star_edges(node, a, b if same else b + len(x))
-        return pd.DataFrame({"a": u, "b": v}) if len(u) else None
+        return (u, v) if len(u) else None
 
     sent = sum(n * layout[b][1] for b, n in sizes.items())
-    clusters = components(per_pair(tile_pairs(rows, "bucket", F.xxhash64("node"), layout).select("node", "fp", "k", "tile", "i", "j"), near, "a long, b long", sent))
+    pairs = slim_pairs(tile_pairs(rows, "bucket", F.xxhash64("fp"), layout)).select("fp", "pair")
+    return components(per_slim_pair(pairs, near, "a long, b long", sent))
 
-    wanted = clusters.join(distinct, "node").select("node", "root", "fp", "first.doc_id", "first.h", "first.line")
-    asked = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "node", "root", "fp")).alias("lines"))
+
+def fuzzy_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) for the distinct lines (node, fp, first) that are linked to another."""
+    fps = materialise(distinct.groupBy("fp").agg(F.count("*").alias("n")), "fps")
+    clusters = fps.join(near_clusters(fps.select("fp")), F.col("fp") == F.col("node"), "left")
+    clusters = clusters.where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root"))
+    lines = materialise(distinct.join(clusters, "fp").select("node", "root", "fp", "first.doc_id", "first.h", "first.line"), "wanted")
+    tiles = lines.groupBy("root").agg(F.ceil(F.count("*") / TEXT_TILE).alias("tiles"))
+    asked = lines.join(tiles, "root").groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "node", "root", "fp", "tiles")).alias("lines"))
+    keys = lines.select("doc_id", "h").distinct()
 
     def texts(frames):
         for pdf in frames:
+            got = []
             for text, asked in zip(pdf["text"], pdf["lines"]):
-                lines = text.split("\n")
-                yield pd.DataFrame([(r["node"], r["root"], r["fp"], normalised(lines[r["line"]]).decode("utf-8", "replace")) for r in asked], columns=["node", "root", "fp", "norm"])
+                lines = normal_lines(text)
+                got += [(r["node"], r["root"], r["fp"], r["tiles"], b" ".join(lines[r["line"]]).decode("utf-8", "replace")) for r in asked]
+            yield pd.DataFrame(got, columns=["node", "root", "fp", "tiles", "norm"])
 
-    found = materialise(keyed(docs).join(asked, ["doc_id", "h"]).select("text", "lines").mapInPandas(texts, "node long, root long, fp long, norm string"), "cluster-lines")
-    tiles = found.groupBy("root").agg(F.ceil(F.count("*") / TEXT_TILE).alias("n"))
-    d = found.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n"))).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    d = d.withColumn("i", F.least("tile", "p")).withColumn("j", F.greatest("tile", "p")).drop("p", "n")
+    found = only(keyed(docs), keys).join(asked, ["doc_id", "h"]).select("text", "lines").mapInPandas(texts, "node long, root long, fp long, tiles long, norm string")
+    d = found.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    d = d.withColumn("i", F.least("tile", "p")).withColumn("j", F.greatest("tile", "p")).drop("p", "tiles")
 
-    def check(left: pd.DataFrame, right: pd.DataFrame, same: bool):
-        x = left["fp"].to_numpy().view(np.uint64)
-        y = x if same else right["fp"].to_numpy().view(np.uint64)
+    def check(i: int, left: dict, right: dict, same: bool):
+        x, y = left["fp"].view(np.uint64), right["fp"].view(np.uint64)
         a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= RADIUS)
         if same:
             a, b = a[a < b], b[a < b]
-        both = left if same else pd.concat((left, right), ignore_index=True)
-        return verified(both["node"].to_numpy(), both["norm"].tolist(), a, b if same else b + len(x))
+        node, norm = (left[c] if same else np.concatenate((left[c], right[c])) for c in ("node", "norm"))
+        u, v = verified(norm, a, b if same else b + len(x))
+        return (node[u], node[v]) if len(u) else None
+
+    return components(per_slim_pair(slim_pairs(d), check, "a long, b long", lines.count(), group_rows=20_000, within="root"))
+
 
-    return components(per_pair(d, check, "a long, b long", found.count(), group_rows=20_000, within=("root",)))
+def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs with these (doc_id, h): by a broadcast of at most SMALL keys, else as they are, as a join on the same key follows."""
+    return docs.join(F.broadcast(keys), ["doc_id", "h"], "left_semi") if keys.count() <= SMALL else docs
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, lines): numbers of the lines to drop, for every document that loses one."""
     lines = materialise(line_table(docs), "lines")
-    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("fp").alias("fp"))
+    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("times"))
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")  # written once, so ids stay
-    groups = fuzzy_groups(distinct, docs)
-    rooted = distinct.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = rooted.groupBy("root").agg(F.min("first").alias("stay"))
-    table = rooted.select("a", "b", "root").join(stays, "root").select("a", "b", "stay")
-    gone = lines.join(table, ["a", "b"]).where("struct(doc_id, h, line) <> stay").select("doc_id", "h", "line").distinct()
-    return gone.groupBy("doc_id", "h").agg(F.collect_list("line").alias("lines"))
+    members = distinct.join(fuzzy_groups(distinct, docs), "node", "left")
+    stays = members.where("root is not null").groupBy("root").agg(F.min("first").alias("stay"))
+    table = members.where("root is not null or times > 1").join(stays, "root", "left").select("a", "b", F.coalesce("stay", "first").alias("stay"))
+    gone = lines.drop("fp").join(table, ["a", "b"]).where("struct(doc_id, h, line) <> stay").select("doc_id", "h", "line").distinct()
+    return materialise(gone.groupBy("doc_id", "h").agg(F.collect_list("line").alias("lines")), "dropped")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -231,6 +255,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     from pyspark.sql import types as T
 
     gone = dropped_lines(docs).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("lines").alias("__lines"))
+    if gone.agg(F.coalesce(F.sum(F.size("__lines") + 4), F.lit(0))).first()[0] <= 4 * SMALL:
+        gone = F.broadcast(gone)  # 64 MB at most; beyond that the join shuffles
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
     joined = docs.join(gone, (key == gone["__d"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left").drop("__d", "__h")
     names = docs.columns

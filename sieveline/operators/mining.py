@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import fnv1a
 from ..functions.text import content_terms, entity_mentions
-from .retrieval import idf, scored_pairs, term_vectors
+from .retrieval import explode_terms, idf, scored_pairs, term_vectors
 
 
 def containment(questions: DataFrame, chunks: DataFrame, weights: DataFrame, n: int) -> DataFrame:
@@ -17,9 +17,9 @@ def containment(questions: DataFrame, chunks: DataFrame, weights: DataFrame, n:
     questions (query_id, id, text) names the chunk of each question; an equi join on (pair, term)."""
     import math
 
-    q = questions.select("query_id", "id", F.explode(F.array_distinct(content_terms(F.col("text")))).alias("term"))
+    q = explode_terms(questions, ["query_id", "id"], F.array_distinct(content_terms(F.col("text"))))
     q = q.join(weights.select("term", "idf"), "term", "left").withColumn("w", F.coalesce("idf", F.lit(math.log(n or 1) + 1)))
-    c = chunks.select("id", F.explode(F.array_distinct(content_terms(F.col("text")))).alias("term")).withColumn("has", F.lit(1))
+    c = explode_terms(chunks, ["id"], F.array_distinct(content_terms(F.col("text")))).withColumn("has", F.lit(1))
     j = q.join(c, ["id", "term"], "left")
     sums = j.groupBy("query_id", "id").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("has") == 1, F.col("w")).otherwise(0.0)).alias("shared"))
     return sums.select("query_id", "id", F.round(F.coalesce(F.try_divide("shared", "total"), F.lit(0.0)), 6).alias("overlap"))
@@ -58,7 +58,7 @@ def near_duplicates(labelled: DataFrame, candidates: DataFrame, threshold: float
 
 def mentions(chunks: DataFrame) -> DataFrame:
     """(id, doc, entity, tf) of chunks (id, doc, text)."""
-    return chunks.select("id", "doc", F.explode(entity_mentions(F.col("text"))).alias("entity")).groupBy("id", "doc", "entity").agg(F.count("*").alias("tf"))
+    return explode_terms(chunks, ["id", "doc"], entity_mentions(F.col("text")), "entity").groupBy("id", "doc", "entity").agg(F.count("*").alias("tf"))
 
 
 def entity_index(found: DataFrame) -> DataFrame:

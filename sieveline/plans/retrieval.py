@@ -97,7 +97,7 @@ def hybrid_recall(spark, sf_dir):
     leads = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, 8)]))
     words = lambda df: df.withColumn("w", F.split("text", r"[ \n]"))
     asked = words(q).select("query_id", F.col("text").alias("passage"), F.get(leads(F.col("w")), F.lit(0)).alias("lead"))
-    starts = words(d).select("id", "text", F.explode(F.array_distinct(leads(F.col("w")))).alias("lead"))
+    starts = R.explode_terms(words(d), ["id", "text"], F.array_distinct(leads(F.col("w"))), "lead")
     truth = starts.join(asked, "lead").where(F.contains("text", "passage")).select("query_id", "id").distinct()
     return M.score_rankings(q, hits, truth)
 
