@@ -4,10 +4,12 @@ A line (cut at \\n) of at least MIN_WORDS words is normalised: lower case, digit
 single spaces. Equal normalised lines are one node. Nodes whose 64-bit SimHash over words differ in at most
 RADIUS bits agree on one of RADIUS + 1 blocks of bits, so they meet in that block's bucket (large buckets are salted
 into tiles); inside, a second pigeonhole over the remaining bits finds the pairs without comparing all. Candidates
-form clusters; a cluster's lines meet again with their texts, in tiles, and pairs within the radius are links if
-1 - edit distance / longer length >= SIMILARITY. A pair that verified links already connect needs no check, so
-a group of n near copies costs about n checks. Of each connected group the first occurrence in order of (doc_id,
-text hash, line number) stays, all its other occurrences go.
+form clusters; pairs of a cluster within the radius are links if 1 - edit distance / longer length >= SIMILARITY. A
+pair that verified links already connect needs no check, so a large cluster is verified in three steps: each tile of
+lines by itself, then one line of every group so found across the tiles, then, by fingerprints alone, the lines that
+are near a line of a group still apart, which meet with their texts across all tiles. No link is lost, and a group
+of n near copies costs about n checks and texts sent. Of each connected group the first occurrence in order of
+(doc_id, text hash, line number) stays, all its other occurrences go.
 
 Defined results: shorter lines always stay; null text stays null; rows repeated with one doc_id and text are one
 document logged twice and get the same text; a document may end up empty; line ends stay \\n; an empty table gives
@@ -19,15 +21,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, materialise, per_slim_pair, slim_pairs, star_edges, tile_pairs
+from .common import Words, components, local_components, materialise, per_slim_pair, slim_pairs, star_edges, tile_pairs
 
 NAME = "op2_line_dedup"
 MIN_WORDS, RADIUS, SIMILARITY = 5, 5, 0.8
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # (lowest bit, bits), one more than RADIUS
-TILE, TEXT_TILE = 65_536, 512
+TILE, TEXT_TILE, NEAR_TILE = 65_536, 128, 512
 PAIRS = 1 << 21  # candidate pairs held at once
 
 SMALL = 1_000_000  # rows of keys or line numbers (16 to 64 MB) up to which they are broadcast instead of shuffling texts
@@ -86,11 +88,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(x: np.ndarray, y: np.ndarray, same: bool, free: list[tuple[int, int]]):
-    """Index pairs within RADIUS bits of each other; `free` are the bit ranges that may differ."""
+    """Index pairs within RADIUS bits of each other, in pieces (a pair may come again); `free` are the bit ranges that may differ."""
     width = sum(n for _, n in free)
     bits = np.concatenate([np.arange(a, a + n) for a, n in free]).astype(np.uint64)
     cuts = np.linspace(0, width, RADIUS + 2).astype(int)
-    out_a, out_b = [], []
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         def value(v):
             got = np.zeros(len(v), np.int64)
@@ -112,10 +113,8 @@ def candidate_pairs(x: np.ndarray, y: np.ndarray, same: bool, free: list[tuple[i
             keep = np.bitwise_count(x[a] ^ y[b]) <= RADIUS
             if same:
                 keep &= a < b
-            out_a.append(a[keep])
-            out_b.append(b[keep])
+            yield a[keep], b[keep]
             at = stop
-    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -151,11 +150,11 @@ def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return score <= limit
 
 
-def verified(texts, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def verified(texts, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among candidate pairs that connect their groups: a spanning forest of the verified graph.
 
-    In each round every group still apart checks one candidate; pairs that a link has connected are never checked."""
-    label, out_a, out_b = np.arange(len(texts)), [], []
+    label: equal for texts known to be connected, otherwise different. In each round every group still apart checks one candidate; pairs that a link has connected are never checked."""
+    label, out_a, out_b = label.copy(), [], []
     while True:
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
@@ -189,24 +188,88 @@ def near_clusters(fps: DataFrame) -> DataFrame:
 
     def near(i: int, left: dict, right: dict, same: bool):
         x, y = left["fp"].view(np.uint64), right["fp"].view(np.uint64)
-        a, b = candidate_pairs(x, y, same, [r for k, r in enumerate(BLOCKS) if k != block_of[i]])
         node = left["fp"] if same else np.concatenate((left["fp"], right["fp"]))
-        u, v = star_edges(node, a, b if same else b + len(x))
-        return (u, v) if len(u) else None
+        label = np.arange(len(node))
+        for a, b in candidate_pairs(x, y, same, [r for k, r in enumerate(BLOCKS) if k != block_of[i]]):
+            b = b if same else b + len(x)
+            new = label[a] != label[b]
+            if new.any():
+                held = np.flatnonzero(label != np.arange(len(label)))
+                label = local_components(len(label), np.concatenate((held, a[new])), np.concatenate((label[held], b[new])))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return (node[moved], node[label[moved]]) if len(moved) else None
 
     sent = sum(n * layout[b][1] for b, n in sizes.items())
     pairs = slim_pairs(tile_pairs(rows, "bucket", F.xxhash64("fp"), layout)).select("fp", "pair")
     return components(per_slim_pair(pairs, near, "a long, b long", sent))
 
 
+def tiled(lines: DataFrame, tiles: Column) -> DataFrame:
+    """lines with `tiles` for their cluster (root) and `tile`, the line's own."""
+    sizes = lines.groupBy("root").agg(tiles.alias("tiles"))
+    return lines.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+
+
+def across(lines: DataFrame) -> DataFrame:
+    """Every line of tiled lines with each pair of tiles (i, j) of its cluster that its own tile belongs to."""
+    d = lines.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return d.withColumn("i", F.least("tile", "p")).withColumn("j", F.greatest("tile", "p")).drop("p", "tiles")
+
+
+def verified_links(pairs: DataFrame, rows: int) -> DataFrame:
+    """(a, b): a star of verified links per connected group and tile pair, of lines (node, root, fp, norm, comp, tile, i, j).
+
+    Lines of one comp are known to be connected."""
+
+    def check(i: int, left: dict, right: dict, same: bool):
+        x, y = left["fp"].view(np.uint64), right["fp"].view(np.uint64)
+        a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= RADIUS)
+        if same:
+            a, b = a[a < b], b[a < b]
+        node, norm, comp = (left[c] if same else np.concatenate((left[c], right[c])) for c in ("node", "norm", "comp"))
+        _, first, at = np.unique(comp, return_index=True, return_inverse=True)
+        u, v = verified(norm, a, b if same else b + len(x), first[at])
+        u, v = star_edges(node, u, v)
+        return (u, v) if len(u) else None
+
+    return per_slim_pair(slim_pairs(pairs), check, "a long, b long", rows, group_rows=20_000, within="root")
+
+
+def apart(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, comp): the lines within RADIUS bits of a line in another group of their cluster, by fingerprints alone.
+
+    groups (node, root as comp) are the groups found so far. A cluster's largest group is met by its other groups only."""
+    comp = groups.select(F.col("node").alias("g"), F.col("root").alias("comp"))
+    d = lines.select("node", "root", "fp").join(comp, F.col("node") == F.col("g"), "left")
+    d = materialise(d.select("node", "root", "fp", F.coalesce("comp", "node").alias("comp")), "groups")
+    largest = d.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("groups"))
+    still = d.join(largest.where("groups > 1").drop("groups"), "root").withColumn("minor", (F.col("comp") != F.col("main")).cast("long")).drop("main")
+    n = F.count("*")
+    still = across(tiled(still, F.greatest(F.least(F.lit(32), F.ceil(n / NEAR_TILE)), F.ceil(n / TILE)).cast("long")))
+
+    def near(i: int, left: dict, right: dict, same: bool):
+        found = []
+        for p, q in ((left, right),) if same else ((left, right), (right, left)):
+            at = np.flatnonzero(p["minor"])
+            own, other = np.zeros(len(at), bool), np.zeros(len(q["fp"]), bool)
+            for a, b in candidate_pairs(p["fp"][at].view(np.uint64), q["fp"].view(np.uint64), False, [(0, 64)]):
+                cross = p["comp"][at[a]] != q["comp"][b]
+                own[a[cross]] = True
+                other[b[cross]] = True
+            found += [(p["node"][at[own]], p["comp"][at[own]]), (q["node"][other], q["comp"][other])]
+        node, comp = (np.concatenate(x) for x in zip(*found))
+        return (node, comp) if len(node) else None
+
+    return per_slim_pair(slim_pairs(still), near, "node long, comp long", d.count(), within="root").distinct()
+
+
 def fuzzy_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) for the distinct lines (node, fp, first) that are linked to another."""
     fps = materialise(distinct.groupBy("fp").agg(F.count("*").alias("n")), "fps")
     clusters = fps.join(near_clusters(fps.select("fp")), F.col("fp") == F.col("node"), "left")
     clusters = clusters.where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root"))
     lines = materialise(distinct.join(clusters, "fp").select("node", "root", "fp", "first.doc_id", "first.h", "first.line"), "wanted")
-    tiles = lines.groupBy("root").agg(F.ceil(F.count("*") / TEXT_TILE).alias("tiles"))
-    asked = lines.join(tiles, "root").groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "node", "root", "fp", "tiles")).alias("lines"))
+    asked = lines.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "node", "root", "fp")).alias("lines"))
     keys = lines.select("doc_id", "h").distinct()
 
     def texts(frames):
@@ -214,23 +277,25 @@ def fuzzy_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
             got = []
             for text, asked in zip(pdf["text"], pdf["lines"]):
                 lines = normal_lines(text)
-                got += [(r["node"], r["root"], r["fp"], r["tiles"], b" ".join(lines[r["line"]]).decode("utf-8", "replace")) for r in asked]
-            yield pd.DataFrame(got, columns=["node", "root", "fp", "tiles", "norm"])
-
-    found = only(keyed(docs), keys).join(asked, ["doc_id", "h"]).select("text", "lines").mapInPandas(texts, "node long, root long, fp long, tiles long, norm string")
-    d = found.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    d = d.withColumn("i", F.least("tile", "p")).withColumn("j", F.greatest("tile", "p")).drop("p", "tiles")
-
-    def check(i: int, left: dict, right: dict, same: bool):
-        x, y = left["fp"].view(np.uint64), right["fp"].view(np.uint64)
-        a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= RADIUS)
-        if same:
-            a, b = a[a < b], b[a < b]
-        node, norm = (left[c] if same else np.concatenate((left[c], right[c])) for c in ("node", "norm"))
-        u, v = verified(norm, a, b if same else b + len(x))
-        return (node[u], node[v]) if len(u) else None
-
-    return components(per_slim_pair(slim_pairs(d), check, "a long, b long", lines.count(), group_rows=20_000, within="root"))
+                got += [(r["node"], r["root"], r["fp"], b" ".join(lines[r["line"]]).decode("utf-8", "replace")) for r in asked]
+            yield pd.DataFrame(got, columns=["node", "root", "fp", "norm"])
+
+    # rows repeated under one key bring their lines twice; they are one node
+    found = only(keyed(docs), keys).join(asked, ["doc_id", "h"]).select("text", "lines").mapInPandas(texts, "node long, root long, fp long, norm string")
+    found = materialise(found, "line-texts")
+    whole = F.ceil(F.count("*") / TEXT_TILE).cast("long")
+    own = tiled(found, whole).withColumn("comp", F.col("node")).withColumn("i", F.col("tile")).withColumn("j", F.col("tile"))
+    links = materialise(verified_links(own.drop("tiles"), lines.count()), "links-own")
+    large = found.join(found.groupBy("root").agg(whole.alias("tiles")).where("tiles > 1").select("root"), "root", "left_semi")
+    first = materialise(large.join(links, large["node"] == links["a"], "left_anti"), "first-lines")
+    links = links.unionByName(materialise(verified_links(across(tiled(first.withColumn("comp", F.col("node")), whole)), first.count()), "links-first"))
+    groups = components(links)
+    rest = materialise(apart(large, groups), "apart")
+    n = rest.count()
+    if n:
+        more = across(tiled(found.join(rest, "node"), whole))
+        groups = components(links.unionByName(materialise(verified_links(more, n), "links-apart")))
+    return groups
 
 
 def only(docs: DataFrame, keys: DataFrame) -> DataFrame:

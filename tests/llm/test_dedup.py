@@ -115,3 +115,27 @@ def test_large_group_of_near_copies_is_tiled(spark, monkeypatch):
 def test_edit_similarity():
     assert line_dedup.edit_similar("abcdefghij", "abcdefghix", 0.9) and not line_dedup.edit_similar("abcdefghij", "abcdefghxy", 0.9)
     assert line_dedup.edit_similar("", "") and not line_dedup.edit_similar("", "abc")
+
+
+def test_clusters_of_several_groups_against_all_pairs(spark, monkeypatch):
+    """One SimHash cluster, many groups: orders of the same words, each with near copies, over tiles of a few lines."""
+    monkeypatch.setattr(line_dedup, "TEXT_TILE", 4)
+    monkeypatch.setattr(line_dedup, "NEAR_TILE", 8)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(60)]
+    texts = []
+    for order in (rng.permutation(60) for _ in range(5)):
+        for _ in range(9):
+            line = [words[k] for k in order]
+            for k in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+                line[k] = "".join(rng.choice(list("qrstuvwxyz"), 6))
+            texts.append(" ".join(line))
+    rng.shuffle(texts)
+    fp = line_dedup.simhashes([t.encode() for t in texts])
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= line_dedup.RADIUS]
+    links = [(i, j) for i, j in near if line_dedup.edit_similar(texts[i], texts[j])]
+    assert 0 < len(links) < len(near)
+    label = reach(range(len(texts)), links)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kept = {r["doc_id"] for r in got.where("n_dropped = 0").collect()}
+    assert kept == {k for k in range(len(texts)) if k == min(j for j in range(len(texts)) if label[j] == label[k])}
