@@ -22,6 +22,7 @@ NAME = "op1_quality_rules"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 GAMMA, SPREAD, MIN_DOCS, SALTS = 1.02, 3, 100, 16
+SMALL = 1_000_000  # rejected documents up to which their keys are broadcast
 #: measure -> margin in its own unit (per mille; hundredths of a character for word length)
 MARGINS = {"symbols": 30, "dup_lines": 400, "repeats": 150, "word_length": 300}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -128,6 +129,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns. Rows repeated under one doc_id share a verdict per text."""
     verdicts = quality_verdicts(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t"))))
     bad = verdicts.where("not kept").select(F.col("doc_id.doc_id").alias("b_id"), F.col("doc_id.t").alias("b_t")).distinct()
+    bad = materialise(bad, "rejected")
+    if bad.count() <= SMALL:
+        bad = F.broadcast(bad)  # 32 MB at most; beyond that the join shuffles the documents
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["b_id"]) & (F.xxhash64(docs["text"]) == bad["b_t"]), "left_anti")
 
 
