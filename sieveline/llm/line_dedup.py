@@ -281,7 +281,8 @@ def fuzzy_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(got, columns=["node", "root", "fp", "norm"])
 
     # rows repeated under one key bring their lines twice; they are one node
-    found = only(keyed(docs), keys).join(asked, ["doc_id", "h"]).select("text", "lines").mapInPandas(texts, "node long, root long, fp long, norm string")
+    joined = keyed(docs).join(F.broadcast(asked), ["doc_id", "h"]) if lines.count() <= SMALL else only(keyed(docs), keys).join(asked, ["doc_id", "h"])
+    found = joined.select("text", "lines").mapInPandas(texts, "node long, root long, fp long, norm string")
     found = materialise(found, "line-texts")
     whole = F.ceil(F.count("*") / TEXT_TILE).cast("long")
     own = tiled(found, whole).withColumn("comp", F.col("node")).withColumn("i", F.col("tile")).withColumn("j", F.col("tile"))
