@@ -1,7 +1,7 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
-A line (cut at \\n) of at least MIN_WORDS words is normalised: lower case, digits alike, ASCII punctuation as space,
-single spaces. Equal normalised lines are one node. Nodes whose 64-bit SimHash over words differ in at most
+A line (cut at \\n) with a word is normalised: lower case, digits alike, ASCII punctuation as space, single spaces.
+Equal normalised lines are one node, however short. Nodes of at least MIN_WORDS words whose 64-bit SimHash over words differ in at most
 RADIUS bits agree on one of RADIUS + 1 blocks of bits, so they meet in that block's bucket (large buckets are salted
 into tiles); inside, a second pigeonhole over the remaining bits finds the pairs without comparing all. Candidates
 form clusters; pairs of a cluster within the radius are links if 1 - edit distance / longer length >= SIMILARITY. A
@@ -11,7 +11,7 @@ are near a line of a group still apart, which meet with their texts across all t
 of n near copies costs about n checks and texts sent. Of each connected group the first occurrence in order of
 (doc_id, text hash, line number) stays, all its other occurrences go.
 
-Defined results: shorter lines always stay; null text stays null; rows repeated with one doc_id and text are one
+Defined results: lines without a word always stay; lines under MIN_WORDS words go only as exact copies; null text stays null; rows repeated with one doc_id and text are one
 document logged twice and get the same text; a document may end up empty; line ends stay \\n; an empty table gives
 an empty result; other columns are kept, whatever their names.
 """
@@ -55,31 +55,32 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, line, a, b, fp): each line long enough, its normal form's 128-bit hash and SimHash."""
+    """(doc_id, h, line, a, b, fp, fuzzy): each line with a word, its normal form's 128-bit hash and SimHash, and whether it has MIN_WORDS."""
 
     def run(frames):
         for pdf in frames:
-            held, ids, at, size = [], [], [], 0
+            held, ids, at, fuzzy, size = [], [], [], [], 0
 
             def close():
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in held]), dtype="<i8").reshape(-1, 2)
                 own = pdf.iloc[ids]
-                return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "h": own["h"].to_numpy(), "line": at, "a": digests[:, 0], "b": digests[:, 1], "fp": simhashes(held).view(np.int64)})
+                return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "h": own["h"].to_numpy(), "line": at, "a": digests[:, 0], "b": digests[:, 1], "fp": simhashes(held).view(np.int64), "fuzzy": fuzzy})
 
             for k, text in enumerate(pdf["text"]):
                 for number, parts in enumerate(normal_lines(text) if isinstance(text, str) else ()):
-                    if len(parts) >= MIN_WORDS:
+                    if parts:
                         held.append(b" ".join(parts))
                         ids.append(k)
                         at.append(number)
+                        fuzzy.append(len(parts) >= MIN_WORDS)
                         size += len(held[-1])
                 if size > 1 << 21:
                     yield close()
-                    held, ids, at, size = [], [], [], 0
+                    held, ids, at, fuzzy, size = [], [], [], [], 0
             if held:
                 yield close()
 
-    return keyed(docs).select("doc_id", "h", "text").mapInPandas(run, "doc_id long, h long, line int, a long, b long, fp long")
+    return keyed(docs).select("doc_id", "h", "text").mapInPandas(run, "doc_id long, h long, line int, a long, b long, fp long, fuzzy boolean")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -307,12 +308,12 @@ def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, lines): numbers of the lines to drop, for every document that loses one."""
     lines = materialise(line_table(docs), "lines")
-    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("times"))
+    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("fp").alias("fp"), F.first("fuzzy").alias("fuzzy"), F.count("*").alias("times"))
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")  # written once, so ids stay
-    members = distinct.join(fuzzy_groups(distinct, docs), "node", "left")
+    members = distinct.join(fuzzy_groups(distinct.where("fuzzy"), docs), "node", "left")
     stays = members.where("root is not null").groupBy("root").agg(F.min("first").alias("stay"))
     table = members.where("root is not null or times > 1").join(stays, "root", "left").select("a", "b", F.coalesce("stay", "first").alias("stay"))
-    gone = lines.drop("fp").join(table, ["a", "b"]).where("struct(doc_id, h, line) <> stay").select("doc_id", "h", "line").distinct()
+    gone = lines.drop("fp", "fuzzy").join(table, ["a", "b"]).where("struct(doc_id, h, line) <> stay").select("doc_id", "h", "line").distinct()
     return materialise(gone.groupBy("doc_id", "h").agg(F.collect_list("line").alias("lines")), "dropped")
 
 

@@ -139,3 +139,9 @@ def test_clusters_of_several_groups_against_all_pairs(spark, monkeypatch):
     got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     kept = {r["doc_id"] for r in got.where("n_dropped = 0").collect()}
     assert kept == {k for k in range(len(texts)) if k == min(j for j in range(len(texts)) if label[j] == label[k])}
+
+
+def test_short_lines_go_as_exact_copies_only(spark):
+    rows = [(1, "Home\nAbout us\n\n--\nhome page"), (2, "home!\nabout  us\n\n--\nhomes"), (3, "HOME\nread more about us"), (4, "Read more, about us\nread more about it")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\n--\nhomes", 3: "read more about us", 4: "read more about it"}
