@@ -8,7 +8,9 @@ form clusters; pairs of a cluster within the radius are links if 1 - edit distan
 pair that verified links already connect needs no check, so a large cluster is verified in three steps: each tile of
 lines by itself, then one line of every group so found across the tiles, then, by fingerprints alone, the lines that
 are near a line of a group still apart, which meet with their texts across all tiles. No link is lost, and a group
-of n near copies costs about n checks and texts sent. Of each connected group the first occurrence in order of
+of n near copies costs about n checks and texts sent. As one changed word moves a short line's SimHash by more than
+RADIUS bits, lines also meet where BAND minima of their word hashes agree in one of BANDS bands; there the edit
+similarity alone decides, after bounds that never refuse a similar pair (lengths, trigram counts). Of each connected group the first occurrence in order of
 (doc_id, text hash, line number) stays, all its other occurrences go.
 
 Defined results: lines without a word always stay; lines under MIN_WORDS words go only as exact copies; null text stays null; rows repeated with one doc_id and text are one
@@ -24,12 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, local_components, materialise, per_slim_pair, slim_pairs, star_edges, tile_pairs
+from .common import Words, components, local_components, materialise, mix64, per_slim_pair, slim_pairs, star_edges, tile_pairs
 
 NAME = "op2_line_dedup"
 MIN_WORDS, RADIUS, SIMILARITY = 5, 5, 0.8
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # (lowest bit, bits), one more than RADIUS
 TILE, TEXT_TILE, NEAR_TILE = 65_536, 128, 512
+BANDS, BAND, BAND_TILE = 16, 4, 512
+GRAMS = 2048  # buckets of a line's trigram counts
 PAIRS = 1 << 21  # candidate pairs held at once
 
 SMALL = 1_000_000  # rows of keys or line numbers (16 to 64 MB) up to which they are broadcast instead of shuffling texts
@@ -54,8 +58,22 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     return np.packbits(2 * sums > w.counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+_TURNS = np.random.RandomState(7).randint(0, 2**62, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(lines: list[bytes]) -> np.ndarray:
+    """BANDS 32-bit keys of each line: each mixes the minima of BAND permutations of its word hashes."""
+    w = Words(lines)
+    h = w.hashes()
+    keys = np.zeros((len(lines), BANDS), np.uint64)
+    for k in range(BANDS):
+        for turn in _TURNS[k]:
+            keys[:, k] = mix64(keys[:, k] + np.minimum.reduceat(h * turn, w.first))
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, line, a, b, fp, fuzzy): each line with a word, its normal form's 128-bit hash and SimHash, and whether it has MIN_WORDS."""
+    """(doc_id, h, line, a, b, fp, bands): each line with a word, its normal form's 128-bit hash and SimHash; bands from MIN_WORDS words on."""
 
     def run(frames):
         for pdf in frames:
@@ -64,7 +82,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             def close():
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in held]), dtype="<i8").reshape(-1, 2)
                 own = pdf.iloc[ids]
-                return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "h": own["h"].to_numpy(), "line": at, "a": digests[:, 0], "b": digests[:, 1], "fp": simhashes(held).view(np.int64), "fuzzy": fuzzy})
+                return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "h": own["h"].to_numpy(), "line": at, "a": digests[:, 0], "b": digests[:, 1], "fp": simhashes(held).view(np.int64), "bands": [k if f else None for k, f in zip(bands(held), fuzzy)]})
 
             for k, text in enumerate(pdf["text"]):
                 for number, parts in enumerate(normal_lines(text) if isinstance(text, str) else ()):
@@ -80,7 +98,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             if held:
                 yield close()
 
-    return keyed(docs).select("doc_id", "h", "text").mapInPandas(run, "doc_id long, h long, line int, a long, b long, fp long, fuzzy boolean")
+    return keyed(docs).select("doc_id", "h", "text").mapInPandas(run, "doc_id long, h long, line int, a long, b long, fp long, bands array<int>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -264,12 +282,92 @@ def apart(lines: DataFrame, groups: DataFrame) -> DataFrame:
     return per_slim_pair(slim_pairs(still), near, "node long, comp long", d.count(), within="root").distinct()
 
 
+def gram_counts(texts) -> np.ndarray:
+    """Counts of each text's trigrams in GRAMS buckets, 255 at most: one edit moves six of them by one at most."""
+    out = np.zeros((len(texts), GRAMS), np.uint8)
+    for k, text in enumerate(texts):
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        g = mix64(c[:-2] << np.uint64(42) ^ c[1:-1] << np.uint64(21) ^ c[2:]) % np.uint64(GRAMS)
+        out[k] = np.minimum(np.bincount(g.astype(np.int64), minlength=GRAMS), 255)
+    return out
+
+
+def similar_links(roots: np.ndarray, pair: np.ndarray, nodes: np.ndarray, norm, comp: np.ndarray):
+    """Links (a, b) of similar lines that share a root (band bucket) and tile pair and whose comps differ."""
+    node, first, at = np.unique(nodes, return_index=True, return_inverse=True)
+    texts, label = norm[first], comp[first]
+    size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    limit = ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
+    grams = gram_counts(texts)
+    order = np.lexsort((pair, roots))
+    roots, pair, at = roots[order], pair[order], at[order]
+    cuts = np.flatnonzero((np.diff(pair >> 1) != 0) | (np.diff(roots) != 0)) + 1
+    held, kept, n, shapes = [], [], 0, {}
+
+    def bounded():
+        a, b = (np.concatenate(x) for x in zip(*held))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        most = np.maximum(limit[a], limit[b])
+        fit = (label[a] != label[b]) & (np.abs(size[a] - size[b]) <= most)
+        both = np.unique(a[fit] * len(node) + b[fit])
+        a, b = both // len(node), both % len(node)
+        most = np.maximum(limit[a], limit[b])
+        for k in range(0, len(a), 4096):
+            x, y = grams[a[k : k + 4096]], grams[b[k : k + 4096]]
+            near = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= 6 * most[k : k + 4096]
+            kept.append(both[k : k + 4096][near])
+
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pair)]):
+        middle = lo + int(np.searchsorted(pair[lo:hi] & 1, 1)) if pair[hi - 1] & 1 else hi
+        if middle == hi and pair[lo] >> 33 == pair[lo] >> 1 & 0xFFFFFFFF:
+            if hi - lo not in shapes:
+                shapes[hi - lo] = np.triu_indices(hi - lo, 1)
+            u, v = shapes[hi - lo]
+            held.append((at[lo + u], at[lo + v]))
+        else:
+            held.append((np.repeat(at[lo:middle], hi - middle), np.tile(at[middle:hi], middle - lo)))
+        n += len(held[-1][0])
+        if n > PAIRS:
+            bounded()
+            held, n = [], 0
+    if held:
+        bounded()
+    both = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+    u, v = verified(texts, both // len(node), both % len(node), np.unique(label, return_index=True, return_inverse=True)[2])
+    return star_edges(node, u, v)
+
+
+def band_links(distinct: DataFrame, docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): links between lines that share a band's bucket and are not in one of the groups (node, root) yet."""
+    rows = distinct.select("node", F.posexplode("bands").alias("k", "key"))
+    rows = rows.select("node", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("key").cast("long")).alias("bucket")).repartition("bucket")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    rows = materialise(rows.join(shared, "bucket"), "band-rows")
+    comp = groups.select(F.col("node").alias("g"), F.col("root").alias("comp"))
+    rows = rows.join(comp, F.col("node") == F.col("g"), "left").select("node", F.col("bucket").alias("root"), F.coalesce("comp", "node").alias("comp"))
+    mixed = rows.groupBy("root").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("root")
+    rows = materialise(rows.join(mixed, "root", "left_semi"), "band-mixed")
+    lines = rows.select("node").distinct().join(distinct, "node").select("node", F.lit(0).cast("long").alias("root"), "fp", "first.doc_id", "first.h", "first.line")
+    texts = materialise(line_texts(materialise(lines, "band-wanted"), docs).select("node", "norm").dropDuplicates(["node"]), "band-texts")
+    sent = materialise(slim_pairs(across(tiled(rows, F.ceil(F.count("*") / BAND_TILE).cast("long")))), "band-pairs")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent.count() // 20_000))
+
+    def run(pdf):
+        a, b = similar_links(*(pdf[c].to_numpy() for c in ("root", "pair", "node", "norm", "comp")))
+        return pd.DataFrame({"a": a, "b": b})
+
+    sent = sent.join(texts, "node").withColumn("__g", F.pmod(F.xxhash64("root", F.shiftright("pair", 1)), F.lit(n)))
+    return materialise(sent.groupBy("__g").applyInPandas(run, "a long, b long"), "band-links")
+
+
 def fuzzy_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) for the distinct lines (node, fp, first) that are linked to another."""
-    fps = materialise(distinct.groupBy("fp").agg(F.count("*").alias("n")), "fps")
-    clusters = fps.join(near_clusters(fps.select("fp")), F.col("fp") == F.col("node"), "left")
-    clusters = clusters.where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root"))
-    lines = materialise(distinct.join(clusters, "fp").select("node", "root", "fp", "first.doc_id", "first.h", "first.line"), "wanted")
+    """(node, root) for the distinct lines (node, fp, bands, first) that are linked to another."""
+    groups = materialise(simhash_groups(distinct, docs), "simhash-groups")
+    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(band_links(distinct, docs, groups)))
+
+
+def line_texts(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root, fp, norm): the normal forms of lines (node, root, fp, doc_id, h, line)."""
     asked = lines.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "node", "root", "fp")).alias("lines"))
     keys = lines.select("doc_id", "h").distinct()
 
@@ -283,8 +381,16 @@ def fuzzy_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
     # rows repeated under one key bring their lines twice; they are one node
     joined = keyed(docs).join(F.broadcast(asked), ["doc_id", "h"]) if lines.count() <= SMALL else only(keyed(docs), keys).join(asked, ["doc_id", "h"])
-    found = joined.select("text", "lines").mapInPandas(texts, "node long, root long, fp long, norm string")
-    found = materialise(found, "line-texts")
+    return joined.select("text", "lines").mapInPandas(texts, "node long, root long, fp long, norm string")
+
+
+def simhash_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) for the distinct lines (node, fp, first) that links within RADIUS bits connect."""
+    fps = materialise(distinct.groupBy("fp").agg(F.count("*").alias("n")), "fps")
+    clusters = fps.join(near_clusters(fps.select("fp")), F.col("fp") == F.col("node"), "left")
+    clusters = clusters.where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root"))
+    lines = materialise(distinct.join(clusters, "fp").select("node", "root", "fp", "first.doc_id", "first.h", "first.line"), "wanted")
+    found = materialise(line_texts(lines, docs), "line-texts")
     whole = F.ceil(F.count("*") / TEXT_TILE).cast("long")
     own = tiled(found, whole).withColumn("comp", F.col("node")).withColumn("i", F.col("tile")).withColumn("j", F.col("tile"))
     links = materialise(verified_links(own.drop("tiles"), lines.count()), "links-own")
@@ -308,12 +414,12 @@ def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, lines): numbers of the lines to drop, for every document that loses one."""
     lines = materialise(line_table(docs), "lines")
-    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("fp").alias("fp"), F.first("fuzzy").alias("fuzzy"), F.count("*").alias("times"))
+    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("times"))
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")  # written once, so ids stay
-    members = distinct.join(fuzzy_groups(distinct.where("fuzzy"), docs), "node", "left")
+    members = distinct.join(fuzzy_groups(distinct.where("bands is not null"), docs), "node", "left")
     stays = members.where("root is not null").groupBy("root").agg(F.min("first").alias("stay"))
     table = members.where("root is not null or times > 1").join(stays, "root", "left").select("a", "b", F.coalesce("stay", "first").alias("stay"))
-    gone = lines.drop("fp", "fuzzy").join(table, ["a", "b"]).where("struct(doc_id, h, line) <> stay").select("doc_id", "h", "line").distinct()
+    gone = lines.drop("fp", "bands").join(table, ["a", "b"]).where("struct(doc_id, h, line) <> stay").select("doc_id", "h", "line").distinct()
     return materialise(gone.groupBy("doc_id", "h").agg(F.collect_list("line").alias("lines")), "dropped")
 
 

@@ -145,3 +145,32 @@ def test_short_lines_go_as_exact_copies_only(spark):
     rows = [(1, "Home\nAbout us\n\n--\nhome page"), (2, "home!\nabout  us\n\n--\nhomes"), (3, "HOME\nread more about us"), (4, "Read more, about us\nread more about it")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "\n--\nhomes", 3: "read more about us", 4: "read more about it"}
+
+
+def test_recall_against_edit_similarity_alone(spark):
+    """Lines of 5 to 60 words with a letter changed in one word or a word replaced: the brute force knows no fingerprints."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(4, 9))))
+    texts = []
+    for k in range(120):
+        line = [word() for _ in range([5, 8, 12, 20, 40, 60][k % 6])]
+        at = int(rng.integers(len(line)))
+        texts += [" ".join(line), " ".join([*line[:at], "z" + line[at][1:] if k % 4 else word(), *line[at + 1 :]])]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if line_dedup.edit_similar(texts[i], texts[j])]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kept = {r["doc_id"] for r in out.where("n_dropped = 0").collect()}
+    label = reach(range(len(texts)), pairs)
+    want = {k for k in range(len(texts)) if label[k] == k}
+    assert len(pairs) > 100 and want <= kept and len(kept - want) <= 0.05 * len(pairs)
+
+
+def test_trigram_bound_never_refuses_a_similar_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = list(rng.choice(list("abcde fgh"), int(rng.integers(3, 200))))
+        b, edits = list(a), int(rng.integers(1, 9))
+        for _ in range(edits):
+            k = int(rng.integers(len(b) + 1))
+            b[k : k + int(rng.integers(2))] = rng.choice(list("xyz"), int(rng.integers(2)))
+        x, y = line_dedup.gram_counts(["".join(a), "".join(b)]).astype(int)
+        assert np.abs(x - y).sum() <= 6 * edits
