@@ -126,13 +126,14 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns. Rows repeated under one doc_id share a verdict per text."""
-    verdicts = quality_verdicts(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t"))))
-    bad = verdicts.where("not kept").select(F.col("doc_id.doc_id").alias("b_id"), F.col("doc_id.t").alias("b_t")).distinct()
+    """The documents that pass, with all their columns. Rows repeated under one doc_id have a verdict per text, lang and source."""
+    verdicts = quality_verdicts(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t"), "lang", "source")))
+    bad = verdicts.where("not kept").select(*[F.col(f"doc_id.{c}").alias(b) for c, b in (("doc_id", "b_id"), ("t", "b_t"), ("lang", "b_lang"), ("source", "b_source"))]).distinct()
     bad = materialise(bad, "rejected")
     if bad.count() <= SMALL:
-        bad = F.broadcast(bad)  # 32 MB at most; beyond that the join shuffles the documents
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["b_id"]) & (F.xxhash64(docs["text"]) == bad["b_t"]), "left_anti")
+        bad = F.broadcast(bad)  # about 100 MB at most; beyond that the join shuffles the documents
+    same = [docs[c].eqNullSafe(bad[f"b_{c}"]) for c in ("lang", "source")]
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["b_id"]) & (F.xxhash64(docs["text"]) == bad["b_t"]) & same[0] & same[1], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,15 @@ def test_rolling_hash_over_chunks(spark):
     rows = [(c, t, "user", f"turn {t}") for c, n in ((1, 700), (2, 600), (3, 601)) for t in range(n)] + [(3, 900, "user", "other")]
     got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("conv_id", "n_turns").collect()
     assert {tuple(r) for r in got} == {(1, 700), (3, 602)}
+
+
+def test_rejected_row_leaves_its_twin_of_another_source(spark):
+    """One id and text under two sources: a fence of source a rejects it, b's own does not."""
+    line = lambda k, n: " ".join(f"word{k}x{j}" + "#" * (j < n) for j in range(30))
+    rows = [(k, line(k, 0), "en", "a") for k in range(150)] + [(1000 + k, line(k, 12), "en", None) for k in range(150)]
+    rows += [(5000, line(999, 12), "en", "a"), (5000, line(999, 12), "en", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.quality_verdicts(d).where("doc_id = 5000").collect()
+    kept = quality_rules.keep_good(d)
+    assert sorted(r["kept"] for r in got) == [False, True]
+    assert [r["source"] for r in kept.where("doc_id = 5000").collect()] == [None] and kept.count() == quality_rules.quality_verdicts(d).where("kept").count()
