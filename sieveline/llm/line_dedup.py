@@ -1,44 +1,52 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
-A line (cut at \\n) with a word is normalised: lower case, digits alike, ASCII punctuation as space, single spaces.
-Equal normalised lines are one node, however short. Nodes of at least MIN_WORDS words whose 64-bit SimHash over words differ in at most
-RADIUS bits agree on one of RADIUS + 1 blocks of bits, so they meet in that block's bucket (large buckets are salted
-into tiles); inside, a second pigeonhole over the remaining bits finds the pairs without comparing all. Candidates
-form clusters; pairs of a cluster within the radius are links if 1 - edit distance / longer length >= SIMILARITY. A
-pair that verified links already connect needs no check, so a large cluster is verified in three steps: each tile of
-lines by itself, then one line of every group so found across the tiles, then, by fingerprints alone, the lines that
-are near a line of a group still apart, which meet with their texts across all tiles. No link is lost, and a group
-of n near copies costs about n checks and texts sent. As one changed word moves a short line's SimHash by more than
-RADIUS bits, lines also meet where BAND minima of their word hashes agree in one of BANDS bands; there the edit
-similarity alone decides, after bounds that never refuse a similar pair (lengths, trigram counts). Of each connected group the first occurrence in order of
-(doc_id, text hash, line number) stays, all its other occurrences go.
-
-Defined results: lines without a word always stay; lines under MIN_WORDS words go only as exact copies; null text stays null; rows repeated with one doc_id and text are one
-document logged twice and get the same text; a document may end up empty; line ends stay \\n; an empty table gives
-an empty result; other columns are kept, whatever their names.
+A line (cut at \\n) with a word is normalised: lower case, ASCII punctuation as space, single spaces. Equal normalised
+lines are one node, however short. Nodes of at least MIN_WORDS words get a fingerprint in blocks: the words are dealt
+into classes by their hash (or, in short lines, by place) and each block is the 64-bit SimHash of one class's distinct words, so
+that a changed word touches one or two blocks only and k blocks have an untouched one after (k - 1) / 2 replaced words
+(blocks of one SimHash over all words have no such bound: one word of ten moves 9 of its 64 bits). Lines of up to ten
+words have a block for each one and two words left out instead, lines of over 158 words have blocks of some of their words only. A class with fewer than TELLING words of LONG letters takes the next
+class in, as blocks of "of the" tell nothing. Lines that share a block are compared, and those with
+1 - edit distance / longer length >= SIMILARITY are linked; bounds that never refuse a similar pair come first (lengths,
+trigram counts), and pairs that links already connect need no check. A block shared by more than TILE lines is compared
+in three steps: each tile of lines by itself, then one line of each group so found, then the lines outside the block's
+largest group with all others; no link is lost and a group of n near copies costs about n checks. Of each
+connected group the first occurrence in order of (doc_id, text hash, line number) stays, all its other occurrences go.
+
+Defined results: lines without a word always stay; lines under MIN_WORDS words go only as exact copies; null text stays
+null; rows repeated with one doc_id and text are one document logged twice and get the same text; a document may end up
+empty; line ends stay \\n; an empty table gives an empty result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, local_components, materialise, mix64, per_slim_pair, slim_pairs, star_edges, tile_pairs
+from .common import Words, components, materialise, mix64, star_edges
 
 NAME = "op2_line_dedup"
-MIN_WORDS, RADIUS, SIMILARITY = 5, 5, 0.8
-BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # (lowest bit, bits), one more than RADIUS
-TILE, TEXT_TILE, NEAR_TILE = 65_536, 128, 512
-BANDS, BAND, BAND_TILE = 16, 4, 512
-GRAMS = 2048  # buckets of a line's trigram counts
+MIN_WORDS, SIMILARITY = 5, 0.8
+#: blocks by number of words (from, to): "leave" one or two words out, classes by "place" or by "class" of the word's hash.
+#: Ranges overlap by a fifth, so that lines of similar lengths have one in common.
+SCHEMES = [("leave", 5, 10, 1), ("place", 9, 23, 3), ("class", 9, 23, 4), ("class", 19, 47, 6), ("class", 39, 95, 8)]
+SCHEMES += [("class", 79 << k, (192 << k) - 1, 12 << k) for k in range(20)]
+USED = 12  # classes that give a block: from 159 words on the first ones, of about ten words each
+ENDS = 4  # words in the first and the last block by place
+LONG, TELLING = 4, 2
+TILE, GROUP_ROWS = 1024, 20_000
+GRAMS = 1024  # buckets of a line's trigram counts
 PAIRS = 1 << 21  # candidate pairs held at once
-
 SMALL = 1_000_000  # rows of keys or line numbers (16 to 64 MB) up to which they are broadcast instead of shuffling texts
 
-_TABLE = bytes(48 if 48 <= b <= 57 else b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
+_TABLE = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def normal_lines(text: str) -> list[list[bytes]]:
@@ -46,59 +54,113 @@ def normal_lines(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split(b"\n")]
 
 
-def normalised(line: str) -> bytes:
-    return b" ".join(normal_lines(line)[0])
-
+# --- fingerprints ------------------------------------------------------------
 
-def simhashes(lines: list[bytes]) -> np.ndarray:
-    """64-bit SimHash over the words of each line; every line has a word."""
-    w = Words(lines)
-    bits = np.unpackbits(w.hashes().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, w.first, axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > w.counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
+def cell_sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per cell (a run of hashes from each of `first` on) how many of its hashes have each of the 64 bits.
 
-_TURNS = np.random.RandomState(7).randint(0, 2**62, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    Bits are summed as bytes, eight to a number, over runs of at most 255 hashes, and those sums are added up."""
+    ends = np.append(first[1:], len(hashes))
+    runs = -(-(ends - first) // 255)
+    at = np.cumsum(runs) - runs
+    cuts = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(at, runs))
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    part = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8)
+    return part.astype(np.int32) if len(cuts) == len(first) else np.add.reduceat(part, at, axis=0, dtype=np.int32)
 
 
-def bands(lines: list[bytes]) -> np.ndarray:
-    """BANDS 32-bit keys of each line: each mixes the minima of BAND permutations of its word hashes."""
+def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, key) of all blocks of lines of at least one word, by line; a key is the hash of a block's SimHash, kind and word count."""
     w = Words(lines)
-    h = w.hashes()
-    keys = np.zeros((len(lines), BANDS), np.uint64)
-    for k in range(BANDS):
-        for turn in _TURNS[k]:
-            keys[:, k] = mix64(keys[:, k] + np.minimum.reduceat(h * turn, w.first))
-    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    line = np.repeat(np.arange(len(lines)), w.counts)
+    # a word in 40 bits: whether it tells, and its hash
+    words = (w.hashes() >> np.uint64(25)).astype(np.int64) + ((w.end - w.start >= LONG).astype(np.int64) << 39)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+
+    def add(line, sums, counts, kind):
+        prints = np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        found.append((line, mix64(prints + mix64((np.asarray(kind, np.uint64) << np.uint64(40)) + counts.astype(np.uint64)))))
+
+    for number, (scheme, low, high, parts) in enumerate(SCHEMES):
+        use = (w.counts >= low) & (w.counts <= high)
+        mine = use[line]
+        if not mine.any():
+            continue
+        own, ids, n = words[mine], np.flatnonzero(use), w.counts[use]
+        row = np.repeat(np.arange(len(ids)), n)
+        if scheme == "place":
+            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            part = (place >= ENDS).astype(np.int64) + (place >= n[row] - ENDS)
+        else:
+            part = (own >> 8) % parts
+            if parts > USED:
+                own, row, part = own[part < USED], row[part < USED], part[part < USED]
+                parts = USED
+        # distinct words of each class: a repeated one would outvote the others
+        own = np.sort(((row * parts + part) << 40) + own)
+        own = own[np.diff(own, prepend=-1) != 0]
+        cell, own = own >> 40, own & ((1 << 40) - 1)
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        hashes = mix64(own.astype(np.uint64))
+        sums = np.zeros((len(ids) * parts, 64), np.int32)
+        sums[cell[starts]] = cell_sums(hashes, starts)
+        counts = np.bincount(cell, minlength=len(sums))
+        if scheme == "leave":
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            add(ids, sums, counts, number)
+            add(ids[cell], sums[cell] - bits, counts[cell] - 1, number)
+            for size in np.unique(counts[counts > 3]).tolist():
+                u, v = np.triu_indices(size, 1)
+                at = starts[counts == size]
+                u, v = (at[:, None] + u).ravel(), (at[:, None] + v).ravel()
+                add(ids[cell[u]], sums[cell[u]] - bits[u] - bits[v], counts[cell[u]] - 2, number)
+            continue
+        tell = np.bincount(cell, own >> 39, len(sums)).reshape(-1, parts)
+        sums, counts, thin = sums.reshape(-1, parts, 64), counts.reshape(-1, parts), tell < TELLING
+        sums = np.where(thin[:, :, None], sums + np.roll(sums, -1, 1), sums)
+        counts = np.where(thin, counts + np.roll(counts, -1, 1), counts)
+        tell = np.where(thin, tell + np.roll(tell, -1, 1), tell)
+        r, p = np.nonzero(tell >= TELLING)
+        add(ids[r], sums[r, p], counts[r, p], (number << 8) + p)
+    line, key = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(line, kind="stable")
+    return line[order], key[order].view(np.int64)
+
+
+LINES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("line", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, line, a, b, fp, bands): each line with a word, its normal form's 128-bit hash and SimHash; bands from MIN_WORDS words on."""
+    """(doc_id, h, line, a, b, keys): each line with a word, its normal form's 128-bit hash, and its blocks from MIN_WORDS words on."""
 
-    def run(frames):
-        for pdf in frames:
-            held, ids, at, fuzzy, size = [], [], [], [], 0
+    def run(batches):
+        for batch in batches:
+            ids, hashes = batch.column("doc_id"), batch.column("h")
+            held, own, at, size = [], [], [], 0
 
             def close():
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in held]), dtype="<i8").reshape(-1, 2)
-                own = pdf.iloc[ids]
-                return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "h": own["h"].to_numpy(), "line": at, "a": digests[:, 0], "b": digests[:, 1], "fp": simhashes(held).view(np.int64), "bands": [k if f else None for k, f in zip(bands(held), fuzzy)]})
-
-            for k, text in enumerate(pdf["text"]):
-                for number, parts in enumerate(normal_lines(text) if isinstance(text, str) else ()):
+                line, key = block_keys(held)
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(held))))).astype(np.int32)
+                take = pa.array(own, pa.int64())
+                columns = [ids.take(take), hashes.take(take), pa.array(at, pa.int32()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key))]
+                return pa.RecordBatch.from_arrays(columns, schema=LINES)
+
+            for k, text in enumerate(batch.column("text")):
+                for number, parts in enumerate(normal_lines(text.as_py()) if text.is_valid else ()):
                     if parts:
                         held.append(b" ".join(parts))
-                        ids.append(k)
+                        own.append(k)
                         at.append(number)
-                        fuzzy.append(len(parts) >= MIN_WORDS)
                         size += len(held[-1])
-                if size > 1 << 21:
-                    yield close()
-                    held, ids, at, fuzzy, size = [], [], [], [], 0
+                        if size > 1 << 21:
+                            yield close()
+                            held, own, at, size = [], [], [], 0
             if held:
                 yield close()
 
-    return keyed(docs).select("doc_id", "h", "text").mapInPandas(run, "doc_id long, h long, line int, a long, b long, fp long, bands array<int>")
+    return keyed(docs).select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, line int, a long, b long, keys array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -106,43 +168,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
 
-def candidate_pairs(x: np.ndarray, y: np.ndarray, same: bool, free: list[tuple[int, int]]):
-    """Index pairs within RADIUS bits of each other, in pieces (a pair may come again); `free` are the bit ranges that may differ."""
-    width = sum(n for _, n in free)
-    bits = np.concatenate([np.arange(a, a + n) for a, n in free]).astype(np.uint64)
-    cuts = np.linspace(0, width, RADIUS + 2).astype(int)
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        def value(v):
-            got = np.zeros(len(v), np.int64)
-            for k, b in enumerate(bits[lo:hi]):
-                got |= ((v >> b) & np.uint64(1)).astype(np.int64) << k
-            return got
-
-        vx, vy = value(x), value(y)
-        order = np.argsort(vy, kind="stable")
-        first = np.searchsorted(vy[order], vx, side="left")
-        count = np.searchsorted(vy[order], vx, side="right") - first
-        ends = np.cumsum(count)
-        at = 0
-        while at < len(x):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
-            n = count[at:stop]
-            a = np.repeat(np.arange(at, stop), n)
-            b = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:stop], n)]
-            keep = np.bitwise_count(x[a] ^ y[b]) <= RADIUS
-            if same:
-                keep &= a < b
-            yield a[keep], b[keep]
-            at = stop
+# --- edit similarity ---------------------------------------------------------
 
 
-def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - edit distance / longer length >= least (bit-parallel, after Myers 1999)."""
-    if a == b:
-        return True
-    limit = int((1 - least) * max(len(a), len(b)) + 1e-9)
-    if abs(len(a) - len(b)) > limit:
-        return False
+def distance(a: str, b: str, most: int) -> int:
+    """Edit distance (bit-parallel, after Myers 1999); some number above `most` where it is above."""
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
@@ -151,135 +181,58 @@ def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     while n < min(len(a), len(b)) and a[-1 - n] == b[-1 - n]:
         n += 1
     a, b = a[: len(a) - n], b[: len(b) - n]
-    if not a or not b:
-        return max(len(a), len(b)) <= limit
+    if not a or not b or abs(len(a) - len(b)) > most:
+        return max(len(a), len(b))
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | (1 << k)
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
+    up, down, score, left_over = full, 0, len(a), len(b)
     for c in b:
         eq = where.get(c, 0)
         across = eq | down
         diag = (((eq & up) + up) ^ up) | eq
         right, left = down | ~(diag | up) & full, up & diag
         score += 1 if right & top else -1 if left & top else 0
+        left_over -= 1
+        if score - left_over > most:  # each later step takes off one at most
+            return score
         right = (right << 1 | 1) & full
         up, down = (left << 1 & full) | ~(across | right) & full, right & across
-    return score <= limit
-
-
-def verified(texts, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among candidate pairs that connect their groups: a spanning forest of the verified graph.
-
-    label: equal for texts known to be connected, otherwise different. In each round every group still apart checks one candidate; pairs that a link has connected are never checked."""
-    label, out_a, out_b = label.copy(), [], []
-    while True:
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        if not len(a):
-            break
-        _, pick = np.unique(np.minimum(label[a], label[b]), return_index=True)
-        for k in pick.tolist():
-            i, j = int(a[k]), int(b[k])
-            if label[i] != label[j] and edit_similar(texts[i], texts[j]):
-                low, high = min(label[i], label[j]), max(label[i], label[j])
-                label[label == high] = low
-                out_a.append(i)
-                out_b.append(j)
-        rest = np.ones(len(a), bool)
-        rest[pick] = False
-        a, b = a[rest], b[rest]
-    return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
-
-
-def near_clusters(fps: DataFrame) -> DataFrame:
-    """(node, root): fingerprints (column fp, distinct) that chains of pairs within RADIUS bits connect."""
-    values = [(F.lit(k << 11) + F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << n) - 1))).cast("long") for k, (low, n) in enumerate(BLOCKS)]
-    rows = fps.select("fp", F.explode(F.array(*values)).alias("bucket"))
-    sizes = dict(rows.groupBy("bucket").count().collect())  # 12,288 buckets at most
-    layout, block_of, first = {}, [], 0
-    for bucket, n in sizes.items():
-        tiles = -(-n // TILE)
-        layout[bucket] = (first, tiles, first, first + tiles - 1)
-        block_of += [bucket >> 11] * tiles
-        first += tiles
-
-    def near(i: int, left: dict, right: dict, same: bool):
-        x, y = left["fp"].view(np.uint64), right["fp"].view(np.uint64)
-        node = left["fp"] if same else np.concatenate((left["fp"], right["fp"]))
-        label = np.arange(len(node))
-        for a, b in candidate_pairs(x, y, same, [r for k, r in enumerate(BLOCKS) if k != block_of[i]]):
-            b = b if same else b + len(x)
-            new = label[a] != label[b]
-            if new.any():
-                held = np.flatnonzero(label != np.arange(len(label)))
-                label = local_components(len(label), np.concatenate((held, a[new])), np.concatenate((label[held], b[new])))
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return (node[moved], node[label[moved]]) if len(moved) else None
-
-    sent = sum(n * layout[b][1] for b, n in sizes.items())
-    pairs = slim_pairs(tile_pairs(rows, "bucket", F.xxhash64("fp"), layout)).select("fp", "pair")
-    return components(per_slim_pair(pairs, near, "a long, b long", sent))
-
-
-def tiled(lines: DataFrame, tiles: Column) -> DataFrame:
-    """lines with `tiles` for their cluster (root) and `tile`, the line's own."""
-    sizes = lines.groupBy("root").agg(tiles.alias("tiles"))
-    return lines.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-
-
-def across(lines: DataFrame) -> DataFrame:
-    """Every line of tiled lines with each pair of tiles (i, j) of its cluster that its own tile belongs to."""
-    d = lines.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    return d.withColumn("i", F.least("tile", "p")).withColumn("j", F.greatest("tile", "p")).drop("p", "tiles")
-
-
-def verified_links(pairs: DataFrame, rows: int) -> DataFrame:
-    """(a, b): a star of verified links per connected group and tile pair, of lines (node, root, fp, norm, comp, tile, i, j).
-
-    Lines of one comp are known to be connected."""
-
-    def check(i: int, left: dict, right: dict, same: bool):
-        x, y = left["fp"].view(np.uint64), right["fp"].view(np.uint64)
-        a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= RADIUS)
-        if same:
-            a, b = a[a < b], b[a < b]
-        node, norm, comp = (left[c] if same else np.concatenate((left[c], right[c])) for c in ("node", "norm", "comp"))
-        _, first, at = np.unique(comp, return_index=True, return_inverse=True)
-        u, v = verified(norm, a, b if same else b + len(x), first[at])
-        u, v = star_edges(node, u, v)
-        return (u, v) if len(u) else None
-
-    return per_slim_pair(slim_pairs(pairs), check, "a long, b long", rows, group_rows=20_000, within="root")
-
-
-def apart(lines: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, comp): the lines within RADIUS bits of a line in another group of their cluster, by fingerprints alone.
-
-    groups (node, root as comp) are the groups found so far. A cluster's largest group is met by its other groups only."""
-    comp = groups.select(F.col("node").alias("g"), F.col("root").alias("comp"))
-    d = lines.select("node", "root", "fp").join(comp, F.col("node") == F.col("g"), "left")
-    d = materialise(d.select("node", "root", "fp", F.coalesce("comp", "node").alias("comp")), "groups")
-    largest = d.groupBy("root", "comp").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("groups"))
-    still = d.join(largest.where("groups > 1").drop("groups"), "root").withColumn("minor", (F.col("comp") != F.col("main")).cast("long")).drop("main")
-    n = F.count("*")
-    still = across(tiled(still, F.greatest(F.least(F.lit(32), F.ceil(n / NEAR_TILE)), F.ceil(n / TILE)).cast("long")))
-
-    def near(i: int, left: dict, right: dict, same: bool):
-        found = []
-        for p, q in ((left, right),) if same else ((left, right), (right, left)):
-            at = np.flatnonzero(p["minor"])
-            own, other = np.zeros(len(at), bool), np.zeros(len(q["fp"]), bool)
-            for a, b in candidate_pairs(p["fp"][at].view(np.uint64), q["fp"].view(np.uint64), False, [(0, 64)]):
-                cross = p["comp"][at[a]] != q["comp"][b]
-                own[a[cross]] = True
-                other[b[cross]] = True
-            found += [(p["node"][at[own]], p["comp"][at[own]]), (q["node"][other], q["comp"][other])]
-        node, comp = (np.concatenate(x) for x in zip(*found))
-        return (node, comp) if len(node) else None
-
-    return per_slim_pair(slim_pairs(still), near, "node long, comp long", d.count(), within="root").distinct()
+    return score
+
+
+def anchored(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance: the texts are cut at words that occur once in each, in the same order."""
+    x, y = a.split(" "), b.split(" ")
+    cx, cy = Counter(x), Counter(y)
+    places = {word: k for k, word in enumerate(y) if cy[word] == 1}
+    met = [(k, places[word]) for k, word in enumerate(x) if cx[word] == 1 and word in places]
+    tails, at, before = [], [], []  # longest increasing run of places in b
+    for k, (_, j) in enumerate(met):
+        p = bisect_left(tails, j)
+        tails[p : p + 1], at[p : p + 1] = [j], [k]
+        before.append(at[p - 1] if p else -1)
+    k, chain = at[-1] if at else -1, [(len(x), len(y))]
+    while k >= 0:
+        chain.append(met[k])
+        k = before[k]
+    total, i, j = 0, 0, 0
+    for u, v in reversed(chain):
+        if x[i:u] != y[j:v]:
+            total += distance(" ".join([*x[i:u], ""]), " ".join([*y[j:v], ""]), most - total)
+            if total > most:
+                break
+        i, j = u + 1, v + 1
+    return total
+
+
+def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    """Whether 1 - edit distance / longer length >= least."""
+    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    if a == b or abs(len(a) - len(b)) > most:
+        return a == b
+    return len(a) > 200 and anchored(a, b, most) <= most or distance(a, b, most) <= most
 
 
 def gram_counts(texts) -> np.ndarray:
@@ -292,134 +245,177 @@ def gram_counts(texts) -> np.ndarray:
     return out
 
 
-def similar_links(roots: np.ndarray, pair: np.ndarray, nodes: np.ndarray, norm, comp: np.ndarray):
-    """Links (a, b) of similar lines that share a root (band bucket) and tile pair and whose comps differ."""
-    node, first, at = np.unique(nodes, return_index=True, return_inverse=True)
-    texts, label = norm[first], comp[first]
-    size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    limit = ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
-    grams = gram_counts(texts)
-    order = np.lexsort((pair, roots))
-    roots, pair, at = roots[order], pair[order], at[order]
-    cuts = np.flatnonzero((np.diff(pair >> 1) != 0) | (np.diff(roots) != 0)) + 1
-    held, kept, n, shapes = [], [], 0, {}
-
-    def bounded():
-        a, b = (np.concatenate(x) for x in zip(*held))
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        most = np.maximum(limit[a], limit[b])
-        fit = (label[a] != label[b]) & (np.abs(size[a] - size[b]) <= most)
-        both = np.unique(a[fit] * len(node) + b[fit])
-        a, b = both // len(node), both % len(node)
-        most = np.maximum(limit[a], limit[b])
-        for k in range(0, len(a), 4096):
-            x, y = grams[a[k : k + 4096]], grams[b[k : k + 4096]]
-            near = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= 6 * most[k : k + 4096]
-            kept.append(both[k : k + 4096][near])
-
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pair)]):
-        middle = lo + int(np.searchsorted(pair[lo:hi] & 1, 1)) if pair[hi - 1] & 1 else hi
-        if middle == hi and pair[lo] >> 33 == pair[lo] >> 1 & 0xFFFFFFFF:
-            if hi - lo not in shapes:
-                shapes[hi - lo] = np.triu_indices(hi - lo, 1)
-            u, v = shapes[hi - lo]
-            held.append((at[lo + u], at[lo + v]))
-        else:
-            held.append((np.repeat(at[lo:middle], hi - middle), np.tile(at[middle:hi], middle - lo)))
-        n += len(held[-1][0])
-        if n > PAIRS:
-            bounded()
-            held, n = [], 0
-    if held:
-        bounded()
-    both = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
-    u, v = verified(texts, both // len(node), both % len(node), np.unique(label, return_index=True, return_inverse=True)[2])
-    return star_edges(node, u, v)
-
-
-def band_links(distinct: DataFrame, docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): links between lines that share a band's bucket and are not in one of the groups (node, root) yet."""
-    rows = distinct.select("node", F.posexplode("bands").alias("k", "key"))
-    rows = rows.select("node", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("key").cast("long")).alias("bucket")).repartition("bucket")
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    rows = materialise(rows.join(shared, "bucket"), "band-rows")
-    comp = groups.select(F.col("node").alias("g"), F.col("root").alias("comp"))
-    rows = rows.join(comp, F.col("node") == F.col("g"), "left").select("node", F.col("bucket").alias("root"), F.coalesce("comp", "node").alias("comp"))
-    mixed = rows.groupBy("root").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("root")
-    rows = materialise(rows.join(mixed, "root", "left_semi"), "band-mixed")
-    lines = rows.select("node").distinct().join(distinct, "node").select("node", F.lit(0).cast("long").alias("root"), "fp", "first.doc_id", "first.h", "first.line")
-    texts = materialise(line_texts(materialise(lines, "band-wanted"), docs).select("node", "norm").dropDuplicates(["node"]), "band-texts")
-    sent = materialise(slim_pairs(across(tiled(rows, F.ceil(F.count("*") / BAND_TILE).cast("long")))), "band-pairs")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent.count() // 20_000))
-
-    def run(pdf):
-        a, b = similar_links(*(pdf[c].to_numpy() for c in ("root", "pair", "node", "norm", "comp")))
+class Links:
+    """Verified links among the lines of one task, as a forest: pairs that links connect are not checked again."""
+
+    def __init__(self, nodes: np.ndarray, texts: np.ndarray, known: np.ndarray):
+        self.nodes, self.texts = nodes, texts
+        self.size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        self.limit = ((1 - SIMILARITY) * self.size + 1e-9).astype(np.int64)
+        self.grams = gram_counts(texts)
+        self.parent = np.unique(known, return_index=True, return_inverse=True)[1:]
+        self.parent = self.parent[0][self.parent[1]].tolist()  # lines of one known group hang on its first
+        self.a, self.b = [], []
+
+    def find(self, k: int) -> int:
+        parent = self.parent
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    def labels(self, at: np.ndarray) -> np.ndarray:
+        return np.fromiter((self.find(k) for k in at.tolist()), np.int64, len(at))
+
+    def check(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Link the similar ones of these index pairs."""
+        most = np.maximum(self.limit[a], self.limit[b])
+        fit = np.abs(self.size[a] - self.size[b]) <= most
+        both = np.unique(np.minimum(a, b)[fit] * len(self.nodes) + np.maximum(a, b)[fit])
+        for at in range(0, len(both), 4096):
+            a, b = np.divmod(both[at : at + 4096], len(self.nodes))
+            x, y = self.grams[a], self.grams[b]
+            near = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= 6 * np.maximum(self.limit[a], self.limit[b])
+            for i, j in zip(a[near].tolist(), b[near].tolist()):
+                u, v = self.find(i), self.find(j)
+                if u != v and edit_similar(self.texts[i], self.texts[j]):
+                    self.parent[max(u, v)] = min(u, v)
+                    self.a.append(i)
+                    self.b.append(j)
+
+    def star(self) -> pd.DataFrame:
+        a, b = star_edges(self.nodes, np.array(self.a, dtype=np.int64), np.array(self.b, dtype=np.int64))
         return pd.DataFrame({"a": a, "b": b})
 
-    sent = sent.join(texts, "node").withColumn("__g", F.pmod(F.xxhash64("root", F.shiftright("pair", 1)), F.lit(n)))
-    return materialise(sent.groupBy("__g").applyInPandas(run, "a long, b long"), "band-links")
+
+def similar_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between lines (node, norm, comp) that meet in a bucket (key, i, j): side 0 with side 1, or all where i = j."""
+    node, first, at = np.unique(pdf["node"].to_numpy(), return_index=True, return_inverse=True)
+    links = Links(node, pdf["norm"].to_numpy()[first], pdf["comp"].to_numpy()[first])
+    key, i, j, side = (pdf[c].to_numpy() for c in ("key", "i", "j", "side"))
+    order = np.lexsort((at, side, j, i, key))
+    key, i, j, side, at = (v[order] for v in (key, i, j, side, at))
+    starts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    starts = np.concatenate(([0], starts)).astype(np.int64)
+    sizes = np.diff(np.append(starts, len(at)))
+    small = (sizes <= 16) & (i[starts] == j[starts])
+    for size in np.unique(sizes[small]).tolist():
+        u, v = np.triu_indices(size, 1)
+        rows = starts[small & (sizes == size)]
+        step = max(1, PAIRS // max(len(u), 1))
+        for k in range(0, len(rows), step):
+            links.check(at[rows[k : k + step, None] + u].ravel(), at[rows[k : k + step, None] + v].ravel())
+    for lo, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
+        mine, cross = at[lo : lo + n], i[lo] != j[lo]
+        middle = int(np.searchsorted(side[lo : lo + n], 1)) if cross else n
+        left, right = (mine[:middle], mine[middle:]) if cross else (mine, mine)
+        if not len(left) or not len(right):
+            continue
+        links.check(np.full(len(right), left[0]), right)  # a group of copies is found by its first line
+        of_left, of_right = links.labels(left), links.labels(right)
+        if of_left.min() == of_left.max() == of_right.min() == of_right.max():
+            continue
+        step = max(1, PAIRS // len(right))
+        for k in range(0, len(left), step):
+            a, b = np.nonzero(of_left[k : k + step, None] != of_right[None, :])
+            if not cross:
+                a, b = a[a + k < b], b[a + k < b]
+            links.check(left[a + k], right[b])
+    return links.star()
+
+
+# --- buckets -----------------------------------------------------------------
+
+
+def buckets(distinct: DataFrame) -> DataFrame:
+    """(key, node, n) for the blocks that n > 1 lines share; of blocks with equal lines one only."""
+    rows = distinct.select(F.explode("keys").alias("key"), "node").repartition("key")
+    prints = [F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")]
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *prints).where("low < high")
+    shared = shared.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
+    return rows.join(shared, "key").distinct()
+
+
+def compared(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b): links of rows (key, node, comp, i, j, side), about n, with their texts."""
+    groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUP_ROWS))
+    d = rows.join(texts, "node").withColumn("__g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
+    return materialise(d.groupBy("__g").applyInPandas(similar_links, "a long, b long"), "links")
+
+
+def paired(rows: DataFrame, tile: Column, first: Column, last: Column) -> DataFrame:
+    """rows with each pair (i, j) of their tile and the tiles from first to last, and the side they are on."""
+    d = rows.withColumn("tile", tile).withColumn("p", F.explode(F.sequence(first, last)))
+    return d.select("key", "node", "comp", F.least("tile", "p").alias("i"), F.greatest("tile", "p").alias("j"), (F.col("tile") > F.col("p")).cast("int").alias("side"))
+
+
+def tiles_of(n: Column) -> Column:
+    return F.ceil(n / TILE).cast("long")
 
 
 def fuzzy_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) for the distinct lines (node, fp, bands, first) that are linked to another."""
-    groups = materialise(simhash_groups(distinct, docs), "simhash-groups")
-    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(band_links(distinct, docs, groups)))
+    """(node, root) for the distinct lines (node, keys, first) that are linked to another."""
+    rows = materialise(buckets(distinct), "buckets")
+    lines = materialise(rows.select("node").distinct().join(distinct, "node").select("node", "first.doc_id", "first.h", "first.line"), "wanted")
+    texts = materialise(line_texts(lines, docs), "line-texts")
+    salt, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    alone = rows.withColumn("comp", F.col("node")).withColumn("tile", F.pmod(salt, tiles_of(F.col("n"))))
+    links = compared(paired(alone, F.col("tile"), F.col("tile"), F.col("tile")), texts, rows.count())
+    groups = components(links)
+    large = rows.where(F.col("n") > TILE)
+    if large.isEmpty():
+        return groups
+
+    def grouped():
+        comp = groups.select(F.col("node").alias("g"), F.col("root").alias("comp"))
+        return materialise(large.join(comp, F.col("node") == F.col("g"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "large")
+
+    one = grouped().groupBy("key", "comp").agg(F.min("node").alias("node"))
+    many = one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    one = materialise(one.join(many, "key"), "one-each")
+    last = tiles_of(F.col("m")) - 1
+    links = links.unionByName(compared(paired(one, F.pmod(salt, last + 1), zero, last), texts, one.count()))
+    groups = components(links)
+    now = grouped()
+    main = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("m"), F.count("*").alias("k"))
+    main = main.where("k > 1").select("key", "main", tiles_of(F.col("m") - F.col("c")).alias("minor"), tiles_of(F.col("c")).alias("major"))
+    rest = materialise(now.join(main, "key"), "rest")
+    if not rest.isEmpty():
+        # tiles of lines outside the largest group meet all tiles, tiles of the largest group only those
+        inside = F.col("comp") == F.col("main")
+        tile = F.when(inside, F.col("minor") + F.pmod(salt, F.col("major"))).otherwise(F.pmod(salt, F.col("minor")))
+        sent = paired(rest, tile, zero, F.when(inside, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
+        groups = components(links.unionByName(compared(sent, texts, rest.count())))
+    return groups
 
 
 def line_texts(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root, fp, norm): the normal forms of lines (node, root, fp, doc_id, h, line)."""
-    asked = lines.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "node", "root", "fp")).alias("lines"))
-    keys = lines.select("doc_id", "h").distinct()
+    """(node, norm): the normal forms of lines (node, doc_id, h, line)."""
+    asked = lines.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "node")).alias("lines"))
 
     def texts(frames):
         for pdf in frames:
             got = []
             for text, asked in zip(pdf["text"], pdf["lines"]):
                 lines = normal_lines(text)
-                got += [(r["node"], r["root"], r["fp"], b" ".join(lines[r["line"]]).decode("utf-8", "replace")) for r in asked]
-            yield pd.DataFrame(got, columns=["node", "root", "fp", "norm"])
+                got += [(r["node"], b" ".join(lines[r["line"]]).decode("utf-8", "replace")) for r in asked]
+            yield pd.DataFrame(got, columns=["node", "norm"])
 
+    if lines.count() <= SMALL:
+        asked = F.broadcast(asked)
     # rows repeated under one key bring their lines twice; they are one node
-    joined = keyed(docs).join(F.broadcast(asked), ["doc_id", "h"]) if lines.count() <= SMALL else only(keyed(docs), keys).join(asked, ["doc_id", "h"])
-    return joined.select("text", "lines").mapInPandas(texts, "node long, root long, fp long, norm string")
-
-
-def simhash_groups(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) for the distinct lines (node, fp, first) that links within RADIUS bits connect."""
-    fps = materialise(distinct.groupBy("fp").agg(F.count("*").alias("n")), "fps")
-    clusters = fps.join(near_clusters(fps.select("fp")), F.col("fp") == F.col("node"), "left")
-    clusters = clusters.where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root"))
-    lines = materialise(distinct.join(clusters, "fp").select("node", "root", "fp", "first.doc_id", "first.h", "first.line"), "wanted")
-    found = materialise(line_texts(lines, docs), "line-texts")
-    whole = F.ceil(F.count("*") / TEXT_TILE).cast("long")
-    own = tiled(found, whole).withColumn("comp", F.col("node")).withColumn("i", F.col("tile")).withColumn("j", F.col("tile"))
-    links = materialise(verified_links(own.drop("tiles"), lines.count()), "links-own")
-    large = found.join(found.groupBy("root").agg(whole.alias("tiles")).where("tiles > 1").select("root"), "root", "left_semi")
-    first = materialise(large.join(links, large["node"] == links["a"], "left_anti"), "first-lines")
-    links = links.unionByName(materialise(verified_links(across(tiled(first.withColumn("comp", F.col("node")), whole)), first.count()), "links-first"))
-    groups = components(links)
-    rest = materialise(apart(large, groups), "apart")
-    n = rest.count()
-    if n:
-        more = across(tiled(found.join(rest, "node"), whole))
-        groups = components(links.unionByName(materialise(verified_links(more, n), "links-apart")))
-    return groups
-
-
-def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs with these (doc_id, h): by a broadcast of at most SMALL keys, else as they are, as a join on the same key follows."""
-    return docs.join(F.broadcast(keys), ["doc_id", "h"], "left_semi") if keys.count() <= SMALL else docs
+    return keyed(docs).join(asked, ["doc_id", "h"]).select("text", "lines").mapInPandas(texts, "node long, norm string").dropDuplicates(["node"])
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, lines): numbers of the lines to drop, for every document that loses one."""
     lines = materialise(line_table(docs), "lines")
-    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("times"))
+    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("times"))
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")  # written once, so ids stay
-    members = distinct.join(fuzzy_groups(distinct.where("bands is not null"), docs), "node", "left")
+    members = distinct.drop("keys").join(fuzzy_groups(distinct.where(F.size("keys") > 0), docs), "node", "left")
     stays = members.where("root is not null").groupBy("root").agg(F.min("first").alias("stay"))
     table = members.where("root is not null or times > 1").join(stays, "root", "left").select("a", "b", F.coalesce("stay", "first").alias("stay"))
-    gone = lines.drop("fp", "bands").join(table, ["a", "b"]).where("struct(doc_id, h, line) <> stay").select("doc_id", "h", "line").distinct()
+    gone = lines.drop("keys").join(table, ["a", "b"]).where("struct(doc_id, h, line) <> stay").select("doc_id", "h", "line").distinct()
     return materialise(gone.groupBy("doc_id", "h").agg(F.collect_list("line").alias("lines")), "dropped")
 
 
