@@ -31,8 +31,7 @@ MAX_DIM = (1 << 24) // (127 * 127)
 
 def quantise(x: np.ndarray):
     """Codes (as float32), scale, |s*q| and |e| of each row of x, which are finite and not zero."""
-    big = np.abs(x).max(1, keepdims=True)
-    u = x / big
+    u = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     u /= np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
     scale = np.abs(u).max(1) / 127
     codes = np.rint(u / scale[:, None]).astype(np.int8)
@@ -48,6 +47,8 @@ def links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float):
     width = x.shape[1]
     kind = np.float32 if width <= MAX_DIM else np.float64
     fy, s32, e32 = cy.astype(kind), sy.astype(np.float32), ey.astype(np.float32)
+    # largest component 1, a power of two taken out exactly, so that squares neither overflow nor vanish
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1]) for v in (x, y))
     length_x, length_y = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (x, y))
     found_a, found_b = [], []
     for i in range(0, len(x), SUB):
@@ -119,8 +120,9 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     known = known.withColumn("root", F.coalesce("root", "node"))
     ends = known.groupBy("root").agg(F.min("first").alias("component"))
     known = known.join(ends, "root").select("h1", "h2", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), "component")
-    out = rows.drop("e").join(known.withColumn("good", F.lit(True)), ["h1", "h2"], "left").withColumn("ok", F.col("fine") & F.col("good").isNotNull())
-    out = out.select("vec_id", F.when(F.col("ok"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(F.col("ok"), F.col("component")).otherwise(F.col("vec_id")).alias("component_id"))
+    linked = rows.where("fine").drop("e", "fine").join(known, ["h1", "h2"])
+    alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id")).unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -65,6 +65,15 @@ def test_embedding_query_equals_sql(spark):
     same(embedding_dedup.query(spark, SF), embedding_dedup.SQL, SF)
 
 
+@pytest.mark.parametrize("scale", [1e180, 1e-200])
+def test_very_large_and_very_small_vectors(scale):
+    rng = np.random.RandomState(4)
+    x = rng.normal(size=(4, 6))[rng.randint(0, 4, 60)] + rng.normal(size=(60, 6)) * 0.2
+    want = np.triu(np.corrcoef(np.hstack((x, -x))) >= 0.9, 1)
+    a, b = embedding_dedup.links(x * scale, x * scale, True, 0.9)
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(want)))) and want.sum() > 50
+
+
 def test_quantisation_bound_holds():
     rng = np.random.RandomState(3)
     x = rng.normal(size=(200, 64)) * rng.exponential(size=(200, 1))
