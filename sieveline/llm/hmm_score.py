@@ -1,12 +1,14 @@
 """Language model scoring with a hidden Markov model.
 
-Latent states emit word classes and a class emits its words: P(w | state) = B[state, class(w)] * q(w). Classes
-are CLASSES hashes of a word (whole if short, else of its last bytes and length) and one for the end of a text, so
-that states' parameters are bounded; q is learned from all word counts, (c + 0.5) / (C + 0.5 * (V + 1)) with
-the count C and number V of the class's words, which also leaves mass for one unseen word, as the base model does.
-Baum-Welch: each task runs scaled forward and backward recursions over its texts, expected counts of starts,
-transitions and emissions are summed over partitions by Spark, the driver renormalises the bounded parameters,
-ITERATIONS times over all training texts. The score is the exact scaled forward likelihood in double precision.
+Latent states emit word classes and, in each state, a class emits its words. Classes are CLASSES hashes of a word
+(whole if short, else of its last bytes and length) and one for the end of a text. Baum-Welch: each task runs scaled
+forward and backward recursions over its texts, expected counts of starts, transitions and emissions are summed over
+partitions by Spark, the driver renormalises, ITERATIONS times over all training texts. These rounds learn the bounded
+parameters: start, moves and B[state, class]. A last round counts emissions of every word in every state, summed by word
+in a table that grows with the corpus: P(w | class, state) = (1 - u) * (e + PRIOR * q) / (E + PRIOR) for a word seen,
+with its expected count e in the state (its count times the states' shares in 255ths), E their sum over the class, q =
+(c + 0.5) / (C + 0.5 * V) of its count c, the class's count C and number of words V; u = 0.5 / (C + 0.5 * (V + 1)) is
+left for one unseen word, as in the base model. The score is the exact scaled forward likelihood in double precision.
 
 Texts are packed once into blocks of about BLOCK words, with the block's distinct word hashes; counts are summed
 by hash over all blocks, and each block gets its own words' counts back by a join, so that no task or driver holds
@@ -31,9 +33,10 @@ NAME = "op5_hmm_score"
 STATES, ITERATIONS = 8, 5
 CLASSES, SHORT, TAIL = 8192, 4, 4
 END = CLASSES
-BLOCK, BATCH, SEGMENT = 2_000_000, 700_000, 1024  # words
+BLOCK, BATCH, SEGMENT = 1_000_000, 500_000, 1024  # words
 SCALE = 8  # steps between scalings of matrix products
 STAY = 0.95  # first probability that a state stays
+PRIOR = 20.0  # words of a class that a state takes as seen before it has seen any
 FOLDS, HELD_OUT = 5, 1
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes binary, words binary, vocab binary, classes binary, train binary"
 
@@ -105,15 +108,15 @@ def pack_texts(docs: DataFrame) -> DataFrame:
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
-    """(hash, block, at, class, c): the distinct words of each block with their number and training count in it."""
+    """(hash, block, at): the distinct words of each block with their number in it."""
 
     def run(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 vocab = np.frombuffer(r.vocab, "<i8")
-                yield pd.DataFrame({"hash": vocab, "block": r.block, "at": np.arange(len(vocab)), "class": np.frombuffer(r.classes, "<u2").astype(np.int32), "c": np.frombuffer(r.train, "<u4").astype(np.int64)})
+                yield pd.DataFrame({"hash": vocab, "block": r.block, "at": np.arange(len(vocab), dtype=np.int32)})
 
-    return blocks.select("block", "vocab", "classes", "train").mapInPandas(run, "hash long, block long, at long, class int, c long")
+    return blocks.select("block", "vocab").mapInPandas(run, "hash long, block long, at int")
 
 
 # --- the model ---------------------------------------------------------------
@@ -160,11 +163,12 @@ def _lockstep(classes, begin, size, vector, move, emit, keep):
 
 
 class Batch:
-    """Texts of one block as segments, with END after each text."""
+    """Texts of one block as segments, with the symbol `end` after each text; symbols are classes or words of the block."""
 
-    def __init__(self, classes: np.ndarray, sizes: np.ndarray):
+    def __init__(self, classes: np.ndarray, sizes: np.ndarray, end: int = END, words: np.ndarray | None = None, words_end: int = 0):
         ends = np.cumsum(sizes)
-        self.classes = np.insert(classes, ends, END)
+        self.classes = np.insert(classes, ends, end)
+        self.words = self.classes if words is None else np.insert(words, ends, words_end)  # what emissions are counted by
         self.total = sizes + 1
         self.first = np.cumsum(self.total) - self.total
         pieces = -(-self.total // SEGMENT)
@@ -257,7 +261,7 @@ class Batch:
             gamma = store[t] * b
             total = gamma.sum(0)
             gamma /= total
-            labels.append(label)
+            labels.append(self.words[self.begin[:m] + t])
             right = e32.take(label, axis=1)
             right *= b
             right /= total * scales[t]
@@ -274,11 +278,13 @@ class Batch:
         if labels:
             label, gamma = np.concatenate(labels), np.concatenate(scales[::-1], axis=1)
             for s in range(len(gamma)):
-                out[2][:, s] += np.bincount(label, gamma[s], CLASSES + 1)
+                out[2][:, s] += np.bincount(label, gamma[s], len(out[2]))
 
 
-def _batches(r, learn_only: bool):
-    """The block's texts (only those to learn from) as Batches of about BATCH words, in order."""
+def _batches(r, learn_only: bool, by: str = "classes"):
+    """The block's texts (only those to learn from) as Batches of about BATCH words, in order.
+
+    by: "classes" for class symbols, "words" for word symbols, "both" for classes with emissions counted by word."""
     sizes = np.frombuffer(r.sizes, "<i4").astype(np.int64)
     words, classes = unplaned(r.words), np.frombuffer(r.classes, "<u2")
     stops = np.concatenate(([0], np.cumsum(sizes)))
@@ -286,8 +292,13 @@ def _batches(r, learn_only: bool):
     cuts = np.flatnonzero(np.diff(stops[:-1] // BATCH)) + 1
     for part in np.split(np.arange(len(sizes)), cuts):
         if len(part):
-            got, n, chosen = words[stops[part[0]] : stops[part[-1] + 1]], sizes[part], use[part]
-            yield Batch(classes[got[np.repeat(chosen, n)]].astype(np.int64), n[chosen])
+            n, chosen = sizes[part], use[part]
+            got = words[stops[part[0]] : stops[part[-1] + 1]][np.repeat(chosen, n)].astype(np.int64)
+            n = n[chosen]
+            if by == "words":
+                yield Batch(got, n, len(classes))
+            else:
+                yield Batch(classes[got].astype(np.int64), n, END, got if by == "both" else None, len(classes))
 
 
 def baum_welch(blocks: DataFrame, class_counts: np.ndarray, iterations: int = ITERATIONS):
@@ -319,40 +330,106 @@ def baum_welch(blocks: DataFrame, class_counts: np.ndarray, iterations: int = IT
     return model
 
 
+def pack_shares(shares: np.ndarray) -> np.ndarray:
+    """Each row's STATES shares (of sum 1) in 255ths as the bytes of one long."""
+    return np.rint(shares * 255).astype(np.uint8).view("<i8").ravel()
+
+
+def unpack_shares(packed: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(packed, dtype="<i8").view(np.uint8).reshape(-1, STATES) / 255
+
+
+def byte_of(packed, s: int):
+    return F.shiftrightunsigned(packed, 8 * s).bitwiseAND(F.lit(255))
+
+
+def emitted_words(blocks: DataFrame, model) -> DataFrame:
+    """(hash, class, c, packed): every training word's count and the states' shares in emitting it, by one more round over all texts."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)  # (CLASSES + 1) * STATES numbers
+
+    def run(frames):
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                vocab, c = np.frombuffer(r.vocab, "<i8"), np.frombuffer(r.train, "<u4")
+                out = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(vocab) + 1, STATES))]
+                for batch in _batches(r, True, "both"):
+                    batch.expected(shared.value, out)
+                at = np.flatnonzero(c)
+                e = out[2][at]
+                yield pd.DataFrame({"hash": vocab[at], "class": np.frombuffer(r.classes, "<u2")[at].astype(np.int32), "c": c[at].astype(np.int64), "packed": pack_shares(e / e.sum(1, keepdims=True))})
+
+    rows = blocks.select("held", "sizes", "words", "vocab", "classes", "train").mapInPandas(run, "hash long, class int, c long, packed long").repartition("hash")
+    sums = [F.sum(F.col("c") * byte_of("packed", s)).alias(f"e{s}") for s in range(STATES)]
+    total = rows.groupBy("hash").agg(F.first("class").alias("class"), F.sum("c").alias("c"), *sums)
+    every = sum((F.col(f"e{s}") for s in range(1, STATES)), F.col("e0"))
+    share = [F.shiftleft(F.rint(F.col(f"e{s}") * 255 / every).cast("long"), 8 * s) for s in range(STATES)]
+    packed = share[0]
+    for x in share[1:]:
+        packed = packed.bitwiseOR(x)
+    return materialise(total.select("hash", "class", "c", packed.alias("packed")), "emitted")
+
+
+class Emissions:
+    """Probability of each word of a block in each state."""
+
+    def __init__(self, emit: np.ndarray, count: np.ndarray, number: np.ndarray, sums: np.ndarray):
+        """emit, sums (class, state): class emissions and expected counts; count, number: words and distinct words of each class."""
+        self.emit, self.count, self.number, self.sums = emit, count, number, sums
+
+    def table(self, classes: np.ndarray, c: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """(word, state) for words of these classes, training counts and packed shares, and a last row for the end."""
+        unseen = (0.5 / (self.count + 0.5 * (self.number + 1)))[classes]
+        e = c[:, None] * unpack_shares(packed)
+        q = (c + 0.5) / np.maximum(self.count + 0.5 * self.number, 0.5)[classes]
+        seen = (1 - unseen)[:, None] * (e + PRIOR * q[:, None]) / (self.sums[classes] + PRIOR)
+        inside = np.where(c[:, None] > 0, seen, unseen[:, None])
+        return np.concatenate((self.emit[classes] * inside, self.emit[END:]))
+
+
 def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of docs (doc_id, text, held)."""
     spark = docs.sparkSession
     blocks = materialise(pack_texts(docs), "blocks")
-    asked = block_words(blocks)
-    counts = materialise(asked.groupBy("hash").agg(F.sum("c").alias("c"), F.first("class").alias("class")).where("c > 0"), "counts")
-    per_class = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()  # CLASSES rows at most
+
+    def by_class(frames):
+        out = np.zeros(CLASSES)
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                out += np.bincount(np.frombuffer(r.classes, "<u2"), np.frombuffer(r.train, "<u4"), CLASSES)
+        at = np.flatnonzero(out)
+        yield pd.DataFrame({"class": at.astype(np.int32), "n": out[at].astype(np.int64)})
+
+    counted = blocks.select("classes", "train").mapInPandas(by_class, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # CLASSES rows at most
     texts = blocks.select(F.explode("held").alias("held")).where("not held").count()
-    class_n, class_v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    class_n[per_class["class"].to_numpy(int)] = per_class["n"].to_numpy(float)
-    class_v[per_class["class"].to_numpy(int)] = per_class["v"].to_numpy(float)
+    class_n, class_v, sums = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1), np.zeros((CLASSES + 1, STATES))
+    class_n[counted["class"].to_numpy(int)] = counted["n"].to_numpy(float)
     class_n[END], class_v[END] = texts, texts > 0
-    n, v = float(class_n.sum()), float(class_v.sum())
     model = baum_welch(blocks, class_n, iterations)
-    shared = spark.sparkContext.broadcast((model, class_n, class_v))  # bounded by CLASSES
-    answers = asked.select("hash", "block", "at").join(counts.select("hash", "c"), "hash").select("block", "at", "c")
+    emitted = emitted_words(blocks, model)
+    names = [f"e{s}" for s in range(STATES)]
+    per_class = emitted.groupBy("class").agg(F.count("*").alias("v"), *[F.sum(F.col("c") * byte_of("packed", s)).alias(n) for s, n in enumerate(names)]).toPandas()  # CLASSES rows at most
+    class_v[per_class["class"].to_numpy(int)] = per_class["v"].to_numpy(float)
+    sums[per_class["class"].to_numpy(int)] = per_class[names].to_numpy(float) / 255
+    n, v = float(class_n.sum()), float(class_v.sum())
+    shared = spark.sparkContext.broadcast((model, Emissions(model[2], class_n, class_v, sums)))  # bounded by CLASSES
+    answers = block_words(blocks).join(emitted.select("hash", "c", "packed"), "hash").select("block", "at", "c", "packed")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(key, mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        model, class_n, class_v = shared.value
+        (start, move, _), emissions = shared.value
         out = []
         for r in mine.itertuples(index=False):
             words, classes = unplaned(r.words), np.frombuffer(r.classes, "<u2")
-            c = np.zeros(len(classes))
-            c[known["at"].to_numpy()] = known["c"].to_numpy()
+            c, packed = np.zeros(len(classes)), np.zeros(len(classes), np.int64)
+            c[known["at"].to_numpy()], packed[known["at"].to_numpy()] = known["c"].to_numpy(), known["packed"].to_numpy()
             sizes = np.frombuffer(r.sizes, "<i4").astype(np.int64)
             text = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda x: np.bincount(text, x[words], len(sizes))
-            log_c = np.log10(c + 0.5)
-            within = log_c - np.log10(class_n + 0.5 * (class_v + 1))[classes]
-            end_base = np.log10((class_n[END] + 0.5) / (n + 0.5 * (v + 1)))
-            base = total(log_c) - sizes * np.log10(n + 0.5 * (v + 1)) + end_base
-            score = total(within) + np.concatenate([x.log_likelihood(model) for x in _batches(r, False)]) / np.log(10)
-            seen = total((c > 0).astype(float)) + (class_n[END] > 0)
+            whole = np.log10(n + 0.5 * (v + 1))
+            base = total(np.log10(c + 0.5) - whole) + np.log10(emissions.count[END] + 0.5) - whole
+            emit = emissions.table(classes, c, packed)
+            score = np.concatenate([x.log_likelihood((start, move, emit)) for x in _batches(r, False, "words")]) / np.log(10)
+            seen = total((c > 0).astype(float)) + (emissions.count[END] > 0)
             out.append(pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), dtype="Int64"), "held_out": list(r.held), "n_tokens": sizes + 1, "n_known": np.rint(seen).astype(np.int64), "train_tokens": int(n), "base_score": base, "score": score}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 

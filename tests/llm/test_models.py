@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -157,3 +158,47 @@ def test_mix_counts_agree_with_the_documents(spark, odd_docs, no_docs):
     out = mixed.toPandas()
     assert sum(len(t.encode().split()) for t in out.text) == counts.taken.sum() and (out.n_chars.fillna(0) == out.text.map(len)).all()
     assert mixing.mix_counts(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_word_emissions_are_probabilities():
+    rng = np.random.default_rng(2)
+    k, per = hmm_score.STATES, 9
+    count, number = np.zeros(hmm_score.CLASSES + 1), np.zeros(hmm_score.CLASSES + 1)
+    classes = np.repeat(np.arange(5), per)
+    c = rng.integers(1, 200, len(classes)).astype(float)
+    packed = hmm_score.pack_shares(rng.dirichlet(np.ones(k), len(classes)))
+    sums = np.zeros((hmm_score.CLASSES + 1, k))
+    np.add.at(sums, classes, c[:, None] * hmm_score.unpack_shares(packed))
+    count[:5], number[:5] = np.bincount(classes, c), per
+    emit = rng.dirichlet(np.ones(hmm_score.CLASSES + 1), k).T
+    e = hmm_score.Emissions(emit, count, number, sums)
+    seen = e.table(classes, c, packed)[:-1]
+    unseen = e.table(np.arange(5), np.zeros(5), np.zeros(5, np.int64))[:-1]
+    assert np.allclose([seen[classes == j].sum(0) + unseen[j] for j in range(5)], emit[:5])
+
+
+def test_mix_against_a_plain_draw(spark):
+    """Every document's taken words: each slot of a source's quota maps to a block, each block to its documents' words."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(mixing.CHUNKS)).alias("chunk")
+    rows = sorted(docs.select(F.floor(key).alias("chunk"), "doc_id", F.xxhash64("text").alias("h"), "source", "text").collect(), key=lambda r: r[:3])
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s))
+    size = {r["doc_id"]: len([w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w]) for r in rows}
+    goals = mixing.targets([sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources])
+    want = {}
+    for k, s in enumerate(sources):
+        mine = [r["doc_id"] for r in rows if r["source"] == s]
+        owner = [d for d in mine for _ in range(size[d])]
+        blocks = math.ceil(len(owner) / mixing.BLOCK)
+        times = Counter()
+        for slot in range(min(round(goals[k] * blocks / len(owner)), 3 * blocks)):
+            n, epoch = slot % blocks, slot // blocks
+            turn = mixing.mix64(np.array([k], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(epoch + mixing.SEED))
+            times[int(mixing.permuted(np.array([n]), np.array([blocks]), turn)[0])] += 1
+        got = Counter()
+        for at, d in enumerate(owner):
+            got[d] += times[at // mixing.BLOCK]
+        want |= {d: got[d] for d in mine}
+    assert {r["doc_id"]: r["taken"] for r in mixing.query(spark, SF).collect()} == want
