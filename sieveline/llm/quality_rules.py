@@ -2,9 +2,11 @@
 
 Each document's measures fall into the buckets of a relative-error quantile sketch (buckets 1.02**k wide,
 after Masson et al. 2019). Sketches are bucket counts, so they merge by adding: counts per (lang, source)
-give those per lang and those of the corpus. A group uses its own sketch from MIN_DOCS documents on, else its
-language's, else the corpus's. A measure is out of line above q75 + SPREAD * (q75 - q50) + its margin; mean
-word length also below q25 - SPREAD * (q50 - q25) - its margin. Thresholds are then joined to the documents.
+give those per lang and those of the corpus. A group's thresholds come from its own sketch merged with its language's
+and the corpus's, each scaled to PRIOR documents, so that small groups lean on those and large ones on their own, at
+every size by one rule. A measure is out of line above q90 + SPREAD * (q90 - q50) + its floor; mean word length
+also below q10 - SPREAD * (q50 - q10) - its floor. Floors are small against what junk shows; they are all there is of
+a threshold where fewer than a tenth of a group shows a measure at all. Thresholds are then joined to the documents.
 
 Defined results: null text has no words and fails the base rules; null lang or source is a group of its own;
 repeated rows each get a verdict; an empty table gives an empty result; other columns are kept where the
@@ -21,10 +23,10 @@ from .common import materialise, words_of
 NAME = "op1_quality_rules"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-GAMMA, SPREAD, MIN_DOCS, SALTS = 1.02, 3, 100, 16
+GAMMA, SPREAD, PRIOR, SCALE, SALTS = 1.02, 3, 5, 100_000, 16  # sketch counts are in 1 / SCALE documents
 SMALL = 1_000_000  # rejected documents up to which their keys are broadcast
-#: measure -> margin in its own unit (per mille; hundredths of a character for word length)
-MARGINS = {"symbols": 30, "dup_lines": 400, "repeats": 150, "word_length": 300}
+#: measure -> floor in its own unit (per mille; hundredths of a character for word length)
+FLOORS = {"symbols": 10, "dup_lines": 200, "repeats": 100, "word_length": 50}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -68,41 +70,37 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Bucket counts per group level: (level 0 own, 1 lang, 2 all; lk, sk, measure, bucket, n)."""
-    pairs = F.explode(F.create_map(*[x for m in MARGINS for x in (F.lit(m), F.col(f"q_{m}"))])).alias("measure", "v")
+    """Merged bucket counts of each group: (lk, sk, measure, bucket, n), n in 1 / SCALE documents."""
+    pairs = F.explode(F.create_map(*[x for m in FLOORS for x in (F.lit(m), F.col(f"q_{m}"))])).alias("measure", "v")
     v = measured.where("not q_base_failed").select("lk", "sk", pairs)
     bucket = F.when(F.col("v") < 1, 0).otherwise(1 + F.ceil(F.log(F.col("v").cast("double")) / F.log(F.lit(GAMMA))))
-    own = v.groupBy("lk", "sk", "measure", bucket.cast("long").alias("bucket")).agg(F.count("*").alias("n"))
-    own = own.select(F.lit(0).alias("level"), "*")
-    lang = own.groupBy("lk", "measure", "bucket").agg(F.sum("n").alias("n")).selectExpr("1 level", "lk", "'' sk", "measure", "bucket", "n")
-    whole = lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).selectExpr("2 level", "'' lk", "'' sk", "measure", "bucket", "n")
-    return own.unionByName(lang).unionByName(whole)
+    own = materialise(v.groupBy("lk", "sk", "measure", bucket.cast("long").alias("bucket")).agg(F.count("*").alias("n")), "sketches")
+    lang = own.groupBy("lk", "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))  # some thousand buckets, by the log of the largest value
 
+    def scaled(d: DataFrame, *keys: str) -> DataFrame:
+        total = d.groupBy(*keys).agg(F.sum("n").alias("total"))
+        return d.join(total, list(keys)).withColumn("n", F.expr(f"{PRIOR * SCALE} * n div total")).drop("total")
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lk, sk, docs, one struct (low, high) per measure) from the quantiles of each sketch."""
-    from pyspark.sql import Window as W
-
-    g = W.partitionBy("level", "lk", "sk", "measure")
-    c = sketch.withColumn("upto", F.sum("n").over(g.orderBy("bucket"))).withColumn("total", F.sum("n").over(g))
-    q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.when(F.col("bucket") < 1, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 1))))
-    at = c.groupBy("level", "lk", "sk", "measure").agg(q(25).alias("q25"), q(50).alias("q50"), q(75).alias("q75"), F.max("total").alias("docs"))
-    margin = F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv])[F.col("measure")]
-    at = at.withColumn("high", F.col("q75") + SPREAD * (F.col("q75") - F.col("q50")) + margin)
-    at = at.withColumn("low", F.when(F.col("measure") == "word_length", F.col("q25") - SPREAD * (F.col("q50") - F.col("q25")) - margin).otherwise(F.lit(-1.0)))
-    ends = [F.max(F.when(F.col("measure") == m, F.struct("low", "high"))).alias(f"f_{m}") for m in MARGINS]
-    return at.groupBy("level", "lk", "sk").agg(F.max("docs").alias("docs"), *ends)
+    groups = own.select("lk", "sk", "measure").distinct()
+    columns = ["lk", "sk", "measure", "bucket", "n"]
+    parts = [own.withColumn("n", F.col("n") * SCALE), groups.join(scaled(lang, "lk", "measure"), ["lk", "measure"]), groups.join(F.broadcast(scaled(whole, "measure")), "measure")]
+    merged = parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
+    return merged.groupBy("lk", "sk", "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Fences of each (lk, sk) of measured: its own, its language's or the corpus's, by MIN_DOCS."""
-    f = [F.col(f"f_{m}") for m in MARGINS]
-    every = fences(sketches(measured))
-    lang = every.where("level = 1").select(F.col("lk").alias("lk1"), F.col("docs").alias("docs1"), *[c.alias(f"l{i}") for i, c in enumerate(f)])
-    whole = every.where("level = 2").select(*[c.alias(f"w{i}") for i, c in enumerate(f)])
-    own = every.where("level = 0").join(lang, F.col("lk") == F.col("lk1"), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
-    pick = [F.when(F.col("docs") >= MIN_DOCS, c).when(F.col("docs1") >= MIN_DOCS, F.col(f"l{i}")).otherwise(F.col(f"w{i}")) for i, c in enumerate(f)]
-    return own.select("lk", "sk", *[p.alias(f"f_{m}") for p, m in zip(pick, MARGINS)])
+    """(lk, sk, one struct f_<measure> (low, high) per measure) from the quantiles of each group's merged sketch."""
+    from pyspark.sql import Window as W
+
+    g = W.partitionBy("lk", "sk", "measure")
+    c = sketches(measured).withColumn("upto", F.sum("n").over(g.orderBy("bucket"))).withColumn("total", F.sum("n").over(g))
+    q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.when(F.col("bucket") < 1, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 1))))
+    at = c.groupBy("lk", "sk", "measure").agg(q(10).alias("q10"), q(50).alias("q50"), q(90).alias("q90"))
+    floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])[F.col("measure")]
+    at = at.withColumn("high", F.col("q90") + SPREAD * (F.col("q90") - F.col("q50")) + floor)
+    at = at.withColumn("low", F.when(F.col("measure") == "word_length", F.col("q10") - SPREAD * (F.col("q50") - F.col("q10")) - floor).otherwise(F.lit(-1.0)))
+    return at.groupBy("lk", "sk").agg(*[F.max(F.when(F.col("measure") == m, F.struct("low", "high"))).alias(f"f_{m}") for m in FLOORS])
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -111,9 +109,9 @@ def judge(measured: DataFrame) -> DataFrame:
     d = measured.withColumn("salt", F.pmod(F.xxhash64("q_key"), F.lit(SALTS)).cast("int"))
     out = d.join(table, ["lk", "sk", "salt"], "left").drop("salt")
     fine = F.lit(True)
-    for m in MARGINS:
+    for m in FLOORS:
         fine = fine & F.coalesce(F.col(f"q_{m}").between(F.col(f"f_{m}")["low"], F.col(f"f_{m}")["high"]), F.lit(True))
-    return out.withColumn("q_kept", ~F.col("q_base_failed") & fine).drop("lk", "sk", *[f"f_{m}" for m in MARGINS])
+    return out.withColumn("q_kept", ~F.col("q_base_failed") & fine).drop("lk", "sk", *[f"f_{m}" for m in FLOORS])
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -158,18 +156,18 @@ b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT}
      n_repeat_words * 1000 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1)] AS vs FROM m),
 h AS (SELECT lk, sk, k, CASE WHEN v < 1 THEN 0 ELSE 1 + ceil(ln(CAST(v AS DOUBLE)) / ln(CAST({GAMMA} AS DOUBLE))) END AS bucket, count(*) AS n
     FROM (SELECT lk, sk, k, vs[k] AS v FROM b, range(1, 5) r(k) WHERE NOT base_failed) GROUP BY ALL),
-lv AS (SELECT 0 AS level, lk, sk, k, bucket, n FROM h
-    UNION ALL SELECT 1, lk, '', k, bucket, sum(n) FROM h GROUP BY lk, k, bucket
-    UNION ALL SELECT 2, '', '', k, bucket, sum(n) FROM h GROUP BY k, bucket),
-c AS (SELECT *, sum(n) OVER (PARTITION BY level, lk, sk, k ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lk, sk, k) AS total,
-    CASE WHEN bucket < 1 THEN 0.0 ELSE pow(CAST({GAMMA} AS DOUBLE), bucket - 1) END AS vv FROM lv),
-q AS (SELECT level, lk, sk, k, max(total) AS docs, min(CASE WHEN upto * 100 >= total * 25 THEN vv END) AS q25,
-    min(CASE WHEN upto * 100 >= total * 50 THEN vv END) AS q50, min(CASE WHEN upto * 100 >= total * 75 THEN vv END) AS q75 FROM c GROUP BY ALL),
-f AS (SELECT level, lk, sk, k, docs, q75 + {SPREAD} * (q75 - q50) + {list(MARGINS.values())}[k] AS high,
-    CASE WHEN k = 4 THEN q25 - {SPREAD} * (q50 - q25) - {MARGINS['word_length']} ELSE -1 END AS low FROM q),
-p AS (SELECT o.lk, o.sk, o.k, CASE WHEN o.docs >= {MIN_DOCS} THEN o.low WHEN l.docs >= {MIN_DOCS} THEN l.low ELSE a.low END AS low,
-    CASE WHEN o.docs >= {MIN_DOCS} THEN o.high WHEN l.docs >= {MIN_DOCS} THEN l.high ELSE a.high END AS high
-    FROM f o JOIN f l ON l.level = 1 AND l.lk = o.lk AND l.k = o.k JOIN f a ON a.level = 2 AND a.k = o.k WHERE o.level = 0),
+lg AS (SELECT lk, k, bucket, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sum(n)) OVER (PARTITION BY lk, k) AS BIGINT) AS total FROM h GROUP BY lk, k, bucket),
+al AS (SELECT k, bucket, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sum(n)) OVER (PARTITION BY k) AS BIGINT) AS total FROM h GROUP BY k, bucket),
+gr AS (SELECT DISTINCT lk, sk, k FROM h),
+mg AS (SELECT lk, sk, k, bucket, sum(n) AS n FROM (SELECT lk, sk, k, bucket, n * {SCALE} AS n FROM h
+    UNION ALL SELECT gr.lk, gr.sk, gr.k, bucket, {PRIOR * SCALE} * n // total FROM gr JOIN lg ON gr.lk = lg.lk AND gr.k = lg.k
+    UNION ALL SELECT gr.lk, gr.sk, gr.k, bucket, {PRIOR * SCALE} * n // total FROM gr JOIN al ON gr.k = al.k) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY lk, sk, k ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lk, sk, k) AS total,
+    CASE WHEN bucket < 1 THEN 0.0 ELSE pow(CAST({GAMMA} AS DOUBLE), bucket - 1) END AS vv FROM mg),
+q AS (SELECT lk, sk, k, min(CASE WHEN upto * 100 >= total * 10 THEN vv END) AS q10,
+    min(CASE WHEN upto * 100 >= total * 50 THEN vv END) AS q50, min(CASE WHEN upto * 100 >= total * 90 THEN vv END) AS q90 FROM c GROUP BY ALL),
+p AS (SELECT lk, sk, k, q90 + {SPREAD} * (q90 - q50) + {list(FLOORS.values())}[k] AS high,
+    CASE WHEN k = 4 THEN q10 - {SPREAD} * (q50 - q10) - {FLOORS['word_length']} ELSE -1 END AS low FROM q),
 bad AS (SELECT DISTINCT rid FROM b JOIN p USING (lk, sk) WHERE NOT base_failed AND NOT vs[k] BETWEEN low AND high)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept
 FROM b LEFT JOIN bad USING (rid)

@@ -1,4 +1,5 @@
 from sieveline.llm import chat_format, quality_rules
+from sieveline.llm.common import materialise
 
 from ..compare import same
 from ..conftest import SF
@@ -63,3 +64,18 @@ def test_rejected_row_leaves_its_twin_of_another_source(spark):
     kept = quality_rules.keep_good(d)
     assert sorted(r["kept"] for r in got) == [False, True]
     assert [r["source"] for r in kept.where("doc_id = 5000").collect()] == [None] and kept.count() == quality_rules.quality_verdicts(d).where("kept").count()
+
+
+def test_thresholds_follow_their_group_at_every_size(spark):
+    """Two sources that differ in every measure: each measure has another threshold; a small one leans on its language."""
+    plain = lambda k: "\n".join(" ".join(f"w{k}q{i}{j}" for j in range(12)) for i in range(4))
+    other = lambda k: "\n".join([" ".join(f"longerword{k}q{i}{j}#" for j in range(12)) for i in range(8)] + [f"longer {k} line"] * 3 + [f"aa{k} bb cc dd ee"] * 2)
+    rows = []
+    for lang, n in (("l1", 60), ("l2", 400)):
+        rows += [(k, plain(k), lang, "a") for k in range(n)] + [(10_000 + k, other(k), lang, "b") for k in range(n)] + [(20_000, plain(20_000), lang, "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    m = materialise(quality_rules.measure(d.selectExpr("doc_id", "text q_text", "lang lk", "source sk"), "q_text").drop("q_text"), "measured")
+    got = {(r["lk"], r["sk"]): r for r in quality_rules.thresholds(m).collect()}
+    for lang in ("l1", "l2"):
+        high = {s: [got[lang, s][f"f_{x}"]["high"] for x in quality_rules.FLOORS] for s in "abc"}
+        assert all(x < y for x, y in zip(high["a"], high["b"])) and all(x <= y for x, y in zip(high["a"], high["c"]))
