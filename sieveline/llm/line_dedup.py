@@ -124,8 +124,10 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         r, p = np.nonzero(tell >= TELLING)
         add(ids[r], sums[r, p], counts[r, p], (number << 8) + p)
     line, key = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(line, kind="stable")
-    return line[order], key[order].view(np.int64)
+    order = np.lexsort((key, line))
+    line, key = line[order], key[order]
+    new = (np.diff(line, prepend=-1) != 0) | (np.diff(key, prepend=np.uint64(0)) != 0)  # a line has a block once
+    return line[new], key[new].view(np.int64)
 
 
 LINES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("line", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -205,6 +207,8 @@ def distance(a: str, b: str, most: int) -> int:
 def anchored(a: str, b: str, most: int) -> int:
     """An upper bound of the edit distance: the texts are cut at words that occur once in each, in the same order."""
     x, y = a.split(" "), b.split(" ")
+    if 2 * len(set(x) & set(y)) < len(set(x)):
+        return max(len(a), len(b))  # too few words in common to be worth it
     cx, cy = Counter(x), Counter(y)
     places = {word: k for k, word in enumerate(y) if cy[word] == 1}
     met = [(k, places[word]) for k, word in enumerate(x) if cx[word] == 1 and word in places]
@@ -217,13 +221,16 @@ def anchored(a: str, b: str, most: int) -> int:
     while k >= 0:
         chain.append(met[k])
         k = before[k]
-    total, i, j = 0, 0, 0
+    gaps, i, j = [], 0, 0
     for u, v in reversed(chain):
         if x[i:u] != y[j:v]:
-            total += distance(" ".join([*x[i:u], ""]), " ".join([*y[j:v], ""]), most - total)
-            if total > most:
-                break
+            gaps.append((" ".join([*x[i:u], ""]), " ".join([*y[j:v], ""])))
         i, j = u + 1, v + 1
+    total = sum([max(len(p), len(q)) for p, q in gaps])
+    for p, q in gaps:
+        if total <= most:
+            break
+        total += distance(p, q, len(p) + len(q)) - max(len(p), len(q))
     return total
 
 
@@ -232,7 +239,7 @@ def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     most = int((1 - least) * max(len(a), len(b)) + 1e-9)
     if a == b or abs(len(a) - len(b)) > most:
         return a == b
-    return len(a) > 200 and anchored(a, b, most) <= most or distance(a, b, most) <= most
+    return len(a) > 60 and anchored(a, b, most) <= most or distance(a, b, most) <= most
 
 
 def gram_counts(texts) -> np.ndarray:
@@ -252,7 +259,8 @@ class Links:
         self.nodes, self.texts = nodes, texts
         self.size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.limit = ((1 - SIMILARITY) * self.size + 1e-9).astype(np.int64)
-        self.grams = gram_counts(texts)
+        self.grams, self.counted = np.zeros((len(texts), GRAMS), np.uint8), np.zeros(len(texts), bool)
+        self.words: list = [None] * len(texts)
         self.parent = np.unique(known, return_index=True, return_inverse=True)[1:]
         self.parent = self.parent[0][self.parent[1]].tolist()  # lines of one known group hang on its first
         self.a, self.b = [], []
@@ -267,6 +275,19 @@ class Links:
     def labels(self, at: np.ndarray) -> np.ndarray:
         return np.fromiter((self.find(k) for k in at.tolist()), np.int64, len(at))
 
+    def link(self, i: int, j: int, u: int, v: int) -> None:
+        self.parent[max(u, v)] = min(u, v)
+        self.a.append(i)
+        self.b.append(j)
+
+    def aligned(self, i: int, j: int, most: int) -> bool:
+        """Whether replacing the words that differ place by place is at most `most` edits."""
+        for k in (i, j):
+            if self.words[k] is None:
+                self.words[k] = self.texts[k].split(" ")
+        x, y = self.words[i], self.words[j]
+        return len(x) == len(y) and sum([max(len(p), len(q)) for p, q in zip(x, y) if p != q]) <= most
+
     def check(self, a: np.ndarray, b: np.ndarray) -> None:
         """Link the similar ones of these index pairs."""
         most = np.maximum(self.limit[a], self.limit[b])
@@ -274,14 +295,24 @@ class Links:
         both = np.unique(np.minimum(a, b)[fit] * len(self.nodes) + np.maximum(a, b)[fit])
         for at in range(0, len(both), 4096):
             a, b = np.divmod(both[at : at + 4096], len(self.nodes))
+            most, open_ = np.maximum(self.limit[a], self.limit[b]), np.zeros(len(a), bool)
+            for k, (i, j, m) in enumerate(zip(a.tolist(), b.tolist(), most.tolist())):
+                u, v = self.find(i), self.find(j)
+                if u != v:
+                    if self.aligned(i, j, m):
+                        self.link(i, j, u, v)
+                    else:
+                        open_[k] = True
+            a, b, most = a[open_], b[open_], most[open_]
+            new = np.unique(np.concatenate((a, b)))
+            new = new[~self.counted[new]]
+            self.grams[new], self.counted[new] = gram_counts(self.texts[new]), True
             x, y = self.grams[a], self.grams[b]
-            near = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= 6 * np.maximum(self.limit[a], self.limit[b])
+            near = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= 6 * most
             for i, j in zip(a[near].tolist(), b[near].tolist()):
                 u, v = self.find(i), self.find(j)
                 if u != v and edit_similar(self.texts[i], self.texts[j]):
-                    self.parent[max(u, v)] = min(u, v)
-                    self.a.append(i)
-                    self.b.append(j)
+                    self.link(i, j, u, v)
 
     def star(self) -> pd.DataFrame:
         a, b = star_edges(self.nodes, np.array(self.a, dtype=np.int64), np.array(self.b, dtype=np.int64))
@@ -330,10 +361,10 @@ def similar_links(pdf: pd.DataFrame) -> pd.DataFrame:
 def buckets(distinct: DataFrame) -> DataFrame:
     """(key, node, n) for the blocks that n > 1 lines share; of blocks with equal lines one only."""
     rows = distinct.select(F.explode("keys").alias("key"), "node").repartition("key")
-    prints = [F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")]
+    prints = [F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")]
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *prints).where("low < high")
     shared = shared.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
-    return rows.join(shared, "key").distinct()
+    return rows.join(shared, "key")
 
 
 def compared(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
