@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,13 +44,28 @@ def paired_bootstrap(pairs: DataFrame, iters: int = 10_000, alpha: float = 0.05,
     return sums.join(ends, F.lit(True)).select("n", "discordant", *[F.round(c, 9).alias(c) for c in ("mean_diff", "lo", "hi", "p_value")])
 
 
+#: Bernoulli terms of Stirling's series of the log factorial.
+STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188]
+
+
+def log_factorial(x: Column) -> Column:
+    """ln x!: Stirling's series of x + 9, of which the nine factors too many are taken off; within 1e-12 of it, relative to its size."""
+    y = x.cast("double") + 10
+    series = sum((F.lit(c) / F.pow(y, F.lit(2 * k + 1)) for k, c in enumerate(STIRLING)), F.lit(0.5 * math.log(2 * math.pi)))
+    return (y - 0.5) * F.log(y) - y + series - sum((F.log(x.cast("double") + k) for k in range(2, 10)), F.log(x.cast("double") + 1))
+
+
 def mcnemar(pairs: DataFrame) -> DataFrame:
-    """(b01, b10, n, statistic, p_value) of boolean pairs (a, b): exact two-sided binomial, p 1 without discordance."""
-    c = pairs.agg(F.count_if(F.col("a") & ~F.col("b")).alias("b01"), F.count_if(~F.col("a") & F.col("b")).alias("b10")).withColumn("n", F.col("b01") + F.col("b10"))
-    n, k = F.col("n"), F.least("b01", "b10")
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(x, F.lit(1).cast("long"))), F.lit(0.0), lambda s, i: s + F.log(i))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * math.log(2)))
-    return c.select("b01", "b10", "n", F.round(F.coalesce(F.try_divide(F.pow(F.abs(F.col("b01") - F.col("b10")) - 1, 2), n), F.lit(0.0)), 9).alias("statistic"), F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * tail), 9)).alias("p_value"))
+    """(b01, b10, n, statistic, p_value) of boolean pairs (a, b): exact two-sided binomial, p 1 without discordance.
+
+    The driver sees the two counts; the terms of the tail are rows of a distributed range and added up there."""
+    c = pairs.agg(F.count_if(F.col("a") & ~F.col("b")).alias("b01"), F.count_if(~F.col("a") & F.col("b")).alias("b10")).first()
+    n, k = c["b01"] + c["b10"], min(c["b01"], c["b10"])
+    i, whole = F.col("id"), log_factorial(F.lit(n))
+    terms = pairs.sparkSession.range(k + 1).select(F.exp(whole - log_factorial(i) - log_factorial(F.lit(n) - i) - n * math.log(2)).alias("t"))
+    p = F.lit(1.0) if n == 0 else F.round(F.least(F.lit(1.0), 2 * F.sum("t")), 9)
+    statistic = round((abs(c["b01"] - c["b10"]) - 1) ** 2 / n, 9) if n else 0.0
+    return terms.agg(p.alias("p_value")).select(F.lit(c["b01"]).cast("long").alias("b01"), F.lit(c["b10"]).cast("long").alias("b10"), F.lit(n).cast("long").alias("n"), F.lit(statistic).cast("double").alias("statistic"), "p_value")
 
 
 def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:

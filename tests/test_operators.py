@@ -197,3 +197,30 @@ def test_counters_claims_and_cache(spark):
     assert {r["event_id"] for r in state.claims(e.where("name = 'a'"), ["name"]).collect()} == {2}
     c = spark.createDataFrame([("k", "old", dt.datetime(2024, 1, 1)), ("k", "new", dt.datetime(2024, 1, 2, 1))], "key string, body string, at timestamp")
     assert state.fresh(c, dt.datetime(2024, 1, 2, 2)).first()["body"] == "new"
+
+
+def test_log_factorial(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(k,) for k in (0, 1, 2, 7, 100, 10**6, 10**12)], "k long").select("k", stats.log_factorial(F.col("k")).alias("x")).collect()
+    assert all(abs(r["x"] - math.lgamma(r["k"] + 1)) <= 1e-9 + 1e-12 * abs(r["x"]) for r in got)
+
+
+def test_report_rules_on_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from sieveline.operators import reports as R
+
+    rows = [(None, None, None, None, None), ("e", 1.0, 1.0, "x", ["a"]), (None, 0.0, 1.0, "I cannot say", ["a", "b"]), (None, None, 0.0, "", [])]
+    d = spark.createDataFrame(rows, "error string, correctness double, hit double, answer string, tags array<string>")
+    got = d.select(R.failed(F.col("error"), F.col("correctness"), F.col("hit")).alias("f"), R.refuses(F.col("answer")).alias("r"), R.covers(F.col("tags"), F.array(F.lit("a"))).alias("c")).collect()
+    assert [tuple(r) for r in got] == [(False, False, False), (True, False, True), (True, True, True), (True, False, False)]
+    n = spark.range(0, 1001).select("id", R.roman(F.col("id")).alias("r")).select("id", "r", R.from_roman(F.col("r")).alias("back")).collect()
+    assert all(r["back"] == (r["id"] if 0 < r["id"] < 1000 else None) for r in n) and n[944]["r"] == "CMXLIV"
+    bad = spark.createDataFrame([("IIX",), ("IVI",), ("",), ("abc",), (None,), ("xiv",)], "t string").select(R.from_roman(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in bad] == [None, None, None, None, None, 14]
+    flagged = spark.createDataFrame([(1, True), (2, None), (3, False), (4, True)], "k long, s boolean")
+    assert {r["k"]: r["place"] for r in R.flagged_last(flagged, "s", "k").collect()} == {2: 1, 3: 2, 1: 3, 4: 4}
+    assert R.flagged_last(flagged.limit(0), "s", "k").count() == 0 and R.latest_finished(spark.createDataFrame([], "run_id long, started timestamp, finished timestamp")).count() == 0

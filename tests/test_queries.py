@@ -1,11 +1,11 @@
 import pytest
 
-from sieveline.plans import curation, evaluation, retrieval
+from sieveline.plans import curation, evaluation, reports, retrieval
 
 from .compare import same
 from .conftest import SF
 
-CATALOG = retrieval.CATALOG | evaluation.CATALOG | curation.CATALOG
+CATALOG = retrieval.CATALOG | evaluation.CATALOG | curation.CATALOG | reports.CATALOG
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in CATALOG.items() if sql])
