@@ -12,9 +12,13 @@ def score_rankings(questions: DataFrame, hits: DataFrame, truth: DataFrame, cuto
     """(query_id, k, recall, precision, mrr, ndcg, hit_rate) for each question and cutoff.
 
     hits (query_id, id, rank), truth (query_id, id) distinct. No relevant row: null; relevant but missed: 0."""
-    ks = F.array(*[F.lit(k) for k in cutoffs])
     n = truth.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    marked = hits.join(truth.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return score_marked(questions, hits.join(truth.withColumn("hit", F.lit(1)), ["query_id", "id"], "left"), n, cutoffs)
+
+
+def score_marked(questions: DataFrame, marked: DataFrame, n: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """score_rankings of hits marked already (query_id, id, rank, hit 1 or 0 or null) with n (query_id, n_relevant): truth need not be listed."""
+    ks = F.array(*[F.lit(k) for k in cutoffs])
     ranks = marked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", F.coalesce("hit", F.lit(0)).alias("hit")))).alias("r"))
     q = questions.select("query_id").join(n, "query_id", "left").join(ranks, "query_id", "left").withColumn("k", F.explode(ks))
     window = F.filter(F.coalesce("r", F.array()), lambda x: x["rank"] <= F.col("k"))

@@ -118,9 +118,12 @@ def retrieval_metrics(spark, sf_dir):
     q, base = vectors(spark, sf_dir)
     hits = R.dense_topk(q, base.drop("label"), 21).where("id <> query_id")
     hits = R.top(hits.drop("rank"), "query_id", [F.desc("similarity"), F.asc("id")], 20)
+    # relevant rows of a query are counted by label, itself left out, and only its hits are looked up
     labels = base.select("id", "label")
-    truth = labels.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label").join(labels, "label").where("id <> query_id").select("query_id", "id")
-    return M.score_rankings(q, hits, truth)
+    asked = labels.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("asked"))
+    sizes = labels.groupBy(F.col("label").alias("asked")).agg((F.count("*") - 1).alias("n_relevant"))
+    marked = hits.join(asked, "query_id").join(labels, "id").withColumn("hit", (F.col("label") == F.col("asked")).cast("int"))
+    return M.score_marked(q, marked.select("query_id", "id", "rank", "hit"), asked.join(sizes, "asked").select("query_id", "n_relevant"))
 
 
 def multi_query_union(spark, sf_dir):
