@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing, BPE.
 
 Each stage takes the documents that its predecessor kept (written as Parquet and read again) and returns a
-DataFrame; all but the last return the columns of documents."""
+DataFrame; all but the last return the columns of documents.
+
+Defined results: documents without words fail the quality rules; a document that loses all its words goes; an empty
+table passes through every stage as one; other columns are carried along, whatever their names, up to the last stage."""
 
 from __future__ import annotations
 
@@ -24,8 +27,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its repeated lines out of text; n_chars follows. One that loses all its words goes."""
     out = dedup_lines(docs)
-    left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(left).select(*[F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    dropped = out.columns[-1]  # n_dropped, or a longer name where the documents have that column
+    left = (F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return out.where(left).select(*[F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
