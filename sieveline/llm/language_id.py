@@ -6,8 +6,10 @@ last to 1/256 for each byte (escape method C, without exclusion). The trees are
 code length under a tree is the exact sum of -log2 over all its bytes, and the shortest code wins.
 
 Training uses a bounded sample: about SAMPLE documents per language, chosen by a hash of the row, all of their
-text. Byte 4-gram counts are summed by Spark; the driver turns the sample's counts into a table of at most
-MAX_CONTEXTS contexts (the most frequent stay; a longer context that is left out is coded by its suffix).
+text. Byte 4-gram counts are summed by Spark, and every context and byte of the sample is kept, as sorted sparse
+arrays per language. Languages are dealt into passes of about PASS_GRAMS distinct 4-grams (some 100 MB of trees; a
+language is never split), one after the other, so that neither the driver nor a broadcast holds more than one pass;
+the best code so far travels with the rows. The driver also holds one short row per language.
 
 Defined results: null text, or a text without a letter, is `und` with score 0, and so is every text if no
 language was learned; a null doc_id is not held out; ties go to the first language in code point order; repeated
@@ -16,17 +18,18 @@ rows each get a row; an empty table gives an empty result; ASCII case is folded;
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, doc_fold
+from .common import byte_chunks, doc_fold, materialise
 
 NAME = "op7_language_id"
 ORDER = 3
-SAMPLE, MAX_LANGS = 2000, 512
-MAX_CONTEXTS, MIN_COUNT = 40_000, 4
+SAMPLE, PASS_GRAMS = 2000, 4_000_000
 FOLDS, HELD_OUT = 4, 2
 START = b"\n" * ORDER  # the context before a text
 
@@ -59,121 +62,138 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 class Trees:
-    """The frozen trees of all languages as one table: row of a context, column of a byte, bits per language."""
+    """The frozen trees of some languages. Per order k: sorted codes of context and byte with their bits, and sorted
+    contexts with the bits of their escape."""
 
     def __init__(self, langs: list[str], grams: pd.DataFrame):
         self.langs = langs
-        if not langs:
-            return
-        g = grams["gram"].to_numpy().astype(np.int64)
-        raw = np.stack([(g >> s) & 255 for s in (24, 16, 8, 0)])
-        seen = np.unique(raw)
-        self.symbol = np.full(256, len(seen), dtype=np.int64)  # bytes never seen share the last symbol
-        self.symbol[seen] = np.arange(len(seen))
-        size = self.size = len(seen) + 1
-        s1, s2, s3, s4 = self.symbol[raw]
-        n = grams["n"].to_numpy().astype(np.float64)
-        who = np.searchsorted(np.array(langs, dtype=object), grams["lang"].to_numpy().astype(object)) if len(langs) else np.zeros(0, int)
-        kept2, kept3 = self._contexts(s2 * size + s3, n), self._contexts((s1 * size + s2) * size + s3, n)
-        # an order-3 context needs the order-2 context of its first two bytes in the table that finds it
-        heads = np.unique(kept3 // size)
-        self.row2 = np.full(size * size, -1, dtype=np.int32)
-        self.row2[kept2] = size + np.arange(len(kept2))
-        self.head = np.full(size * size, -1, dtype=np.int32)
-        self.head[heads] = np.arange(len(heads))
-        self.row3 = np.full((len(heads) + 1) * size, -1, dtype=np.int32)
-        self.row3[self.head[kept3 // size].astype(np.int64) * size + kept3 % size] = size + len(kept2) + np.arange(len(kept3))
-        last2, last3 = kept2 % size, kept3 % (size * size)
-        table = np.empty((size + len(kept2) + len(kept3), size, len(langs)), dtype=np.float32)
-        for k in range(len(langs)):
-            m = who == k
-            a1, a2, a3, a4, c = s1[m], s2[m], s3[m], s4[m], n[m]
-            zero = self._refine(np.full((1, size), 1 / 256), np.bincount(a4, c, size)[None, :])
-            one = self._refine(np.repeat(zero, size, 0), np.bincount(a3 * size + a4, c, size * size).reshape(size, size))
-            two = self._refine(one[last2], self._table(kept2, a2 * size + a3, a4, c))
-            below = self.row2[last3]
-            parent = np.where((below >= 0)[:, None], two[np.maximum(below - size, 0)], one[last3 % size]) if len(two) else one[last3 % size]
-            three = self._refine(parent, self._table(kept3, (a1 * size + a2) * size + a3, a4, c))
-            table[:, :, k] = -np.log2(np.concatenate((one, two, three)))
-        self.bits = table.reshape(-1, len(langs))
+        code, n, of = grams["gram"].to_numpy().astype(np.int64), grams["n"].to_numpy().astype(np.float64), grams["lang"].to_numpy()
+        order = np.argsort(of, kind="stable")
+        cuts = {lang: part for lang, part in zip(*self._runs(of[order], order))}
+        self.orders = [[self._order(code[cuts[lang]], n[cuts[lang]], k) for k in range(ORDER, -1, -1)] for lang in langs]
 
     @staticmethod
-    def _contexts(code: np.ndarray, n: np.ndarray) -> np.ndarray:
-        value, at = np.unique(code, return_inverse=True)
-        total = np.bincount(at, n, len(value))
-        keep = np.lexsort((value, -total))[: MAX_CONTEXTS // 2]
-        return np.sort(value[keep[total[keep] >= MIN_COUNT]])
-
-    def _table(self, kept: np.ndarray, code: np.ndarray, byte: np.ndarray, n: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(kept, code)
-        hit = (at < len(kept)) & (kept[np.minimum(at, max(len(kept) - 1, 0))] == code) if len(kept) else np.zeros(len(code), bool)
-        return np.bincount(at[hit] * self.size + byte[hit], n[hit], len(kept) * self.size).reshape(-1, self.size)
+    def _runs(sorted_keys: np.ndarray, rows: np.ndarray):
+        first = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(rows) else np.zeros(0, int)
+        return sorted_keys[first], np.split(rows, first[1:])
 
     @staticmethod
-    def _refine(shorter: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Probabilities in contexts with these byte counts, given those of their suffixes."""
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        room = np.maximum(total + kinds, 1)
-        return np.where(total > 0, np.where(counts > 0, counts / room, kinds / room * shorter), shorter)
+    def _order(code: np.ndarray, n: np.ndarray, k: int):
+        """Bits of the bytes and of the escape in the contexts of k bytes."""
+        seen, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        count = np.bincount(at, n)
+        contexts, at = np.unique(seen >> 8, return_inverse=True)
+        total, kinds = np.bincount(at, count), np.bincount(at).astype(np.float64)
+        return seen, np.log2((total + kinds)[at] / count), contexts, np.log2((total + kinds) / kinds)
+
+    def bits(self, number: int, code: np.ndarray) -> np.ndarray:
+        """Bits of each 4-gram's last byte after its first three in one language: the longest context that saw it, after escapes."""
+        out, todo = np.full(len(code), 8.0), np.arange(len(code))  # 1/256 after the last escape
+        for k, (seen, cost, contexts, escape) in zip(range(ORDER, -1, -1), self.orders[number]):
+            now = code[todo] & ((1 << 8 * (k + 1)) - 1)
+            at = np.minimum(np.searchsorted(seen, now), len(seen) - 1)
+            hit = seen[at] == now
+            out[todo[hit]] += cost[at[hit]] - 8
+            todo, now = todo[~hit], now[~hit] >> 8
+            at = np.minimum(np.searchsorted(contexts, now), len(contexts) - 1)
+            known = contexts[at] == now
+            out[todo[known]] += escape[at[known]]
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language's tree."""
         out = np.zeros((len(texts), len(self.langs)))
-        buf, begin = _flat(texts)
-        s = self.symbol[buf]
-        pair = s[:-1] * self.size + s[1:]  # pair[i]: symbols i and i + 1
-        row = self.row2[pair[1:-1]]  # for the byte at i + 3
-        row = np.where(row >= 0, row, s[2:-1])
-        third = self.row3[self.head[pair[:-2]].astype(np.int64) * self.size + s[2:-1]]
-        row = np.where(third >= 0, third, row)
-        at = row.astype(np.int64) * self.size + s[3:]
         size = np.array([len(t) for t in texts])
         some = np.flatnonzero(size)
         if not len(some):
             return out
-        bits = self.bits[at]
+        buf, begin = _flat(texts)
+        b = buf.astype(np.uint32)
+        code, at = np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_inverse=True)
+        code = code.astype(np.int64)
         # between the end of a text and the next lie the ORDER bytes of a START: sum them apart
         edges = np.stack((begin[some] - ORDER, begin[some] - ORDER + size[some]), 1).ravel()
-        sums = np.add.reduceat(np.concatenate((bits, np.zeros((1, bits.shape[1]), np.float32))), edges, axis=0, dtype=np.float64)
-        out[some] = sums[0::2]
+        for k in range(len(self.langs)):
+            out[some, k] = np.add.reduceat(np.append(self.bits(k, code)[at], 0.0), edges)[0::2]
         return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from docs (doc_id, text, lang), all of which may be learned from."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
-        return Trees([], pd.DataFrame({"lang": [], "gram": np.zeros(0, np.int64), "n": []}))
-    parts = 1 << 30
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(parts, int(parts * sample / n))))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < share[F.col("lang")])
-    grams = gram_counts(chosen.select("text", "lang")).toPandas()  # bounded by the sample
-    return Trees(sorted(grams["lang"].unique()), grams)
+@dataclass
+class Model:
+    """4-gram counts (lang, gram, n) of the sample as a table, and the languages of each pass over it."""
 
+    grams: DataFrame | None
+    passes: list[list[str]]
 
-def predict(docs: DataFrame, trees: Trees) -> DataFrame:
-    """(doc_id, lang_pred, score) per row of docs (doc_id, text): only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by MAX_CONTEXTS and the languages
+    def trees(self, langs: list[str]) -> Trees:
+        mine = self.grams if len(self.passes) == 1 else self.grams.where(F.col("lang").isin(langs))
+        return Trees(langs, mine.toPandas())  # PASS_GRAMS rows, or one language's
 
-    def run(frames):
-        t = shared.value
-        names = np.array(t.langs, dtype=object)
-        for pdf in frames:
-            for a, b, texts in byte_chunks(pdf, "text", 1 << 20):
-                part = pdf.iloc[a:b]
-                lang, score = np.full(len(part), "und", dtype=object), np.zeros(len(part))
-                letters = np.array([isinstance(x, str) and any(map(str.isalpha, x)) for x in part["text"]], dtype=bool)
-                if len(names) and letters.any():
-                    bits = t.code_lengths(texts)
-                    best = bits.argmin(1)
-                    lead = np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
-                    lang[letters], score[letters] = names[best[letters]], (1 / lead)[letters]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": lang, "score": score})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+
+def train(docs: DataFrame, sample: int = SAMPLE, pass_grams: int = PASS_GRAMS) -> Model:
+    """The model of docs (doc_id, text, lang), all of which may be learned from."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").count().collect()  # a row per language
+    if not counts:
+        return Model(None, [])
+    parts = 1 << 30
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(parts, int(parts * sample / r["count"]))) for r in counts], "lang string, share long")
+    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < F.col("share"))
+    grams = materialise(gram_counts(chosen.select("text", "lang")), "grams")
+    passes, held = [], 0
+    for r in sorted(grams.groupBy("lang").count().collect(), key=lambda r: r["lang"]):
+        if not passes or held + r["count"] > pass_grams:
+            passes.append([])
+            held = 0
+        passes[-1].append(r["lang"])
+        held += r["count"]
+    return Model(grams, passes)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score) per row of docs (doc_id, text): only the text is looked at.
+
+    score is 2^-bits of the best language over the sum of all languages'. A pass brings the rows' text, best language,
+    its bits and that sum along; passes but the last are written to the shared folder, so a task holds one pass's trees."""
+    context = docs.sparkSession.sparkContext
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not model.passes:
+        return d.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    d = d.withColumn("lang", F.lit(None).cast("string")).withColumn("bits", F.lit(float("inf"))).withColumn("lead", F.lit(0.0))
+    carried = "doc_id long, text string, lang string, bits double, lead double"
+
+    def step(shared, last: bool):
+        def run(frames):
+            t = shared.value
+            names = np.array(t.langs, dtype=object)
+            for pdf in frames:
+                for a, b, texts in byte_chunks(pdf, "text", 1 << 20):
+                    part = pdf.iloc[a:b].copy()
+                    letters = np.array([isinstance(x, str) and any(map(str.isalpha, x)) for x in part["text"]], dtype=bool)
+                    lang, bits, lead = (part[c].to_numpy().copy() for c in ("lang", "bits", "lead"))
+                    lang = lang.astype(object)
+                    if letters.any():
+                        got = t.code_lengths(texts)[letters]
+                        best, before = got.min(1), bits[letters]
+                        now = np.minimum(best, before)
+                        lead[letters] = lead[letters] * np.exp2(now - before) + np.exp2(now[:, None] - got).sum(1)
+                        lang[letters] = np.where(best < before, names[got.argmin(1)], lang[letters])
+                        bits[letters] = now
+                    if last:
+                        score = np.where(letters, 1 / np.maximum(lead, 1.0), 0.0)
+                        yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": np.where(letters, lang, "und"), "score": score})
+                    else:
+                        yield part.assign(lang=lang, bits=bits, lead=lead)
+
+        return run
+
+    for k, langs in enumerate(model.passes):
+        shared, last = context.broadcast(model.trees(langs)), k == len(model.passes) - 1
+        d = d.mapInPandas(step(shared, last), "doc_id long, lang_pred string, score double" if last else carried)
+        if not last:
+            d = materialise(d, "coded")
+            shared.destroy()
+    return d
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
