@@ -8,7 +8,7 @@ that a changed word touches one or two blocks only and k blocks have an untouche
 words have a block for each one and two words left out instead, lines of over 158 words have blocks of some of their words only. A class with fewer than TELLING words of LONG letters takes the next
 class in, as blocks of "of the" tell nothing. Lines that share a block are compared, and those with
 1 - edit distance / longer length >= SIMILARITY are linked; bounds that never refuse a similar pair come first (lengths,
-trigram counts), and pairs that links already connect need no check. A block shared by more than TILE lines is compared
+trigram and letter counts), and pairs that links already connect need no check. A block shared by more than TILE lines is compared
 in three steps: each tile of lines by itself, then one line of each group so found, then the lines outside the block's
 largest group with all others; no link is lost and a group of n near copies costs about n checks. Of each
 connected group the first occurrence in order of (doc_id, text hash, line number) stays, all its other occurrences go.
@@ -42,8 +42,9 @@ USED = 12  # classes that give a block: from 159 words on the first ones, of abo
 ENDS = 4  # words in the first and the last block by place
 LONG, TELLING = 4, 2
 TILE, GROUP_ROWS = 1024, 20_000
-GRAMS = 1024  # buckets of a line's trigram counts
+GRAMS, LETTERS = 1024, 64  # buckets of a line's trigram and letter counts
 PAIRS = 1 << 21  # candidate pairs held at once
+CHUNK = 1 << 20  # bytes of lines whose blocks are made at once
 SMALL = 1_000_000  # rows of keys or line numbers (16 to 64 MB) up to which they are broadcast instead of shuffling texts
 
 _TABLE = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
@@ -156,7 +157,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                         own.append(k)
                         at.append(number)
                         size += len(held[-1])
-                        if size > 1 << 21:
+                        if size > CHUNK:
                             yield close()
                             held, own, at, size = [], [], [], 0
             if held:
@@ -173,8 +174,35 @@ def keyed(docs: DataFrame) -> DataFrame:
 # --- edit similarity ---------------------------------------------------------
 
 
+def diagonal(a: str, b: str, most: int) -> int:
+    """Edit distance of a and b, no longer than a, for len(a) - len(b) <= most (bit-parallel, after Myers 1999 and Hyyrö
+    2003); some number above `most` where it is above.
+
+    The last cell lies on a diagonal of the table along which values never fall, so that the diagonal alone is
+    followed and left once it is above `most`."""
+    where: dict[str, int] = {}
+    bit = 1
+    for c in a:
+        where[c] = where.get(c, 0) | bit
+        bit <<= 1
+    value = len(a) - len(b)
+    full, bit = bit - 1, 1 << value
+    up, down = full, 0
+    for c in b:
+        eq = where.get(c, 0)
+        equal = ((((eq & up) + up) ^ up) | eq | down) & full  # cells equal to their neighbour on the diagonal
+        if not equal & bit:
+            value += 1
+            if value > most:
+                break
+        bit <<= 1
+        right = (down | full & ~(equal | up)) << 1 | 1
+        up, down = ((up & equal) << 1 | ~(equal | right)) & full, right & equal
+    return value
+
+
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance (bit-parallel, after Myers 1999); some number above `most` where it is above."""
+    """Edit distance; some number above `most` where it is above. Unlike texts are told by their beginnings."""
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
@@ -183,25 +211,15 @@ def distance(a: str, b: str, most: int) -> int:
     while n < min(len(a), len(b)) and a[-1 - n] == b[-1 - n]:
         n += 1
     a, b = a[: len(a) - n], b[: len(b) - n]
-    if not a or not b or abs(len(a) - len(b)) > most:
-        return max(len(a), len(b))
-    where: dict[str, int] = {}
-    for k, c in enumerate(a):
-        where[c] = where.get(c, 0) | (1 << k)
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score, left_over = full, 0, len(a), len(b)
-    for c in b:
-        eq = where.get(c, 0)
-        across = eq | down
-        diag = (((eq & up) + up) ^ up) | eq
-        right, left = down | ~(diag | up) & full, up & diag
-        score += 1 if right & top else -1 if left & top else 0
-        left_over -= 1
-        if score - left_over > most:  # each later step takes off one at most
-            return score
-        right = (right << 1 | 1) & full
-        up, down = (left << 1 & full) | ~(across | right) & full, right & across
-    return score
+    if len(a) < len(b):
+        a, b = b, a
+    gap = len(a) - len(b)
+    if not b or gap > most:
+        return len(a)
+    lead = 2 * most + 8  # the diagonal is the same over beginnings of both
+    if len(b) > 2 * lead and diagonal(a[: lead + gap], b[:lead], most) > most:
+        return most + 1
+    return diagonal(a, b, most)
 
 
 def anchored(a: str, b: str, most: int) -> int:
@@ -243,12 +261,14 @@ def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def gram_counts(texts) -> np.ndarray:
-    """Counts of each text's trigrams in GRAMS buckets, 255 at most: one edit moves six of them by one at most."""
-    out = np.zeros((len(texts), GRAMS), np.uint8)
+    """Counts of each text's trigrams in GRAMS buckets and of its letters in LETTERS more, 255 at most: an edit
+    takes three trigrams and one letter at most from either text that the other has not."""
+    out = np.zeros((len(texts), GRAMS + LETTERS), np.uint8)
     for k, text in enumerate(texts):
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         g = mix64(c[:-2] << np.uint64(42) ^ c[1:-1] << np.uint64(21) ^ c[2:]) % np.uint64(GRAMS)
-        out[k] = np.minimum(np.bincount(g.astype(np.int64), minlength=GRAMS), 255)
+        out[k, :GRAMS] = np.minimum(np.bincount(g.astype(np.int64), minlength=GRAMS), 255)
+        out[k, GRAMS:] = np.minimum(np.bincount((c % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS), 255)
     return out
 
 
@@ -259,7 +279,7 @@ class Links:
         self.nodes, self.texts = nodes, texts
         self.size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.limit = ((1 - SIMILARITY) * self.size + 1e-9).astype(np.int64)
-        self.grams, self.counted = np.zeros((len(texts), GRAMS), np.uint8), np.zeros(len(texts), bool)
+        self.grams, self.counted = np.zeros((len(texts), GRAMS + LETTERS), np.uint8), np.zeros(len(texts), bool)
         self.words: list = [None] * len(texts)
         self.parent = np.unique(known, return_index=True, return_inverse=True)[1:]
         self.parent = self.parent[0][self.parent[1]].tolist()  # lines of one known group hang on its first
@@ -308,7 +328,10 @@ class Links:
             new = new[~self.counted[new]]
             self.grams[new], self.counted[new] = gram_counts(self.texts[new]), True
             x, y = self.grams[a], self.grams[b]
-            near = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= 6 * most
+            apart = np.maximum(x, y) - np.minimum(x, y)
+            gap = np.abs(self.size[a] - self.size[b])  # with it, twice what the longer has over the shorter
+            near = apart[:, :GRAMS].sum(axis=1, dtype=np.int64) + gap <= 6 * most
+            near &= apart[:, GRAMS:].sum(axis=1, dtype=np.int64) + gap <= 2 * most
             for i, j in zip(a[near].tolist(), b[near].tolist()):
                 u, v = self.find(i), self.find(j)
                 if u != v and edit_similar(self.texts[i], self.texts[j]):
