@@ -27,7 +27,7 @@ Subsequently Abstract Introduction Background Method Methods Methodology Approac
 Result Discussion Conclusion Conclusions References Acknowledgments Acknowledgements Related Work Limitations
 Appendices""".split()
 
-#: Word boundaries count ASCII letters only, which Java's \\b does not.
+#: Forms of names. Word boundaries count ASCII letters only, which Java's \\b does not.
 ENTITY_PHRASE = r"(?<![A-Za-z0-9_])[A-Z][a-zA-Z0-9'-]+(?:\s+[A-Z][a-zA-Z0-9'-]+)*"
 ACRONYM = r"(?<![A-Za-z0-9_])[A-Z]{2,}(?:-[A-Z0-9]+)?(?![A-Za-z0-9_])"
 
@@ -47,10 +47,19 @@ def stem(term: Column) -> Column:
     )
 
 
+def lower_words(text: Column) -> Column:
+    """Array of the lower-cased alphanumeric runs of a text; its ends may be empty strings."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
+
+
+def tells(word: Column) -> Column:
+    """Whether a word of lower_words is a term: two letters or more and no stopword."""
+    return (F.length(word) >= 2) & ~word.isin(STOPWORDS)
+
+
 def content_terms(text: Column) -> Column:
-    """Lower-cased alphanumeric terms of two letters or more, without stopwords, stemmed; repeats stay."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
-    return F.transform(F.filter(words, lambda t: (F.length(t) >= 2) & ~F.array_contains(_strings(STOPWORDS), t)), stem)
+    """Array of a text's content terms, stemmed; repeats stay. Over tables, term_rows explodes first and is faster."""
+    return F.transform(F.filter(lower_words(text), tells), stem)
 
 
 def count_tokens(text: Column) -> Column:
@@ -102,12 +111,14 @@ def entity_mentions(text: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """Array of (marker, sentence) of every [n] in the answer; the sentence has its markers removed."""
+    """Array of (marker, sentence) of every [n] in the answer; the sentence has its markers removed.
+
+    A number beyond an int becomes the largest one, which no list of sources reaches."""
     per = F.transform(
         sentences(answer),
         lambda s: F.transform(
             F.regexp_extract_all(s, F.lit(r"\[([0-9]+)\]"), F.lit(1)),
-            lambda m: F.struct(m.cast("int").alias("marker"), F.trim(F.regexp_replace(s, r"\s*\[[0-9]+\]", "")).alias("sentence")),
+            lambda m: F.struct(F.coalesce(m.try_cast("int"), F.lit(2**31 - 1)).alias("marker"), F.trim(F.regexp_replace(s, r"\s*\[[0-9]+\]", "")).alias("sentence")),
         ),
     )
     return F.flatten(per)
@@ -148,7 +159,8 @@ def letter_ratio(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0.0).otherwise(F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / F.length(text))
 
 
-REF = r"^(.+?)\s+([0-9]+)(?::([0-9]+))?(?:-([0-9]+)(?::([0-9]+))?)?$"
+#: Fixed value: the form of a reference; numbers of more than nine digits make none.
+REF = r"^(.+?)\s+([0-9]{1,9})(?::([0-9]{1,9}))?(?:-([0-9]{1,9})(?::([0-9]{1,9}))?)?$"
 
 
 def parse_ref(ref: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fnv1a
-from ..functions.text import content_terms, entity_mentions
-from .retrieval import explode_terms, idf, scored_pairs, term_vectors
+from ..functions.text import entity_mentions
+from .retrieval import best_pairs, explode_terms, idf, term_rows, term_vectors
 
 
 def containment(questions: DataFrame, chunks: DataFrame, weights: DataFrame, n: int) -> DataFrame:
@@ -17,9 +17,9 @@ def containment(questions: DataFrame, chunks: DataFrame, weights: DataFrame, n:
     questions (query_id, id, text) names the chunk of each question; an equi join on (pair, term)."""
     import math
 
-    q = explode_terms(questions, ["query_id", "id"], F.array_distinct(content_terms(F.col("text"))))
+    q = term_rows(questions, ["query_id", "id"]).distinct()
     q = q.join(weights.select("term", "idf"), "term", "left").withColumn("w", F.coalesce("idf", F.lit(math.log(n or 1) + 1)))
-    c = explode_terms(chunks, ["id"], F.array_distinct(content_terms(F.col("text")))).withColumn("has", F.lit(1))
+    c = term_rows(chunks, ["id"]).distinct().withColumn("has", F.lit(1))
     j = q.join(c, ["id", "term"], "left")
     sums = j.groupBy("query_id", "id").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("has") == 1, F.col("w")).otherwise(0.0)).alias("shared"))
     return sums.select("query_id", "id", F.round(F.coalesce(F.try_divide("shared", "total"), F.lit(0.0)), 6).alias("overlap"))
@@ -50,9 +50,11 @@ def near_duplicates(labelled: DataFrame, candidates: DataFrame, threshold: float
 
     labelled (query_id, vector, doc), candidates (id, vector, doc)."""
     base = candidates.join(labelled.select(F.col("query_id").alias("id")), "id", "left_anti")
-    pairs = scored_pairs(labelled, base).withColumn("similarity", F.round("similarity", 6))
-    best = pairs.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("query_id")).alias("neg"))).alias("b"), F.first("doc").alias("doc"))
-    best = best.select("id", (-F.col("b.neg")).alias("labelled_id"), "b.similarity", "doc").where(F.col("similarity") >= threshold)
+    one = F.lit(0).cast("long")
+    pairs = best_pairs(labelled.withColumn("tag", one), base.withColumn("tag", one), 1, "id", threshold - 1e-6)
+    best = pairs.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("query_id")).alias("neg"))).alias("b"))
+    best = best.select("id", (-F.col("b.neg")).alias("labelled_id"), "b.similarity").where(F.col("similarity") >= threshold)
+    best = best.join(base.groupBy("id").agg(F.first("doc").alias("doc")), "id")
     return best.join(labelled.select(F.col("query_id").alias("labelled_id"), F.col("doc").alias("doc2")), "labelled_id").select("id", "labelled_id", "similarity", (F.col("doc") == F.col("doc2")).alias("same_doc"))
 
 

@@ -51,9 +51,11 @@ def dense_topk(spark, sf_dir):
 
 def dense_topk_filtered(spark, sf_dir):
     q, base = vectors(spark, sf_dir)
-    tags = F.array(F.concat(F.lit("l"), F.col("label")), F.concat(F.lit("m"), F.pmod("label", F.lit(3))))
-    wanted = F.array(F.concat(F.lit("m"), F.pmod("query_id", F.lit(3))))
-    return R.dense_topk(q, base, 10, R.overlap_filter(tags, wanted)).select("query_id", "id", "label", "similarity", "rank")
+    # even tags are labels, odd ones their remainders
+    tags = F.array(2 * F.col("label"), 2 * F.pmod("label", F.lit(3)) + 1).cast("array<long>")
+    wanted = F.array(2 * F.pmod("query_id", F.lit(3)) + 1).cast("array<long>")
+    found = R.dense_topk(q.withColumn("tags", wanted), base.withColumn("tags", tags), 10)
+    return found.join(base.select("id", "label"), "id").select("query_id", "id", "label", "similarity", "rank")
 
 
 def keyword_topk(spark, sf_dir):

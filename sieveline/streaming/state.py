@@ -5,29 +5,34 @@ table of events that gives the same admissions, as both fold the same small step
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LIMIT_SCHEMA = "key long, event_id long, ts timestamp, admitted boolean"
+LIMIT_SCHEMA = "key string, event_id long, ts timestamp, admitted boolean"
 
 
-def admit(recent: list[float], now: float, most: int, window: float) -> tuple[bool, list[float]]:
-    """One step of a sliding limiter: at most `most` admissions in `window` seconds; a refused event does not count."""
-    recent = [t for t in recent if now - t < window]
-    return (True, [*recent, now]) if len(recent) < most else (False, recent)
+def admit(recent: list[float], now: float, most: int, window: float) -> bool:
+    """One step of a sliding limiter: at most `most` admissions in `window` seconds; a refused event does not count.
 
+    `recent` holds the admissions of the window, `most` at the most, and is brought up to date."""
+    recent[:] = [t for t in recent if now - t < window]
+    if len(recent) < most:
+        recent.append(now)
+        return True
+    return False
 
-def _fold(pdf: pd.DataFrame, recent: list[float], most: int, window: float) -> tuple[pd.DataFrame, list[float]]:
-    pdf = pdf.sort_values(["ts", "event_id"])
-    out = []
-    for t in pdf["ts"].astype("int64") / (1e9 if str(pdf["ts"].dtype).startswith("datetime64[ns") else 1e6):
-        ok, recent = admit(recent, float(t), most, window)
-        out.append(ok)
-    return pdf[["key", "event_id", "ts"]].assign(admitted=out), recent
+
+def _seconds(ts: pd.Series) -> Iterable[float]:
+    return (ts.astype("int64") / (1e9 if str(ts.dtype).startswith("datetime64[ns") else 1e6)).tolist()
+
+
+def _keyed(events: DataFrame) -> DataFrame:
+    """event_id, ts and the key as text, empty for null: pandas neither groups null keys nor keeps longs beside them."""
+    return events.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
 def limit_events(events: DataFrame, most: int = 2, window: float = 180.0) -> DataFrame:
@@ -36,16 +41,17 @@ def limit_events(events: DataFrame, most: int = 2, window: float = 180.0) -> Dat
     The state of a key is `most` times; rows of a key arrive in time order in Arrow batches, never as one group."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: tuple[object, list[float]] = (object(), [])
+        last, recent = None, []
         for pdf in frames:
-            for key, part in pdf.groupby("key", sort=False):
-                recent = state[1] if state[0] == key else []
-                out, recent = _fold(part, recent, most, window)
-                state = (key, recent)
-                yield out
+            out = []
+            for key, now in zip(pdf["key"].tolist(), _seconds(pdf["ts"])):
+                if key != last:
+                    last, recent = key, []
+                out.append(admit(recent, now, most, window))
+            yield pdf.assign(admitted=out)
 
-    d = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return d.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(run, LIMIT_SCHEMA)
+    d = _keyed(events).repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    return d.mapInPandas(run, LIMIT_SCHEMA).withColumn("key", F.nullif("key", F.lit("")).cast("long"))
 
 
 def limit_stream(events: DataFrame, most: int = 2, window: float = 180.0) -> DataFrame:
@@ -56,14 +62,15 @@ def limit_stream(events: DataFrame, most: int = 2, window: float = 180.0) -> Dat
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(frames))
-        out, recent = _fold(pdf, recent, most, window)
+        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = pdf[["key", "event_id", "ts"]].assign(admitted=[admit(recent, now, most, window) for now in _seconds(pdf["ts"])])
         state.update((recent,))
         state.setTimeoutTimestamp(max(int((max(recent, default=0) + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield out
 
-    d = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "10 minutes")
-    return d.groupBy("key").applyInPandasWithState(step, LIMIT_SCHEMA, "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    d = _keyed(events).withWatermark("ts", "10 minutes").groupBy("key")
+    out = d.applyInPandasWithState(step, LIMIT_SCHEMA, "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("key", F.nullif("key", F.lit("")).cast("long"))
 
 
 def daily_counts(events: DataFrame) -> DataFrame:

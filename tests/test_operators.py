@@ -3,6 +3,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,53 @@ def test_report_rules_on_nulls(spark):
     flagged = spark.createDataFrame([(1, True), (2, None), (3, False), (4, True)], "k long, s boolean")
     assert {r["k"]: r["place"] for r in R.flagged_last(flagged, "s", "k").collect()} == {2: 1, 3: 2, 1: 3, 4: 4}
     assert R.flagged_last(flagged.limit(0), "s", "k").count() == 0 and R.latest_finished(spark.createDataFrame([], "run_id long, started timestamp, finished timestamp")).count() == 0
+
+
+def test_limiter_keeps_null_keys(spark):
+    rows = [(None, 1, "2024-01-01 00:00:00"), (2**60 + 1, 2, "2024-01-01 00:00:01"), (None, 3, "2024-01-01 00:00:02"), (None, 4, "2024-01-01 00:00:03")]
+    d = spark.createDataFrame(rows, "key long, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    got = {r["event_id"]: (r["key"], r["admitted"]) for r in state.limit_events(d, 2, 900.0).collect()}
+    assert got == {1: (None, True), 2: (2**60 + 1, True), 3: (None, True), 4: (None, False)}
+
+
+def test_numbers_too_long(spark):
+    assert one(spark, X.citations(F.lit("It is so [99999999999]. Or [2].")))[0]["marker"] == 2**31 - 1
+    assert one(spark, X.parse_ref(F.lit("Mark 99999999999:1"))) is None
+
+
+@pytest.mark.parametrize("block", [1 << 26, 64])
+def test_dense_search_by_tags_and_lengths(spark, monkeypatch, block):
+    """Tags, null and empty tags, ties, zero, null and longer vectors, against a plain loop, in one block and in many."""
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", block)
+    monkeypatch.setattr(retrieval, "PRODUCT", 3)
+    rng = np.random.RandomState(4)
+    vectors = [rng.randint(-2, 3, 3).astype(float).tolist() for _ in range(40)] + [None, [0.0] * 3, [1.0, None, 2.0], [1.0, 2.0]]
+    base = [(k, v, [k % 3, None] if k % 5 else None) for k, v in enumerate(vectors)]
+    asked = [(100 + k, v, [None, [], [1], [0, 1, 1], [2, None]][k % 5]) for k, v in enumerate(vectors[:12] + vectors[-4:])]
+    b = spark.createDataFrame(base, "id long, vector array<double>, tags array<long>")
+    q = spark.createDataFrame(asked, "query_id long, vector array<double>, tags array<long>")
+
+    def plain(tagged):
+        out = set()
+        for qid, u, wanted in asked:
+            found = []
+            for i, v, tags in base:
+                if u is None or v is None or None in u or None in v or len(u) != len(v) or not any(u) or not any(v):
+                    continue
+                if not tagged or not wanted or set(wanted) & set(tags or ()) - {None}:
+                    c = np.dot(u, v) / np.sqrt(np.dot(u, u) * np.dot(v, v))
+                    found.append((-round(c, 6) + 0.0, i))
+            out |= {(qid, i, n + 1) for n, (_, i) in enumerate(sorted(found)[:4])}
+        return out
+
+    for tagged in (False, True):
+        got = retrieval.dense_topk(q if tagged else q.drop("tags"), b if tagged else b.drop("tags"), 4)
+        assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == plain(tagged)
+
+
+def test_near_duplicates_finds_planted_ones(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 5), (2, b, 6), (3, [0.99, 0.05, 0.0], 5), (4, [0.5, 0.5, 0.7], 6), (5, [0.0, 2.0, 0.1], 9)]
+    d = spark.createDataFrame(rows, "id long, vector array<double>, doc long")
+    got = mining.near_duplicates(d.where("id <= 2").withColumnRenamed("id", "query_id"), d, 0.85).collect()
+    assert {(r["id"], r["labelled_id"], r["same_doc"]) for r in got} == {(3, 1, True), (5, 2, False)}
