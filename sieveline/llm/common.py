@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset in local mode (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
