@@ -57,7 +57,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: The multinomial draw, permutations and merges have no SQL form; tests compare each stage with brute force.
+#: The multinomial draw, permutations and merges have no SQL form; the operators have brute-force tests of their own, the stages are tested for row counts and columns only.
 ORACLE_SQL = None
 
 
