@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat_format, embedding_dedup, hmm_score, language_id, line_dedup, mixing, quality_rules, simhash_dedup, token_codes
+from . import bpe, chat_format, chat_repair, embedding_dedup, hmm_score, language_id, line_dedup, mixing, packing, phrases, quality_rules, simhash_dedup, token_codes
 
-MODULES = [quality_rules, line_dedup, embedding_dedup, simhash_dedup, hmm_score, mixing, language_id, chat_format, token_codes, bpe]
+MODULES = [quality_rules, line_dedup, embedding_dedup, simhash_dedup, hmm_score, mixing, language_id, chat_format, token_codes, bpe, phrases, packing, chat_repair]
 
 
 def queries() -> dict:
