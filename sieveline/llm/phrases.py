@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,7 +35,7 @@ NAME = "op11_phrases"
 SUPPORT, LONGEST, TOP = 30, 4, 2000
 LEAST_BITS, MOST_BITS = 16, 25
 SLICE, FAN = 1 << 16, 64
-CHUNK = 4 << 20  # bytes of text that one numpy pass takes
+CHUNK = 2 << 20  # bytes of text that one numpy pass takes
 SEEDS = range(5)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,7 +104,7 @@ def joined(g: np.ndarray, more: np.ndarray) -> np.ndarray:
     return mix64(g * _MIX + more)
 
 
-def cut(texts: list[bytes], limit: int = CHUNK):
+def cut(texts, limit: int = CHUNK):
     """(index, text) with texts longer than limit cut after the next piece end, which no phrase crosses."""
     for k, t in enumerate(texts):
         at = 0
@@ -116,12 +117,12 @@ def cut(texts: list[bytes], limit: int = CHUNK):
         yield k, t[at:] if at else t
 
 
-def batches(frames, limit: int = CHUNK):
-    """(texts, languages) of about limit bytes each, over all frames of a task."""
+def batches(given, limit: int = CHUNK):
+    """(texts, languages) of about limit bytes each, over all Arrow batches of a task."""
     held, langs, size = [], [], 0
-    for pdf in frames:
-        texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
-        names = pdf["lang"].tolist()
+    for batch in given:
+        texts = (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist())
+        names = batch.column("lang").to_pylist()
         for k, t in cut(texts, limit):
             held.append(t)
             langs.append(names[k])
@@ -150,22 +151,22 @@ class Runs:
         return np.array([lang_key(n) for n in self.names], dtype=np.uint64)[self.lang]
 
 
-def groups(order_by: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of one member, size) of runs of equal columns after sorting by a hash of them."""
-    order = np.argsort(order_by, kind="stable")
+def groups(order_by: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first places in it, sizes) of runs of equal columns after sorting by a hash of them."""
+    order = np.argsort(order_by)
     new = np.zeros(len(order), dtype=bool)
     new[:1] = True
     for c in columns:
         s = c[order]
         new[1:] |= s[1:] != s[:-1]
     first = np.flatnonzero(new)
-    return order[first], np.diff(np.append(first, len(order)))
+    return order, first, np.diff(np.append(first, len(order)))
 
 
 def word_counts(runs: Runs, ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of one occurrence, count) of each word and language, whatever the hashes: bytes are compared."""
-    one, count = groups(g, [runs.lang, ids])
-    order = np.argsort(g, kind="stable")
+    order, first, count = groups(g, [runs.lang, ids])
+    one = order[first]
     model = np.empty(len(g), dtype=np.int64)
     model[order] = np.repeat(one, count)
     size = runs.end - runs.start
@@ -203,31 +204,42 @@ def positions(n: int, runs: Runs, g1: np.ndarray, known: Bits, exact_upto: int)
 
 
 COUNTS = "kind int, lang string, i1 long, i2 long, i3 long, i4 long, word string, c long, part int, slice int, block binary"
-COLUMNS = [c.split()[0] for c in COUNTS.split(", ")]
 
 
-def rows(**columns) -> pd.DataFrame:
-    """A frame of COUNTS; columns not given are null."""
-    d = pd.DataFrame(columns).reindex(columns=COLUMNS)
-    return d.astype({c: object for c in ("lang", "word", "block")})
+TYPES = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in COUNTS.split(", "))])
 
 
-def block_rows(array: np.ndarray, part: int) -> dict:
-    """part, slice and block of the slices that hold anything."""
+def rows(n: int, **columns) -> pa.RecordBatch:
+    """n rows of COUNTS; columns not given are null."""
+    cols = {c: v if isinstance(v, (pa.Array, int)) else pa.array(v, TYPES.field(c).type) for c, v in columns.items()}
+    cols = {c: pa.repeat(pa.scalar(v, TYPES.field(c).type), n) if isinstance(v, int) else v for c, v in cols.items()}
+    return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in TYPES], schema=TYPES)
+
+
+def strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The slices of a buffer as an array of strings."""
+    size = end - start
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    data = buf[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)]
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def block_rows(array: np.ndarray, part: int, first: int = 0) -> dict:
+    """part, slice (numbered from first) and block of the slices that hold anything."""
     parts = array.reshape(-1, min(SLICE, len(array)))
     some = np.flatnonzero(parts.any(axis=1))
-    return {"part": np.full(len(some), part), "slice": some.astype(np.int32), "block": [parts[s].tobytes() for s in some]}
+    return {"part": np.full(len(some), part), "slice": first + some, "block": [parts[s].tobytes() for s in some]}
 
 
 def one_pass(n: int, hasher: Hasher, known, bits: int, support: int):
     """Task of level n: partial counts of phrases of n words (kind 0), buckets of n + 1 (kind 1), words (kind 2)."""
     kind = np.uint8 if support < 256 else np.uint32
 
-    def run(frames):
+    def run(given):
         tables = known.value if known is not None else Bits(bits, {}, {})
         array = np.zeros(1 << bits, dtype=kind)
         part = TaskContext.get().partitionId()
-        for texts, langs in batches(frames):
+        for texts, langs in batches(given):
             runs = Runs(texts, langs)
             if not len(runs.start):
                 continue
@@ -236,15 +248,16 @@ def one_pass(n: int, hasher: Hasher, known, bits: int, support: int):
             at, g = positions(n, runs, g1, tables, n - 1)
             if n == 1:
                 one, count = word_counts(runs, ids, g1)
-                words = [runs.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(runs.start[one].tolist(), runs.end[one].tolist())]
                 total = np.bincount(runs.lang, minlength=len(runs.names))
-                yield rows(kind=2, lang=runs.names, c=total)
+                yield rows(len(total), kind=2, lang=runs.names, c=total)
             else:
-                pick, count = groups(g, [runs.lang[at], *(ids[at + k] for k in range(n))])
-                one, words = at[pick], None
+                order, first, count = groups(g, [runs.lang[at], *(ids[at + k] for k in range(n))])
+                one = at[order[first]]
             if len(one):
                 cols = {f"i{k + 1}": ids[one + k].view(np.int64) if k < n else 0 for k in range(4)}
-                yield rows(kind=0, lang=runs.names[runs.lang[one]], **cols, word=words, c=count)
+                if n == 1:
+                    cols["word"] = strings(runs.buf, runs.start[one], runs.end[one])
+                yield rows(len(one), kind=0, lang=pa.array(runs.names, pa.string()).take(pa.array(runs.lang[one])), **cols, c=count)
             if n < LONGEST:
                 ok = np.zeros(len(g1) + 1, dtype=bool)
                 ok[at] = True
@@ -255,7 +268,9 @@ def one_pass(n: int, hasher: Hasher, known, bits: int, support: int):
                     where = b[first].astype(np.int64)
                     array[where] = np.minimum(array[where].astype(np.int64) + np.diff(np.append(first, len(b))), support)
         if array.any():
-            yield rows(kind=1, **block_rows(array, part))
+            for at in range(0, len(array), 16 * SLICE):
+                some = block_rows(array[at : at + 16 * SLICE], part, at // SLICE)
+                yield rows(len(some["block"]), kind=1, **some)
 
     return run
 
@@ -315,24 +330,28 @@ KEY = ["lang", "n", "i1", "i2", "i3", "i4"]
 
 
 def vocabulary(texts: DataFrame, bits: int, support: int) -> tuple[Hasher, DataFrame, DataFrame]:
-    """(hasher, level-1 rows, frequent words) with a hash that keeps the words of every language apart."""
+    """(hasher, level-1 rows, frequent words) with a hash that keeps the words of every language apart.
+
+    Words that share an id differ in a second, unrelated 64-bit hash."""
     for seed in SEEDS:
         hasher = Hasher(seed)
-        got = materialise(texts.mapInPandas(one_pass(1, hasher, None, bits, support), COUNTS), "phrases-1")
-        words = got.where("kind = 0").groupBy("lang", "i1").agg(F.sum("c").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
+        got = materialise(texts.mapInArrow(one_pass(1, hasher, None, bits, support), COUNTS), "phrases-1")
+        check = F.xxhash64("word")
+        words = got.where("kind = 0").groupBy("lang", "i1").agg(F.sum("c").alias("f"), F.min(check).alias("low"), F.max(check).alias("high"))
         words = materialise(words.where(F.col("f") >= support), "words")
-        if not words.where("word <> other").head(1):
-            return hasher, got, words.drop("other")
+        if not words.where("low <> high").head(1):
+            return hasher, got, words.drop("low", "high")
     raise ValueError("two words share their hash under every seed")
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(phrases, words, totals): lang, n, i1..i4, f of all frequent phrases; lang, i1, word, f; lang, n of words."""
+    """(phrases, words, totals): lang, n, i1..i4, f of all frequent phrases; lang, i1, word, in part repeated; lang, n of words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (chars // 32).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (chars // 64).bit_length()))
     hasher, got, words = vocabulary(texts, bits, support)
+    named = got.where("kind = 0").select("lang", "i1", "word")
     totals = materialise(got.where("kind = 2").groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     zero = F.lit(0).cast("long")
     levels = [words.select("lang", F.lit(1).alias("n"), "i1", zero.alias("i2"), zero.alias("i3"), zero.alias("i4"), "f")]
@@ -343,13 +362,13 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         if not known.buckets[n].any() or not known.exact[n - 1].any():
             break
         shared = spark.sparkContext.broadcast(known)
-        got = materialise(texts.mapInPandas(one_pass(n, hasher, shared, bits, support), COUNTS), f"phrases-{n}")
+        got = materialise(texts.mapInArrow(one_pass(n, hasher, shared, bits, support), COUNTS), f"phrases-{n}")
         found = got.where("kind = 0").groupBy("lang", "i1", "i2", "i3", "i4").agg(F.sum("c").alias("f")).where(F.col("f") >= support)
         levels.append(materialise(found.select("lang", F.lit(n).alias("n"), "i1", "i2", "i3", "i4", "f"), f"level-{n}"))
     every = levels[0]
     for d in levels[1:]:
         every = every.unionByName(d)
-    return every, words, totals
+    return every, named, totals
 
 
 def part_of(first: int, n: int) -> list:
@@ -398,7 +417,9 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP) -> Dat
     best = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     d = materialise(d.withColumn("__rank", F.rank().over(best)).where(F.col("__rank") <= top).drop("__rank"), "best")
     each = d.select("*", F.posexplode(F.slice(F.array("i1", "i2", "i3", "i4"), 1, F.col("n"))).alias("at", "i"))
-    named = each.join(words.select("lang", F.col("i1").alias("i"), "word"), ["lang", "i"])
+    ids = each.select("lang", "i").distinct()
+    spelt = words.withColumnRenamed("i1", "i").join(ids, ["lang", "i"], "left_semi").distinct()
+    named = each.join(spelt, ["lang", "i"])
     phrase = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
     named = named.groupBy(*KEY, "a", "l", "r", "score").agg(phrase.alias("phrase"))
     final = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
