@@ -169,16 +169,22 @@ def costs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ck", "seg", "table", "illegal", "head", "tail"])
 
 
-def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a conversation: the vector of costs to go at the end of each of its segments, its cost and illegal pairs."""
-    p = pdf.sort_values("seg", ascending=False)
-    v, out, after = FINAL, [], None
-    for seg, table, illegal, head, tail in zip(p["seg"], p["table"], p["illegal"], p["head"], p["tail"]):
-        crossing = 0 if after is None else int((tail, after) not in LEGAL)
-        out.append([p["ck"].iloc[0], seg, v, after is None, illegal + crossing])
-        v = inserted([min(min(int(table[4 * j + q]) + v[j], NEVER) for j in range(4)) for q in range(4)])
-        after = head
-    return pd.DataFrame(out, columns=["ck", "seg", "end", "last", "illegal"]).assign(cost=[0] * (len(out) - 1) + [v[0]])
+def ends(frames):
+    """Of segments sorted by conversation, last first: the vector of costs to go at the end of each, illegal pairs
+    (with the one to the next segment) and cost (at a conversation's first segment that of the whole, else less than it
+    by what comes before). Only the vector, the initial and the conversation are carried from row to row."""
+    ck, v, after = None, FINAL, None
+    for pdf in frames:
+        out = []
+        for name, seg, table, illegal, head, tail in pdf.itertuples(index=False):
+            if name != ck:
+                ck, v, after = name, FINAL, None
+            crossing = 0 if after is None else int((tail, after) not in LEGAL)
+            was = v
+            v = inserted([min(min(int(table[4 * j + q]) + v[j], NEVER) for j in range(4)) for q in range(4)])
+            out.append((name, seg, was, after is None, illegal + crossing, v[0]))
+            after = head
+        yield pd.DataFrame(out, columns=["ck", "seg", "end", "last", "illegal", "cost"])
 
 
 def traces(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,13 +198,16 @@ def traces(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ck", "seg", "leads", "edits"])
 
 
-def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a conversation: the state in which each segment begins and its edits."""
-    q, out = 0, []
-    for ck, seg, leads, edits in pdf.sort_values("seg").itertuples(index=False):
-        out.append((ck, seg, q, edits[q]))
-        q = int(leads[q])
-    return pd.DataFrame(out, columns=["ck", "seg", "begins", "edits"])
+def chained(frames):
+    """Of segments sorted by conversation: the state in which each begins and its edits; the state is carried."""
+    ck, q = None, 0
+    for pdf in frames:
+        out = []
+        for name, seg, leads, edits in pdf.itertuples(index=False):
+            ck, q = name, 0 if name != ck else q
+            out.append((name, seg, q, edits[q]))
+            q = int(leads[q])
+        yield pd.DataFrame(out, columns=["ck", "seg", "begins", "edits"])
 
 
 def edited(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -232,16 +241,18 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = faulted(rows)
     slim = d.select("at", "seg", "ck", "symbol")
     tables = slim.groupBy("seg").applyInPandas(costs, "ck string, seg long, table array<long>, illegal long, head int, tail int")
-    closing = materialise(tables.groupBy("ck").applyInPandas(ends, "ck string, seg long, end array<long>, last boolean, illegal long, cost long"), "ends")
+    tables = tables.repartition("ck").sortWithinPartitions("ck", F.desc("seg"))
+    closing = materialise(tables.mapInPandas(ends, "ck string, seg long, end array<long>, last boolean, illegal long, cost long"), "ends")
     traced = slim.join(closing.select("ck", "seg", "end", "last"), ["ck", "seg"]).groupBy("seg").applyInPandas(traces, "ck string, seg long, leads array<int>, edits array<string>")
-    parts = materialise(traced.groupBy("ck").applyInPandas(chained, "ck string, seg long, begins int, edits string"), "edits")
+    traced = traced.repartition("ck").sortWithinPartitions("ck", "seg")
+    parts = materialise(traced.mapInPandas(chained, "ck string, seg long, begins int, edits string"), "edits")
     moves = slim.join(parts, ["ck", "seg"]).groupBy("seg").applyInPandas(edited, "at long, place long, new_role string, is_new boolean")
     out = d.select("at", "ck", "role", "text").join(moves, "at")
     out = out.select("ck", "at", "place", F.coalesce("new_role", "role").alias("role"), F.when(F.col("is_new"), "").otherwise(F.col("text")).alias("text"), "is_new")
     number = lambda c: F.sum(F.col(c).cast("long")).alias(c)
     gaps = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).cast("long").alias("gaps")
     counts = d.groupBy("ck").agg(gaps, number("blank"), number("duplicate"), number("truncated"))
-    sums = closing.groupBy("ck").agg(F.sum("illegal").alias("illegal"), F.sum("cost").alias("cost"))
+    sums = closing.groupBy("ck").agg(F.sum("illegal").alias("illegal"), F.min_by("cost", "seg").alias("cost"))
     audit = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "edits"))), lambda x: x["edits"]), "").alias("audit")
     return counts.join(sums, "ck").join(parts.groupBy("ck").agg(audit), "ck"), out
 
