@@ -18,20 +18,26 @@ encoded whole, however long; an empty table gives an empty result; columns other
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .bpe import _coder, vocabulary
+from .bpe import vocabulary
 from .common import materialise, prefix_offsets
 
 NAME = "op12_packing"
 SIZE, END = 4096, 1
 ROWS = 256  # documents whose pieces are sent at a time
+REMEMBERED = 400_000  # pieces of text whose ids a worker remembers, twice
+MARKS = b".,;:!?"
 
 
 class Complements:
@@ -126,6 +132,58 @@ def ranges(patterns: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
 
 
+def ends_in_letter(piece: bytes) -> bool:
+    """Whether the last character is a Latin letter or an ASCII digit, after which marks always begin a token of their own."""
+    if piece[-1] < 128:
+        return piece[-1:].isalnum()
+    last = piece[-2:].decode("utf-8", "replace")[-1]
+    return last < "\u0250" and last.isalpha() and last.lower().isalpha()
+
+
+class Encoder:
+    """Ids of whole texts by the library; each distinct piece between white space is encoded once while it is remembered."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. White space never is in a token."""
+        parts = [t.split() for t in texts]
+        new = set().union(*parts).difference(self.known)
+        bare = {p: len(p.rstrip(MARKS)) for p in new}
+        cut = {p: n for p, n in bare.items() if 0 < n < len(p) and ends_in_letter(p[:n])}
+        heads = {p[:n] for p, n in cut.items()} | {p[n:] for p, n in cut.items()}
+        self.learn(heads.difference(self.known))
+        self.learn(new.difference(cut, heads))
+        known = self.known
+        known.update([(p, known[p[:n]] + known[p[n:]]) for p, n in cut.items()])
+        out = [b"".join([known[p] for p in part]) for part in parts]
+        if len(known) > REMEMBERED:  # stays for a while as the older half
+            self.older, self.known = {p: v for p, v in known.items() if len(p) <= 64}, {}
+        return out
+
+    def learn(self, pieces: set) -> None:
+        unseen = []
+        for p in pieces:
+            ids = self.older.get(p)
+            if ids is None:
+                unseen.append(p)
+            else:
+                self.known[p] = ids
+        coded = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in unseen], add_special_tokens=False)
+        self.known.update([(p, array("I", e.ids).tobytes()) for p, e in zip(unseen, coded)])
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 PIECES = "at long, doc_id string, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -133,13 +191,14 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> Data
     """Pieces of every document: ids (little-endian unsigned 32-bit) with their checksum; `at` is a key of the row."""
 
     def run(frames):
-        coder, at = _coder(path), TaskContext.get().partitionId() << 33
+        coder, at = _encoder(path), TaskContext.get().partitionId() << 33
         last = np.array([end], dtype="<u4").tobytes()
         for pdf in frames:
             for lo in range(0, len(pdf), ROWS):
                 out = []
-                for doc, text in zip(pdf["doc_id"].iloc[lo : lo + ROWS], pdf["text"].iloc[lo : lo + ROWS]):
-                    ids = coder.encode(text if isinstance(text, str) else None) + last
+                texts = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in pdf["text"].iloc[lo : lo + ROWS]]
+                for doc, ids in zip(pdf["doc_id"].iloc[lo : lo + ROWS], coder.encode(texts)):
+                    ids += last
                     for k in range(-(-len(ids) // (4 * size))):
                         part = ids[4 * size * k : 4 * size * (k + 1)]
                         out.append((at, doc if isinstance(doc, str) else None, k, size * k, len(part) // 4, zlib.crc32(part), part))

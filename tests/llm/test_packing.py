@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 from sieveline.llm import packing
 
 from ..conftest import SF
+from .test_tokens import odd_texts
 
 
 def used(patterns, size):
@@ -36,6 +37,17 @@ def test_exact_complements_come_first():
     assert sum(t for made, t in patterns if sum(made) == 100) == 10 and (used(patterns, 100) == counts).all()
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    path = packing.vocabulary()
+    own, lib = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = [t + tail for t in odd_texts(800, 4) for tail in ("", ".", "!?", "…. a's, É. x×. 3; <|endoftext|>! ª. ")]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        for t, got in zip(part, own.encode([t.encode() for t in part])):
+            assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_nothing_to_plan():
     assert packing.plan(np.zeros(10, dtype=np.int64)) == [] and len(packing.ranges([])) == 0
 
