@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import numbered
+
 CUTOFFS = (1, 3, 5, 10, 20)
 
 
@@ -42,10 +44,19 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.coalesce(F.expr(f"percentile_disc({q}) within group (order by {column})"), F.lit(0))
 
 
-def floor_rank(column: Column, q: float) -> Column:
-    """Aggregate: the value at index floor(q * n) from 0, clamped: the second quantile rule. Keeps the group's values."""
-    v = F.sort_array(F.collect_list(column))
-    return F.element_at(v, F.least(F.size(v), F.floor(q * F.size(v)).cast("int") + 1))
+def ranks(df: DataFrame, by: list[str], value: str, near: dict[str, float], floor: dict[str, float]) -> DataFrame:
+    """(by, one column per name): quantiles by nearest rank (the ceil(q * n)-th smallest) and by floor (index floor(q * n)
+    from 0, clamped), nulls left out. Values are numbered where they lie and looked up by number; no group is gathered."""
+    d = numbered(df.where(F.col(value).isNotNull()).select(*by, value), by, [value])
+    sizes = d.groupBy(*by).agg(F.count("*").alias("n"))
+    keys = [F.col(c).alias(f"__k{k}") for k, c in enumerate(by)]
+    want = {c: F.greatest(F.ceil(q * F.col("n")) - 1, F.lit(0)) for c, q in near.items()} | {c: F.least(F.col("n") - 1, F.floor(q * F.col("n"))) for c, q in floor.items()}
+    asked = sizes.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("__q"), x.cast("long").alias("__at")) for c, x in want.items()])).alias("__w")).select(*[f"__k{k}" for k in range(len(by))], "__w.*")
+    on = F.col("at") == F.col("__at")
+    for k, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{k}"))
+    hits = d.join(asked, on)
+    return hits.groupBy(*by).agg(*[F.max(F.when(F.col("__q") == c, F.col(value))).alias(c) for c in want])
 
 
 def run_aggregate(results: DataFrame, metrics: list[str]) -> DataFrame:

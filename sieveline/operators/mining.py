@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import fnv1a
 from ..functions.text import entity_mentions
+from ..sources.shared import written
 from .retrieval import best_pairs, explode_terms, idf, term_rows, term_vectors
 
 
@@ -71,8 +72,7 @@ def entity_index(found: DataFrame) -> DataFrame:
 def entity_pairs(chunks: DataFrame, cross: bool, fraction: float, least: int = 2, distance: int = 5) -> DataFrame:
     """(a, b, entity, df, tf, score): chunk pairs with their best shared entity, across or within documents.
 
-    Candidate entities are cut by df and tf first, so the equi self-join on the entity has at most a few rows per
-    key across documents; the best of a pair is the highest idf * min tf, then entity name."""
+    Candidate entities are cut by df and tf first; `fraction` of the documents bounds the rows of an entity. The best of a pair is the highest idf * min tf, then entity name."""
     found = mentions(chunks)
     n = chunks.select("doc").distinct().count()
     most = max(2 if cross else 1, int(fraction * n))
@@ -87,20 +87,28 @@ def entity_pairs(chunks: DataFrame, cross: bool, fraction: float, least: int = 2
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def diverse(pairs: DataFrame, limit: int) -> list:
-    """Greedy choice in score order, one pair per entity and per two chunks; pairs are the top of a sorted ranking.
-
-    Only the rows up to the last choice come to the driver (an iterator), and `limit` bounds the result."""
-    entities, both, out = set(), set(), []
-    order = pairs.orderBy(F.desc("score"), fnv1a(F.concat_ws("|", "entity", F.col("a").cast("string"), F.col("b").cast("string"))), "a", "b")
-    for r in order.toLocalIterator():
-        if r["entity"] not in entities and (r["a"], r["b"]) not in both:
-            entities.add(r["entity"])
-            both.add((r["a"], r["b"]))
-            out.append(r)
-            if len(out) >= limit:
-                break
-    return out
+def diverse(pairs: DataFrame, left: str, right: str, order: list, limit: int) -> DataFrame:
+    """The rows that a sequential choice in the given order takes, each value of left and right once, `limit` at most.
+
+    Rounds of local maxima: a row that comes first among the rows left both for its left and for its right value is
+    one that the sequential choice takes, whatever the other rows; it is taken, and rows sharing a value with it
+    go. Minima are pre-aggregated, so a hot value is no bottleneck, and joins are on keys that are unique on one side. Once `limit`
+    rows are taken, rows after the limit-th of them in order cannot be among the first and go too. `order` holds
+    columns that together set rows apart; rows equal in them and both values count once. Rows with a null value go."""
+    first = F.struct(*order, F.col(left), F.col(right)).alias("__o")
+    now = written(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select("*", first).dropDuplicates(["__o"]), "pairs")
+    taken = None
+    while True:
+        best = now.groupBy(left).agg(F.min("__o").alias("__o")).join(now.groupBy(right).agg(F.min("__o").alias("__o")), "__o")
+        picks = now.join(best.select("__o"), "__o", "left_semi").select(*now.columns)
+        taken = written(picks if taken is None else taken.unionByName(picks), "taken")
+        rest = now.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti").select(*now.columns)
+        last = taken.select("__o").orderBy("__o").limit(limit).agg(F.count("*").alias("n"), F.max("__o").alias("o"))
+        if last.first()["n"] >= limit:
+            rest = rest.join(last.select(F.col("o").alias("__last")), F.col("__o") < F.col("__last")).select(*now.columns)
+        now = written(rest, "pairs")
+        if not now.head(1):
+            return taken.orderBy("__o").limit(limit).drop("__o")
 
 
 def aggregation_questions(chunks: DataFrame, limit: int, low: int = 3, high: int = 10) -> DataFrame:

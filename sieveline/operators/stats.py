@@ -9,39 +9,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mulberry32
-
-
-def resampled_means(values: DataFrame, iters: int, seed: int) -> DataFrame:
-    """(i, m): means of `iters` seeded resamples of values (pos, x), drawn in order of pos.
-
-    The values of an evaluation set (one per question) travel with each row; each resample is folded in its own row,
-    draw by draw, so the sum's order is fixed and nothing is shuffled."""
-    packed = values.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("xs"))
-    n = F.size("xs")
-    rows = values.sparkSession.range(iters).select(F.col("id").alias("i")).join(F.broadcast(packed.where("size(xs) > 0")), F.lit(True))  # one row
-    ks = F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda j: F.col("i") * n + j)
-    rows = rows.withColumn("draws", F.transform(mulberry32(seed, ks), lambda u: F.floor(u * n).cast("int")))
-    return rows.select("i", (F.aggregate("draws", F.lit(0.0), lambda s, p: s + F.get("xs", p)) / n).alias("m"))
+from ..sources.shared import numbered
+
+
+#: Values in one block: draws meet values block by block, so that no row holds all values of a large group.
+BLOCK = 65_536
+
+
+def resampled_means(values: DataFrame, iters: int, seed: int, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(by, i, m): means of `iters` seeded resamples of each group's values (by, pos, x), drawn in order of pos.
+
+    Values are numbered and packed into blocks; a resample is drawn in ranges of draws, each range is joined with the
+    blocks that it draws from by block number, and partial sums are folded in order of range and block. A group of one
+    block is folded draw by draw, as a loop would; larger ones differ from a loop by rounding alone. Draw k of the
+    stream is an expression of k, so resamples need nothing from each other. The seeded stream starts anew for each group."""
+    by = by or []
+    d = numbered(values.select(*by, "pos", "x"), by, ["pos"])
+    blocks = d.groupBy(*by, F.floor(F.col("at") / block).alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("xs"))
+    sizes = d.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0")
+    rows = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iters - 1).cast("long")))).repartition(*by, "i")
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))
+    rows = rows.withColumn("c", F.explode(pieces))
+    ks = F.sequence(F.col("i") * F.col("n") + F.col("c") * block, F.col("i") * F.col("n") + F.least(F.col("n"), (F.col("c") + 1) * block) - 1)
+    rows = rows.withColumn("draws", F.transform(mulberry32(seed, ks), lambda u: F.floor(u * F.col("n")))).withColumn("b", F.explode(pieces))
+    own = F.transform(F.filter("draws", lambda p: F.floor(p / block) == F.col("b")), lambda p: p - F.col("b") * block)
+    rows = rows.withColumn("draws", F.when(F.col("n") <= block, F.col("draws")).otherwise(own)).join(blocks, [*by, "b"])
+    rows = rows.select(*by, "i", "n", "c", "b", F.aggregate("draws", F.lit(0.0), lambda s, p: s + F.get("xs", p.cast("int"))).alias("part"))
+    parts = rows.groupBy(*by, "i", "n").agg(F.sort_array(F.collect_list(F.struct("c", "b", "part"))).alias("parts"))
+    return parts.select(*by, "i", (F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]) / F.col("n")).alias("m"))
+
+
+def interval(means: DataFrame, iters: int, alpha: float, by: list[str]) -> DataFrame:
+    """(by, lo, hi, p_value) of resampled means: nearest-rank quantiles and the two-sided share at or beyond 0."""
+    low, high = (F.count_if(F.col("m") <= 0) + 1) / (iters + 1), (F.count_if(F.col("m") >= 0) + 1) / (iters + 1)
+    ends = [F.expr(f"percentile_disc({q}) within group (order by m)").alias(c) for c, q in (("lo", alpha / 2), ("hi", 1 - alpha / 2))]
+    return means.groupBy(*by).agg(*ends, F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p_value"))
 
 
 def bootstrap_ci(values: DataFrame, iters: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """(n, mean, lo, hi): percentile bootstrap of the mean with nearest-rank quantiles."""
-    means = resampled_means(values, iters, seed)
-    ends = means.agg(*[F.expr(f"percentile_disc({q}) within group (order by m)").alias(c) for c, q in (("lo", alpha / 2), ("hi", 1 - alpha / 2))])
+    """(n, mean, lo, hi): percentile bootstrap of the mean with nearest-rank quantiles; a row of nulls without values."""
+    ends = interval(resampled_means(values, iters, seed), iters, alpha, [])
     return values.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).join(ends, F.lit(True)).select("n", *[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")])
 
 
-def paired_bootstrap(pairs: DataFrame, iters: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """(n, mean_diff, lo, hi, p_value, discordant) of pairs (pos, a, b), already joined on the question."""
-    diffs = pairs.select("pos", (F.col("a") - F.col("b")).alias("x"))
-    means = resampled_means(diffs, iters, seed)
-    low, high = (F.count_if(F.col("m") <= 0) + 1) / (iters + 1), (F.count_if(F.col("m") >= 0) + 1) / (iters + 1)
-    ends = means.agg(
-        *[F.expr(f"percentile_disc({q}) within group (order by m)").alias(c) for c, q in (("lo", alpha / 2), ("hi", 1 - alpha / 2))],
-        F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p_value"),
-    )
-    sums = diffs.agg(F.count("*").alias("n"), F.avg("x").alias("mean_diff"), F.count_if(F.col("x") != 0).alias("discordant"))
-    return sums.join(ends, F.lit(True)).select("n", "discordant", *[F.round(c, 9).alias(c) for c in ("mean_diff", "lo", "hi", "p_value")])
+def paired_bootstrap(pairs: DataFrame, iters: int = 10_000, alpha: float = 0.05, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """(by, n, mean_diff, lo, hi, p_value, discordant) of pairs (by, pos, a, b), already joined on the question; by is not null."""
+    by = by or []
+    diffs = pairs.select(*by, "pos", (F.col("a") - F.col("b")).alias("x"))
+    ends = interval(resampled_means(diffs, iters, seed, by), iters, alpha, by)
+    sums = diffs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mean_diff"), F.count_if(F.col("x") != 0).alias("discordant"))
+    return sums.join(ends, by or F.lit(True)).select(*by, "n", "discordant", *[F.round(c, 9).alias(c) for c in ("mean_diff", "lo", "hi", "p_value")])
 
 
 #: Bernoulli terms of Stirling's series of the log factorial.
@@ -68,12 +85,13 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     return terms.agg(p.alias("p_value")).select(F.lit(c["b01"]).cast("long").alias("b01"), F.lit(c["b10"]).cast("long").alias("b10"), F.lit(n).cast("long").alias("n"), F.lit(statistic).cast("double").alias("statistic"), "p_value")
 
 
-def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """tests (test, p) with adjusted and reject: running maximum of (m - rank) * p, capped at 1."""
-    w = W.orderBy("p", "test")  # one row per test of a report
-    scaled = F.least(F.lit(1.0), (F.count("*").over(W.partitionBy()) - F.row_number().over(w) + 1) * F.col("p"))
+def holm(tests: DataFrame, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """tests (by, test, p) with adjusted and reject: running maximum of (m - rank) * p in each family, capped at 1."""
+    by = by or []
+    w = W.partitionBy(*by).orderBy("p", "test")  # one row per test of a report
+    scaled = F.least(F.lit(1.0), (F.count("*").over(W.partitionBy(*by)) - F.row_number().over(w) + 1) * F.col("p"))
     out = tests.withColumn("scaled", scaled).withColumn("adjusted", F.round(F.max("scaled").over(w.rowsBetween(W.unboundedPreceding, 0)), 9))
-    return out.select("test", F.round("p", 9).alias("p"), "adjusted", (F.col("adjusted") <= alpha).alias("reject"))
+    return out.select(*by, "test", F.round("p", 9).alias("p"), "adjusted", (F.col("adjusted") <= alpha).alias("reject"))
 
 
 def kappa(pairs: DataFrame) -> DataFrame:

@@ -73,8 +73,7 @@ def pearson(spark, sf_dir):
 
 def percentiles(spark, sf_dir):
     """Both quantile rules side by side per order status."""
-    o = table(spark, sf_dir, "orders").groupBy("o_orderstatus")
-    return o.agg(M.nearest_rank("o_totalprice", 0.5).alias("p50"), M.nearest_rank("o_totalprice", 0.95).alias("p95"), M.floor_rank(F.col("o_totalprice"), 0.5).alias("f50"), M.floor_rank(F.col("o_totalprice"), 0.95).alias("f95"))
+    return M.ranks(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", {"p50": 0.5, "p95": 0.95}, {"f50": 0.5, "f95": 0.95})
 
 
 def results(spark, sf_dir):

@@ -81,7 +81,7 @@ def test_metric_edges(spark):
 
 def test_two_quantile_rules(spark):
     d = spark.createDataFrame([(float(x),) for x in range(1, 11)], "v double")
-    r = d.agg(metrics.nearest_rank("v", 0.5).alias("a"), metrics.floor_rank(F.col("v"), 0.5).alias("b")).first()
+    r = metrics.ranks(d, [], "v", {"a": 0.5}, {"b": 0.5}).first()
     assert (r["a"], r["b"]) == (5.0, 6.0)
     assert d.where("v > 99").agg(metrics.nearest_rank("v", 0.5).alias("a")).first()["a"] == 0
 
@@ -151,12 +151,6 @@ def test_run_files(spark):
     assert head.count() == 1 and [r["id"] for r in rows.collect()] == ["a"]
 
 
-def test_diverse_choice(spark):
-    rows = [(1, 2, "A", 3.0), (1, 2, "B", 2.0), (3, 4, "A", 1.0), (5, 6, "C", 0.5)]
-    got = mining.diverse(spark.createDataFrame(rows, "a long, b long, entity string, score double"), 5)
-    assert [(r["a"], r["entity"]) for r in got] == [(1, "A"), (5, "C")]
-
-
 def events(n, seed):
     rng, at = random.Random(seed), dt.datetime(2024, 1, 1)
     return [(rng.randint(0, 4), i, at + dt.timedelta(seconds=60 * i)) for i in range(n)]
