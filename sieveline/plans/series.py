@@ -82,9 +82,10 @@ a AS (SELECT *, round(max(scaled) OVER (PARTITION BY run ORDER BY p, metric ROWS
 c AS (SELECT run, count(*) AS tests, count(CASE WHEN adjusted <= 0.05 THEN 1 END) AS survivors FROM a GROUP BY run)
 SELECT c.run, tests, survivors, a.metric, round(n.mean, 9) AS delta, round(lo, 9) AS lo, round(hi, 9) AS hi, round(p, 9) AS p, adjusted, adjusted <= 0.05 AS reject FROM c JOIN a ON a.run = c.run AND a.metric = '{{metric}}' JOIN n ON n.run = a.run AND n.metric = a.metric"""
 DIVERSE = """, w AS (SELECT *, a || '|' || b AS pair, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(entity || '|' || a || '|' || b, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: {fnv}) AS tie FROM q),
-o AS (SELECT *, row_number() OVER (ORDER BY score DESC, tie, a, b, entity, pair) AS place FROM w),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, tie, a, b, entity, pair) AS place FROM w),
 g AS (SELECT 0::BIGINT AS place, 0 AS n, []::VARCHAR[] AS es, []::VARCHAR[] AS ps UNION ALL
-    SELECT o.place, n + 1, list_append(es, o.entity), list_append(ps, o.pair) FROM g, o WHERE n < 50 AND o.place = (SELECT min(place) FROM o o2 WHERE o2.place > g.place AND NOT list_contains(g.es, o2.entity) AND NOT list_contains(g.ps, o2.pair)))
+    SELECT min(o.place), any_value(n) + 1, list_append(any_value(es), arg_min(o.entity, o.place)), list_append(any_value(ps), arg_min(o.pair, o.place))
+    FROM g, o WHERE n < 50 AND o.place > g.place AND NOT list_contains(es, o.entity) AND NOT list_contains(ps, o.pair) HAVING count(*) > 0)
 SELECT entity, a, b, df, tf, score FROM o JOIN g USING (place)"""
 SPLIT = """WITH RECURSIVE i AS (SELECT DISTINCT conv_id AS root, conv_id * 1000 + turn AS id, CASE WHEN role = 'user' THEN 'factoid' WHEN role = 'assistant' THEN CASE WHEN turn > 2 THEN 'paraphrase' ELSE 'factoid' END ELSE 'aggregation' END AS type FROM conversations),
 q AS (SELECT count(CASE WHEN type = 'factoid' THEN 1 END) // 5 AS qf, count(CASE WHEN type = 'paraphrase' THEN 1 END) // 5 AS qp FROM i),
