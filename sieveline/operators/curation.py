@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import log_factorial
+
 
 def plain(text: Column) -> Column:
     """Lower-case words between single spaces, for matching stems at word starts."""
@@ -82,16 +86,29 @@ def correct_labels(labels: DataFrame, corrections: DataFrame, key: str, field: s
     return j.withColumn("audit", audit).withColumn(field, F.when(changed, F.col("to")).otherwise(F.col(field))).select(*labels.columns, "audit")
 
 
-def agreement(pairs: DataFrame, by: str) -> DataFrame:
-    """(by, n, agreement, kappa, skew, flag) of binary labels a and b per group, with the first flag that applies."""
+def sign_test(top: Column, others: Column) -> Column:
+    """Exact two-sided p value of top against others. Terms more than 40 standard deviations off add nothing to a double."""
+    n = (top + others).cast("double")
+    whole, k = log_factorial(n), F.least(top, others).cast("long")
+    far = F.greatest(F.lit(0).cast("long"), k - 40 * F.ceil(F.sqrt(n + 1)).cast("long"))
+    terms = F.transform(F.sequence(far, k), lambda i: F.exp(whole - log_factorial(i) - log_factorial(n - i) - n * math.log(2)))
+    return F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda s, t: s + t))
+
+
+def agreement(pairs: DataFrame, by: str, alpha: float = 0.05) -> DataFrame:
+    """(by, n, agreement, kappa, skew, bias_p, flag) of binary labels a and b per group, with the first flag that applies.
+
+    Labels are biased where one kind of three or more disagreements outnumbers the other by more than a sign test (bias_p)
+    puts down to chance: a majority alone is no direction. Rows whose labels are adjudicated are left out by the caller."""
     c = pairs.groupBy(by).agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("o"), F.avg(F.col("a").cast("double")).alias("pa"), F.avg(F.col("b").cast("double")).alias("pb"),
                               F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("b10"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("b01"))
     e = F.round(F.col("pa") * F.col("pb") + (1 - F.col("pa")) * (1 - F.col("pb")), 12)
     k = F.when(e == 1, F.when(F.col("o") == 1, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.col("o") - e, 1 - e))
     skew = F.greatest("pa", 1 - F.col("pa"))
-    bias = F.col("b10") + F.col("b01") >= 3
-    flag = F.when(bias & (F.greatest("b10", "b01") >= 0.9 * (F.col("b10") + F.col("b01"))), "BIASED").when(F.col("pa") == 1, "NO NEGATIVES").when(skew >= 0.9, "SKEWED").when(k < 0.6, "WEAK")
-    return c.select(by, "n", F.round("o", 6).alias("agreement"), F.round(k, 6).alias("kappa"), F.round(skew, 6).alias("skew"), flag.alias("flag"))
+    apart = (F.col("b10") + F.col("b01") >= 3) & (F.col("b10") != F.col("b01"))
+    p = F.when(apart, F.round(sign_test(F.greatest("b10", "b01"), F.least("b10", "b01")), 9))
+    flag = F.when(p < alpha, "BIASED").when(F.col("pa") == 1, "NO NEGATIVES").when(skew >= 0.9, "SKEWED").when(k < 0.6, "WEAK")
+    return c.select(by, "n", F.round("o", 6).alias("agreement"), F.round(k, 6).alias("kappa"), F.round(skew, 6).alias("skew"), p.alias("bias_p"), flag.alias("flag"))
 
 
 def context_block(hits: DataFrame) -> DataFrame:

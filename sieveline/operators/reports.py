@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-REFUSAL = r"(?i)\b(cannot|can't|do not know|not found)\b"
-#: Roman numerals of one to nine, tens and hundreds.
+#: Fixed value: how a refusal reads.
+REFUSAL = r"(?i)not covered by these documents|do(?:es)? not (?:contain|say|mention)"
+#: Roman numerals of one to nine and tens; hundreds are so many C.
 ONES = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
 TENS = ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"]
-HUNDREDS = ["", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"]
 
 
 def failed(error: Column, correctness: Column, hit: Column) -> Column:
@@ -30,25 +30,24 @@ def covers(tags: Column, wanted: Column) -> Column:
 
 
 def significance(low: Column, high: Column, p: Column) -> Column:
-    """'ns' where the interval holds 0, else stars by the p value."""
-    return F.when((low <= 0) & (high >= 0), "ns").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    """'ns' where the interval holds 0, else one star or more by the p value: the interval decides, whatever p is."""
+    return F.when((low <= 0) & (high >= 0), "ns").when(p < 0.001, "***").when(p < 0.01, "**").otherwise("*")
 
 
 def roman(n: Column) -> Column:
-    """Roman numeral of 1 to 999, null outside."""
+    """Roman numeral of a positive number, in letters up to C; null for others."""
     digit = lambda table, d: F.element_at(F.array(*[F.lit(x) for x in table]), (d + 1).cast("int"))
-    return F.when(n.between(1, 999), F.concat(digit(HUNDREDS, F.floor(n / 100)), digit(TENS, F.floor(n / 10) % 10), digit(ONES, n % 10)))
+    return F.when(n > 0, F.concat(F.repeat(F.lit("C"), F.floor(n / 100).cast("int")), digit(TENS, F.floor(n / 10) % 10), digit(ONES, n % 10)))
 
 
 def from_roman(text: Column) -> Column:
-    """Number of a canonical roman numeral below 1000 in any case; null for anything else."""
-    t = F.upper(text)
-    worth = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in (("I", 1), ("V", 5), ("X", 10), ("L", 50), ("C", 100), ("D", 500), ("M", 1000)) for x in kv]), c), F.lit(0))
-    values = F.transform(F.split(t, ""), worth)
+    """Number of a numeral that `roman` writes; null for anything else, small letters included."""
+    worth = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in (("I", 1), ("V", 5), ("X", 10), ("L", 50), ("C", 100)) for x in kv]), c), F.lit(0))
+    values = F.transform(F.split(text, ""), worth)
     # a smaller value before a larger one is taken off
     signed = F.transform(values, lambda v, i: F.when(v < F.coalesce(F.get(values, i + 1), F.lit(0)), -v).otherwise(v))
     n = F.aggregate(signed, F.lit(0), lambda s, v: s + v)
-    return F.when(t == roman(n), n)
+    return F.when(text == roman(n), n)
 
 
 def streak_day(start: Column, today: Column) -> Column:
@@ -62,9 +61,9 @@ def recent(df: DataFrame, at: str, now: Column, days: int) -> DataFrame:
 
 
 def usage(df: DataFrame, at: str, provider: str, keep_days: int) -> DataFrame:
-    """(day, provider, n) per UTC day of the last keep_days days that the table reaches to."""
+    """(day, provider, n) per UTC day of the table's last day and the keep_days days before it."""
     d = df.select(F.to_date(at).alias("day"), F.col(provider).alias("provider")).groupBy("day", "provider").agg(F.count("*").alias("n"))
-    return d.join(F.broadcast(d.agg(F.max("day").alias("last"))), F.col("day") > F.date_sub("last", keep_days)).drop("last")  # one row
+    return d.join(F.broadcast(d.agg(F.max("day").alias("last"))), F.col("day") >= F.date_sub("last", keep_days)).drop("last")  # one row
 
 
 def memberships(items: DataFrame, groups: DataFrame) -> DataFrame:

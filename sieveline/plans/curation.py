@@ -109,7 +109,7 @@ CATALOG = {
     "proportional_subset": (proportional_subset, "WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY lang) AS c, count(*) OVER () AS t FROM documents) SELECT doc_id, lang FROM k WHERE k <= greatest(1, floor(c * 60 / t + 0.5))"),
     "claimed_batch": (claimed_batch, "SELECT c_custkey AS id, 5 AS last_day FROM customer WHERE coalesce(CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 9 END, -1) < 5 ORDER BY c_custkey LIMIT 50"),
     "corrected_labels": (corrected_labels, "SELECT doc_id, quality, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE toxic END AS toxic, CASE WHEN doc_id % 10 = 0 AND toxic IS DISTINCT FROM 1 THEN 'toxic|' || toxic || '|1|seen' ELSE '' END AS audit FROM labels"),
-    "agreement_report": (agreement_report, "WITH c AS (SELECT lang, count(*) AS n, avg(CAST(quality = 1 - toxic AS INT)) AS o, avg(quality) AS pa, avg(1 - toxic) AS pb, count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS b10, count(CASE WHEN quality = 0 AND toxic = 0 THEN 1 END) AS b01 FROM labels JOIN documents USING (doc_id) GROUP BY 1), e AS (SELECT *, round(pa * pb + (1 - pa) * (1 - pb), 12) AS e FROM c), k AS (SELECT *, CASE WHEN e = 1 THEN CASE WHEN o = 1 THEN 1 ELSE 0 END ELSE (o - e) / (1 - e) END AS k, greatest(pa, 1 - pa) AS s FROM e) SELECT lang, n, round(o, 6) AS agreement, round(k, 6) AS kappa, round(s, 6) AS skew, CASE WHEN b10 + b01 >= 3 AND greatest(b10, b01) >= 0.9 * (b10 + b01) THEN 'BIASED' WHEN pa = 1 THEN 'NO NEGATIVES' WHEN s >= 0.9 THEN 'SKEWED' WHEN k < 0.6 THEN 'WEAK' END AS flag FROM k"),
+    "agreement_report": (agreement_report, "WITH c AS (SELECT lang, count(*) AS n, avg(CAST(quality = 1 - toxic AS INT)) AS o, avg(quality) AS pa, avg(1 - toxic) AS pb, count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS b10, count(CASE WHEN quality = 0 AND toxic = 0 THEN 1 END) AS b01 FROM labels JOIN documents USING (doc_id) GROUP BY 1), e AS (SELECT *, round(pa * pb + (1 - pa) * (1 - pb), 12) AS e FROM c), k AS (SELECT *, CASE WHEN e = 1 THEN CASE WHEN o = 1 THEN 1 ELSE 0 END ELSE (o - e) / (1 - e) END AS k, greatest(pa, 1 - pa) AS s, CASE WHEN b10 + b01 >= 3 AND b10 <> b01 THEN round(least(1.0, 2 * list_sum(list_transform(range(0, least(b10, b01) + 1), lambda i: exp(lgamma(b10 + b01 + 1) - lgamma(i + 1) - lgamma(b10 + b01 - i + 1) - (b10 + b01) * ln(2))))), 9) END AS p FROM e) SELECT lang, n, round(o, 6) AS agreement, round(k, 6) AS kappa, round(s, 6) AS skew, p AS bias_p, CASE WHEN p < 0.05 THEN 'BIASED' WHEN pa = 1 THEN 'NO NEGATIVES' WHEN s >= 0.9 THEN 'SKEWED' WHEN k < 0.6 THEN 'WEAK' END AS flag FROM k"),
     "context_blocks": (context_blocks, "WITH c AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY 1, 2) SELECT conv_id AS query_id, string_agg('[' || (turn + 1) || '] ' || CASE WHEN role = 'user' THEN role ELSE '(unknown)' END || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM c GROUP BY 1"),
     "cascade": (cascade, "SELECT year(l_shipdate) AS year, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1995) GROUP BY 1"),
     "replaced_children": (replaced_children, "SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE count(*) END AS n, CASE WHEN l_orderkey % 5 = 0 THEN 99 ELSE max(l_linenumber) END AS last FROM lineitem GROUP BY 1"),

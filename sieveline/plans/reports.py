@@ -19,7 +19,10 @@ def failures(spark, sf_dir):
 
 
 def refusals(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count_if(R.refuses(F.col("text"), "(?i)(the|der) (of|die)")).alias("refused"), F.count("*").alias("n"))
+    """Turns as answers; some end in a refusal of one of its forms, some in what only resembles one."""
+    k = (F.col("conv_id") * 8 + F.col("turn")) % 9
+    said = F.when(k == 0, "That is NOT covered by these documents.").when(k == 1, "The text does not say.").when(k == 2, "They do not mention it").when(k == 3, "It does not matter.").otherwise("")
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count_if(R.refuses(F.concat_ws(" ", "text", said))).alias("refused"), F.count("*").alias("n"))
 
 
 def remaining_vectors(spark, sf_dir):
@@ -94,22 +97,23 @@ def shared_keys(spark, sf_dir):
 def numerals(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 999 + 1).cast("int").alias("n"))
     r = R.roman(F.col("n"))
-    return p.select("p_partkey", r.alias("numeral"), R.from_roman(F.lower(r)).alias("back"), R.from_roman(F.concat(r, F.lit("IIII"))).alias("not_canonical"))
+    return p.select("p_partkey", r.alias("numeral"), R.from_roman(r).alias("back"), R.from_roman(F.lower(r)).alias("not_canonical"))
 
 
 def markers(spark, sf_dir):
     """Signed differences per supplier with a normal interval; the marker by interval and a stand-in p value."""
-    s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg(F.col("l_quantity") - 25.5).alias("m"), F.count("*").alias("n"))
+    moved = F.col("l_quantity") - 25.5 + F.col("l_suppkey") % 13 * 0.5 - 3
+    s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(moved), 9).alias("m"), F.count("*").alias("n"))
     half, p = 28 / F.sqrt("n"), F.exp(-F.col("m") * F.col("m") * F.col("n") / 400)
     return s.select("l_suppkey", R.significance(F.col("m") - half, F.col("m") + half, p).alias("marker"))
 
 
 T = lambda c, m: f"'m{m}-' || {c} % {m}"
-NUMERAL = " || ".join(f"({names!r})[CAST(n // {d} AS INT) % 10 + 1]" for names, d in ((R.HUNDREDS, 100), (R.TENS, 10), (R.ONES, 1)))
+NUMERAL = "repeat('C', CAST(n // 100 AS INT)) || " + " || ".join(f"({names!r})[CAST(n // {d} AS INT) % 10 + 1]" for names, d in ((R.TENS, 10), (R.ONES, 1)))
 
 CATALOG = {
     "failures": (failures, "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN true WHEN doc_id % 7 > 0 AND quality IS NOT NULL THEN quality < 1 WHEN toxic IS NOT NULL THEN toxic = 0 ELSE false END AS failed FROM labels"),
-    "refusals": (refusals, "SELECT role, count(CASE WHEN regexp_matches(text, '(?i)(the|der) (of|die)') THEN 1 END) AS refused, count(*) AS n FROM conversations GROUP BY 1"),
+    "refusals": (refusals, "SELECT role, count(CASE WHEN (conv_id * 8 + turn) % 9 <= 2 OR regexp_matches(text, '(?i)not covered by these documents|do(es)? not (contain|say|mention)') THEN 1 END) AS refused, count(*) AS n FROM conversations GROUP BY 1"),
     "remaining_vectors": (remaining_vectors, "SELECT label, count(CASE WHEN embedding IS NULL OR vec_id % 9 = 0 THEN 1 END) AS remaining FROM embeddings GROUP BY 1"),
     "superset": (superset, "SELECT c_custkey FROM customer WHERE c_nationkey % 3 IN (c_custkey % 5, c_custkey % 7, c_custkey % 11) AND c_nationkey % 2 IN (c_custkey % 5, c_custkey % 7, c_custkey % 11)"),
     "stale_window": (stale_window, "SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1"),
@@ -117,7 +121,7 @@ CATALOG = {
     "memberships": (memberships, "SELECT 'urgent' AS \"group\", count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderstatus = 'P' HAVING count(*) > 0 UNION ALL SELECT 'open', count(*) FROM orders WHERE o_orderstatus IN ('O', 'P') HAVING count(*) > 0"),
     "captured_counts": (captured, "SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS found, count(*) AS n FROM pages WHERE regexp_matches(url, 'https?://([^/]+)') GROUP BY 1"),
     "split_rates": (split_rates, "SELECT split, n, round(f, 6) AS first, round(s, 6) AS second, f >= 0.8 AND s >= 0.7 AS passed FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'holdout' ELSE 'dev' END AS split, count(*) AS n, avg(quality) AS f, avg(1 - toxic) AS s FROM labels GROUP BY 1)"),
-    "daily_usage": (daily_usage, "WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS provider, count(*) AS n FROM events GROUP BY 1, 2) SELECT CAST(day AS VARCHAR) AS day, provider, n FROM e WHERE day > (SELECT max(day) FROM e) - 7"),
+    "daily_usage": (daily_usage, "WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS provider, count(*) AS n FROM events GROUP BY 1, 2) SELECT CAST(day AS VARCHAR) AS day, provider, n FROM e WHERE day >= (SELECT max(day) FROM e) - 7"),
     "fixed_groups": (fixed_groups, "WITH k AS (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 10 AS batch FROM lineitem) SELECT l_suppkey, batch, count(*) AS n, min(l_orderkey) AS first_order FROM k GROUP BY 1, 2"),
     "streaks": (streaks, "SELECT user_id, greatest(1, DATE '2024-01-15' - CAST(min(ts) AS DATE) + 1) AS day FROM events GROUP BY 1"),
     "latest_runs": (latest_runs, "SELECT o_orderkey AS run_id, o_orderdate AS started, o_orderdate AS finished FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100"),
@@ -125,5 +129,5 @@ CATALOG = {
     "group_ranking": (group_ranking, f"WITH a AS (SELECT c_custkey AS query, unnest([{T('c_custkey', 3)}, {T('c_custkey', 7)}]) AS tag FROM customer), p AS (SELECT n_nationkey AS id, n_regionkey = 1 AS f, unnest([{T('n_nationkey', 3)}, {T('n_nationkey', 7)}]) AS tag FROM nation), m AS (SELECT query, id, f, count(*) AS matched FROM a JOIN p USING (tag) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY matched DESC, f DESC, id) AS place FROM m) SELECT query, id, matched, place, place <= 7 AS in_walk FROM r"),
     "shared_keys": (shared_keys, "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels"),
     "numerals": (numerals, f"SELECT p_partkey, {NUMERAL} AS numeral, CAST(n AS INT) AS back, CAST(NULL AS INT) AS not_canonical FROM (SELECT p_partkey, p_partkey % 999 + 1 AS n FROM part)"),
-    "markers": (markers, "WITH s AS (SELECT l_suppkey, avg(l_quantity - 25.5) AS m, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, CASE WHEN m - 28 / sqrt(n) <= 0 AND m + 28 / sqrt(n) >= 0 THEN 'ns' WHEN exp(-m * m * n / 400) < 0.001 THEN '***' WHEN exp(-m * m * n / 400) < 0.01 THEN '**' WHEN exp(-m * m * n / 400) < 0.05 THEN '*' ELSE 'ns' END AS marker FROM s"),
+    "markers": (markers, "WITH s AS (SELECT l_suppkey, round(avg(l_quantity - 25.5 + l_suppkey % 13 * 0.5 - 3), 9) AS m, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, CASE WHEN m - 28 / sqrt(n) <= 0 AND m + 28 / sqrt(n) >= 0 THEN 'ns' WHEN exp(-m * m * n / 400) < 0.001 THEN '***' WHEN exp(-m * m * n / 400) < 0.01 THEN '**' ELSE '*' END AS marker FROM s"),
 }

@@ -208,14 +208,14 @@ def test_report_rules_on_nulls(spark):
 
     from sieveline.operators import reports as R
 
-    rows = [(None, None, None, None, None), ("e", 1.0, 1.0, "x", ["a"]), (None, 0.0, 1.0, "I cannot say", ["a", "b"]), (None, None, 0.0, "", [])]
+    rows = [(None, None, None, None, None), ("e", 1.0, 1.0, "x", ["a"]), (None, 0.0, 1.0, "It does NOT say so", ["a", "b"]), (None, None, 0.0, "", [])]
     d = spark.createDataFrame(rows, "error string, correctness double, hit double, answer string, tags array<string>")
     got = d.select(R.failed(F.col("error"), F.col("correctness"), F.col("hit")).alias("f"), R.refuses(F.col("answer")).alias("r"), R.covers(F.col("tags"), F.array(F.lit("a"))).alias("c")).collect()
     assert [tuple(r) for r in got] == [(False, False, False), (True, False, True), (True, True, True), (True, False, False)]
     n = spark.range(0, 1001).select("id", R.roman(F.col("id")).alias("r")).select("id", "r", R.from_roman(F.col("r")).alias("back")).collect()
-    assert all(r["back"] == (r["id"] if 0 < r["id"] < 1000 else None) for r in n) and n[944]["r"] == "CMXLIV"
-    bad = spark.createDataFrame([("IIX",), ("IVI",), ("",), ("abc",), (None,), ("xiv",)], "t string").select(R.from_roman(F.col("t")).alias("n")).collect()
-    assert [r["n"] for r in bad] == [None, None, None, None, None, 14]
+    assert all(r["back"] == (r["id"] or None) for r in n) and n[444]["r"] == "CCCCXLIV" and n[99]["r"] == "XCIX"
+    bad = spark.createDataFrame([("IIX",), ("IVI",), ("",), ("abc",), (None,), ("xiv",), ("CD",), ("XIV",)], "t string").select(R.from_roman(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in bad] == [None, None, None, None, None, None, None, 14]
     flagged = spark.createDataFrame([(1, True), (2, None), (3, False), (4, True)], "k long, s boolean")
     assert {r["k"]: r["place"] for r in R.flagged_last(flagged, "s", "k").collect()} == {2: 1, 3: 2, 1: 3, 4: 4}
     assert R.flagged_last(flagged.limit(0), "s", "k").count() == 0 and R.latest_finished(spark.createDataFrame([], "run_id long, started timestamp, finished timestamp")).count() == 0
@@ -269,3 +269,22 @@ def test_near_duplicates_finds_planted_ones(spark):
     d = spark.createDataFrame(rows, "id long, vector array<double>, doc long")
     got = mining.near_duplicates(d.where("id <= 2").withColumnRenamed("id", "query_id"), d, 0.85).collect()
     assert {(r["id"], r["labelled_id"], r["same_doc"]) for r in got} == {(3, 1, True), (5, 2, False)}
+
+
+def test_markers_follow_the_interval_first(spark):
+    from pyspark.sql import functions as F
+
+    from sieveline.operators import reports as R
+
+    rows = [(0.01, 0.2, 0.06), (-0.1, 0.2, 0.0001), (0.1, 0.2, 0.0001), (-0.2, -0.1, 0.005), (0.0, 0.2, 0.04), (0.1, 0.2, None)]
+    d = spark.createDataFrame(rows, "lo double, hi double, p double")
+    assert [r["m"] for r in d.select(R.significance(F.col("lo"), F.col("hi"), F.col("p")).alias("m")).collect()] == ["*", "ns", "***", "**", "ns", "*"]
+
+
+@pytest.mark.parametrize("top, others, p", [(7, 0, 0.015625), (7, 1, 0.0703125), (6, 4, 0.75390625), (3, 0, 0.25), (5200, 4800, 6.6e-5)])
+def test_a_majority_is_no_direction(spark, top, others, p):
+    from sieveline.operators import curation
+
+    rows = [(1, 0)] * top + [(0, 1)] * others + [(1, 1), (0, 0)] * 3
+    r = curation.agreement(spark.createDataFrame([("g", *x) for x in rows], "g string, a int, b int"), "g").first()
+    assert r["bias_p"] == pytest.approx(p, rel=0.05) and (r["flag"] == "BIASED") == (p < 0.05)
