@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="sieveline-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset in local mode (tests)."""
+    """Folder all executors share: spark.checkpoint.dir, or a temporary one of this process where it is unset in local mode (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="sieveline-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _local_dir()
     return at.rstrip("/")
 
 
