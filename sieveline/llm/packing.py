@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import vocabulary
-from .common import materialise, prefix_offsets
+from .common import byte_chunks, materialise, prefix_offsets
+from .phrases import Hasher, groups
 
 NAME = "op12_packing"
 SIZE, END = 4096, 1
-ROWS = 256  # documents whose pieces are sent at a time
 REMEMBERED = 400_000  # pieces of text whose ids a worker remembers, twice
-MARKS = b".,;:!?"
+BATCH = 2 << 20  # bytes of text that are encoded together
 
 
 class Complements:
@@ -132,52 +132,81 @@ def ranges(patterns: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
 
 
-def ends_in_letter(piece: bytes) -> bool:
-    """Whether the last character is a Latin letter or an ASCII digit, after which marks always begin a token of their own."""
-    if piece[-1] < 128:
-        return piece[-1:].isalnum()
-    last = piece[-2:].decode("utf-8", "replace")[-1]
-    return last < "\u0250" and last.isalpha() and last.lower().isalpha()
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*b".,;:!?"]] = True
+
+
+def units(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the units of a buffer that begins and ends in white space: pieces between white space, which is in no
+    token, cut where an ASCII letter or digit is followed by a mark, with which a token always begins."""
+    space = _SPACE[buf]
+    seam = np.zeros(len(buf), dtype=bool)  # a unit may begin here
+    seam[1:] = space[:-1] | _ALNUM[buf[:-1]] & _MARK[buf[1:]]
+    start = np.flatnonzero(seam & ~space)
+    seam[1:] |= space[1:]
+    end = np.flatnonzero(seam[1:] & ~space[:-1]) + 1
+    return start, end
+
+
+def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one unit of each kind, kind of each unit); units of one hash are compared byte by byte."""
+    size = end - start
+    order, first, count = groups(ids, [ids, size])
+    kind = np.empty(len(start), dtype=np.int64)
+    kind[order] = np.repeat(np.arange(len(first)), count)
+    one = order[first]
+    at = np.flatnonzero(~_SPACE[buf])
+    if (buf[at] == buf[at + np.repeat(start[one[kind]] - start, size)]).all():
+        return one, kind
+    found: dict = {}
+    kind = np.array([found.setdefault(buf[a:b].tobytes(), (len(found), k))[0] for k, (a, b) in enumerate(zip(start.tolist(), end.tolist()))])
+    return np.array([k for _, k in found.values()]), kind
 
 
 class Encoder:
-    """Ids of whole texts by the library; each distinct piece between white space is encoded once while it is remembered."""
+    """Ids of whole texts by the library; each distinct unit is encoded once while it is remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.hasher = Hasher(0)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers. White space never is in a token."""
-        parts = [t.split() for t in texts]
-        new = set().union(*parts).difference(self.known)
-        bare = {p: len(p.rstrip(MARKS)) for p in new}
-        cut = {p: n for p, n in bare.items() if 0 < n < len(p) and ends_in_letter(p[:n])}
-        heads = {p[:n] for p, n in cut.items()} | {p[n:] for p, n in cut.items()}
-        self.learn(heads.difference(self.known))
-        self.learn(new.difference(cut, heads))
-        known = self.known
-        known.update([(p, known[p[:n]] + known[p[n:]]) for p, n in cut.items()])
-        out = [b"".join([known[p] for p in part]) for part in parts]
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        raw = b"\n" + b"\n".join(texts) + b"\n"
+        buf = np.frombuffer(raw, dtype=np.uint8)
+        start, end = units(buf)
+        if not len(start):
+            return [b""] * len(texts)
+        one, kind = distinct(buf, start, end, self.hasher.ids(buf, start, end))
+        coded = self.lookup([raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
+        flat = np.frombuffer(b"".join(coded), dtype="<u4")
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        source = (np.cumsum(size) - size)[kind]  # of each unit's ids in flat
+        size = size[kind]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = flat[np.repeat(source - upto[:-1], size) + np.arange(upto[-1])]
+        stops = np.cumsum([len(t) + 1 for t in texts]) + 1
+        cuts = upto[np.searchsorted(start, np.concatenate(([0], stops)))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def lookup(self, pieces: list[bytes]) -> list[bytes]:
+        known, older = self.known, self.older
+        unseen = [p for p in pieces if p not in known and p not in older]
+        coded = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in unseen], add_special_tokens=False)
+        known.update([(p, array("I", e.ids).tobytes()) for p, e in zip(unseen, coded)])
+        out = [known[p] if p in known else older[p] for p in pieces]
         if len(known) > REMEMBERED:  # stays for a while as the older half
-            self.older, self.known = {p: v for p, v in known.items() if len(p) <= 64}, {}
+            self.older, self.known = {p: v for p, v in known.items() if len(p) <= 64} | {p: v for p, v in zip(pieces, out) if len(p) <= 64}, {}
         return out
 
-    def learn(self, pieces: set) -> None:
-        unseen = []
-        for p in pieces:
-            ids = self.older.get(p)
-            if ids is None:
-                unseen.append(p)
-            else:
-                self.known[p] = ids
-        coded = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in unseen], add_special_tokens=False)
-        self.known.update([(p, array("I", e.ids).tobytes()) for p, e in zip(unseen, coded)])
-
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
@@ -194,10 +223,9 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> Data
         coder, at = _encoder(path), TaskContext.get().partitionId() << 33
         last = np.array([end], dtype="<u4").tobytes()
         for pdf in frames:
-            for lo in range(0, len(pdf), ROWS):
+            for lo, hi, texts in byte_chunks(pdf, "text", BATCH):
                 out = []
-                texts = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in pdf["text"].iloc[lo : lo + ROWS]]
-                for doc, ids in zip(pdf["doc_id"].iloc[lo : lo + ROWS], coder.encode(texts)):
+                for doc, ids in zip(pdf["doc_id"].iloc[lo:hi], coder.encode(texts)):
                     ids += last
                     for k in range(-(-len(ids) // (4 * size))):
                         part = ids[4 * size * k : 4 * size * (k + 1)]

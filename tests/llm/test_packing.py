@@ -48,6 +48,17 @@ def test_encoder_equals_the_library(monkeypatch):
             assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_units_of_one_hash_are_told_apart():
+    raw = b"\nab cd ab, cd. ab!? x.y \n"
+    buf = np.frombuffer(raw, dtype=np.uint8)
+    start, end = packing.units(buf)
+    pieces = [raw[a:b] for a, b in zip(start, end)]
+    assert pieces == [b"ab", b"cd", b"ab", b",", b"cd", b".", b"ab", b"!?", b"x", b".y"]
+    for ids in (np.zeros(len(start), np.uint64), np.arange(len(start)).astype(np.uint64)[[0, 1, 0, 3, 1, 5, 0, 7, 8, 9]]):
+        one, kind = packing.distinct(buf, start, end, ids)
+        assert [pieces[one[k]] for k in kind] == pieces and len(one) == 7
+
+
 def test_nothing_to_plan():
     assert packing.plan(np.zeros(10, dtype=np.int64)) == [] and len(packing.ranges([])) == 0
 
