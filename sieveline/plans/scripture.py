@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sections as S
+from ..operators import usfm as U
 from ..sources.tables import table
 
 TARGET = 120
@@ -47,6 +48,22 @@ def verse_chunks(spark, sf_dir):
     return S.chunk_verses(verses(spark, sf_dir), TARGET)
 
 
+def marked_books(spark, sf_dir):
+    """Documents marked up as books: a line is a verse or goes on with one; chapters, headings, notes and word marks between."""
+    d = S.lines_of(table(spark, sf_dir, "documents"))
+    k = F.col("pos")
+    before = F.concat(F.when(k % 10 == 0, F.concat(F.lit("\\c "), (F.floor(k / 10) + 1).cast("string"), F.lit("\n\\p\n"))).otherwise(""), F.when(k % 13 == 6, "\\s1 Of \\nd this\\nd* and that\n").otherwise(""), F.when(k % 10 == 0, F.when(F.col("doc") % 3 == 0, "\\d A title.\n").otherwise("")).otherwise(""))
+    number = F.concat((k % 10 + 1).cast("string"), F.when(k % 6 == 5, F.concat(F.lit("-"), (k % 10 + 2).cast("string"))).otherwise(""))
+    word = F.regexp_replace("line", r"^(\w+)", r"\\w $1|strong=\"H1\"\\w*")
+    verse = F.when(k % 5 == 3, F.concat(F.lit("\\q1 "), "line")).otherwise(F.concat(F.lit("\\v "), number, F.lit(" "), word, F.when(k % 4 == 1, "\\f + \\ft A note \\v here.\\f* after").otherwise("")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat(before, verse).alias("x")))), lambda s: s["x"]), "\n")
+    return d.groupBy("doc").agg(F.concat(F.lit("\\id GEN Genesis\n\\mt1 Title\n"), text).alias("text"))
+
+
+def marked_verses(spark, sf_dir):
+    return U.verses(marked_books(spark, sf_dir))
+
+
 VERSES = f"""WITH RECURSIVE d AS (SELECT doc_id AS book, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 v AS MATERIALIZED (SELECT book, i AS pos, l[i + 1] AS text, CAST(ceil(length(l[i + 1]) / 4.0) AS BIGINT) AS t, i // 10 + 1 AS chapter, i % 10 + 1 AS verse, CASE WHEN i % 17 = 16 THEN 'Part ' || i END AS heading FROM (SELECT book, l, unnest(range(0, len(l))) AS i FROM d)),
 g AS (SELECT book, pos, 0::BIGINT AS chunk, t AS total FROM v WHERE pos = 0 UNION ALL
@@ -62,4 +79,5 @@ CATALOG = {
     "text_sections": (text_sections, None),
     "section_chunks": (section_chunks, None),
     "verse_chunks": (verse_chunks, VERSES),
+    "marked_verses": (marked_verses, None),
 }
