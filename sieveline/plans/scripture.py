@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import passages as P
 from ..operators import sections as S
 from ..operators import usfm as U
 from ..sources.tables import table
@@ -39,7 +40,7 @@ def verses(spark, sf_dir):
     """Lines of documents as verses, ten a chapter; every fourth begins a paragraph, some have a heading."""
     d = S.lines_of(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "book")
     return d.select(
-        "book", F.concat(F.lit("Book "), F.col("book").cast("string")).alias("name"), "pos", (F.floor(F.col("pos") / 10) + 1).cast("int").alias("chapter"), (F.col("pos") % 10 + 1).alias("verse"),
+        "book", F.concat(F.lit("Book "), F.col("book").cast("string")).alias("name"), "pos", (F.floor(F.col("pos") / 10) + 1).cast("long").alias("chapter"), (F.col("pos") % 10 + 1).cast("long").alias("verse"),
         F.col("line").alias("text"), (F.col("pos") % 4 == 0).alias("paragraph_start"), F.when(F.col("pos") % 17 == 16, F.concat(F.lit("Part "), F.col("pos").cast("string"))).alias("heading"),
     )
 
@@ -64,15 +65,43 @@ def marked_verses(spark, sf_dir):
     return U.verses(marked_books(spark, sf_dir))
 
 
-VERSES = f"""WITH RECURSIVE d AS (SELECT doc_id AS book, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+def passage_prefixes(spark, sf_dir):
+    """Documents as sections of their source; a tenth of them asked for by the beginning of a ref and a word."""
+    d = table(spark, sf_dir, "documents")
+    part = F.concat(F.lit("Part "), (F.col("doc_id") % 9).cast("string"))
+    chunks = d.select("source", F.col("doc_id").alias("pos"), F.concat(part, F.lit(", Section "), (F.col("doc_id") % 70).cast("string")).alias("ref"), F.col("text").alias("content"))
+    asked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper(part), F.lit(", section "), (F.col("doc_id") % 7).cast("string"))).when(F.col("doc_id") % 3 == 1, "part 9").otherwise(part)
+    passages = d.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), "source", asked.alias("ref"), F.when(F.col("doc_id") % 20 == 0, "en").alias("match"))
+    return P.resolution(passages, P.prefix_hits(passages, chunks))
+
+
+def passage_spans(spark, sf_dir):
+    """Verse chunks named by passages of two chapters, whole chapters or verses that do not exist."""
+    chunks = verse_chunks(spark, sf_dir).select((F.col("book") * 1000 + F.col("chunk")).alias("pos"), "ref")
+    book = F.concat(F.lit("Book "), F.col("doc_id").cast("string"))
+    ref = F.when(F.col("doc_id") % 4 == 0, F.concat(book, F.lit(" 1:5-2:3"))).when(F.col("doc_id") % 4 == 1, F.concat(book, F.lit(" 2"))).when(F.col("doc_id") % 4 == 2, F.concat(book, F.lit(" 1:2-4"))).otherwise(F.concat(book, F.lit(" 40:1")))
+    passages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), ref.alias("ref"))
+    return P.resolution(passages, P.span_hits(passages, chunks))
+
+
+VERSE_TABLES = f"""WITH RECURSIVE d AS (SELECT doc_id AS book, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 v AS MATERIALIZED (SELECT book, i AS pos, l[i + 1] AS text, CAST(ceil(length(l[i + 1]) / 4.0) AS BIGINT) AS t, i // 10 + 1 AS chapter, i % 10 + 1 AS verse, CASE WHEN i % 17 = 16 THEN 'Part ' || i END AS heading FROM (SELECT book, l, unnest(range(0, len(l))) AS i FROM d)),
 g AS (SELECT book, pos, 0::BIGINT AS chunk, t AS total FROM v WHERE pos = 0 UNION ALL
     SELECT v.book, v.pos, CASE WHEN b THEN chunk + 1 ELSE chunk END, CASE WHEN b THEN v.t ELSE total + v.t END
     FROM g JOIN v ON v.book = g.book AND v.pos = g.pos + 1, LATERAL (SELECT total + v.t > {TARGET} OR (v.pos % 4 = 0 AND total >= {TARGET / 2}) OR v.heading IS NOT NULL AS b)),
 c AS (SELECT book, chunk, arg_min(chapter, pos) AS c1, arg_min(verse, pos) AS v1, arg_max(chapter, pos) AS c2, arg_max(verse, pos) AS v2, min(heading) AS heading, string_agg(text, ' ' ORDER BY pos) AS body FROM g JOIN v USING (book, pos) GROUP BY ALL),
 r AS (SELECT *, 'Book ' || book || ' ' || c1 || ':' || v1 || CASE WHEN c1 = c2 AND v1 = v2 THEN '' WHEN c1 = c2 THEN '-' || v2 ELSE '-' || c2 || ':' || v2 END AS ref FROM c),
-o AS (SELECT *, ref || coalesce(' — ' || heading, '') || chr(10) || chr(10) || body AS content FROM r)
-SELECT book, chunk, ref, c1 AS chapter_start, v1 AS verse_start, CASE WHEN c1 = c2 THEN v2 END AS verse_end, content, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM o"""
+o AS (SELECT *, ref || coalesce(' — ' || heading, '') || chr(10) || chr(10) || body AS content FROM r)"""
+VERSES = f"""{VERSE_TABLES} SELECT book, chunk, ref, c1 AS chapter_start, v1 AS verse_start, CASE WHEN c1 = c2 THEN v2 END AS verse_end, content, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM o"""
+
+REPORT = """hn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM h), hr AS (SELECT id, count(*) AS hits, string_agg(CASE WHEN n <= 3 THEN ref END, '; ' ORDER BY pos) AS first FROM hn GROUP BY id)
+SELECT p.id, coalesce(hits, 0) AS hits, coalesce(first, '') AS first, hits IS NOT NULL AS found FROM p LEFT JOIN hr USING (id)"""
+PREFIXES = f"""WITH c AS (SELECT source, doc_id AS pos, 'Part ' || doc_id % 9 || ', Section ' || doc_id % 70 AS ref, text FROM documents),
+p AS (SELECT doc_id AS id, source, CASE doc_id % 3 WHEN 0 THEN 'PART ' || doc_id % 9 || ', section ' || doc_id % 7 WHEN 1 THEN 'part 9' ELSE 'Part ' || doc_id % 9 END AS ref, CASE WHEN doc_id % 20 = 0 THEN 'en' END AS match FROM documents WHERE doc_id % 10 = 0),
+h AS (SELECT p.id, c.pos, c.ref FROM p JOIN c ON c.source = p.source AND starts_with(lower(c.ref), lower(p.ref)) AND (p.match IS NULL OR contains(lower(c.text), p.match))), {REPORT}"""
+SPANS = f"""{VERSE_TABLES}, cc AS (SELECT book * 1000 + chunk AS pos, book, ref, c1 * 1000 + v1 AS a, c2 * 1000 + v2 AS z FROM r),
+p AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 1005 WHEN 1 THEN 2001 WHEN 2 THEN 1002 ELSE 40001 END AS a, CASE doc_id % 4 WHEN 0 THEN 2003 WHEN 1 THEN 2999 WHEN 2 THEN 1004 ELSE 40001 END AS z FROM documents),
+h AS (SELECT p.id, cc.pos, cc.ref FROM p JOIN cc ON cc.book = p.id AND cc.a <= p.z AND cc.z >= p.a), {REPORT}"""
 
 CATALOG = {
     "clean_text": (clean_text, None),
@@ -80,4 +109,6 @@ CATALOG = {
     "section_chunks": (section_chunks, None),
     "verse_chunks": (verse_chunks, VERSES),
     "marked_verses": (marked_verses, None),
+    "passage_prefixes": (passage_prefixes, PREFIXES),
+    "passage_spans": (passage_spans, SPANS),
 }
