@@ -20,6 +20,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, prefix_offsets, words_of
@@ -165,16 +166,20 @@ def cut(text: str, size: int, spans: list[tuple[int, int]]) -> str:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixture as documents: one row per document and epoch that takes words of it, with all columns.
 
-    text holds the taken blocks' words as they stand in the document, n_chars (if there) its length."""
+    text holds the taken blocks' words as they stand in the document, n_chars (if there) its length. Rows equal in doc_id,
+    text and source are told apart by number: the n-th in order of their other columns gets the n-th taken place of them."""
     spark = docs.sparkSession
     sizes = materialise(sized(docs), "sizes")
     sources = source_table(sizes)
     got = pieces(sizes, sources).join(slots(spark, sources).select("k", "epoch", "block"), ["k", "block"])
     spans = got.groupBy("doc_id", "h", "sk", "start", "size", "epoch").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("sk").alias("__s"), F.col("size").alias("__size"), "__spans")
-    keys = [F.xxhash64("text").alias("__kh"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("__ks")]
-    d = docs.select("*", *keys).dropDuplicates(["doc_id", "__kh", "__ks"])
-    joined = d.join(spans, d["doc_id"].cast("long").eqNullSafe(spans["__d"]) & (d["__kh"] == spans["__h"]) & (d["__ks"] == spans["__s"]))
+    spans = spans.withColumn("__n", F.dense_rank().over(W.partitionBy("doc_id", "h", "sk").orderBy("start")))
+    spans = spans.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("sk").alias("__s"), F.col("size").alias("__size"), F.col("__n").alias("__at"), "__spans")
+    keys = [F.col("doc_id").cast("long").alias("__kd"), F.xxhash64("text").alias("__kh"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("__ks")]
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("text", "doc_id")]), {"ignoreNullFields": "false"})
+    d = docs.select("*", *keys, others.alias("__o"))
+    d = d.withColumn("__k", F.row_number().over(W.partitionBy("__kd", "__kh", "__ks").orderBy("__o"))).drop("__o")
+    joined = d.join(spans, d["__kd"].eqNullSafe(spans["__d"]) & (d["__kh"] == spans["__h"]) & (d["__ks"] == spans["__s"]) & (d["__k"] == spans["__at"]))
     schema = docs.schema
     columns = schema.names
 
@@ -185,7 +190,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                 pdf["n_chars"] = pdf["text"].map(len).astype(pdf["n_chars"].dtype)
             yield pdf[columns]
 
-    return joined.drop("__kh", "__ks", "__d", "__h", "__s").mapInPandas(write, schema)
+    return joined.drop("__kd", "__kh", "__ks", "__k", "__d", "__h", "__s", "__at").mapInPandas(write, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,17 @@ def test_mix_counts_agree_with_the_documents(spark, odd_docs, no_docs):
     assert mixing.mix_counts(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_rows_equal_but_for_other_columns_are_mixed_apart(spark):
+    text = " ".join(f"w{k}" for k in range(700))
+    rows = [(1, text, "en", "a", "x"), (1, text, "fr", "a", None), (1, text, "de", "a", "z"), (2, text, "en", "a", "y"), (3, text, "en", "b", "q"), (None, text, "en", None, "n"), (None, text, "fr", None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, h string")
+    counts = mixing.mix_counts(docs).collect()
+    out = mixing.mixed_documents(docs).collect()
+    want = sum(1 for r in counts if r["taken"] > 0)
+    assert len({(r["doc_id"], r["lang"], r["source"], r["h"]) for r in out}) == want and want >= 6
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in counts)
+
+
 def test_word_emissions_are_probabilities():
     rng = np.random.default_rng(2)
     k, per = hmm_score.STATES, 9
