@@ -127,12 +127,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The one document of each component that stays, with all columns; rows repeated whole count once."""
+    """The one document of each component that stays, with all columns; rows of one doc_id and text count once.
+
+    Of those the one stays whose other columns, written as JSON, come first."""
     found = near_duplicates(docs, radius)
     keep = found.select(F.col("keeper.doc_id").alias("k_id"), F.col("keeper.h").alias("k_h")).distinct()
     d = docs.withColumn("__h", F.xxhash64("text"))
     kept = d.join(keep, d["doc_id"].cast("long").eqNullSafe(keep["k_id"]) & (d["__h"] == keep["k_h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("text", "doc_id")]), {"ignoreNullFields": "false"})
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    return kept.groupBy("doc_id", "__h").agg(F.min_by(row, others).alias("__row")).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,13 @@ def test_simhash_against_all_pairs(spark, odd_docs, no_docs):
     assert simhash_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_kept_row_of_equal_ids_and_texts_is_the_first_by_its_other_columns(spark):
+    rows = [(1, "a b c d e f", "fr", "x"), (1, "a b c d e f", "en", "y"), (1, "a b c d e f", "en", "b"), (2, None, None, None), (2, None, "en", None)]
+    for order in (rows, rows[::-1]):
+        kept = simhash_dedup.keep_one(spark.createDataFrame(order, "doc_id long, text string, lang string, h string").repartition(3))
+        assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "en", "b"), (2, None, "en", None)]
+
+
 def test_close_pairs_are_exact():
     rng = np.random.RandomState(1)
     x = rng.randint(0, 2**63, 700, dtype=np.uint64)
