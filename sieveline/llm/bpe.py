@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAME = "op10_bpe"
-CACHE = 600_000  # entries of at most 64 bytes: some 100 MB a table
+CACHE = 600_000  # entries of at most 64 bytes, or pairs of tokens: some 100 MB a table
 ROWS = 500  # rows of output sent at a time
 
 
@@ -100,6 +100,8 @@ class BacktrackingBpe:
         """Whether the text of left and right together is encoded as just these two tokens."""
         got = self.fits.get((left, right))
         if got is None:
+            if len(self.fits) >= CACHE:
+                self.fits.clear()
             got = self.fits[left, right] = self._compatible(left, right)
         return got
 

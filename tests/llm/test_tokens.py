@@ -70,6 +70,16 @@ def test_piece_encoder_equals_the_library():
         assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_full_table_of_pairs_is_emptied(monkeypatch):
+    from sieveline.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    own, lib = bpe.BacktrackingBpe(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
+    for t in odd_texts(300, 5):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert len(own.fits) <= 50
+
+
 def test_codes_query(spark, monkeypatch):
     monkeypatch.setattr(token_codes, "SEGMENT", 5000)
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
