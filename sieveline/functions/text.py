@@ -186,6 +186,48 @@ def format_ref(book: Column, c1: Column, v1: Column, c2: Column, v2: Column) ->
     )
 
 
+#: A list of spans behind its book, and the form of one span.
+REF_LIST = r"^\s*(.+?)\s+([0-9][0-9:,\s–—-]*)$"
+SPAN = r"^\s*([0-9]{1,9})(?::([0-9]{1,9})(?:-(?:([0-9]{1,9}):)?([0-9]{1,9}))?|-([0-9]{1,9}))?\s*$"
+
+
+def parse_spans(rest: Column) -> Column:
+    """Array of (c1, v1, c2, v2) of "15:18, 20, 16:2-17:3": a bare number is a verse of the chapter named last, or, before any
+    is named, a whole chapter, which ends at verse 999 ("51-53" is chapter 51). Null if any part is no span."""
+    parts = F.split(F.regexp_replace(rest, "[–—]", "-"), ",")
+    number = lambda s, k: F.nullif(F.regexp_extract(s, SPAN, k), F.lit("")).cast("int")
+    part = lambda s: F.struct(number(s, 1).alias("n"), number(s, 2).alias("verse"), number(s, 3).alias("last"), F.coalesce(number(s, 4), number(s, 5)).alias("end"))
+    span = lambda c1, v1, c2, v2: F.struct(c1.alias("c1"), v1.alias("v1"), c2.alias("c2"), v2.alias("v2"))
+
+    def add(state: Column, x: Column) -> Column:
+        named = x["verse"].isNotNull()
+        full = span(x["n"], x["verse"], F.coalesce(x["last"], x["n"]), F.coalesce(x["end"], x["verse"]))
+        within = span(state["chapter"], x["n"], state["chapter"], F.coalesce(x["end"], x["n"]))
+        got = F.when(named, full).when(state["chapter"] > 0, within).otherwise(span(x["n"], F.lit(1), x["n"], F.lit(999)))
+        return F.struct(F.when(named, F.coalesce(x["last"], x["n"])).otherwise(state["chapter"]).alias("chapter"), F.concat(state["spans"], F.array(got)).alias("spans"))
+
+    none = F.struct(F.lit(0).alias("chapter"), F.from_json(F.lit("[]"), "array<struct<c1:int,v1:int,c2:int,v2:int>>").alias("spans"))
+    return F.when(F.forall(parts, lambda s: s.rlike(SPAN)), F.aggregate(F.transform(parts, part), none, add)["spans"])
+
+
+def parse_ref_list(ref: Column) -> Column:
+    """Struct (book, spans) of "Psalm 51:1-2, 10-12"; null if it is no such list."""
+    spans = parse_spans(F.regexp_extract(ref, REF_LIST, 2))
+    return F.when(ref.rlike(REF_LIST) & spans.isNotNull(), F.struct(F.regexp_extract(ref, REF_LIST, 1).alias("book"), spans.alias("spans")))
+
+
+def format_spans(title: Column, spans: Column, mark: str = "፥", sep: str = "፣ ") -> Column:
+    """A list of spans behind a title; whole chapters have no verses."""
+    text = lambda c: c.cast("string")
+
+    def part(s: Column) -> Column:
+        head = F.concat(text(s["c1"]), F.lit(mark), text(s["v1"]))
+        far = F.concat(head, F.lit("–"), text(s["c2"]), F.lit(mark), text(s["v2"]))
+        return F.when(s["c1"] != s["c2"], far).when(s["v2"] >= 999, text(s["c1"])).when(s["v1"] == s["v2"], head).otherwise(F.concat(head, F.lit("–"), text(s["v2"])))
+
+    return F.concat(title, F.lit(" "), F.array_join(F.transform(spans, part), sep))
+
+
 def like_escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\%_])", r"\\$1")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_ref
+from ..functions.text import format_spans, parse_ref, parse_ref_list
 
 
 def prefix_hits(passages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -24,18 +24,64 @@ def prefix_hits(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.select("id", "pos", "ref")
 
 
-def span_hits(passages: DataFrame, chunks: DataFrame) -> DataFrame:
+def span_hits(passages: DataFrame, chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, pos, ref): chunks (pos, ref) whose verse span meets that of a passage (id, ref) in the same book.
 
-    Both are joined by book and chapter; a span has a row for each of its chapters, passages no further than the book's
+    With `by`, columns of both, only those equal in them meet. Both are joined by book and chapter; a span has a row for each of its chapters, passages no further than the book's
     last one. Refs that are no references hit nothing, spans that end before they begin neither."""
     span = lambda d, *keep: d.withColumn("__s", parse_ref(F.col("ref"))).where("__s is not null").select(*keep, "ref", "__s.*")
-    c = span(chunks, "pos").where("c1 <= c2")
-    last = c.groupBy("book").agg(F.max("c2").alias("last"))
-    p = span(passages, "id").join(last, "book").where(F.col("c1") <= F.least("c2", "last"))
-    p = p.select("id", "book", F.struct(F.col("c1").alias("c"), F.col("v1").alias("v")).alias("a"), F.struct(F.col("c2").alias("c"), F.col("v2").alias("v")).alias("z"), F.explode(F.sequence("c1", F.least("c2", "last"))).alias("chapter"))
-    c = c.select("pos", "ref", "book", F.struct(F.col("c1").alias("c"), F.col("v1").alias("v")).alias("ca"), F.struct(F.col("c2").alias("c"), F.col("v2").alias("v")).alias("cz"), F.explode(F.sequence("c1", "c2")).alias("chapter"))
-    return c.join(p, ["book", "chapter"]).where((F.col("ca") <= F.col("z")) & (F.col("cz") >= F.col("a"))).select("id", "pos", "ref").distinct()
+    c = span(chunks, "pos", *by).where("c1 <= c2")
+    last = c.groupBy(*by, "book").agg(F.max("c2").alias("last"))
+    p = span(passages, "id", *by).join(last, [*by, "book"]).where(F.col("c1") <= F.least("c2", "last"))
+    p = p.select("id", *by, "book", F.struct(F.col("c1").alias("c"), F.col("v1").alias("v")).alias("a"), F.struct(F.col("c2").alias("c"), F.col("v2").alias("v")).alias("z"), F.explode(F.sequence("c1", F.least("c2", "last"))).alias("chapter"))
+    c = c.select("pos", "ref", *by, "book", F.struct(F.col("c1").alias("c"), F.col("v1").alias("v")).alias("ca"), F.struct(F.col("c2").alias("c"), F.col("v2").alias("v")).alias("cz"), F.explode(F.sequence("c1", "c2")).alias("chapter"))
+    return c.join(p, [*by, "book", "chapter"]).where((F.col("ca") <= F.col("z")) & (F.col("cz") >= F.col("a"))).select("id", "pos", "ref").distinct()
+
+
+def expected_ranks(expected: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, ref, rank) of every distinct expected (id, ref): the best rank of a result (id, rank, ref) of the same id that is
+    that passage, meets its verses or begins with it whatever the case; 0 if none does, or the id or a ref is null.
+
+    Both ways are equi joins within the id, by book and chapter and by generated prefixes; no result is compared with every ref."""
+    e = expected.select("id", "ref").distinct()
+    asked = e.where("id is not null and ref is not null").select(F.struct("id", "ref").alias("id"), F.col("id").alias("source"), "ref", F.lit(None).cast("string").alias("match"))
+    got = results.where("id is not null and ref is not null").select(F.col("id").alias("source"), F.col("rank").alias("pos"), "ref", F.lit("").alias("content"))
+    hits = prefix_hits(asked, got).unionByName(span_hits(asked, got, ("source",)))
+    best = hits.groupBy("id").agg(F.min("pos").cast("long").alias("rank")).select("id.id", "id.ref", "rank")
+    return e.join(best, ["id", "ref"], "left").select("id", "ref", F.coalesce("rank", F.lit(0).cast("long")).alias("rank"))
+
+
+def passage_texts(passages: DataFrame, verses: DataFrame, refused: str | None = None, unaligned: DataFrame | None = None) -> DataFrame:
+    """(id, ref, text) of passages (id distinct, ref a list of spans), ref as it is shown, text their verses (book, chapter, verse, text) in order.
+
+    Both are null where the text is not whole: no list of spans, a chapter that is missing, a span that begins behind its
+    chapter's end, no verse at all, a verse that matches `refused`, or one from `verse` of a chapter in unaligned (book, chapter, verse)
+    on. A blank verse at a span's end stands for one joined onto the next, which comes too. A passage's text must fit a row."""
+    v = verses.where("book is not null and chapter is not null and verse is not null").select("book", F.col("chapter").cast("int").alias("chapter"), F.col("verse").cast("int").alias("verse"), F.coalesce("text", F.lit("")).alias("text"))
+    chapters = v.groupBy("book", "chapter").agg(F.max("verse").alias("size"))
+    p = passages.select("id", parse_ref_list(F.col("ref")).alias("__p")).where("__p is not null").select("id", "__p.*")
+    s = p.select("id", "book", F.posexplode("spans").alias("span", "s")).select("id", "book", "span", "s.*").where("c1 <= c2")
+    last = chapters.groupBy("book").agg(F.max("chapter").alias("last"))
+    wanted = s.groupBy("id").agg(F.sum((F.col("c2") - F.col("c1") + 1).cast("long")).alias("wanted"))
+    s = s.join(last, "book").where(F.col("c1") <= F.col("last"))
+    s = s.withColumn("chapter", F.explode(F.sequence("c1", F.least("c2", "last")))).join(chapters, ["book", "chapter"])
+    begin = F.when(F.col("chapter") == F.col("c1"), F.col("v1")).otherwise(1)
+    end = F.when(F.col("chapter") == F.col("c2"), F.least("v2", "size")).otherwise(F.col("size"))
+    s = s.select("id", "book", "span", "chapter", "size", begin.alias("begin"), end.alias("end")).where("begin <= size")
+    stop = F.min(F.when(F.col("text") != "", F.col("verse"))).over(W.partitionBy("book", "chapter").orderBy("verse").rowsBetween(0, W.unboundedFollowing))
+    stops = v.select("book", "chapter", F.col("verse").alias("end"), stop.alias("stop"))
+    s = s.join(stops, ["book", "chapter", "end"], "left").withColumn("end", F.when(F.col("stop").isNull() & (F.col("end") < F.col("size")), F.col("size")).otherwise(F.coalesce("stop", "end")))
+    bad = F.lit(False)
+    if unaligned is not None:
+        s = s.join(unaligned.select("book", "chapter", F.col("verse").alias("__from")), ["book", "chapter"], "left")
+        bad = F.coalesce(F.col("end") >= F.col("__from"), F.lit(False))
+    found = s.groupBy("id").agg(F.count("*").alias("found"), F.max(bad).alias("bad"))
+    t = s.select("id", "book", "span", "chapter", "begin", "end").join(v.where("text <> ''"), ["book", "chapter"]).where("verse between begin and end")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span", "chapter", "verse", "text"))), lambda x: x["text"]), " ")
+    t = t.groupBy("id").agg(whole.alias("text"), F.max(F.col("text").rlike(refused) if refused else F.lit(False)).alias("refused"))
+    ok = p.join(wanted, "id").join(found, "id").join(t, "id").where("wanted = found and not bad and not refused")
+    ok = ok.select("id", format_spans(F.col("book"), F.col("spans")).alias("ref"), "text")
+    return passages.select("id").join(ok, "id", "left")
 
 
 def resolution(passages: DataFrame, hits: DataFrame) -> DataFrame:

@@ -84,6 +84,23 @@ def passage_spans(spark, sf_dir):
     return P.resolution(passages, P.span_hits(passages, chunks))
 
 
+def expected_ranks(spark, sf_dir):
+    """The chunks of each document as its results in order; three passages expected of each: verses, a prefix, a chapter far off."""
+    results = verse_chunks(spark, sf_dir).select(F.col("book").alias("id"), (F.col("chunk") + 1).alias("rank"), "ref")
+    n = F.col("doc_id").cast("string")
+    refs = F.array(F.concat(F.lit("Book "), n, F.lit(" 1:5-2:3")), F.concat(F.lit("book "), n, F.lit(" 2")), F.concat(F.lit("Book "), n, F.lit(" 40:1")))
+    return P.expected_ranks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(refs).alias("ref")), results)
+
+
+def passage_texts(spark, sf_dir):
+    """Lists of spans of each document's verses, every tenth of which is joined onto the next."""
+    v = verses(spark, sf_dir).select(F.concat(F.lit("Book"), F.col("book").cast("string")).alias("book"), "chapter", "verse", F.when(F.col("verse") == 4, "").otherwise(F.col("text")).alias("text"))
+    m = F.col("doc_id") % 4
+    spans = F.when(m == 0, "1:2-4, 6, 2:1–3").when(m == 1, "2").when(m == 2, "1:8-2:4").otherwise("1:1, 40:1")
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Book"), F.col("doc_id").cast("string"), F.lit(" "), spans).alias("ref"))
+    return P.passage_texts(asked, v)
+
+
 VERSE_TABLES = f"""WITH RECURSIVE d AS (SELECT doc_id AS book, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 v AS MATERIALIZED (SELECT book, i AS pos, l[i + 1] AS text, CAST(ceil(length(l[i + 1]) / 4.0) AS BIGINT) AS t, i // 10 + 1 AS chapter, i % 10 + 1 AS verse, CASE WHEN i % 17 = 16 THEN 'Part ' || i END AS heading FROM (SELECT book, l, unnest(range(0, len(l))) AS i FROM d)),
 g AS (SELECT book, pos, 0::BIGINT AS chunk, t AS total FROM v WHERE pos = 0 UNION ALL
@@ -103,6 +120,17 @@ SPANS = f"""{VERSE_TABLES}, cc AS (SELECT book * 1000 + chunk AS pos, book, ref,
 p AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 1005 WHEN 1 THEN 2001 WHEN 2 THEN 1002 ELSE 40001 END AS a, CASE doc_id % 4 WHEN 0 THEN 2003 WHEN 1 THEN 2999 WHEN 2 THEN 1004 ELSE 40001 END AS z FROM documents),
 h AS (SELECT p.id, cc.pos, cc.ref FROM p JOIN cc ON cc.book = p.id AND cc.a <= p.z AND cc.z >= p.a), {REPORT}"""
 
+RANKS = f"""{VERSE_TABLES}, x AS (SELECT doc_id AS id, y.a, y.z, y.p || doc_id || y.s AS ref FROM documents, (VALUES ('Book ', ' 1:5-2:3', 1005, 2003), ('book ', ' 2', NULL, NULL), ('Book ', ' 40:1', 40001, 40001)) y(p, s, a, z))
+SELECT x.id, x.ref, coalesce(min(r.chunk + 1), 0) AS rank FROM x LEFT JOIN r ON r.book = x.id AND (starts_with(lower(r.ref), lower(x.ref)) OR (r.c1 * 1000 + r.v1 <= x.z AND r.c2 * 1000 + r.v2 >= x.a)) GROUP BY ALL"""
+TEXTS = """WITH d AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+vs AS MATERIALIZED (SELECT id, i // 10 + 1 AS c, i % 10 + 1 AS v, CASE WHEN i % 10 = 3 THEN '' ELSE l[i + 1] END AS text FROM (SELECT id, l, unnest(range(0, len(l))) AS i FROM d)),
+ch AS (SELECT id, c, max(v) AS n FROM vs GROUP BY ALL),
+s AS (SELECT doc_id AS id, x.* FROM documents JOIN (VALUES (0, 1, 1, 2, 1, 4), (0, 2, 1, 6, 1, 6), (0, 3, 2, 1, 2, 3), (1, 1, 2, 1, 2, 999), (2, 1, 1, 8, 2, 4), (3, 1, 1, 1, 1, 1), (3, 2, 40, 1, 40, 1)) x(m, k, c1, v1, c2, v2) ON doc_id % 4 = m),
+e AS (SELECT s.id, k, u.c, n, CASE WHEN u.c = c1 THEN v1 ELSE 1 END AS f, CASE WHEN u.c = c2 THEN least(v2, n) ELSE n END AS t FROM (SELECT *, unnest(range(c1, c2 + 1)) AS c FROM s) u JOIN s USING (id, k, c1, v1, c2, v2) LEFT JOIN ch ON ch.id = u.id AND ch.c = u.c),
+w AS (SELECT e.id, e.k, e.c, e.n, e.f, coalesce(min(vs.v), e.n) AS t FROM e LEFT JOIN vs ON vs.id = e.id AND vs.c = e.c AND vs.v >= e.t AND vs.text <> '' GROUP BY e.id, e.k, e.c, e.n, e.f),
+o AS (SELECT w.id, string_agg(text, ' ' ORDER BY k, w.c, v) AS text FROM w JOIN vs ON vs.id = w.id AND vs.c = w.c AND vs.v BETWEEN f AND t AND text <> '' WHERE w.id NOT IN (SELECT id FROM e WHERE n IS NULL OR f > n) GROUP BY ALL)
+SELECT doc_id AS id, CASE WHEN o.text IS NOT NULL THEN 'Book' || doc_id || CASE doc_id % 4 WHEN 0 THEN ' 1፥2–4፣ 1፥6፣ 2፥1–3' WHEN 1 THEN ' 2' WHEN 2 THEN ' 1፥8–2፥4' ELSE ' 1፥1፣ 40፥1' END END AS ref, o.text FROM documents LEFT JOIN o ON o.id = doc_id"""
+
 CATALOG = {
     "clean_text": (clean_text, None),
     "text_sections": (text_sections, None),
@@ -111,4 +139,6 @@ CATALOG = {
     "marked_verses": (marked_verses, None),
     "passage_prefixes": (passage_prefixes, PREFIXES),
     "passage_spans": (passage_spans, SPANS),
+    "expected_ranks": (expected_ranks, RANKS),
+    "passage_texts": (passage_texts, TEXTS),
 }
