@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import passages as P
+from ..operators import rules as R
 from ..operators import sections as S
 from ..operators import usfm as U
 from ..sources.tables import table
@@ -36,6 +37,16 @@ def section_chunks(spark, sf_dir):
     return S.chunk_sections(text_sections(spark, sf_dir), F.concat(F.lit("Document "), F.col("doc").cast("string")), TARGET)
 
 
+def numbered_sections(spark, sf_dir):
+    """Every sixth line a numbered chapter in capitals; every fourth of their numbers is too far off to be one, so it is text."""
+    d = S.lines_of(table(spark, sf_dir, "documents"))
+    k = F.floor(F.col("pos") / 6)
+    start = F.concat(F.when(k % 4 == 3, k + 90).otherwise(k + 1).cast("string"), F.lit(". THE LONG WAY,"))
+    line = F.when(F.col("pos") % 6 == 0, start).when(F.col("pos") % 6 == 1, "HOME AND BACK").when(F.col("pos") % 6 == 2, "and so it goes").when(F.col("line") == "", "").otherwise(F.concat(F.lit("so "), "line"))
+    rule = R.Rule("numberedChapter", section_start=r"^([0-9iIl]{1,4})\s?[.,:-]\s?(.{4,})$")
+    return R.ruled_sections(d.withColumn("line", line), rule, "Preface")
+
+
 def verses(spark, sf_dir):
     """Lines of documents as verses, ten a chapter; every fourth begins a paragraph, some have a heading."""
     d = S.lines_of(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "book")
@@ -131,10 +142,20 @@ w AS (SELECT e.id, e.k, e.c, e.n, e.f, coalesce(min(vs.v), e.n) AS t FROM e LEFT
 o AS (SELECT w.id, string_agg(text, ' ' ORDER BY k, w.c, v) AS text FROM w JOIN vs ON vs.id = w.id AND vs.c = w.c AND vs.v BETWEEN f AND t AND text <> '' WHERE w.id NOT IN (SELECT id FROM e WHERE n IS NULL OR f > n) GROUP BY ALL)
 SELECT doc_id AS id, CASE WHEN o.text IS NOT NULL THEN 'Book' || doc_id || CASE doc_id % 4 WHEN 0 THEN ' 1፥2–4፣ 1፥6፣ 2፥1–3' WHEN 1 THEN ' 2' WHEN 2 THEN ' 1፥8–2፥4' ELSE ' 1፥1፣ 40፥1' END END AS ref, o.text FROM documents LEFT JOIN o ON o.id = doc_id"""
 
+NUMBERED = r"""WITH d AS (SELECT doc_id AS doc, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc, i, i // 6 AS k, l[i + 1] AS x FROM (SELECT doc, l, unnest(range(0, len(l))) AS i FROM d)),
+t AS (SELECT doc, i, k, i % 6 = 0 AND k % 4 <> 3 AS opens, k % 4 <> 3 AND i % 6 = 1 AS titles, CASE WHEN i % 6 = 0 THEN (k + 90) || '. THE LONG WAY,' WHEN i % 6 = 1 THEN 'HOME AND BACK' WHEN i % 6 = 2 THEN 'and so it goes' WHEN x = '' THEN '' ELSE 'so ' || x END AS line FROM r),
+s AS (SELECT *, sum(opens::INT) OVER w AS section, sum((opens OR line = '')::INT) OVER w AS block, max(k) OVER (PARTITION BY doc) AS top FROM t WINDOW w AS (PARTITION BY doc ORDER BY i)),
+p AS (SELECT doc, section, block, top, trim(regexp_replace(string_agg(line, ' ' ORDER BY i), '\s+', ' ', 'g')) AS text FROM s WHERE NOT opens AND NOT titles AND line <> '' GROUP BY ALL),
+h AS (SELECT DISTINCT doc, section, k + 1 AS n, top FROM s WHERE opens),
+z AS (SELECT DISTINCT doc, section, EXISTS (SELECT 1 FROM t WHERE t.doc = h.doc AND t.i = 6 * h.n - 5) AS y, CASE WHEN n % 4 = 3 AND top >= n + 1 THEN 'Chapters ' || n || '–' || (n + 1) ELSE 'Chapter ' || n END || ': The Long Way' || CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.doc = h.doc AND t.titles AND t.k = h.n - 1) THEN ' Home And Back' ELSE '' END AS heading FROM h)
+SELECT doc, CAST(section AS BIGINT) AS section, heading, row_number() OVER (PARTITION BY doc, section ORDER BY block) AS para, text FROM p JOIN z USING (doc, section)"""
+
 CATALOG = {
     "clean_text": (clean_text, None),
     "text_sections": (text_sections, None),
     "section_chunks": (section_chunks, None),
+    "numbered_sections": (numbered_sections, NUMBERED),
     "verse_chunks": (verse_chunks, VERSES),
     "marked_verses": (marked_verses, None),
     "passage_prefixes": (passage_prefixes, PREFIXES),
