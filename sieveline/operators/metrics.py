@@ -39,6 +39,30 @@ def score_marked(questions: DataFrame, marked: DataFrame, n: DataFrame, cutoffs:
     )
 
 
+def doc_recall(questions: DataFrame, hits: DataFrame, truth: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """(query_id, k, doc_recall): share of a question's relevant documents, truth (query_id, doc), that hits (query_id, doc, rank)
+    hold in the first k, a document counted once. No relevant document: null; relevant but missed: 0."""
+    t = truth.select("query_id", "doc").distinct()
+    first = hits.join(t, ["query_id", "doc"]).groupBy("query_id", "doc").agg(F.min("rank").alias("rank"))
+    found = first.groupBy("query_id").agg(F.array(*[F.count_if(F.col("rank") <= k) for k in cutoffs]).alias("found"))
+    q = questions.select("query_id").join(t.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").join(found, "query_id", "left")
+    q = q.select("query_id", "n", "found", F.posexplode(F.array(*[F.lit(k) for k in cutoffs])).alias("at", "k"))
+    return q.select("query_id", "k", F.when(F.col("n") > 0, F.round(F.coalesce(F.get("found", "at"), F.lit(0)) / F.col("n"), 6)).alias("doc_recall"))
+
+
+def score_names(questions: DataFrame, hits: DataFrame, truth: DataFrame, doc_truth: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """(query_id, metric, value): mrr over all hits (query_id, id, doc, rank) and six metrics at each cutoff, named like "recall@5"."""
+    hits = hits.select("query_id", "id", "doc", "rank")
+    per = score_rankings(questions, hits.drop("doc"), truth, cutoffs).join(doc_recall(questions, hits.drop("id"), doc_truth, cutoffs), ["query_id", "k"])
+    names = {"recall": "recall", "precision": "precision", "ndcg": "ndcg", "hitRate": "hit_rate", "docRecall": "doc_recall", "mrr": "mrr"}
+    each = F.array(*[F.struct(F.concat(F.lit(f"{n}@"), F.col("k").cast("string")).alias("metric"), F.col(c).alias("value")) for n, c in names.items()])
+    best = hits.join(truth.select("query_id", "id").distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    known = truth.select("query_id").distinct().withColumn("known", F.lit(True))
+    whole = questions.select("query_id").join(known, "query_id", "left").join(best, "query_id", "left")
+    whole = whole.select("query_id", F.lit("mrr").alias("metric"), F.when(F.col("known"), F.round(F.coalesce(1 / F.col("rank"), F.lit(0.0)), 6)).alias("value"))
+    return per.select("query_id", F.inline(each)).unionByName(whole)
+
+
 def nearest_rank(column: str, q: float) -> Column:
     """Aggregate: the ceil(q * n)-th smallest value, 0 for none."""
     return F.coalesce(F.expr(f"percentile_disc({q}) within group (order by {column})"), F.lit(0))

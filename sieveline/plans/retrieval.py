@@ -94,14 +94,28 @@ def rrf_hybrid(spark, sf_dir):
 def hybrid_recall(spark, sf_dir):
     """The flagship: hybrid top 8 of every benchmark item and its metrics against literal containment."""
     q, d = texts(spark, sf_dir)
-    hits = R.fuse(R.tfidf_topk(q, d), R.keyword_topk(q, d))
-    # a planted passage is found by the hash of its first eight words; the equi join keeps this from being a cross product
+    return M.score_rankings(q, R.fuse(R.tfidf_topk(q, d), R.keyword_topk(q, d)), holders(q, d))
+
+
+def score_names(spark, sf_dir):
+    """All metrics of keyword search by name; a source stands for the document that holds its chunks."""
+    q, d = texts(spark, sf_dir)
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"))
+    truth = holders(q, d)
+    return M.score_names(q, R.keyword_topk(q, d).select("query_id", "id", "rank").join(source, "id"), truth, truth.join(source, "id").select("query_id", "doc"))
+
+
+def holders(q, d):
+    """(query_id, id): documents (id, text) that hold the text of a question (query_id, text) of eight words or more."""
+    # a planted passage is found by the hash of its first eight words; the equi join keeps this from being a cross product,
+    # and only ids travel with the words: texts come back for the pairs found
     leads = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, 8)]))
     words = lambda df: df.withColumn("w", F.split("text", r"[ \n]"))
-    asked = words(q).select("query_id", F.col("text").alias("passage"), F.get(leads(F.col("w")), F.lit(0)).alias("lead"))
-    starts = R.explode_terms(words(d), ["id", "text"], F.array_distinct(leads(F.col("w"))), "lead")
-    truth = starts.join(asked, "lead").where(F.contains("text", "passage")).select("query_id", "id").distinct()
-    return M.score_rankings(q, hits, truth)
+    asked = words(q).select("query_id", F.get(leads(F.col("w")), F.lit(0)).alias("lead"))
+    starts = R.explode_terms(words(d), ["id"], F.array_distinct(leads(F.col("w"))), "lead")
+    found = starts.join(asked, "lead").select("query_id", "id").distinct()
+    found = found.join(q.select("query_id", F.col("text").alias("passage")), "query_id").join(d.select("id", "text"), "id")
+    return found.where(F.contains("text", "passage")).select("query_id", "id").distinct()
 
 
 def metrics_sql(questions: str, hits: str, truth: str) -> str:
@@ -229,6 +243,17 @@ def split_check(spark, sf_dir):
     return C.split_problems(items)
 
 
+def names_sql(questions: str, hits: str, truth: str, source: str) -> str:
+    """score_names in SQL: the metrics by cutoff, recall of documents and mrr of all hits, as rows."""
+    return f"""pk AS (WITH {metrics_sql(questions, hits, truth)}),
+dt2 AS (SELECT DISTINCT query_id, doc FROM {truth} t JOIN {source} s ON s.id = t.id), dn AS (SELECT query_id, count(*) AS n FROM dt2 GROUP BY 1),
+df2 AS (SELECT h.query_id, s.doc, min(h.rank) AS rank FROM {hits} h JOIN {source} s ON s.id = h.id JOIN dt2 ON dt2.query_id = h.query_id AND dt2.doc = s.doc GROUP BY ALL),
+dr AS (SELECT pk.query_id, k, CASE WHEN any_value(n) > 0 THEN round(count(df2.doc) / any_value(n), 6) END AS doc FROM pk LEFT JOIN dn USING (query_id) LEFT JOIN df2 ON df2.query_id = pk.query_id AND df2.rank <= k GROUP BY ALL),
+fm AS (SELECT h.query_id, min(rank) AS rank FROM {hits} h JOIN {truth} t ON t.query_id = h.query_id AND t.id = h.id GROUP BY 1)
+SELECT query_id, m || '@' || k AS metric, v AS value FROM (SELECT query_id, k, unnest(['recall', 'precision', 'ndcg', 'hitRate', 'docRecall', 'mrr']) AS m, unnest([recall, precision, ndcg, hit_rate, dr.doc, mrr]) AS v FROM pk JOIN dr USING (query_id, k))
+UNION ALL SELECT q.query_id, 'mrr', CASE WHEN q.query_id IN (SELECT query_id FROM {truth}) THEN round(coalesce(1 / rank, 0), 6) END FROM {questions} q LEFT JOIN fm USING (query_id)"""
+
+
 WITH = "WITH " + KEYWORD + ", " + TFIDF
 TRUTH = "tt AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 CATALOG = {
@@ -240,6 +265,7 @@ CATALOG = {
     "hybrid_recall": (hybrid_recall, f"{WITH}, {FUSED}, {TRUTH}, {metrics_sql('(SELECT item_id AS query_id FROM benchmark)', 'fr', 'tt')}"),
     "multi_query_union": (multi_query_union, f"WITH {_PARTS}, mq AS (SELECT query_id.query_id AS query_id, id, max(score) AS score FROM fr GROUP BY 1, 2) {ranked('mq', 'score DESC, id', 8)}"),
     "retrieval_metrics": (retrieval_metrics, f"WITH {SIMILAR}, o AS (SELECT * FROM s WHERE id <> query_id), hh AS ({ranked('o', 'similarity DESC, id', 20)}), tt AS (SELECT query_id, id FROM s WHERE ql = label AND id <> query_id), {metrics_sql('q', 'hh', 'tt')}"),
+    "score_names": (score_names, f"WITH {KEYWORD}, {TRUTH}, so AS (SELECT doc_id AS id, source AS doc FROM documents), {names_sql('(SELECT item_id AS query_id FROM benchmark)', 'kr', 'tt', 'so')}"),
     "document_frequency": (document_frequency, f"{WITH} SELECT term, df, round(idf, 9) AS idf FROM df"),
     "lexical_containment": (lexical_containment, f"{WITH}, {OVERLAP.format(k=3)} SELECT * FROM ov"),
     "tfidf_pairs": (tfidf_pairs, f"{WITH}, {NEAREST} SELECT * FROM ne"),

@@ -288,3 +288,16 @@ def test_a_majority_is_no_direction(spark, top, others, p):
     rows = [(1, 0)] * top + [(0, 1)] * others + [(1, 1), (0, 0)] * 3
     r = curation.agreement(spark.createDataFrame([("g", *x) for x in rows], "g string, a int, b int"), "g").first()
     assert r["bias_p"] == pytest.approx(p, rel=0.05) and (r["flag"] == "BIASED") == (p < 0.05)
+
+
+def test_recall_of_documents_and_metrics_by_name(spark):
+    q = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "query_id string")
+    hits = spark.createDataFrame([("a", 1, "x", 1), ("a", 2, "x", 2), ("a", 3, "y", 4), ("a", 9, "w", 30), ("b", 1, "x", 1), ("d", 5, "v", 25)], "query_id string, id int, doc string, rank int")
+    truth = spark.createDataFrame([("a", 3), ("a", 9), ("b", 7), ("d", 5)], "query_id string, id int")
+    docs = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("a", "z"), ("b", "q"), ("d", "v")], "query_id string, doc string")
+    got = {(r["query_id"], r["metric"]): r["value"] for r in metrics.score_names(q, hits, truth, docs).collect()}
+    assert len(got) == 4 * 31
+    assert [got["a", f"docRecall@{k}"] for k in (1, 3, 5, 10, 20)] == [0.333333, 0.333333, 0.666667, 0.666667, 0.666667]
+    assert got["b", "docRecall@20"] == 0 and got["c", "docRecall@1"] is None and got["c", "mrr"] is None and got["b", "mrr"] == 0
+    assert got["a", "mrr"] == 0.25 and got["a", "mrr@3"] == 0 and got["d", "mrr"] == 0.04 and got["d", "mrr@20"] == 0 and got["a", "recall@5"] == 0.5
+    assert metrics.score_names(q.limit(0), hits, truth, docs).count() == 0
