@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
+from ..sources import run_store
 from ..sources.tables import table
 
 
@@ -14,6 +15,36 @@ def results(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", F.when(d % 11 == 0, F.lit("e")).alias("error"), F.when(d % 7 > 0, F.col("quality")).alias("correctness"), F.col("toxic").alias("hit"))
 
 
+def stored_runs(spark, sf_dir):
+    """(runs, results): orders as runs of forty variants, their lines as results, of which only returned ones have no error."""
+    run_id = lambda c: F.md5(F.col(c).cast("string")).alias("run_id")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), run_id("o_orderkey"), F.concat(F.lit("v"), (F.col("o_custkey") % 40).cast("string")).alias("variant"), F.col("o_orderdate").alias("started_at"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(run_id("l_orderkey"), F.col("l_linenumber").alias("question_id"))
+    lines = lines.agg(F.when(F.count_if(F.col("l_returnflag") == "A") == 0, "e").alias("error"), F.sum("l_quantity").alias("score"))
+    return runs.withColumn("file", F.concat(F.lit("runs/"), "run_id", F.lit(".jsonl"))), lines
+
+
+def resolved_runs(spark, sf_dir):
+    """Runs asked for by the beginning of an id, variant, file, whole id, or something that is none."""
+    runs, lines = stored_runs(spark, sf_dir)
+    k, ident = F.col("c_custkey"), F.md5(F.col("c_custkey").cast("string"))
+    ref = F.when(k % 5 == 0, F.substring(ident, 1, 6)).when(k % 5 == 1, F.concat(F.lit("v"), (k % 60).cast("string"))).when(k % 5 == 2, F.concat(F.lit("kept/"), ident, F.lit(".jsonl"))).when(k % 5 == 3, ident).otherwise(F.concat(F.lit("w"), k.cast("string")))
+    return run_store.resolved(table(spark, sf_dir, "customer").select(ref.alias("ref")), run_store.usable_runs(runs, lines))
+
+
+def backfilled_results(spark, sf_dir):
+    """A store of every run's first three questions, all with an error, after a backfill of the runs that have a good result."""
+    runs, lines = stored_runs(spark, sf_dir)
+    store = lines.where("question_id <= 3").withColumn("error", F.lit("old")).withColumn("score", F.lit(0.0))
+    return run_store.backfilled(store, runs, lines)
+
+
+def linked_items(spark, sf_dir):
+    """Customers with links to others, some of which do not exist."""
+    k = F.col("c_custkey")
+    return run_store.parents_first(table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 3 > 0, k * 7 % 2000).alias("parent"), "c_nationkey"))
+
+
 def failures(spark, sf_dir):
     return results(spark, sf_dir).select("doc_id", R.failed(F.col("error"), F.col("correctness"), F.col("hit")).alias("failed"))
 
@@ -124,6 +155,16 @@ CATALOG = {
     "daily_usage": (daily_usage, "WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS provider, count(*) AS n FROM events GROUP BY 1, 2) SELECT CAST(day AS VARCHAR) AS day, provider, n FROM e WHERE day >= (SELECT max(day) FROM e) - 7"),
     "fixed_groups": (fixed_groups, "WITH k AS (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 10 AS batch FROM lineitem) SELECT l_suppkey, batch, count(*) AS n, min(l_orderkey) AS first_order FROM k GROUP BY 1, 2"),
     "streaks": (streaks, "SELECT user_id, greatest(1, DATE '2024-01-15' - CAST(min(ts) AS DATE) + 1) AS day FROM events GROUP BY 1"),
+    "resolved_runs": (resolved_runs, """WITH r AS (SELECT o_orderkey AS pos, md5(CAST(o_orderkey AS VARCHAR)) AS run_id, 'v' || o_custkey % 40 AS variant, o_orderdate AS s, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A') AS u FROM orders),
+a AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN left(m, 6) WHEN 1 THEN 'v' || c_custkey % 60 WHEN 2 THEN 'kept/' || m || '.jsonl' WHEN 3 THEN m ELSE 'w' || c_custkey END AS ref FROM (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS m FROM customer)),
+h AS (SELECT ref, pos AS o, run_id, u FROM a JOIN r ON ref = 'kept/' || run_id || '.jsonl' UNION ALL SELECT ref, pos, run_id, u FROM a JOIN r ON ref = left(run_id, 6) UNION ALL SELECT ref, pos, run_id, u FROM a JOIN r ON ref = run_id
+    UNION ALL SELECT ref, row_number() OVER (PARTITION BY ref ORDER BY s DESC, pos), run_id, u FROM a JOIN r ON ref = variant WHERE u),
+b AS (SELECT ref, arg_min(run_id, o) AS run_id, arg_min(u, o) AS u FROM h GROUP BY ref)
+SELECT a.ref, run_id, CASE WHEN run_id IS NULL THEN 'unknown' WHEN NOT u THEN 'unusable' END AS problem FROM a LEFT JOIN b USING (ref)"""),
+    "backfilled_results": (backfilled_results, """WITH g AS (SELECT l_orderkey, bool_or(l_returnflag = 'A') AS good FROM lineitem GROUP BY 1)
+SELECT md5(CAST(l_orderkey AS VARCHAR)) AS run_id, l_linenumber AS question_id, CASE WHEN NOT good THEN 'old' WHEN NOT bool_or(l_returnflag = 'A') THEN 'e' END AS error, CASE WHEN good THEN sum(l_quantity) ELSE 0 END AS score
+FROM lineitem JOIN g USING (l_orderkey) WHERE good OR l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber, good"""),
+    "linked_items": (linked_items, "SELECT c.c_custkey AS id, p.c_custkey AS parent, c.c_nationkey, CASE WHEN p.c_custkey IS NULL THEN 0 ELSE 1 END AS wave FROM customer c LEFT JOIN customer p ON c.c_custkey % 3 > 0 AND p.c_custkey = c.c_custkey * 7 % 2000"),
     "latest_runs": (latest_runs, "SELECT o_orderkey AS run_id, o_orderdate AS started, o_orderdate AS finished FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100"),
     "flagged_last": (flagged_last, "SELECT doc_id, toxic = 1 AS suspect, row_number() OVER (ORDER BY coalesce(toxic = 1, false), doc_id) AS place FROM labels"),
     "group_ranking": (group_ranking, f"WITH a AS (SELECT c_custkey AS query, unnest([{T('c_custkey', 3)}, {T('c_custkey', 7)}]) AS tag FROM customer), p AS (SELECT n_nationkey AS id, n_regionkey = 1 AS f, unnest([{T('n_nationkey', 3)}, {T('n_nationkey', 7)}]) AS tag FROM nation), m AS (SELECT query, id, f, count(*) AS matched FROM a JOIN p USING (tag) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY matched DESC, f DESC, id) AS place FROM m) SELECT query, id, matched, place, place <= 7 AS in_walk FROM r"),
