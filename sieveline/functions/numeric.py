@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ def mulberry32(seed: int, ks: Column) -> Column:
     return F.transform(z, lambda v: v.bitwiseXOR(F.shiftright(v, 14)) / 4294967296)
 
 
+def draws(seed: int, first: int, count: int) -> np.ndarray:
+    """Draws first .. first + count - 1 of the stream of mulberry32, for use inside tasks."""
+    step = np.uint32(0x6D2B79F5)
+    a = np.arange(count, dtype=np.uint32) * step + np.uint32((seed + (first + 1) * 0x6D2B79F5) & MASK)
+    t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    return (t ^ (t >> np.uint32(14))) / 4294967296
+
+
 def fnv1a(text: Column) -> Column:
     """FNV-1a over the characters, as a fraction of 2**32; for ties that follow no name."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

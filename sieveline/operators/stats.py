@@ -4,39 +4,76 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import mulberry32
-from ..sources.shared import numbered
+from ..functions.numeric import draws, mulberry32
+from ..sources.shared import numbered, written
 
 
-#: Values in one block: draws meet values block by block, so that no row holds all values of a large group.
-BLOCK = 65_536
+#: Values in one block, so that no row or task holds all values of a large group; draws of one task from one block; draws made at once.
+BLOCK, TASK_DRAWS, CHUNK = 1 << 20, 1 << 27, 1 << 16
+
+
+def _packed(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of values as bytes of doubles in order; a null is zero there and marked in `some`."""
+    pdf = pdf.sort_values("at")
+    some = pdf["some"].to_numpy(dtype=bool)
+    xs = np.where(some, pdf["x"].to_numpy(dtype=np.float64), 0.0)
+    return pd.DataFrame({"__g": [key[0]], "__n": [key[1]], "b": [key[2]], "xs": [xs.tobytes()], "some": [None if some.all() else some.tobytes()]})
+
+
+def _folded(seed: int, block: int):
+    """Sums of the draws of resamples i0 .. i1-1 that fall into a block, each folded draw by draw."""
+
+    def run(frames):
+        for pdf in frames:
+            for g, n, b, i0, i1, xs, some in pdf[["__g", "__n", "b", "i0", "i1", "xs", "some"]].itertuples(index=False, name=None):
+                x, fine = np.frombuffer(xs), None if some is None else np.frombuffer(some, dtype=bool)
+                parts, counts = np.zeros(i1 - i0), np.zeros(i1 - i0, dtype=np.int64)
+                for i in range(i0, i1):
+                    total, count = 0.0, 0
+                    for at in range(0, n, CHUNK):
+                        p = np.floor(draws(seed, i * n + at, min(CHUNK, n - at)) * n).astype(np.int64)
+                        if n > block:
+                            p = p[(p >= b * block) & (p < (b + 1) * block)] - b * block
+                        got = x[p]
+                        if len(got):
+                            got[0] += total
+                            total = np.add.accumulate(got)[-1]
+                            count += len(p) if fine is None else int(fine[p].sum())
+                    parts[i - i0], counts[i - i0] = total, count
+                yield pd.DataFrame({"__g": g, "i": np.arange(i0, i1), "b": b, "part": parts, "count": counts})
+
+    return run
 
 
 def resampled_means(values: DataFrame, iters: int, seed: int, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """(by, i, m): means of `iters` seeded resamples of each group's values (by, pos, x), drawn in order of pos.
 
-    Values are numbered and packed into blocks; a resample is drawn in ranges of draws, each range is joined with the
-    blocks that it draws from by block number, and partial sums are folded in order of range and block. A group of one
-    block is folded draw by draw, as a loop would; larger ones differ from a loop by rounding alone. Draw k of the
-    stream is an expression of k, so resamples need nothing from each other. The seeded stream starts anew for each group."""
+    Values are numbered and packed into blocks. Each block meets ranges of resamples, about TASK_DRAWS draws to a range;
+    the draws of a range are made where it lies and those that fall into the block are folded. So draws are never rows,
+    a block travels once per range, and only the groups' sizes are ever small enough to be sent to all tasks. Sums of
+    blocks are added in order. A group of one block is folded draw by draw, as a loop would; larger ones differ from a
+    loop by rounding alone. Null values add nothing. Draw k of the stream is a function of k, so resamples need nothing
+    from each other. The seeded stream starts anew for each group."""
     by = by or []
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = numbered(values.select(*by, "pos", "x"), by, ["pos"])
-    blocks = d.groupBy(*by, F.floor(F.col("at") / block).alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("xs"))
-    sizes = d.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0")
-    rows = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iters - 1).cast("long")))).repartition(*by, "i")
-    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))
-    rows = rows.withColumn("c", F.explode(pieces))
-    ks = F.sequence(F.col("i") * F.col("n") + F.col("c") * block, F.col("i") * F.col("n") + F.least(F.col("n"), (F.col("c") + 1) * block) - 1)
-    rows = rows.withColumn("draws", F.transform(mulberry32(seed, ks), lambda u: F.floor(u * F.col("n")))).withColumn("b", F.explode(pieces))
-    own = F.transform(F.filter("draws", lambda p: F.floor(p / block) == F.col("b")), lambda p: p - F.col("b") * block)
-    rows = rows.withColumn("draws", F.when(F.col("n") <= block, F.col("draws")).otherwise(own)).join(blocks, [*by, "b"])
-    rows = rows.select(*by, "i", "n", "c", "b", F.aggregate("draws", F.lit(0.0), lambda s, p: s + F.get("xs", p.cast("int"))).alias("part"))
-    parts = rows.groupBy(*by, "i", "n").agg(F.sort_array(F.collect_list(F.struct("c", "b", "part"))).alias("parts"))
-    return parts.select(*by, "i", (F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]) / F.col("n")).alias("m"))
+    sizes = d.groupBy(*by).agg(F.count("*").alias("__n")).where("__n > 0")
+    sizes = written(sizes.withColumn("__g", F.monotonically_increasing_id()), "groups")
+    cells = d.join(sizes, by or F.lit(True)).select("__g", "__n", F.floor(F.col("at") / block).alias("b"), "at", F.col("x").cast("double").alias("x"), F.col("x").isNotNull().alias("some"))
+    packed = cells.groupBy("__g", "__n", "b").applyInPandas(_packed, "__g long, __n long, b long, xs binary, some binary")
+    step = F.greatest(F.lit(1), F.floor(F.lit(TASK_DRAWS) / F.col("__n"))).cast("long")
+    rows = packed.withColumn("i0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iters - 1).cast("long"), step)))
+    rows = rows.withColumn("i1", F.least(F.col("i0") + step, F.lit(iters).cast("long"))).repartition(parts, "__g", "b", "i0")
+    folded = rows.mapInPandas(_folded(seed, block), "__g long, i long, b long, part double, count long")
+    sums = folded.groupBy("__g", "i").agg(F.sort_array(F.collect_list(F.struct("b", "part"))).alias("parts"), F.sum("count").alias("count"))
+    m = F.when(F.col("count") > 0, F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]) / F.col("__n"))
+    return sums.join(sizes, "__g").select(*by, "i", m.alias("m"))
 
 
 def interval(means: DataFrame, iters: int, alpha: float, by: list[str]) -> DataFrame:
