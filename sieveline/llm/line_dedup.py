@@ -5,7 +5,7 @@ lines are one node, however short. Nodes of at least MIN_WORDS words get a finge
 into classes by their hash (or, in short lines, by place) and each block is the 64-bit SimHash of one class's distinct words, so
 that a changed word touches one or two blocks only and k blocks have an untouched one after (k - 1) / 2 replaced words
 (blocks of one SimHash over all words have no such bound: one word of ten moves 9 of its 64 bits). Lines of up to ten
-words have a block for each one and two words left out instead, lines of over 158 words have blocks of some of their words only. A class with fewer than TELLING words of LONG letters takes the next
+words have a block for each one and two words left out instead. A class with fewer than TELLING words of LONG letters takes the next
 class in, as blocks of "of the" tell nothing. Lines that share a block are compared, and those with
 1 - edit distance / longer length >= SIMILARITY are linked; bounds that never refuse a similar pair come first (lengths,
 trigram and letter counts), and pairs that links already connect need no check. A block shared by more than TILE lines is compared
@@ -38,7 +38,6 @@ MIN_WORDS, SIMILARITY = 5, 0.8
 #: Ranges overlap by a fifth, so that lines of similar lengths have one in common.
 SCHEMES = [("leave", 5, 10, 1), ("place", 9, 23, 3), ("class", 9, 23, 4), ("class", 19, 47, 6), ("class", 39, 95, 8)]
 SCHEMES += [("class", 79 << k, (192 << k) - 1, 12 << k) for k in range(20)]
-USED = 12  # classes that give a block: from 159 words on the first ones, of about ten words each
 ENDS = 4  # words in the first and the last block by place
 LONG, TELLING = 4, 2
 TILE, GROUP_ROWS = 1024, 20_000
@@ -95,9 +94,6 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             part = (place >= ENDS).astype(np.int64) + (place >= n[row] - ENDS)
         else:
             part = (own >> 8) % parts
-            if parts > USED:
-                own, row, part = own[part < USED], row[part < USED], part[part < USED]
-                parts = USED
         # distinct words of each class: a repeated one would outvote the others
         own = np.sort(((row * parts + part) << 40) + own)
         own = own[np.diff(own, prepend=-1) != 0]
