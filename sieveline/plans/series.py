@@ -10,7 +10,7 @@ from ..operators import series as O
 from ..sources.tables import table
 from .evaluation import imul
 from .retrieval import CATALOG as RETRIEVAL
-from .retrieval import cross_document_pairs
+from .retrieval import chunks
 
 ITERS = 300
 
@@ -47,9 +47,8 @@ def sweep_of_metric(spark, sf_dir):
 
 def diverse_pairs(spark, sf_dir):
     """The 50 most specific pairs, one per entity and per two documents."""
-    p = cross_document_pairs(spark, sf_dir).withColumn("pair", F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string")))
     tie = fnv1a(F.concat_ws("|", "entity", "pair"))
-    return C.diverse(p, "entity", "pair", [(-F.col("score")).alias("s"), tie.alias("t"), F.col("a"), F.col("b")], 50).select("entity", "a", "b", "df", "tf", "score")
+    return C.diverse_entity_pairs(chunks(spark, sf_dir), 0.15, [tie.alias("t"), F.col("a"), F.col("b")], 50).select("entity", "a", "b", "df", "tf", "score")
 
 
 def split_items(spark, sf_dir):
