@@ -34,16 +34,29 @@ def phrase_kind(text: Column, phrases: dict[str, list[str]], soft: str) -> Colum
     return out.when(t.rlike(soft), "ask")
 
 
+def with_tag_sets(asked: DataFrame, query: str, tags: str = "tags") -> DataFrame:
+    """(query, set): the tags of every query, sorted; a tag of several rows of one query counts as often. Queries without tags go.
+
+    What a query finds depends on its tags alone, so searches answer each distinct set once. The rows are dealt out before
+    they are grouped, as a small file of many queries is one task."""
+    d = asked.select(query, F.array_distinct(tags).alias("__t")).where(F.size("__t") > 0).repartition(query)
+    return d.groupBy(query).agg(F.sort_array(F.flatten(F.collect_list("__t"))).alias("set"))
+
+
 def rank_entities(wanted: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, id, matched, rarity, rank): entities (id, tags, first, seq) that share a tag with wanted (query_id, tags).
 
-    More shared tags, then rarer ones (sum of 1 / holders), then `first`, then seq. An equi join on the tag."""
+    More shared tags, then rarer ones (sum of 1 / holders), then `first`, then seq. An equi join on the tag, made once for each
+    distinct set of tags; its k best are one row that queries are joined with."""
     e = entities.select("id", "first", "seq", F.explode(F.array_distinct("tags")).alias("tag"))
     holders = e.groupBy("tag").agg(F.count("*").alias("holders"))
-    q = wanted.select("query_id", F.explode(F.array_distinct("tags")).alias("tag"))
-    s = q.join(e.join(holders, "tag"), "tag").groupBy("query_id", "id", "first", "seq").agg(F.count("*").alias("matched"), F.round(F.sum(1 / F.col("holders")), 6).alias("rarity"))
-    w = W.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("rarity"), F.desc("first"), "seq")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "matched", "rarity", "rank")
+    w = with_tag_sets(wanted, "query_id")
+    q = w.select("set").distinct().repartition("set").select("set", F.explode("set").alias("tag"))
+    s = q.join(e.join(holders, "tag"), "tag").groupBy("set", "id", "first", "seq").agg(F.count("*").alias("matched"), F.round(F.sum(1 / F.col("holders")), 6).alias("rarity"))
+    o = W.partitionBy("set").orderBy(F.desc("matched"), F.desc("rarity"), F.desc("first"), "seq")
+    s = s.withColumn("rank", F.row_number().over(o)).where(F.col("rank") <= k)
+    best = s.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "matched", "rarity"))).alias("best"))
+    return w.join(best, "set").select("query_id", F.explode("best").alias("b")).select("query_id", "b.id", "b.matched", "b.rarity", "b.rank")
 
 
 def within_quota(rows: DataFrame, by: str, item: str, total: int, share: float = 0.7, least: int = 2) -> DataFrame:
