@@ -24,3 +24,11 @@ def test_rankings_are_made_once_for_each_set_of_tags(spark):
     assert [tuple(r)[1:] for r in got.where("query_id = 7").orderBy("rank").collect()] == [(2, 1, 1.0, 1), (3, 1, 0.5, 2), (1, 1, 0.5, 3)]
 
 
+def test_a_query_in_two_rows_counts_its_tags_twice(spark):
+    q = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"]), (2, None)], "query int, tags array<string>")
+    p = spark.createDataFrame([(5, ["a"], 0, 5), (6, ["b"], 1, 6), (7, ["c"], 1, 7)], "id int, tags array<string>, preferred int, seq int")
+    got = R.group_ranking(q, p, 1)
+    assert [tuple(r) for r in got.orderBy("place").collect()] == [(1, 5, 2, 1, True), (1, 6, 1, 2, False)]
+    assert not any("query" in a and "seq" in a for a in plan_of(got).splitlines() if "Aggregate" in a)
+
+
