@@ -60,11 +60,15 @@ def rank_entities(wanted: DataFrame, entities: DataFrame, k: int = 3) -> DataFra
 
 
 def within_quota(rows: DataFrame, by: str, item: str, total: int, share: float = 0.7, least: int = 2) -> DataFrame:
-    """Rows (by, group, item, rank) in per-group quotas of max(least, share * total / groups), one row per item, at most `total`."""
-    n = rows.groupBy(by).agg(F.count_distinct("group").alias("groups"))
-    d = rows.join(n, by).withColumn("quota", F.greatest(F.lit(least), F.floor(share * total / F.col("groups"))))
-    g = W.partitionBy(by, "group").orderBy("rank", item)
-    d = d.withColumn("k", F.row_number().over(g)).where("k <= quota")
+    """Rows (by, group, item, rank) in per-group quotas of max(least, share * total / groups), one row per item, at most `total`.
+
+    Rows are dealt out by `by` once, into all shuffle partitions: several sorts of a partition are in memory at the same time, so
+    small ones are not merged. Groups are counted where they begin in the first order, null ones not."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = rows.select(by, "group", item, "rank").where(F.col(by).isNotNull()).repartition(parts, by)
+    d = d.withColumn("k", F.row_number().over(W.partitionBy(by, "group").orderBy("rank", item)))
+    d = d.withColumn("groups", F.count(F.when((F.col("k") == 1) & F.col("group").isNotNull(), 1)).over(W.partitionBy(by)))
+    d = d.where(F.col("k") <= F.greatest(F.lit(least), F.floor(F.try_divide(F.lit(share * total), F.col("groups")))))
     d = d.withColumn("seen", F.row_number().over(W.partitionBy(by, item).orderBy("rank", "group"))).where("seen = 1")
     return d.withColumn("pos", F.row_number().over(W.partitionBy(by).orderBy("rank", "group", item))).where(F.col("pos") <= total).select(by, "group", item, "pos")
 

@@ -32,3 +32,10 @@ def test_a_query_in_two_rows_counts_its_tags_twice(spark):
     assert not any("query" in a and "seq" in a for a in plan_of(got).splitlines() if "Aggregate" in a)
 
 
+def test_quotas_count_groups_in_their_own_order(spark):
+    rows = spark.createDataFrame([(1, None, 10, 1), (1, None, 11, 2), (1, None, 12, 3), (2, "a", 10, 1), (2, "b", 10, 2), (2, "b", 11, 3), (None, "a", 1, 1)], "o int, group string, item int, rank int")
+    got = C.within_quota(rows, "o", "item", 8)
+    assert "Join" not in plan_of(got)
+    assert [tuple(r) for r in got.orderBy("o", "pos").collect()] == [(1, None, 10, 1), (1, None, 11, 2), (2, "a", 10, 1), (2, "b", 11, 2)]
+
+
