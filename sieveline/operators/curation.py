@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,9 +21,9 @@ def plain(text: Column) -> Column:
 
 def match_tags(messages: DataFrame, stems: dict[str, list[str]]) -> DataFrame:
     """(id, tags) of messages (id, text): tags one of whose stems starts a word. The dictionary is part of the plan."""
-    t = plain(F.col("text"))
-    hits = [F.when(F.array_contains(F.transform(F.array(*[F.lit(f" {s}") for s in words]), lambda s: F.contains(t, s)), True), F.lit(tag)) for tag, words in stems.items()]
-    return messages.select("id", F.array_compact(F.array(*hits)).alias("tags"))
+    d = messages.select("id", plain(F.col("text")).alias("__t"))  # a column of its own: inside a lambda it would be made anew for every stem
+    hits = [F.when(reduce(or_, [F.contains("__t", F.lit(f" {s}")) for s in words]), F.lit(tag)) for tag, words in stems.items()]
+    return d.select("id", F.array_compact(F.array(*hits)).alias("tags"))
 
 
 def phrase_kind(text: Column, phrases: dict[str, list[str]], soft: str) -> Column:

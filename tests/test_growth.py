@@ -39,3 +39,8 @@ def test_quotas_count_groups_in_their_own_order(spark):
     assert [tuple(r) for r in got.orderBy("o", "pos").collect()] == [(1, None, 10, 1), (1, None, 11, 2), (2, "a", 10, 1), (2, "b", 11, 2)]
 
 
+def test_text_is_made_plain_once_for_all_stems(spark):
+    d = spark.createDataFrame([(1, "The end"), (2, None), (3, "nothing")], "id int, text string")
+    got = C.match_tags(d, {"article": ["the ", "le "], "last": ["end"]})
+    assert plan_of(got).count("lower(") == 1
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, ["article", "last"]), (2, []), (3, [])]
