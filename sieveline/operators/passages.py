@@ -84,6 +84,22 @@ def passage_texts(passages: DataFrame, verses: DataFrame, refused: str | None =
     return passages.select("id").join(ok, "id", "left")
 
 
+def prefix_resolution(passages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """resolution of prefix_hits: passages of one source, prefix and match hit the same chunks, so they are looked up once.
+
+    Passages without source or ref have no hits; ids of several rows count the hits of each."""
+    keys = ["source", F.lower("ref").alias("ref"), F.lower("match").alias("match")]
+    p = passages.select("id", F.struct(*keys).alias("key"))
+    asked = p.where("key.source is not null and key.ref is not null").select("key").distinct().select(F.col("key").alias("id"), "key.*")
+    hits = prefix_hits(asked, chunks)
+    n = hits.groupBy("id").agg(F.count("*").alias("hits"))
+    top = hits.withColumn("__n", F.row_number().over(W.partitionBy("id").orderBy("pos"))).where(F.col("__n") <= 3)  # limited before it is shuffled
+    top = top.groupBy("id").agg(F.collect_list(F.struct("pos", "ref")).alias("top"))
+    found = n.join(top, "id").select(F.col("id").alias("key"), "hits", "top")
+    j = p.join(found, p["key"].eqNullSafe(found["key"]), "left").groupBy("id").agg(F.sum("hits").alias("hits"), F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, 3).alias("top"))
+    return j.select("id", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), F.array_join(F.transform("top", lambda x: x["ref"]), "; ").alias("first"), F.col("hits").isNotNull().alias("found"))
+
+
 def resolution(passages: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, hits, first, found) of every passage: how many chunks it names and the refs of the first three; none is a row too."""
     top = F.slice(F.sort_array(F.collect_list(F.when(F.col("__n") <= 3, F.struct("pos", "ref")))), 1, 3)

@@ -83,7 +83,7 @@ def passage_prefixes(spark, sf_dir):
     chunks = d.select("source", F.col("doc_id").alias("pos"), F.concat(part, F.lit(", Section "), (F.col("doc_id") % 70).cast("string")).alias("ref"), F.col("text").alias("content"))
     asked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper(part), F.lit(", section "), (F.col("doc_id") % 7).cast("string"))).when(F.col("doc_id") % 3 == 1, "part 9").otherwise(part)
     passages = d.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), "source", asked.alias("ref"), F.when(F.col("doc_id") % 20 == 0, "en").alias("match"))
-    return P.resolution(passages, P.prefix_hits(passages, chunks))
+    return P.prefix_resolution(passages, chunks)
 
 
 def passage_spans(spark, sf_dir):

@@ -44,3 +44,13 @@ def test_text_is_made_plain_once_for_all_stems(spark):
     got = C.match_tags(d, {"article": ["the ", "le "], "last": ["end"]})
     assert plan_of(got).count("lower(") == 1
     assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, ["article", "last"]), (2, []), (3, [])]
+def test_passages_of_one_prefix_are_looked_up_once(spark):
+    p = spark.range(200).select("id", F.when(F.col("id") % 5 > 0, "s").alias("source"), F.when(F.col("id") % 2 == 0, "Part 1").otherwise("part 12").alias("ref"), F.when(F.col("id") % 3 == 0, "EN").alias("match"))
+    p = p.unionByName(p.where("id = 1").withColumn("ref", F.lit("part 3")))
+    c = spark.range(60).select(F.lit("s").alias("source"), F.col("id").alias("pos"), F.concat(F.lit("Part "), (F.col("id") % 20).cast("string")).alias("ref"), F.when(F.col("id") % 4 > 0, "when").otherwise("on").alias("content"))
+    got = P.prefix_resolution(p, c)
+    want = P.resolution(p, P.prefix_hits(p, c))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert any("Aggregate [key#" in a for a in plan_of(got).splitlines())
+
+
