@@ -6,14 +6,14 @@ so that neither a document nor a book has to fit one row or one group."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import collapse, count_tokens, format_ref, sanitize, strip_controls
+from ..functions.text import collapse, composed, count_tokens, format_ref, sanitize, strip_controls
 
 #: Forms of a word, a heading with a numeral, a sentence end, a paragraph's own number, a caption's end.
 WORD = r"^[“\"‘'(\[]*([A-Za-z][a-z’'-]*|[A-Z][A-Z’'-]*)[.,;:!?”\"’')\]]*$"
@@ -58,11 +58,16 @@ def title_case(heading: Column) -> Column:
     return F.when(heading.rlike("[a-z]"), heading).otherwise(F.array_join(F.transform(F.split(heading, " "), word), " "))
 
 
-def lines_of(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, pos, line) of sanitised texts; line ends of any kind count. Null text has none; texts in ASCII skip composition."""
-    plain = strip_controls(F.col(text))
-    t = F.regexp_replace(F.when(plain.rlike(r"[^\x00-\x7F]"), sanitize(plain)).otherwise(plain), r"\r\n?", "\n")
-    return docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(F.split(t, "\n")).alias("pos", "line"))
+def line_lists(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, lines) of sanitised texts; line ends of any kind count. Null text has no row."""
+    d = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), strip_controls(F.col(text)).alias("__t"))
+    return d.select("doc", F.split(F.regexp_replace(composed(F.col("__t")), r"\r\n?", "\n"), "\n").alias("lines"))
+
+
+def lines_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", dealt: bool = False) -> DataFrame:
+    """(doc, pos, line) of line_lists. If dealt, texts are dealt out by document before they are cut, for windows over its lines."""
+    d = line_lists(docs, doc, text)
+    return (d.repartition("doc") if dealt else d).select("doc", F.posexplode("lines").alias("pos", "line"))
 
 
 def trimmed_matter(lines: DataFrame, start_at: str | None, end_at: str | None) -> DataFrame:
@@ -185,26 +190,26 @@ def packed(rows: DataFrame, by: list[str], order: list[str], tokens: Column, tar
     So does one that may break where the chunk has min_fill of the target, and one that must. The rows of a group are read
     in order by one task as a stream; all it keeps is the group's key, the chunk's number and its tokens."""
     schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.LongType())])
-    no = F.lit(False)
+    no, names = F.lit(False), rows.columns
     d = rows.withColumn("__by", F.to_json(F.struct(*by), {"ignoreNullFields": "false"})).withColumn("__t", tokens.cast("long"))
     d = d.withColumn("__may", F.coalesce(may_break, no) if may_break is not None else no).withColumn("__must", F.coalesce(must_break, no) if must_break is not None else no)
     d = d.repartition("__by").sortWithinPartitions("__by", *order)
     least = target * min_fill
 
-    def run(frames):
+    def run(batches):  # columns of the rows themselves pass as they are
         key, chunk, total, size = None, 0, 0, 0
-        for pdf in frames:
+        for b in batches:
             out = []
-            for k, t, may, must in zip(pdf["__by"], pdf["__t"], pdf["__may"], pdf["__must"]):
+            for k, t, may, must in zip(*(b.column(c).to_pylist() for c in ("__by", "__t", "__may", "__must"))):
                 if k != key:
                     key, chunk, total, size = k, 0, 0, 0
                 elif size and (total + t > target or (may and total >= least) or must):
                     chunk, total, size = chunk + 1, 0, 0
                 total, size = total + t, size + 1
                 out.append(chunk)
-            yield pdf.drop(columns=["__by", "__t", "__may", "__must"]).assign(chunk=pd.Series(out, index=pdf.index, dtype="int64"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.int64())], names=[*names, "chunk"])
 
-    return d.mapInPandas(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 def joined(value: str, order: list[str], sep: str) -> Column:

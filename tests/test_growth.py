@@ -54,3 +54,11 @@ def test_passages_of_one_prefix_are_looked_up_once(spark):
     assert any("Aggregate [key#" in a for a in plan_of(got).splitlines())
 
 
+def test_composition_sends_only_unsettled_texts_to_python(spark):
+    texts = ["plain", "café “q”", "é", "가", "Å", "á̧", "አማ", "क़", "\U0001d15e", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rows = d.select("t", X.composed(F.col("t")).alias("c"), F.col("t").rlike(X.unsettled()).alias("u")).collect()
+    assert all(r["c"] == (r["t"] if r["t"] is None else unicodedata.normalize("NFC", r["t"])) for r in rows)
+    assert [bool(r["u"]) for r in rows] == [False, False, True, True, True, True, False, True, True, False, False]
+
+
