@@ -156,7 +156,8 @@ def clean_lines(
         bad = bad | F.col("line").rlike(pattern)
     if drop_garbage:
         bad = bad | (word_share(F.col("line")) < 0.5)
-    lines = lines.where((F.col("line") == "") | ~bad)
+    # behind a window the test reads the line as it is made; before it, every mention of the line would make it anew
+    lines = lines.withColumn("__n", F.row_number().over(along())).where((F.col("__n") > 0) & ((F.col("line") == "") | ~bad)).drop("__n")
     if keep_caps_after:
         lines = kept_capitals(lines, keep_caps_after)
     if drop_captions:
@@ -177,11 +178,12 @@ def to_sections(lines: DataFrame, default_heading: str) -> DataFrame:
     lines = lines.withColumn("__head", is_heading(F.col("line")))
     ends = (F.col("line") == "") | F.col("__head")
     lines = lines.withColumn("section", F.sum(F.col("__head").cast("long")).over(upto())).withColumn("__para", F.sum(ends.cast("long")).over(upto()))
-    heads = lines.where("__head").select("doc", "section", F.col("line").alias("heading"))
+    # the last heading so far is the section's: no second reading of the lines to look it up
+    lines = lines.withColumn("heading", F.last(F.when(F.col("__head"), F.col("line")), ignorenulls=True).over(upto()))
     text = collapse(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " "))
-    paras = lines.where(~ends).groupBy("doc", "section", "__para").agg(text.alias("text"))
+    paras = lines.where(~ends).groupBy("doc", "section", "__para").agg(F.first("heading").alias("heading"), text.alias("text"))
     para = F.row_number().over(W.partitionBy("doc", "section").orderBy("__para"))
-    return paras.join(heads, ["doc", "section"], "left").select("doc", "section", F.coalesce("heading", F.lit(default_heading)).alias("heading"), para.cast("long").alias("para"), "text")
+    return paras.select("doc", "section", F.coalesce("heading", F.lit(default_heading)).alias("heading"), para.cast("long").alias("para"), "text")
 
 
 def packed(rows: DataFrame, by: list[str], order: list[str], tokens: Column, target: int, may_break: Column | None = None, must_break: Column | None = None, min_fill: float = 0.5) -> DataFrame:

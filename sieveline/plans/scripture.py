@@ -15,9 +15,9 @@ TARGET = 120
 
 def lines(spark, sf_dir):
     """Lines of documents; every seventh stands for a heading in capitals, every fifth is broken at a hyphen."""
-    d = S.lines_of(table(spark, sf_dir, "documents"))
+    d = S.lines_of(table(spark, sf_dir, "documents"), dealt=True)
     head, broken = F.col("pos") % 7 == 3, F.col("pos") % 5 == 1
-    line = F.when(head, F.upper(F.substring("line", 1, 40))).when(broken, F.concat(F.regexp_replace("line", r"[^a-z]+$", ""), F.lit("-"))).when(F.col("pos") % 5 == 2, F.lower("line")).when(F.col("pos") % 11 == 4, "").otherwise(F.col("line"))
+    line = F.when(head, F.upper(F.substring("line", 1, 40))).when(broken, F.concat(F.regexp_replace("line", r"(?<![^a-z])[^a-z]++$", ""), F.lit("-"))).when(F.col("pos") % 5 == 2, F.lower("line")).when(F.col("pos") % 11 == 4, "").otherwise(F.col("line"))
     return d.withColumn("line", line)
 
 

@@ -62,3 +62,10 @@ def test_composition_sends_only_unsettled_texts_to_python(spark):
     assert [bool(r["u"]) for r in rows] == [False, False, True, True, True, True, False, True, True, False, False]
 
 
+def test_sections_read_their_lines_once(spark):
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(["before it all", "", "CHAPTER IV", "", "one", "two", "THE LONG ROAD", "three"])], "doc int, pos int, line string")
+    got = S.to_sections(S.clean_lines(lines), "Preface")
+    assert "Join" not in plan_of(got)
+    assert [tuple(r)[1:] for r in got.orderBy("section").collect()] == [(0, "Preface", 1, "before it all"), (1, "CHAPTER IV", 1, "one two"), (2, "THE LONG ROAD", 1, "three")]
+
+
