@@ -35,10 +35,11 @@ def clean_inline(text: Column) -> Column:
 
 def marked_segments(books: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """(doc, code, pos, marker, rest, kind) of marked-up texts; those without a book code (and null ones) go."""
-    t = F.col(text)
+    d = books.select(F.col(doc).alias("doc"), F.col(text).alias("__t")).repartition("doc")
+    t = F.col("__t")
     code = F.nullif(F.regexp_extract(t, r"(?m)^\\id\s+([0-9A-Z]{3})", 1), F.lit(""))
     body = F.regexp_replace(without_notes(F.regexp_replace(t, r"\r\n?", "\n"), True), r"\n", " ")
-    d = books.select(F.col(doc).alias("doc"), code.alias("code"), F.posexplode(F.split(body, rf"(?=\\(?:{BLOCKS})(?=\s|$))")).alias("pos", "seg")).where(F.col("code").isNotNull())
+    d = d.select("doc", code.alias("code"), F.posexplode(F.split(body, rf"(?=\\(?:{BLOCKS})(?=\s|$))")).alias("pos", "seg")).where(F.col("code").isNotNull())
     form = r"(?s)^\\([a-z]+\d?)(?:\s+(.*))?$"
     marker = F.when(F.col("seg").rlike(form), F.regexp_extract("seg", form, 1))
     rest = F.trim(F.regexp_extract("seg", form, 2))
@@ -59,23 +60,27 @@ def verses(books: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     upto = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     count = lambda cond: F.sum(cond.cast("long")).over(upto)
     kind = F.col("kind")
-    d = marked_segments(books, doc, text)
+    d = marked_segments(books, doc, text)  # dealt out by document before they are cut
     d = d.withColumn("c", count(kind == "chapter")).withColumn("v", count(kind == "verse")).withColumn("run", count(kind.isin("chapter", "verse", "end", "title", "heading")))
     inside = F.max(F.when(kind == "verse", F.col("run"))).over(upto)
     d = d.withColumn("open", F.coalesce(inside == F.col("run"), F.lit(False)))
     chapter = F.last(F.when(kind == "chapter", F.regexp_extract("rest", r"^(\d{1,9})(?:\s|$)", 1).try_cast("int")), ignorenulls=True).over(upto)
     d = d.withColumn("chapter", F.coalesce(chapter, F.lit(0)))
-    joined = lambda value, when: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("pos", value.alias("x"))))), lambda s: s["x"]), " ")
+    rows = lambda when, *cols: F.sort_array(F.collect_list(F.when(when, F.struct("pos", *cols))))
+    text_of = lambda found: F.array_join(F.transform(found, lambda s: s["x"]), " ")
     piece = F.when(kind == "verse", F.regexp_extract("rest", r"(?s)^\d+(?:-\d+)?\s*(.*)$", 1)).when(kind == "paragraph", F.col("rest")).when(kind == "text", F.col("seg"))
     first = kind == "verse"
-    texts = d.where("open").groupBy("doc", "v").agg(
-        F.max(F.when(first, F.col("code"))).alias("code"), F.max(F.when(first, F.col("pos"))).alias("pos"), F.max(F.when(first, F.col("c"))).alias("c"), F.max(F.when(first, F.col("chapter"))).alias("chapter"),
-        F.max(F.when(first, F.regexp_extract("rest", r"^(\d+)", 1).try_cast("int"))).alias("verse"), joined(piece, piece.isNotNull()).alias("body"),
+    number = F.regexp_extract("rest", r"^(\d+)", 1).try_cast("int")
+    # a row per verse, with what stands after it and before the next one; both come from one reading of the segments
+    g = d.groupBy("doc", "v").agg(
+        F.max(F.when(first, F.struct("code", "pos", "c", "chapter", number.alias("verse")))).alias("a"), rows(F.col("open") & piece.isNotNull(), piece.alias("x")).alias("body"),
+        rows(~F.col("open") & kind.isin("title", "paragraph"), F.col("rest").alias("x"), F.col("c")).alias("lead"),
+        F.max(kind.isin("chapter", "heading", "paragraph")).alias("fresh"), F.max(F.when(kind == "heading", F.struct("pos", "rest")))["rest"].alias("h"),
     )
-    before = d.withColumn("v", F.col("v") + 1)  # what stands after verse v and before the next one
-    lead = before.where(~F.col("open") & kind.isin("title", "paragraph")).groupBy("doc", "v", "c").agg(joined(F.col("rest"), F.lit(True)).alias("lead"))
-    marks = before.where(kind.isin("chapter", "heading", "paragraph")).groupBy("doc", "v").agg(F.lit(True).alias("fresh"), F.max(F.when(kind == "heading", F.struct("pos", "rest")))["rest"].alias("h"))
-    j = texts.join(lead, ["doc", "v", "c"], "left").join(marks, ["doc", "v"], "left")
-    head = F.when(F.coalesce(F.trim("lead"), F.lit("")) != "", F.concat(clean_inline(F.col("lead")), F.lit(" "))).otherwise("")
+    before = F.lag(F.struct("lead", "fresh", "h")).over(W.partitionBy("doc").orderBy("v"))
+    j = g.select("doc", "v", "a.*", text_of(F.col("body")).alias("body"), before.alias("b")).where("v > 0")
+    lead = text_of(F.filter("b.lead", lambda s: s["c"] == F.col("c")))
+    j = j.withColumn("lead", F.coalesce(lead, F.lit("")))
+    head = F.when(F.trim("lead") != "", F.concat(clean_inline(F.col("lead")), F.lit(" "))).otherwise("")
     out = j.withColumn("text", clean_inline(F.concat(head, "body"))).where("text <> ''")
-    return out.select("doc", "code", "pos", "chapter", "verse", "text", (F.coalesce("fresh", F.lit(False)) | (F.col("v") == 1)).alias("paragraph_start"), F.nullif(clean_inline(F.col("h")), F.lit("")).alias("heading"))
+    return out.select("doc", "code", "pos", "chapter", "verse", "text", (F.coalesce("b.fresh", F.lit(False)) | (F.col("v") == 1)).alias("paragraph_start"), F.nullif(clean_inline(F.col("b.h")), F.lit("")).alias("heading"))

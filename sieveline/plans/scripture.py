@@ -62,14 +62,18 @@ def verse_chunks(spark, sf_dir):
 
 def marked_books(spark, sf_dir):
     """Documents marked up as books: a line is a verse or goes on with one; chapters, headings, notes and word marks between."""
-    d = S.lines_of(table(spark, sf_dir, "documents"))
-    k = F.col("pos")
+    d = S.line_lists(table(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform("lines", marked_line), "\n")
+    return d.select("doc", F.concat(F.lit("\\id GEN Genesis\n\\mt1 Title\n"), text).alias("text"))
+
+
+def marked_line(line, k):
+    """Line k of a document, marked up."""
     before = F.concat(F.when(k % 10 == 0, F.concat(F.lit("\\c "), (F.floor(k / 10) + 1).cast("string"), F.lit("\n\\p\n"))).otherwise(""), F.when(k % 13 == 6, "\\s1 Of \\nd this\\nd* and that\n").otherwise(""), F.when(k % 10 == 0, F.when(F.col("doc") % 3 == 0, "\\d A title.\n").otherwise("")).otherwise(""))
     number = F.concat((k % 10 + 1).cast("string"), F.when(k % 6 == 5, F.concat(F.lit("-"), (k % 10 + 2).cast("string"))).otherwise(""))
-    word = F.regexp_replace("line", r"^(\w+)", r"\\w $1|strong=\"H1\"\\w*")
-    verse = F.when(k % 5 == 3, F.concat(F.lit("\\q1 "), "line")).otherwise(F.concat(F.lit("\\v "), number, F.lit(" "), word, F.when(k % 4 == 1, "\\f + \\ft A note \\v here.\\f* after").otherwise("")))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat(before, verse).alias("x")))), lambda s: s["x"]), "\n")
-    return d.groupBy("doc").agg(F.concat(F.lit("\\id GEN Genesis\n\\mt1 Title\n"), text).alias("text"))
+    word = F.regexp_replace(line, r"^(\w+)", r"\\w $1|strong=\"H1\"\\w*")
+    verse = F.when(k % 5 == 3, F.concat(F.lit("\\q1 "), line)).otherwise(F.concat(F.lit("\\v "), number, F.lit(" "), word, F.when(k % 4 == 1, "\\f + \\ft A note \\v here.\\f* after").otherwise("")))
+    return F.concat(before, verse)
 
 
 def marked_verses(spark, sf_dir):

@@ -44,6 +44,8 @@ def test_text_is_made_plain_once_for_all_stems(spark):
     got = C.match_tags(d, {"article": ["the ", "le "], "last": ["end"]})
     assert plan_of(got).count("lower(") == 1
     assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, ["article", "last"]), (2, []), (3, [])]
+
+
 def test_passages_of_one_prefix_are_looked_up_once(spark):
     p = spark.range(200).select("id", F.when(F.col("id") % 5 > 0, "s").alias("source"), F.when(F.col("id") % 2 == 0, "Part 1").otherwise("part 12").alias("ref"), F.when(F.col("id") % 3 == 0, "EN").alias("match"))
     p = p.unionByName(p.where("id = 1").withColumn("ref", F.lit("part 3")))
@@ -69,3 +71,10 @@ def test_sections_read_their_lines_once(spark):
     assert [tuple(r)[1:] for r in got.orderBy("section").collect()] == [(0, "Preface", 1, "before it all"), (1, "CHAPTER IV", 1, "one two"), (2, "THE LONG ROAD", 1, "three")]
 
 
+def test_marked_verses_read_their_segments_once(spark):
+    from sieveline.operators import usfm
+
+    t = "\\id GEN x\n\\c 1\n\\d A title\n\\p\n\\v 1 one\n\\q two\n\\s1 Head\n\\p of\n\\v 2 three\n\\c 2\n\\v 1 four"
+    got = usfm.verses(spark.createDataFrame([(1, t)], "doc int, text string"))
+    assert "Join" not in plan_of(got)
+    assert [tuple(r)[3:] for r in got.orderBy("pos").collect()] == [(1, 1, "A title one two", True, None), (1, 2, "of three", True, "Head"), (2, 1, "four", True, None)]
