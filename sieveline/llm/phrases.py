@@ -36,6 +36,8 @@ SUPPORT, LONGEST, TOP = 30, 4, 2000
 LEAST_BITS, MOST_BITS = 16, 25
 SLICE, FAN = 1 << 16, 64
 CHUNK = 2 << 20  # bytes of text that one numpy pass takes
+STRETCH = 1 << 18  # bytes of them that have 8-byte numbers at once
+TEXTS, ROWS = 256, 1 << 15  # texts taken out of an Arrow batch, rows put into one, at once
 SEEDS = range(5)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -48,6 +50,15 @@ _END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def stretches(start: np.ndarray, end: np.ndarray):
+    """(from, to) of runs of words that lie within STRETCH bytes; a longer word is a run of its own."""
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + STRETCH, side="right")))
+        yield at, to
+        at = to
+
+
 class Hasher:
     """64-bit ids of words from a seed: prefix sums of byte values times powers of an odd number."""
 
@@ -65,10 +76,15 @@ class Hasher:
                 setattr(self, name, np.multiply.accumulate(p))
 
     def ids(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self.powers(len(buf) + 1)
-        run = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(self.byte[buf] * self.up[: len(buf)], out=run[1:])
-        return mix64((run[end] - run[start]) * self.down[start] + (end - start).astype(np.uint64))
+        out = np.empty(len(start), dtype=np.uint64)
+        for at, to in stretches(start, end):
+            lo, n = start[at], int(end[to - 1] - start[at])
+            self.powers(n + 1)
+            run = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(self.byte[buf[lo : lo + n]] * self.up[:n], out=run[1:])
+            a, b = start[at:to] - lo, end[at:to] - lo
+            out[at:to] = mix64((run[b] - run[a]) * self.down[a] + (b - a).astype(np.uint64))
+        return out
 
 
 class Bits(NamedTuple):
@@ -121,15 +137,17 @@ def batches(given, limit: int = CHUNK):
     """(texts, languages) of about limit bytes each, over all Arrow batches of a task."""
     held, langs, size = [], [], 0
     for batch in given:
-        texts = (t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist())
-        names = batch.column("lang").to_pylist()
-        for k, t in cut(texts, limit):
-            held.append(t)
-            langs.append(names[k])
-            size += len(t) + 1
-            if size >= limit:
-                yield held, langs
-                held, langs, size = [], [], 0
+        for at in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(at, TEXTS)
+            texts = (t or b"" for t in some.column("text").cast(pa.binary()).to_pylist())
+            names = some.column("lang").to_pylist()
+            for k, t in cut(texts, limit):
+                held.append(t)
+                langs.append(names[k])
+                size += len(t) + 1
+                if size >= limit:
+                    yield held, langs
+                    held, langs, size = [], [], 0
     if held:
         yield held, langs
 
@@ -171,10 +189,10 @@ def word_counts(runs: Runs, ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray,
     model[order] = np.repeat(one, count)
     size = runs.end - runs.start
     alike = bool((size == size[model]).all())
-    if alike:
-        shift = np.repeat(runs.start[model] - runs.start, size)
-        at = np.flatnonzero(~_SPACE[runs.buf])
-        alike = bool((runs.buf[at] == runs.buf[at + shift]).all())
+    for at, to in stretches(runs.start, runs.end) if alike else ():
+        shift = np.repeat(runs.start[model[at:to]] - runs.start[at:to], size[at:to])
+        byte = runs.start[at] + np.flatnonzero(~_SPACE[runs.buf[runs.start[at] : runs.end[to - 1]]])
+        alike = alike and bool((runs.buf[byte] == runs.buf[byte + shift]).all())
     if alike:
         return one, count
     found: dict = {}
@@ -253,11 +271,13 @@ def one_pass(n: int, hasher: Hasher, known, bits: int, support: int):
             else:
                 order, first, count = groups(g, [runs.lang[at], *(ids[at + k] for k in range(n))])
                 one = at[order[first]]
-            if len(one):
-                cols = {f"i{k + 1}": ids[one + k].view(np.int64) if k < n else 0 for k in range(4)}
+            names = pa.array(runs.names, pa.string())
+            for k in range(0, len(one), ROWS):
+                some = one[k : k + ROWS]
+                cols = {f"i{j + 1}": ids[some + j].view(np.int64) if j < n else 0 for j in range(4)}
                 if n == 1:
-                    cols["word"] = strings(runs.buf, runs.start[one], runs.end[one])
-                yield rows(len(one), kind=0, lang=pa.array(runs.names, pa.string()).take(pa.array(runs.lang[one])), **cols, c=count)
+                    cols["word"] = strings(runs.buf, runs.start[some], runs.end[some])
+                yield rows(len(some), kind=0, lang=names.take(pa.array(runs.lang[some])), **cols, c=count[k : k + ROWS])
             if n < LONGEST:
                 ok = np.zeros(len(g1) + 1, dtype=bool)
                 ok[at] = True

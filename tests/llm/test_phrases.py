@@ -1,8 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sieveline.llm import phrases
@@ -94,3 +97,33 @@ def test_words_with_one_hash_are_counted_apart():
     one, count = phrases.word_counts(runs, same_id, same_id)
     got = {runs.buf[runs.start[k] : runs.end[k]].tobytes(): c for k, c in zip(one, count)}
     assert got == {b"aa": 3, b"bb": 2, b"cc": 1}
+
+
+def test_a_task_holds_little_beside_its_texts(monkeypatch):
+    """Numbers of 8 bytes for each byte of a batch, and rows of a whole batch at once, took over 300 MB of a worker."""
+    monkeypatch.setattr(phrases, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60_000)]
+    texts = [" ".join(rng.choices(words, k=3000)) for _ in range(300)]
+    batch = pa.record_batch({"text": texts, "lang": ["en"] * len(texts)})
+    for n in (1, 2):
+        tracemalloc.start()
+        sizes, words_out = [], 0
+        for out in phrases.one_pass(n, phrases.Hasher(0), None, 16, 30)([batch]):
+            sizes.append(out.num_rows)
+            words_out += sum(c for c, kind in zip(out.column("c").to_pylist(), out.column("kind").to_pylist()) if kind == 0)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert max(sizes) <= 1 << 15 and words_out == (3000 - n + 1) * 300
+        assert peak < 100 << 20, peak
+
+
+def test_ids_do_not_depend_on_the_place(monkeypatch):
+    text = b"one two  three\tone " + b"x" * 300 + b" two, y" * 40
+    runs = phrases.Runs([text], ["en"])
+    whole = phrases.Hasher(0).ids(runs.buf, runs.start, runs.end)
+    one, count = phrases.word_counts(runs, whole, whole)
+    monkeypatch.setattr(phrases, "STRETCH", 20)
+    assert (phrases.Hasher(0).ids(runs.buf, runs.start, runs.end) == whole).all()
+    assert all((x == y).all() for x, y in zip(phrases.word_counts(runs, whole, whole), (one, count)))
+    assert len(list(phrases.stretches(runs.start, runs.end))) > 10
