@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import os
 import struct
-from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ END_ID = 2
 SEGMENT = 1 << 20  # ids after which a segment is closed
 SMALL = 1_000_000  # segments whose places are broadcast
 CACHE = 1_000_000  # pieces of at most 64 characters whose ids a worker remembers
+BATCH = 1 << 21  # characters of texts that are encoded at once
+LINES = 256  # pieces that go to the library as one text
+TWO = ("  ", "\n\n", " \n", "\n ")
 SCHEMA = "part long, seq long, doc_ids array<long>, first array<long>, n_ids long, payload binary"
 
 
@@ -122,8 +127,9 @@ class Codes:
 class Encoder:
     """Ids by the tokenizers library; each distinct piece is given to it once per worker.
 
-    Texts are cut before single spaces, where the byte-level pattern always starts a new word; texts with two
-    spaces in a row go to the library whole."""
+    Texts are cut before single spaces and around single line ends, where the byte-level pattern always starts a
+    new word; other texts go to the library whole. Pieces without white space go there as lines of longer texts,
+    as the pattern keeps the line ends between them apart."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,31 +138,87 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.pieces: dict[str, bytes] = {}  # ids of a piece with the space before it
-        self.heads: dict[str, bytes] = {}  # ids of a piece that starts its text
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self._library(["\n"])[0]
+        if len(self.line_end) != 1:
+            raise ValueError("the vocabulary has no id of its own for a line end")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # numbers of pieces, with the space before them
+        self.flat, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)  # their ids
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without white space but before them, one after the other, and the number of each piece's ids."""
+        cuts = pa.array(np.append(np.arange(0, len(pieces), LINES), len(pieces)), pa.int32())
+        coded = self._library(pc.binary_join(pa.ListArray.from_arrays(cuts, pieces.cast(pa.string())), "\n").to_pylist())
+        ids = np.concatenate([x for c in coded for x in (c, self.line_end)] or [self.line_end[:0]])
+        end = ids == self.line_end[0]
+        return ids[~end], np.diff(np.flatnonzero(end) - np.arange(len(pieces)), prepend=0)
+
+    def _numbers(self, pieces: pa.Array, plain: np.ndarray) -> np.ndarray:
+        """The number of each of these distinct pieces in `begin` and `size`; new ones are encoded."""
+        if len(self.known) > CACHE or len(self.flat) > 16 * CACHE:
+            self._forget()
+        keys = pieces.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.size) + np.arange(len(new))
+            flat, begin, size = self._coded(pieces.take(pa.array(new)), plain[new])
+            self.begin, self.size = np.concatenate((self.begin, begin + len(self.flat))), np.concatenate((self.size, size))
+            self.flat = np.concatenate((self.flat, flat))
+            self.known.update((p, k) for p, k in zip(keys[new].tolist(), number[new].tolist()) if len(p) <= 64)
+        return number
+
+    def _coded(self, pieces: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, some after the other, where each piece's begin, and how many it has."""
+        ids, n = self._lines(pieces.filter(pa.array(plain)))
+        rest = self._library(pieces.filter(pa.array(~plain)).to_pylist())
+        size = np.zeros(len(pieces), np.int64)
+        size[plain], size[~plain] = n, [len(x) for x in rest]
+        begin = np.zeros(len(pieces), np.int64)
+        begin[plain], begin[~plain] = np.cumsum(n) - n, len(ids) + np.cumsum(size[~plain]) - size[~plain]
+        return np.concatenate([ids, *rest]), begin, size
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for table in (self.pieces, self.heads):
-            if len(table) > CACHE:
-                table.clear()
-        pieces, heads = self.pieces, self.heads
-        cut = [None if "  " in t else t.split(" ") for t in texts]
-        fresh = list({p for c in cut if c for p in c if p not in pieces})
-        first = list({c[0] for c in cut if c if c[0] not in heads})
-        mine = dict(zip(fresh, self._library([" " + p for p in fresh])))
-        heads.update(zip(first, self._library(first)))
-        long = {p: v for p, v in mine.items() if len(p) > 64}
-        pieces.update(mine)
-        whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]))
-        out = [next(whole) if c is None else heads[c[0]] + b"".join([pieces[p] for p in c[1:]]) for c in cut]
-        for p in long:
-            del pieces[p]
-        for p in [p for p in first if len(p) > 64]:
-            del heads[p]
+        whole = np.array([t[:1] in " \n" or t[-1] in " \n" or any([x in t for x in TWO]) for t in texts], dtype=bool)
+        lines = pc.replace_substring(pa.array([t for t, w in zip(texts, whole) if not w], pa.large_string()), "\n", " \n ")
+        cut = pc.split_pattern(lines, " ")
+        first, words = np.asarray(cut.offsets), cut.values.dictionary_encode()
+        place, word = np.asarray(words.indices).astype(np.int64), words.dictionary
+        plain = np.asarray(pc.utf8_is_printable(word))  # white space never is
+        for t in self.added:
+            plain = plain & ~np.asarray(pc.match_substring(word, t))
+        ends = np.asarray(pc.equal(word, "\n"))
+        # pieces that start a text or a line have no space before them
+        end = ends[place]
+        head = np.append(True, end[:-1])[: len(end)] | end
+        head[first[:-1]] = True
+        odd = ~plain[place] & ~end & (head | np.append(end[1:], False)[: len(end)])  # white space beside a line end
+        held = np.flatnonzero(~whole)
+        whole[held[np.add.reduceat(odd, first[:-1], dtype=np.int64) > 0] if len(held) else held] = True
+        form = 2 * place + head
+        used = np.flatnonzero(np.bincount(form, minlength=1))
+        pieces = pc.binary_join_element_wise(pa.array(np.where(used & 1, "", " "), pa.large_string()), word.take(pa.array(used >> 1)), pa.scalar("", pa.large_string()))
+        # each occurrence takes the ids of its piece
+        number = np.zeros(2 * len(word), np.int64)
+        number[used] = self._numbers(pieces, plain[used >> 1])
+        at = number[form]
+        n = self.size[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.begin[at] - upto[:-1], n)].tobytes()
+        bounds = (4 * upto[first]).tolist()
+        out: list = [None] * len(texts)
+        for k, a, b in zip(held.tolist(), bounds, bounds[1:]):
+            out[k] = ids[a:b]
+        alone = np.flatnonzero(whole).tolist()
+        for k, x in zip(alone, self._library([texts[k] for k in alone])):
+            out[k] = x.tobytes()
         return out
 
 
@@ -182,10 +244,11 @@ def segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             return pd.DataFrame({"part": [part], "seq": [seq], "doc_ids": [ids], "first": [first], "n_ids": [len(flat)], "payload": [pack(flat)]})
 
         for pdf in frames:
-            for at in range(0, len(pdf), 256):
-                some = pdf.iloc[at : at + 256]
-                texts = [t if isinstance(t, str) else "" for t in some["text"]]
-                for d, coded in zip(some["doc_id"], coder.encode(texts)):
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            before = np.cumsum([0, *map(len, texts)])  # characters
+            cuts = np.flatnonzero(np.diff(before[:-1] // BATCH, prepend=-1)).tolist() if texts else []
+            for at, to in zip(cuts, [*cuts[1:], len(texts)]):
+                for d, coded in zip(pdf["doc_id"].iloc[at:to], coder.encode(texts[at:to])):
                     ids.append(None if pd.isna(d) else int(d))
                     held.append(coded + end)
                     size += len(held[-1]) // 4

@@ -70,6 +70,30 @@ def test_piece_encoder_equals_the_library():
         assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_go_to_the_library_as_lines(monkeypatch):
+    own, lib = token_codes.Encoder(token_codes.vocabulary()), Tokenizer.from_file(token_codes.vocabulary())
+    given, real = [], own._library
+    monkeypatch.setattr(own, "_library", lambda texts: given.extend(texts) or real(texts))
+    words = [f"w{k}x{k * k}" for k in range(3000)]
+    texts = ["\n".join(" ".join(words[k : k + 50]) for k in range(a, a + 500, 50)) for a in range(0, 2500, 250)]
+    for _ in range(2):  # one call for each of the 3000 words before
+        for t, got in zip(texts, own.encode(texts)):
+            assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert len(given) < 30 and sum(t.count("w") for t in given) < 3100
+
+
+def test_line_ends_and_odd_white_space(monkeypatch):
+    monkeypatch.setattr(token_codes, "CACHE", 40)
+    own, lib = token_codes.Encoder(token_codes.vocabulary()), Tokenizer.from_file(token_codes.vocabulary())
+    rng = random.Random(8)
+    parts = ["\n", " ", "\n", " ", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "\ufeff", "a", "Be", "'s", ".", "1", "é", "<|endoftext|>", "<|", "中"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)] + ["a\n\tb", "a\n\xa0", "a\t\nb c\nd", "\n", " ", "a" * 70 + "\nb"]
+    for at in range(0, len(texts), 500):
+        for t, got in zip(texts[at : at + 500], own.encode(texts[at : at + 500])):
+            assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    assert own.encode([]) == [] and own.encode([""]) == [b""]
+
+
 def test_a_full_table_of_pairs_is_emptied(monkeypatch):
     from sieveline.llm import bpe
 
