@@ -42,6 +42,8 @@ ENDS = 4  # words in the first and the last block by place
 LONG, TELLING = 4, 2
 TILE, GROUP_ROWS = 1024, 20_000
 GRAMS, LETTERS = 1024, 64  # buckets of a line's trigram and letter counts
+STEPS = sorted(((d, e) for d in range(5) for e in range(5) if d + e), key=lambda s: (max(s), abs(s[0] - s[1])))  # words left in either line
+COUNTED = 1 << 16  # characters of lines whose trigrams are counted at once
 PAIRS = 1 << 21  # candidate pairs held at once
 CHUNK = 1 << 20  # bytes of lines whose blocks are made at once
 SMALL = 1_000_000  # rows of keys or line numbers (16 to 64 MB) up to which they are broadcast instead of shuffling texts
@@ -248,11 +250,43 @@ def anchored(a: str, b: str, most: int) -> int:
     return total
 
 
+def walked(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance: one walk over the words of both, which after a difference goes on at the
+    nearest equal words; some number above `most` where it is above or no equal words are near."""
+    x, y = a.split(" "), b.split(" ")
+    i, j, total, n, m = 0, 0, 0, len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        for d, e in STEPS:
+            if i + d < n and j + e < m and x[i + d] == y[j + e]:
+                break
+        else:
+            if n - i > 4 or m - j > 4:
+                return most + 1
+            break  # the ends differ
+        total += max(sum(map(len, x[i : i + d])) + d, sum(map(len, y[j : j + e])) + e)
+        if total > most:
+            return total
+        i += d
+        j += e
+    return total + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
+
+
 def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether 1 - edit distance / longer length >= least."""
     most = int((1 - least) * max(len(a), len(b)) + 1e-9)
     if a == b or abs(len(a) - len(b)) > most:
         return a == b
+    if walked(a, b, most) <= most:
+        return True
+    if len(a) < len(b):
+        a, b = b, a
+    lead, gap = 2 * most + 8, len(a) - len(b)  # the diagonal is the same over beginnings of both
+    if len(b) > lead and diagonal(a[: lead + gap], b[:lead], most) > most:
+        return False
     return len(a) > 60 and anchored(a, b, most) <= most or distance(a, b, most) <= most
 
 
@@ -260,11 +294,16 @@ def gram_counts(texts) -> np.ndarray:
     """Counts of each text's trigrams in GRAMS buckets and of its letters in LETTERS more, 255 at most: an edit
     takes three trigrams and one letter at most from either text that the other has not."""
     out = np.zeros((len(texts), GRAMS + LETTERS), np.uint8)
-    for k, text in enumerate(texts):
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        g = mix64(c[:-2] << np.uint64(42) ^ c[1:-1] << np.uint64(21) ^ c[2:]) % np.uint64(GRAMS)
-        out[k, :GRAMS] = np.minimum(np.bincount(g.astype(np.int64), minlength=GRAMS), 255)
-        out[k, GRAMS:] = np.minimum(np.bincount((c % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS), 255)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // COUNTED, prepend=-1)).tolist()
+    for at, to in zip(cuts, [*cuts[1:], len(texts)]):
+        c = np.frombuffer("".join(texts[at:to]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        row = np.repeat(np.arange(to - at), size[at:to])
+        g = (mix64(c[:-2] << np.uint64(42) ^ c[1:-1] << np.uint64(21) ^ c[2:]) % np.uint64(GRAMS)).astype(np.int64)
+        grams = np.bincount((row[:-2] * GRAMS + g)[row[:-2] == row[2:]], minlength=(to - at) * GRAMS)
+        letters = np.bincount(row * LETTERS + (c % np.uint64(LETTERS)).astype(np.int64), minlength=(to - at) * LETTERS)
+        out[at:to, :GRAMS] = np.minimum(grams, 255).reshape(-1, GRAMS)
+        out[at:to, GRAMS:] = np.minimum(letters, 255).reshape(-1, LETTERS)
     return out
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -6,7 +8,7 @@ from sieveline.llm import embedding_dedup, line_dedup, simhash_dedup
 
 from ..compare import same
 from ..conftest import SF
-from .conftest import reach
+from .conftest import reach, words
 
 
 def plain_fingerprint(text):
@@ -255,3 +257,49 @@ def test_long_lines_have_blocks_of_all_their_words():
     line, key = line_dedup.block_keys([" ".join(words).encode(), other.encode()])
     assert line_dedup.edit_similar(" ".join(words), other)
     assert len(set(key[line == 0]) & set(key[line == 1])) >= 20
+
+
+def test_near_copies_need_no_edit_distance(monkeypatch):
+    """Words left out, added and replaced are found by one walk over the words; the full table was filled before."""
+    rng = random.Random(21)
+    pairs = []
+    for _ in range(60):
+        a = words(rng, rng.randint(30, 60)).split()
+        b = list(a)
+        del b[rng.randrange(5, 12)]
+        b.insert(rng.randrange(14, 20), "new")
+        b[22] = "other"
+        pairs.append((" ".join(a), " ".join(b)))
+    want = [line_dedup.distance(a, b, 1000) for a, b in pairs]
+    for (a, b), d in zip(pairs, want):
+        assert d <= line_dedup.walked(a, b, 1000)
+    monkeypatch.setattr(line_dedup, "diagonal", None)  # none may be followed
+    assert all(line_dedup.edit_similar(a, b) for a, b in pairs)
+
+
+def test_similarity_equals_a_plain_table():
+    rng = random.Random(22)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    for _ in range(500):
+        a = [rng.choice(["ab", "cde", "f", "ghij", "klm"]) for _ in range(rng.randint(1, 30))]
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            b[rng.randrange(len(b)) : rng.randrange(len(b) + 1)] = [rng.choice(["ab", "zz", "f"])] * rng.randint(0, 2) or ["q"]
+        a, b = " ".join(a), " ".join(b)
+        assert line_dedup.edit_similar(a, b) == (plain(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)), (a, b)
+
+
+def test_counts_of_many_lines_equal_those_of_each():
+    texts = np.array(["", "a", "ab", "abc", "x" * 400, "中文字", "one two three"] * 30, dtype=object)
+    got = line_dedup.gram_counts(texts)
+    assert all((got[k] == line_dedup.gram_counts(texts[k : k + 1])[0]).all() for k in range(len(texts)))
+    assert got[4].max() == 255 and got[3, : line_dedup.GRAMS].sum() == 1 and got[3, line_dedup.GRAMS :].sum() == 3
