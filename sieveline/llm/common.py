@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -29,16 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, group: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    Later stages read files that survive lost executors, see exact sizes and prune columns."""
+    Later stages read files that survive lost executors, see exact sizes and prune columns. group: bytes of a row group."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group) if group else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a task hands to Python at once where rows are texts or packed blocks.
+HANDED = 1 << 19
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = HANDED):
+    """Rows go to Python in Arrow batches of about `size` bytes while plans run in here.
+
+    By default a batch is 10,000 rows, which is a task's whole share of the texts, held by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def doc_fold(column: Column, n: int) -> Column:
     """crc32 of the id as text modulo n; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % n

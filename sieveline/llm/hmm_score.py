@@ -27,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, byte_chunks, doc_fold, materialise, mix64
+from .common import Words, byte_chunks, doc_fold, materialise, mix64, small_batches
 
 NAME = "op5_hmm_score"
 STATES, ITERATIONS = 8, 5
 CLASSES, SHORT, TAIL = 8192, 4, 4
 END = CLASSES
 BLOCK, BATCH, SEGMENT = 1_000_000, 500_000, 1024  # words
+CHUNK = 1 << 19  # bytes of texts whose words are hashed at once
+ROWS = 1 << 15  # words whose emissions are computed at once
 SCALE = 8  # steps between scalings of matrix products
 STAY = 0.95  # first probability that a state stays
 PRIOR = 20.0  # words of a class that a state takes as seen before it has seen any
@@ -76,6 +78,7 @@ def pack_texts(docs: DataFrame) -> DataFrame:
         def close():
             hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             classes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint16)
+            parts.clear()
             vocab, first, words, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             order = np.argsort(-often, kind="stable")  # frequent words get small numbers
             place = np.empty(len(order), dtype=np.int64)
@@ -88,7 +91,7 @@ def pack_texts(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({c.split()[0]: [v] for c, v in zip(BLOCKS.split(", "), row)})
 
         for pdf in frames:
-            for a, b, texts in byte_chunks(pdf, "text", 1 << 21):
+            for a, b, texts in byte_chunks(pdf, "text", CHUNK):
                 w = Words([t.lower() for t in texts])
                 h = w.hashes()
                 some = pdf.iloc[a:b]
@@ -322,7 +325,8 @@ def baum_welch(blocks: DataFrame, class_counts: np.ndarray, iterations: int = IT
             at = np.flatnonzero(flat.any(1))
             yield pd.DataFrame(flat[at], columns=names).assign(**{"class": at.astype(np.int32)})[["class", *names]]
 
-        sums = used.mapInPandas(run, schema).groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # CLASSES + STATES + 2 rows at most
+        with small_batches(spark):
+            sums = used.mapInPandas(run, schema).groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # CLASSES + STATES + 2 rows at most
         flat = np.zeros((CLASSES + 2 + STATES, STATES))
         flat[sums["class"].to_numpy()] = sums[names].to_numpy()
         model = next_model(flat[-1], flat[CLASSES + 1 : -1], flat[: CLASSES + 1])
@@ -366,7 +370,8 @@ def emitted_words(blocks: DataFrame, model) -> DataFrame:
     packed = share[0]
     for x in share[1:]:
         packed = packed.bitwiseOR(x)
-    return materialise(total.select("hash", "class", "c", packed.alias("packed")), "emitted")
+    with small_batches(blocks.sparkSession):
+        return materialise(total.select("hash", "class", "c", packed.alias("packed")), "emitted")
 
 
 class Emissions:
@@ -378,18 +383,26 @@ class Emissions:
 
     def table(self, classes: np.ndarray, c: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """(word, state) for words of these classes, training counts and packed shares, and a last row for the end."""
+        out = np.empty((len(classes) + 1, STATES))
+        for at in range(0, len(classes), ROWS):  # ROWS words at once, as each step makes a table of that height
+            some = slice(at, at + ROWS)
+            out[some][: len(classes) - at] = self.rows(classes[some], c[some], packed[some])
+        out[-1] = self.emit[END]
+        return out
+
+    def rows(self, classes: np.ndarray, c: np.ndarray, packed: np.ndarray) -> np.ndarray:
         unseen = (0.5 / (self.count + 0.5 * (self.number + 1)))[classes]
         e = c[:, None] * unpack_shares(packed)
         q = (c + 0.5) / np.maximum(self.count + 0.5 * self.number, 0.5)[classes]
         seen = (1 - unseen)[:, None] * (e + PRIOR * q[:, None]) / (self.sums[classes] + PRIOR)
-        inside = np.where(c[:, None] > 0, seen, unseen[:, None])
-        return np.concatenate((self.emit[classes] * inside, self.emit[END:]))
+        return self.emit[classes] * np.where(c[:, None] > 0, seen, unseen[:, None])
 
 
 def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of docs (doc_id, text, held)."""
     spark = docs.sparkSession
-    blocks = materialise(pack_texts(docs), "blocks")
+    with small_batches(spark):
+        blocks = materialise(pack_texts(docs), "blocks")
 
     def by_class(frames):
         out = np.zeros(CLASSES)
@@ -399,7 +412,8 @@ def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
         at = np.flatnonzero(out)
         yield pd.DataFrame({"class": at.astype(np.int32), "n": out[at].astype(np.int64)})
 
-    counted = blocks.select("classes", "train").mapInPandas(by_class, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # CLASSES rows at most
+    with small_batches(spark):
+        counted = blocks.select("classes", "train").mapInPandas(by_class, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # CLASSES rows at most
     texts = blocks.select(F.explode("held").alias("held")).where("not held").count()
     class_n, class_v, sums = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1), np.zeros((CLASSES + 1, STATES))
     class_n[counted["class"].to_numpy(int)] = counted["n"].to_numpy(float)

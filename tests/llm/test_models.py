@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -219,3 +220,32 @@ def test_mix_against_a_plain_draw(spark):
             got[d] += times[at // mixing.BLOCK]
         want |= {d: got[d] for d in mine}
     assert {r["doc_id"]: r["taken"] for r in mixing.query(spark, SF).collect()} == want
+
+
+def test_texts_are_packed_from_small_batches(spark, monkeypatch):
+    inner = hmm_score.byte_chunks
+
+    def watched(pdf, *args):
+        if pdf["text"].str.len().sum() > 4 << 20:
+            raise ValueError("too much text at once")
+        return inner(pdf, *args)
+
+    monkeypatch.setattr(hmm_score, "byte_chunks", watched)
+    docs = spark.range(0, 100, 1, 1).selectExpr("id AS doc_id", "repeat('one more word ', 10000) AS text", "id % 5 = 1 AS held")
+    got = hmm_score.scores(docs, 1).toPandas()
+    assert len(got) == 100 and (got["n_tokens"] == 30001).all() and (got["train_tokens"] == 80 * 30001).all()
+
+
+def test_emissions_of_many_words_take_little_beside_their_table():
+    rng, n, k = np.random.RandomState(1), 200_001, hmm_score.STATES
+    classes, c = rng.randint(0, hmm_score.CLASSES, n), rng.randint(0, 9, n).astype(float)
+    packed = hmm_score.pack_shares(np.full((n, k), 1 / k))
+    ones = np.ones(hmm_score.CLASSES + 1)
+    e = hmm_score.Emissions(np.ones((hmm_score.CLASSES + 1, k)), ones * 100, ones * 50, np.ones((hmm_score.CLASSES + 1, k)))
+    tracemalloc.start()
+    table = e.table(classes, c, packed)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * table.nbytes
+    some = np.arange(0, n, 997)
+    assert (table[some] == e.table(classes[some], c[some], packed[some])[:-1]).all() and (table[-1] == 1).all()
