@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64
+from .common import materialise, mix64, small_batches
 
 NAME = "op11_phrases"
 SUPPORT, LONGEST, TOP = 30, 4, 2000
 LEAST_BITS, MOST_BITS = 16, 25
 SLICE, FAN = 1 << 16, 64
-CHUNK = 2 << 20  # bytes of text that one numpy pass takes
+CHUNK = 1 << 20  # bytes of text that one numpy pass takes
 STRETCH = 1 << 18  # bytes of them that have 8-byte numbers at once
-TEXTS, ROWS = 256, 1 << 15  # texts taken out of an Arrow batch, rows put into one, at once
+TEXTS, ROWS = 256, 1 << 13  # texts taken out of an Arrow batch, rows put into one, at once
+GROUP = 16 << 20  # bytes of a Parquet row group of counts, which a task holds until it is written
 SEEDS = range(5)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -253,40 +254,48 @@ def one_pass(n: int, hasher: Hasher, known, bits: int, support: int):
     """Task of level n: partial counts of phrases of n words (kind 0), buckets of n + 1 (kind 1), words (kind 2)."""
     kind = np.uint8 if support < 256 else np.uint32
 
+    def counted(texts, langs, tables, array):
+        # what one stretch of texts needs goes with this call, before the next one is read
+        runs = Runs(texts, langs)
+        if not len(runs.start):
+            return
+        ids = hasher.ids(runs.buf, runs.start, runs.end)
+        g1 = mix64(ids ^ runs.keys())
+        at, g = positions(n, runs, g1, tables, n - 1)
+        if n < LONGEST:
+            ok = np.zeros(len(g1) + 1, dtype=bool)
+            ok[at] = True
+            two = ok[at + 1] & runs.next[at] if n == 1 else ok[at + 1]
+            b = np.sort(bucket(joined(g[two], g1[at[two] + n]), bits))
+            if len(b):
+                first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+                where = b[first].astype(np.int64)
+                array[where] = np.minimum(array[where].astype(np.int64) + np.diff(np.append(first, len(b))), support)
+                del first, where
+            del ok, two, b
+        if n == 1:
+            one, count = word_counts(runs, ids, g1)
+            total = np.bincount(runs.lang, minlength=len(runs.names))
+            yield rows(len(total), kind=2, lang=runs.names, c=total)
+        else:
+            order, first, count = groups(g, [runs.lang[at], *(ids[at + k] for k in range(n))])
+            one = at[order[first]]
+            del order, first
+        del g1, at, g
+        names = pa.array(runs.names, pa.string())
+        for k in range(0, len(one), ROWS):
+            some = one[k : k + ROWS]
+            cols = {f"i{j + 1}": ids[some + j].view(np.int64) if j < n else 0 for j in range(4)}
+            if n == 1:
+                cols["word"] = strings(runs.buf, runs.start[some], runs.end[some])
+            yield rows(len(some), kind=0, lang=names.take(pa.array(runs.lang[some])), **cols, c=count[k : k + ROWS])
+
     def run(given):
         tables = known.value if known is not None else Bits(bits, {}, {})
         array = np.zeros(1 << bits, dtype=kind)
         part = TaskContext.get().partitionId()
         for texts, langs in batches(given):
-            runs = Runs(texts, langs)
-            if not len(runs.start):
-                continue
-            ids = hasher.ids(runs.buf, runs.start, runs.end)
-            g1 = mix64(ids ^ runs.keys())
-            at, g = positions(n, runs, g1, tables, n - 1)
-            if n == 1:
-                one, count = word_counts(runs, ids, g1)
-                total = np.bincount(runs.lang, minlength=len(runs.names))
-                yield rows(len(total), kind=2, lang=runs.names, c=total)
-            else:
-                order, first, count = groups(g, [runs.lang[at], *(ids[at + k] for k in range(n))])
-                one = at[order[first]]
-            names = pa.array(runs.names, pa.string())
-            for k in range(0, len(one), ROWS):
-                some = one[k : k + ROWS]
-                cols = {f"i{j + 1}": ids[some + j].view(np.int64) if j < n else 0 for j in range(4)}
-                if n == 1:
-                    cols["word"] = strings(runs.buf, runs.start[some], runs.end[some])
-                yield rows(len(some), kind=0, lang=names.take(pa.array(runs.lang[some])), **cols, c=count[k : k + ROWS])
-            if n < LONGEST:
-                ok = np.zeros(len(g1) + 1, dtype=bool)
-                ok[at] = True
-                two = ok[at + 1] & runs.next[at] if n == 1 else ok[at + 1]
-                b = np.sort(bucket(joined(g[two], g1[at[two] + n]), bits))
-                if len(b):
-                    first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-                    where = b[first].astype(np.int64)
-                    array[where] = np.minimum(array[where].astype(np.int64) + np.diff(np.append(first, len(b))), support)
+            yield from counted(texts, langs, tables, array)
         if array.any():
             for at in range(0, len(array), 16 * SLICE):
                 some = block_rows(array[at : at + 16 * SLICE], part, at // SLICE)
@@ -295,33 +304,32 @@ def one_pass(n: int, hasher: Hasher, known, bits: int, support: int):
     return run
 
 
-
-
 def bitmap(blocks: DataFrame, bits: int, support: int) -> np.ndarray:
     """The bitmap of buckets that reach the support: blocks are added in a tree, then packed, at most 4 MB in all."""
     kind = np.uint8 if support < 256 else np.uint32
     width = min(SLICE, 1 << bits)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, dtype=np.int64)
-        for b in pdf["block"]:
-            total = np.minimum(total + np.frombuffer(b, dtype=kind), support)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1] // FAN, "slice": pdf["slice"].iloc[:1], "block": [total.astype(kind).tobytes()]})
+    def adder(last: bool):
+        # the last level packs its sums itself: a Python step after it would start a second worker beside each
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(width, dtype=np.int64)
+            for b in pdf["block"]:
+                total = np.minimum(total + np.frombuffer(b, dtype=kind), support)
+            block = np.packbits(total >= support, bitorder="little") if last else total.astype(kind)
+            return pd.DataFrame({"part": pdf["part"].iloc[:1] // FAN, "slice": pdf["slice"].iloc[:1], "block": [block.tobytes()]})
+
+        return add
 
     d = blocks.select("part", "slice", "block")
     parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        d = d.groupBy("slice", F.floor(F.col("part") / FAN)).applyInPandas(add, "part int, slice int, block binary")
         parts = -(-parts // FAN)
+        d = d.groupBy("slice", F.floor(F.col("part") / FAN)).applyInPandas(adder(parts == 1), "part int, slice int, block binary")
         if parts == 1:
             break
 
-    def pack(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"slice": pdf["slice"], "block": [np.packbits(np.frombuffer(b, dtype=kind) >= support, bitorder="little").tobytes() for b in pdf["block"]]})
-
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in d.mapInPandas(pack, "slice int, block binary").toLocalIterator():
+    for r in d.select("slice", "block").toLocalIterator():
         at = r["slice"] * width // 8
         out[at : at + width // 8] = np.frombuffer(r["block"], dtype=np.uint8)
     return out
@@ -355,7 +363,8 @@ def vocabulary(texts: DataFrame, bits: int, support: int) -> tuple[Hasher, DataF
     Words that share an id differ in a second, unrelated 64-bit hash."""
     for seed in SEEDS:
         hasher = Hasher(seed)
-        got = materialise(texts.mapInArrow(one_pass(1, hasher, None, bits, support), COUNTS), "phrases-1")
+        with small_batches(texts.sparkSession):
+            got = materialise(texts.mapInArrow(one_pass(1, hasher, None, bits, support), COUNTS), "phrases-1", GROUP)
         check = F.xxhash64("word")
         words = got.where("kind = 0").groupBy("lang", "i1").agg(F.sum("c").alias("f"), F.min(check).alias("low"), F.max(check).alias("high"))
         words = materialise(words.where(F.col("f") >= support), "words")
@@ -382,7 +391,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         if not known.buckets[n].any() or not known.exact[n - 1].any():
             break
         shared = spark.sparkContext.broadcast(known)
-        got = materialise(texts.mapInArrow(one_pass(n, hasher, shared, bits, support), COUNTS), f"phrases-{n}")
+        with small_batches(spark):
+            got = materialise(texts.mapInArrow(one_pass(n, hasher, shared, bits, support), COUNTS), f"phrases-{n}", GROUP)
         found = got.where("kind = 0").groupBy("lang", "i1", "i2", "i3", "i4").agg(F.sum("c").alias("f")).where(F.col("f") >= support)
         levels.append(materialise(found.select("lang", F.lit(n).alias("n"), "i1", "i2", "i3", "i4", "f"), f"level-{n}"))
     every = levels[0]

@@ -127,3 +127,40 @@ def test_ids_do_not_depend_on_the_place(monkeypatch):
     assert (phrases.Hasher(0).ids(runs.buf, runs.start, runs.end) == whole).all()
     assert all((x == y).all() for x, y in zip(phrases.word_counts(runs, whole, whole), (one, count)))
     assert len(list(phrases.stretches(runs.start, runs.end))) > 10
+
+
+def test_texts_reach_tasks_in_small_batches(spark, monkeypatch):
+    inner = phrases.one_pass
+
+    def watched(*args):
+        run = inner(*args)
+
+        def task(given):
+            def small():
+                for batch in given:
+                    if batch.nbytes > 4 << 20:
+                        raise ValueError(f"{batch.nbytes} bytes at once")
+                    yield batch
+
+            yield from run(small())
+
+        return task
+
+    monkeypatch.setattr(phrases, "one_pass", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 100, 1, 1).selectExpr("'en' AS lang", "repeat('one more word. ', 10000) AS text")
+    every, _, totals = phrases.frequent_phrases(docs)
+    assert totals.collect()[0]["n"] == 3_000_000
+    assert {r["f"] for r in every.collect()} == {1_000_000}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_bitmaps_are_packed_by_the_step_that_adds(spark, monkeypatch):
+    def second(*_):
+        raise AssertionError("a second Python step")
+
+    blocks = [(part, s, np.full(1 << 16, 1, np.uint8).tobytes()) for part in range(70) for s in range(2) if part < 40 or s]
+    d = spark.createDataFrame(blocks, "part int, slice int, block binary")
+    monkeypatch.setattr(type(d), "mapInPandas", second)
+    got = np.unpackbits(phrases.bitmap(d, 17, 50), bitorder="little")
+    assert not got[: 1 << 16].any() and got[1 << 16 :].all()
