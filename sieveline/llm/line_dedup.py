@@ -45,31 +45,66 @@ GRAMS, LETTERS = 1024, 64  # buckets of a line's trigram and letter counts
 STEPS = sorted(((d, e) for d in range(5) for e in range(5) if d + e), key=lambda s: (max(s), abs(s[0] - s[1])))  # words left in either line
 COUNTED = 1 << 16  # characters of lines whose trigrams are counted at once
 PAIRS = 1 << 21  # candidate pairs held at once
+DIAGONALS, FEW = 1024, 32  # pairs whose beginnings are compared at once, and so few that each is compared alone
 CHUNK = 1 << 20  # bytes of lines whose blocks are made at once
+DEALT = 1 << 19  # rows of blocks that a task sorts, about
 SMALL = 1_000_000  # rows of keys or line numbers (16 to 64 MB) up to which they are broadcast instead of shuffling texts
 
 _TABLE = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def normal_lines(text: str) -> list[list[bytes]]:
-    """Words of the normal form of each line of a text."""
-    return [line.split() for line in text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split(b"\n")]
+def normal_lines(text: str) -> list[bytes]:
+    """The normal form of each line of a text; empty for lines without a word."""
+    b = text.lower().encode("utf-8", "surrogatepass").translate(_TABLE)
+    while b"  " in b:
+        b = b.replace(b"  ", b" ")
+    return b.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
 
 
 # --- fingerprints ------------------------------------------------------------
 
 
-def cell_sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per cell (a run of hashes from each of `first` on) how many of its hashes have each of the 64 bits.
-
-    Bits are summed as bytes, eight to a number, over runs of at most 255 hashes, and those sums are added up."""
-    ends = np.append(first[1:], len(hashes))
-    runs = -(-(ends - first) // 255)
-    at = np.cumsum(runs) - runs
-    cuts = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(at, runs))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    part = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8)
-    return part.astype(np.int32) if len(cuts) == len(first) else np.add.reduceat(part, at, axis=0, dtype=np.int32)
+def majorities(cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]], less: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+    """The SimHash of each cell: a 64-bit number with the bits that more than half of its hashes have.
+
+    A cell's hashes are runs (hashes, first, count), one of each triple, and without those of `less`. How many hashes
+    have a bit is counted for all 64 bits at once, in planes of binary digits."""
+    n = sum(count for _, _, count in cells)
+    order = np.argsort(-n, kind="stable")
+    planes: list[np.ndarray] = [np.zeros(len(n), np.uint64) for _ in range(int(n.max(initial=0)).bit_length())]
+    for hashes, first, count in cells:
+        first, count = first[order], count[order]
+        for k in range(int(count.max(initial=0))):
+            on = np.flatnonzero(count > k)
+            whole = len(on) == on[-1] + 1  # the first cells, as a rule
+            at = slice(0, len(on)) if whole else on
+            carry = hashes[first[at] + k]
+            for p in planes:
+                now = p[at]
+                over = now & carry
+                if whole:
+                    now ^= carry
+                else:
+                    p[at] = now ^ carry
+                carry = over
+                if not carry.any():
+                    break
+    for x in less:
+        borrow = x[order]
+        for p in planes:
+            now = p.copy()
+            p ^= borrow
+            borrow &= ~now
+    # the digits are compared with half of the count, the highest first
+    half = ((n - len(less)) // 2)[order].astype(np.uint64)
+    more, level = np.zeros(len(n), np.uint64), np.full(len(n), ~np.uint64(0))
+    for k in reversed(range(len(planes))):
+        digit = np.uint64(0) - (half >> np.uint64(k) & np.uint64(1))
+        more |= level & planes[k] & ~digit
+        level &= ~(planes[k] ^ digit)
+    out = np.empty(len(n), np.uint64)
+    out[order] = more
+    return out
 
 
 def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +115,7 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = (w.hashes() >> np.uint64(25)).astype(np.int64) + ((w.end - w.start >= LONG).astype(np.int64) << 39)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
 
-    def add(line, sums, counts, kind):
-        prints = np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    def add(line, prints, counts, kind):
         found.append((line, mix64(prints + mix64((np.asarray(kind, np.uint64) << np.uint64(40)) + counts.astype(np.uint64)))))
 
     for number, (scheme, low, high, parts) in enumerate(SCHEMES):
@@ -95,35 +129,34 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             part = (place >= ENDS).astype(np.int64) + (place >= n[row] - ENDS)
         else:
-            part = (own >> 8) % parts
+            part = own >> 8
+            part -= part // parts * parts
         # distinct words of each class: a repeated one would outvote the others
         own = np.sort(((row * parts + part) << 40) + own)
         own = own[np.diff(own, prepend=-1) != 0]
         cell, own = own >> 40, own & ((1 << 40) - 1)
-        starts = np.flatnonzero(np.diff(cell, prepend=-1))
         hashes = mix64(own.astype(np.uint64))
-        sums = np.zeros((len(ids) * parts, 64), np.int32)
-        sums[cell[starts]] = cell_sums(hashes, starts)
-        counts = np.bincount(cell, minlength=len(sums))
+        counts = np.bincount(cell, minlength=len(ids) * parts)
+        starts = np.cumsum(counts) - counts
         if scheme == "leave":
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            add(ids, sums, counts, number)
-            add(ids[cell], sums[cell] - bits, counts[cell] - 1, number)
+            add(ids, majorities([(hashes, starts, counts)]), counts, number)
+            add(ids[cell], majorities([(hashes, starts[cell], counts[cell])], (hashes,)), counts[cell] - 1, number)
             for size in np.unique(counts[counts > 3]).tolist():
                 u, v = np.triu_indices(size, 1)
                 at = starts[counts == size]
                 u, v = (at[:, None] + u).ravel(), (at[:, None] + v).ravel()
-                add(ids[cell[u]], sums[cell[u]] - bits[u] - bits[v], counts[cell[u]] - 2, number)
+                of = cell[u]
+                add(ids[of], majorities([(hashes, starts[of], counts[of])], (hashes[u], hashes[v])), counts[of] - 2, number)
             continue
-        tell = np.bincount(cell, own >> 39, len(sums)).reshape(-1, parts)
-        sums, counts, thin = sums.reshape(-1, parts, 64), counts.reshape(-1, parts), tell < TELLING
-        sums = np.where(thin[:, :, None], sums + np.roll(sums, -1, 1), sums)
-        counts = np.where(thin, counts + np.roll(counts, -1, 1), counts)
-        tell = np.where(thin, tell + np.roll(tell, -1, 1), tell)
-        r, p = np.nonzero(tell >= TELLING)
-        add(ids[r], sums[r, p], counts[r, p], (number << 8) + p)
+        tell = np.bincount(cell, own >> 39, len(counts)).reshape(-1, parts)
+        thin = tell < TELLING
+        r, p = np.nonzero(np.where(thin, tell + np.roll(tell, -1, 1), tell) >= TELLING)
+        here, after = r * parts + p, r * parts + (p + 1) % parts
+        more = np.where(thin[r, p], counts[after], 0)
+        add(ids[r], majorities([(hashes, starts[here], counts[here]), (hashes, starts[after], more)]), counts[here] + more, (number << 8) + p)
     line, key = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((key, line))
+    order = np.argsort(key)
+    order = order[np.argsort(line[order].astype(np.uint16 if len(lines) < 1 << 16 else np.int64), kind="stable")]
     line, key = line[order], key[order]
     new = (np.diff(line, prepend=-1) != 0) | (np.diff(key, prepend=np.uint64(0)) != 0)  # a line has a block once
     return line[new], key[new].view(np.int64)
@@ -149,12 +182,12 @@ def line_table(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays(columns, schema=LINES)
 
             for k, text in enumerate(batch.column("text")):
-                for number, parts in enumerate(normal_lines(text.as_py()) if text.is_valid else ()):
-                    if parts:
-                        held.append(b" ".join(parts))
+                for number, norm in enumerate(normal_lines(text.as_py()) if text.is_valid else ()):
+                    if norm:
+                        held.append(norm)
                         own.append(k)
                         at.append(number)
-                        size += len(held[-1])
+                        size += len(norm)
                         if size > CHUNK:
                             yield close()
                             held, own, at, size = [], [], [], 0
@@ -280,14 +313,105 @@ def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     most = int((1 - least) * max(len(a), len(b)) + 1e-9)
     if a == b or abs(len(a) - len(b)) > most:
         return a == b
-    if walked(a, b, most) <= most:
-        return True
-    if len(a) < len(b):
-        a, b = b, a
-    lead, gap = 2 * most + 8, len(a) - len(b)  # the diagonal is the same over beginnings of both
-    if len(b) > lead and diagonal(a[: lead + gap], b[:lead], most) > most:
-        return False
-    return len(a) > 60 and anchored(a, b, most) <= most or distance(a, b, most) <= most
+    # a distance leaves texts that are unlike at their beginnings, so bounds that show likeness come first
+    return walked(a, b, most) <= most or len(a) > 60 and anchored(a, b, most) <= most or distance(a, b, most) <= most
+
+
+def unlike(pairs: list[tuple[str, str]], most: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the edit distance is above `most`, whether it was looked at) of each pair, by the diagonals of their beginnings
+    only or of their whole texts: `diagonal` for many pairs at once, in columns of 64-bit words.
+
+    Pairs of similar lengths go together; where they are few, or so long that each is as fast alone, they are left out.
+    Gaps in length must not exceed `most`."""
+    pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    short = np.fromiter((len(b) for _, b in pairs), np.int64, len(pairs))
+    gap = np.fromiter((len(a) for a, _ in pairs), np.int64, len(pairs)) - short
+    steps = short if whole else np.minimum(2 * most + 8, short)
+    out, done = np.zeros(len(pairs), bool), np.zeros(len(pairs), bool)
+    order = np.argsort(steps + gap, kind="stable")
+    rows, at = (steps + gap)[order], 0
+    while at < len(order):
+        own = order[at : min(at + DIAGONALS, int(np.searchsorted(rows, max(64, rows[at] * 5 // 4), side="right")))]
+        words = int((most + 64)[own].max()) // 64  # of the band
+        if len(own) * (20 - words) < 20 * FEW * (2 - whole):
+            at += len(own)
+            continue
+        codes = [np.frombuffer("".join([pairs[k][side][:n] for k, n in zip(own.tolist(), size[own].tolist())]).encode("utf-32-le", "surrogatepass"), "<u4") for side, size in ((0, steps + gap), (1, steps))]
+        known = np.zeros(max(int(c.max(initial=0)) for c in codes) + 1, bool)
+        for c in codes:
+            known[c] = True
+        number, letters = np.cumsum(known) - 1, int(known.sum())
+        own = own[: max(1, (1 << 22) // (letters * (int((steps + gap + most)[own].max()) // 64 + 3)))]  # tables of 32 MB
+        a, b = (number[c[: int(size[own].sum())]] for c, size in zip(codes, (steps + gap, steps)))
+        out[own], done[own] = _above(a, b, gap[own], steps[own], most[own], letters), True
+        at += len(own)
+    return out, done
+
+
+def _above(a: np.ndarray, b: np.ndarray, gap: np.ndarray, steps: np.ndarray, most: np.ndarray, letters: int) -> np.ndarray:
+    """Whether the diagonals of pairs of texts, whose letters' numbers follow each other in a and in b, get above `most`.
+
+    Only diagonals that at most `most` edits lead to and back from are followed (the band of Hyyrö 2003), so a value
+    above `most` may be too large, but none is too small."""
+    n, one = len(gap), np.uint64(1)
+    below = int((most - gap).max()) // 2 + 2  # diagonals below the first one
+    words = (int((most + gap).max()) // 2 + below + 2 + 63) // 64
+    place = lambda size: (np.repeat(np.arange(n), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+    pair, bit = place(steps + gap)
+    bit += below
+    high = max(int(bit.max(initial=0)), int(steps.max())) // 64 + words + 2
+    where = np.zeros(high * n * letters, np.uint64)
+    np.add.at(where, ((bit >> 6) * n + pair) * letters + a, one << (bit & 63).astype(np.uint64))
+    pair, step = place(steps)
+    text = np.zeros((int(steps.max()), n), np.int64)
+    text[step, pair] = b
+    text += np.arange(n) * letters
+    layer = np.arange(high)[:, None] * (n * letters)
+    value, who, above, spot = gap.copy(), np.arange(n), np.zeros(n, bool), gap + below
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    up[: below >> 6] = 0
+    up[below >> 6] <<= np.uint64(below & 63)
+    look, shift = (spot >> 6) * n + who, (spot & 63).astype(np.uint64)
+    for t in range(len(text)):
+        if not t % 16:  # pairs that have ended go
+            above[who[value > most]] = True
+            on = (value <= most) & (steps > t)
+            if on.sum() < 0.8 * len(on):
+                who, value, spot, steps, most, up, down = who[on], value[on], spot[on], steps[on], most[on], up.compress(on, 1), down.compress(on, 1)
+                text = text.compress(on, 1)
+                look, shift = (spot >> 6) * len(who) + np.arange(len(who)), (spot & 63).astype(np.uint64)
+            if not len(who):
+                break
+        eq = where.take(text[t] + layer[t >> 6 : (t >> 6) + words + 1])
+        if t & 63:
+            first = eq[1:] << np.uint64(64 - (t & 63))
+            eq >>= np.uint64(t & 63)
+            eq[:-1] |= first
+        eq = eq[:-1]
+        equal = eq & up
+        total = equal + up
+        if words > 1:
+            carry = (total < equal).astype(np.uint64)
+            for w in range(1, words):
+                total[w] += carry[w - 1]
+                carry[w] |= total[w] < carry[w - 1]
+        equal = total
+        equal ^= up
+        equal |= eq
+        equal |= down
+        value += (equal.take(look) >> shift & one == 0) & (steps > t)
+        right = equal | up
+        np.invert(right, out=right)
+        right |= down
+        up &= equal
+        first = equal[1:] << np.uint64(63)
+        equal >>= one
+        equal[:-1] |= first
+        up |= ~(equal | right)
+        down = right
+        down &= equal
+    above[who[value > most]] = True
+    return above
 
 
 def gram_counts(texts) -> np.ndarray:
@@ -348,6 +472,7 @@ class Links:
         most = np.maximum(self.limit[a], self.limit[b])
         fit = np.abs(self.size[a] - self.size[b]) <= most
         both = np.unique(np.minimum(a, b)[fit] * len(self.nodes) + np.maximum(a, b)[fit])
+        held = []
         for at in range(0, len(both), 4096):
             a, b = np.divmod(both[at : at + 4096], len(self.nodes))
             most, open_ = np.maximum(self.limit[a], self.limit[b]), np.zeros(len(a), bool)
@@ -367,10 +492,37 @@ class Links:
             gap = np.abs(self.size[a] - self.size[b])  # with it, twice what the longer has over the shorter
             near = apart[:, :GRAMS].sum(axis=1, dtype=np.int64) + gap <= 6 * most
             near &= apart[:, GRAMS:].sum(axis=1, dtype=np.int64) + gap <= 2 * most
-            for i, j in zip(a[near].tolist(), b[near].tolist()):
+            for i, j, m in zip(a[near].tolist(), b[near].tolist(), most[near].tolist()):
                 u, v = self.find(i), self.find(j)
-                if u != v and edit_similar(self.texts[i], self.texts[j]):
-                    self.link(i, j, u, v)
+                if u != v:
+                    x, y = self.texts[i], self.texts[j]
+                    if walked(x, y, m) <= m or len(x) > 60 and anchored(x, y, m) <= m:
+                        self.link(i, j, u, v)
+                    else:
+                        held.append((i, j, m))
+            if len(held) >= 8 * DIAGONALS:
+                self.settle(held)
+                held = []
+        self.settle(held)
+
+    def settle(self, held: list[tuple[int, int, int]]) -> None:
+        """Link those of the pairs (i, j, most edits) that are similar, though no walk over their words shows it."""
+        for whole in (False, True):
+            held = [x for x in held if self.find(x[0]) != self.find(x[1])]
+            if len(held) > FEW:
+                far, done = unlike([(self.texts[i], self.texts[j]) for i, j, _ in held], np.array([m for *_, m in held]), whole)
+                if whole:
+                    for k in np.flatnonzero(done & ~far).tolist():
+                        self.join(*held[k][:2])
+                held = [held[k] for k in np.flatnonzero(~(far | done) if whole else ~far).tolist()]
+        for i, j, m in held:
+            if self.find(i) != self.find(j) and distance(self.texts[i], self.texts[j], m) <= m:
+                self.join(i, j)
+
+    def join(self, i: int, j: int) -> None:
+        u, v = self.find(i), self.find(j)
+        if u != v:
+            self.link(i, j, u, v)
 
     def star(self) -> pd.DataFrame:
         a, b = star_edges(self.nodes, np.array(self.a, dtype=np.int64), np.array(self.b, dtype=np.int64))
@@ -388,12 +540,19 @@ def similar_links(pdf: pd.DataFrame) -> pd.DataFrame:
     starts = np.concatenate(([0], starts)).astype(np.int64)
     sizes = np.diff(np.append(starts, len(at)))
     small = (sizes <= 16) & (i[starts] == j[starts])
+    held, count = [], 0  # pairs of small buckets, checked together
     for size in np.unique(sizes[small]).tolist():
         u, v = np.triu_indices(size, 1)
         rows = starts[small & (sizes == size)]
         step = max(1, PAIRS // max(len(u), 1))
         for k in range(0, len(rows), step):
-            links.check(at[rows[k : k + step, None] + u].ravel(), at[rows[k : k + step, None] + v].ravel())
+            held.append((at[rows[k : k + step, None] + u].ravel(), at[rows[k : k + step, None] + v].ravel()))
+            count += len(held[-1][0])
+            if count >= PAIRS:
+                links.check(*map(np.concatenate, zip(*held)))
+                held, count = [], 0
+    if held:
+        links.check(*map(np.concatenate, zip(*held)))
     for lo, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
         mine, cross = at[lo : lo + n], i[lo] != j[lo]
         middle = int(np.searchsorted(side[lo : lo + n], 1)) if cross else n
@@ -417,12 +576,60 @@ def similar_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def buckets(distinct: DataFrame) -> DataFrame:
-    """(key, node, n) for the blocks that n > 1 lines share; of blocks with equal lines one only."""
-    rows = distinct.select(F.explode("keys").alias("key"), "node").repartition("key")
-    prints = [F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")]
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *prints).where("low < high")
-    shared = shared.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
-    return rows.join(shared, "key")
+    """(key, node, n) for the blocks that n > 1 lines share; of blocks with equal lines one only.
+
+    Most blocks are one line's: rows are dealt out by block once, packed by the hundreds, and sorted where they arrive; only
+    shared ones go on."""
+    tasks = -(-distinct.count() * 16 // DEALT) or 1
+    slots = 8 * tasks  # so many that tasks get about as much each
+
+    def pack(batches):
+        held, size = [], 0
+
+        def close():
+            key, node = (np.concatenate(x) for x in zip(*held))
+            slot = (mix64(key.view(np.uint64)) % np.uint64(slots)).astype(np.int32)
+            order = np.argsort(slot.astype(np.uint16) if slots <= 1 << 16 else slot, kind="stable")
+            key, node, slot = key[order], node[order], slot[order]
+            starts = np.flatnonzero(np.diff(slot, prepend=-1))
+            cuts = zip(starts.tolist(), [*starts[1:].tolist(), len(slot)])
+            data = [key[i:j].tobytes() + node[i:j].tobytes() for i, j in cuts]
+            return pa.RecordBatch.from_arrays([pa.array(slot[starts]), pa.array(data, pa.binary())], names=["slot", "data"])
+
+        for b in batches:
+            keys = b.column("keys")
+            held.append((keys.flatten().to_numpy(), np.repeat(b.column("node").to_numpy(), np.diff(keys.offsets.to_numpy()))))
+            size += len(held[-1][0])
+            if size > DEALT:
+                yield close()
+                held, size = [], 0
+        if size:
+            yield close()
+
+    rows = distinct.select("node", "keys").mapInArrow(pack, "slot int, data binary").repartition(tasks, "slot")
+
+    def run(batches):
+        held = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for b in batches for x in b.column("data")]
+        if not held:
+            return
+        key, node = np.concatenate(held, axis=1)
+        del held
+        order = np.argsort(key)
+        key, node = key[order], node[order]
+        starts = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        n = np.diff(np.append(starts, len(key)))
+        shared = np.repeat(n > 1, n)
+        key, node, n = key[shared], node[shared], n[n > 1]
+        starts = np.cumsum(n) - n
+        hashes = [mix64(mix64(node.view(np.uint64) + np.uint64(k)) + np.uint64(k)) for k in (1, 2)]
+        prints = [np.repeat(np.bitwise_xor.reduceat(h, starts), n).view(np.int64) for h in hashes] if len(n) else hashes
+        columns = [key, node, np.repeat(n, n), *prints]
+        for at in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["key", "node", "n", "s", "x"])
+
+    shared = materialise(rows.mapInArrow(run, "key long, node long, n long, s long, x long"), "shared")
+    one = shared.groupBy("n", "s", "x").agg(F.min("key").alias("key"))
+    return shared.select("key", "node", "n").join(one.select("key"), "key", "left_semi")
 
 
 def compared(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -487,7 +694,7 @@ def line_texts(lines: DataFrame, docs: DataFrame) -> DataFrame:
             got = []
             for text, asked in zip(pdf["text"], pdf["lines"]):
                 lines = normal_lines(text)
-                got += [(r["node"], b" ".join(lines[r["line"]]).decode("utf-8", "replace")) for r in asked]
+                got += [(r["node"], lines[r["line"]].decode("utf-8", "replace")) for r in asked]
             yield pd.DataFrame(got, columns=["node", "norm"])
 
     if lines.count() <= SMALL:
